@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass
-from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal
+from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal, localcontext
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -85,9 +85,9 @@ def _wide_below(draw: Draw, span: int) -> Column:
 def _units(low: float | int, high: float | int, scale: int) -> tuple[int, int]:
     """Bounds as integer multiples of 10^-scale, rounded inwards."""
     low, high = min(low, high), max(low, high)
-    factor = Decimal(10) ** scale
-    a = int((Decimal(str(low)) * factor).to_integral_value(ROUND_CEILING))
-    b = int((Decimal(str(high)) * factor).to_integral_value(ROUND_FLOOR))
+    with localcontext(prec=80):
+        a = int(Decimal(str(low)).scaleb(scale).to_integral_value(ROUND_CEILING))
+        b = int(Decimal(str(high)).scaleb(scale).to_integral_value(ROUND_FLOOR))
     return (a, b) if a <= b else (b, a)
 
 
@@ -226,7 +226,8 @@ def numeric_limits(column: ColumnSpec, numeric_scale: int = 2) -> tuple[float |
         return max(a, floor), min(b, ceiling)
     if column.type == "decimal" and column.length > 0 and high is None:
         scale = column.effective_scale(numeric_scale)
-        high = Decimal(10) ** (column.length - scale) - Decimal(10) ** (-scale)
+        with localcontext(prec=80):
+            high = Decimal(10) ** (column.length - scale) - Decimal(10) ** (-scale)
         low = low if low is not None else (1 if high >= 1 else 0)
     low = 1 if low is None else low
     high = DECIMAL_MAX if high is None else high

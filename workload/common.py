@@ -33,7 +33,7 @@ def nullable(owner: str, column: str, row: str, value: str) -> str:
 
 def step(n: str) -> str:
     """The multiplier of the permutation of 0..n-1, as SQL over a one-row expression n."""
-    base = f"greatest(floor({n} * 0.6180339887498949)::BIGINT, 1)"
+    base = f"greatest(floor({n}::DOUBLE * 0.6180339887498949::DOUBLE)::BIGINT, 1)"
     return f"(SELECT min({base} + k) FROM range(0, 1000) t(k) WHERE gcd({base} + k, {n}) = 1)"
 
 
