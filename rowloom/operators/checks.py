@@ -18,12 +18,12 @@ CAST = r"(?:\s*::[\w\[\]]+(?:\s+[\w\[\]]+)*)*"
 NUMBER = r"[-+]?\d+(?:\.\d+)?"
 BETWEEN = rf"(?i)({IDENT})\s*{CAST}\s+BETWEEN\s+({NUMBER})\s*{CAST}\s+AND\s+({NUMBER})"
 COMPARE = rf"(?i)({IDENT})\s*{CAST}\s*(>=|<=|>|<|=)\s*({NUMBER})"
-IN_LIST = rf"(?i)({IDENT})[\s)]*{CAST}\s+IN\s*\(([^)]+)\)"
+QUOTED = r"'[^']*+(?:''[^']*+)*+'"
+IN_LIST = rf"(?i)({IDENT})[\s)]*{CAST}\s+IN\s*\(((?:[^)']++|{QUOTED})+)\)"
 ANY_ARRAY = rf"(?i)({IDENT})\s*{CAST}\s*=\s*ANY\s+ARRAY\s*\[(.*?)\]"
-EQUALS = rf"(?i)({IDENT})\s*{CAST}\s*=\s*('(?:[^']|'')*'|\"[^\"]*\"|[\w+-]+(?:\.\d+)?)"
+EQUALS = rf"(?i)({IDENT})\s*{CAST}\s*=\s*({QUOTED}|\"[^\"]*\"|[\w+-]+(?:\.\d+)?)"
 LENGTH = rf"(?i)(?:char_length|length)\s*\(\s*\(*\s*({IDENT})\s*\)*{CAST}\s*\)\s*(<=|<|=)\s*(\d+)"
-QUOTED = r"'(?:[^']|'')*'"
-LIST_ITEM = r"'(?:[^']|'')*'|\"[^\"]*\"|[^,\s][^,]*"
+LIST_ITEM = rf"{QUOTED}|\"[^\"]*\"|[^,\s][^,]*"
 CONDITION = rf"(?i)^\s*({IDENT})\s*{CAST}\s*=\s*('\d+'|\"[^\"]*\"|[\w+-]+(?:\.\d+)?){CAST}\s*$"
 # A parenthesis followed only by complete quoted strings and unquoted text.
 OUTER_PAREN = r"""[()](?=[^'"]*+(?:(?:'[^']*'|"[^"]*")[^'"]*+)*+$)"""

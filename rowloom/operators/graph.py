@@ -211,34 +211,59 @@ def cycle_groups(edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:
 def load_levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, component, level): parents always on a lower level than children of other components.
 
-    The level is the longest path over the condensed graph. Sources are removed round by
-    round; runs are contracted first, so depth alone does not cost rounds.
+    The level is the longest path over the condensed graph. A graph without cycles is its own
+    condensation; components are looked for only when removing sources gets stuck.
     """
-    ids = materialize(component_ids(edges))
+    members = _ends(edges) if nodes is None else _ends(edges).unionByName(nodes.select("node"))
+    members = materialize(members.distinct())
+    one = F.lit(1).cast("bigint").alias("w")
+    plain = materialize(edges.where("src <> dst").select("src", "dst", one).distinct())
+    levels = _longest_paths(plain, members)
+    if levels is not None:
+        return levels.select("node", F.col("node").alias("component"), "level")
+    ids = component_ids(edges)
     if nodes is not None:
-        alone = nodes.select("node").distinct().join(ids, "node", "left_anti")
-        ids = materialize(ids.unionByName(alone.select("node", F.col("node").alias("component"))))
+        alone = members.join(ids, "node", "left_anti")
+        ids = ids.unionByName(alone.select("node", F.col("node").alias("component")))
+    ids = materialize(ids)
     condensed = (
         edges.join(ids.select(F.col("node").alias("src"), F.col("component").alias("a")), "src")
         .join(ids.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst")
-        .where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(1).cast("bigint").alias("w")).distinct()
+        .where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"), one).distinct()
     )
-    left = materialize(condensed)
+    levels = _longest_paths(materialize(condensed), ids.select(F.col("component").alias("node")).distinct())
+    return ids.join(levels.withColumnRenamed("node", "component"), "component").select("node", "component", "level")
+
+
+def _longest_paths(edges: DataFrame, members: DataFrame) -> DataFrame | None:
+    """(node, level) by removing sources round by round, or None when a cycle is left.
+
+    Runs are contracted on the way, so depth alone does not cost rounds.
+    """
+    left = edges
     # Best known level so far; it is final once a node has no predecessors left.
-    levels = materialize(ids.select(F.col("component").alias("node")).distinct().withColumn("level", F.lit(0).cast("bigint")))
+    levels = materialize(members.select("node", F.lit(0).cast("bigint").alias("level")))
     expansions: list[DataFrame] = []
     round_ = 0
     while not left.isEmpty():
         round_ += 1
-        # Looking for runs costs joins, so it is tried in rounds 1, 2, 4, 8, ...
-        parts = _runs(left, levels) if round_ & (round_ - 1) == 0 else None
+        sources = _degrees(left).where("ins = 0").select("node")
+        if sources.isEmpty():
+            return None
+        # Looking for runs costs joins, so it is tried in rounds 2, 4, 8, ...
+        parts = _runs(left, levels) if round_ > 1 and round_ & (round_ - 1) == 0 else None
         if parts is not None:
+            if not parts[1].isEmpty():
+                return None
             runs = parts[0]
             expansions.append(runs.select("node", "head", "steps", "base"))
             raised = runs.groupBy(F.col("tail").alias("node")).agg(F.max(F.col("base") + F.col("rest")).alias("offer"))
             levels = _raise(levels, raised)
             left = materialize(_contract(left, runs))
-        sources = _degrees(left).where("ins = 0").select("node")
+            # A run that returns to its own head is a cycle.
+            if not left.where("src = dst").isEmpty():
+                return None
+            sources = _degrees(left).where("ins = 0").select("node")
         sending = left.join(sources.withColumnRenamed("node", "src"), "src", "left_semi")
         offers = (
             sending.join(levels.select(F.col("node").alias("src"), "level"), "src")
@@ -251,7 +276,7 @@ def load_levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
             "node", F.greatest(F.col("base"), F.col("level") + F.col("steps")).alias("offer")
         )
         levels = _raise(levels, inner)
-    return ids.join(levels.withColumnRenamed("node", "component"), "component").select("node", "component", "level")
+    return levels
 
 
 def _raise(levels: DataFrame, offers: DataFrame) -> DataFrame:
