@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,39 +26,37 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, EDGE_SPACE, "")
 
 
+# Every step below refers to its input once, so a chain of steps stays one flat expression.
+
+
 def first_line(text: Column) -> Column:
     return strip(F.regexp_extract(text, r"^([^\r\n]*)", 1))
 
 
 def strip_fences(text: Column) -> Column:
-    """A bare code fence becomes empty; fences attached to content are cut off."""
-    opened = F.when(
-        F.startswith(text, F.lit("```")),
-        F.when(text.rlike(r"^```[\x00-\x20]*(?:[a-zA-Z]{1,12})?[\x00-\x20]*$"), F.lit("")).otherwise(strip(F.substring(text, 4, 1 << 30))),
-    ).otherwise(text)
-    return F.when(F.endswith(opened, F.lit("```")), strip(F.regexp_replace(opened, "```$", ""))).otherwise(opened)
+    """A bare code fence becomes empty; fences attached to trimmed content are cut off."""
+    bare = F.regexp_replace(text, r"^```[\x00-\x20]*(?:[a-zA-Z]{1,12})?[\x00-\x20]*$", "")
+    opened = F.regexp_replace(bare, r"^```[\x00-\x20]*", "")
+    return F.regexp_replace(opened, r"[\x00-\x20]*```$", "")
 
 
 def strip_quotes(text: Column) -> Column:
-    """One pair of equal quotes around the text is removed."""
-    return F.when(
-        text.rlike(r"""(?s)^(".*"|'.*')$"""), strip(F.regexp_replace(text, r"""(?s)^.(.*).$""", "$1"))
-    ).otherwise(text)
+    """One pair of equal quotes around trimmed text is removed."""
+    return strip(F.regexp_replace(text, r"""(?s)^(["'])(.*)\1$""", "$2"))
 
 
 def is_chatter(text: Column) -> Column:
     """Introductions and refusals, which carry no value."""
-    lower = F.lower(text)
-    starts = [F.startswith(lower, F.lit(p)) for p in (*PREAMBLE_STARTS, *REFUSAL_STARTS)]
-    inside = [F.contains(lower, F.lit(p)) for p in PREAMBLE_PHRASES]
-    return reduce(lambda a, b: a | b, starts + inside)
+    starts = "|".join(re.escape(p) for p in (*PREAMBLE_STARTS, *REFUSAL_STARTS))
+    inside = "|".join(re.escape(p) for p in PREAMBLE_PHRASES)
+    return text.rlike(f"(?isu)^(?:{starts})|{inside}")
 
 
 def strip_column_prefix(text: Column, column: Column) -> Column:
     """``name: value`` and ``name = value`` become ``value``; a mere common beginning stays."""
-    rest = strip(F.substring(text, F.length(column) + 1, F.length(text)))
-    named = F.startswith(F.lower(text), F.lower(column)) & rest.rlike("^[:=]")
-    return F.when(named, strip_quotes(strip(F.substring(rest, F.lit(2), F.length(rest))))).otherwise(text)
+    rest = r"""\E[\x00-\x20]*[:=][\x00-\x20]*(?:(["'])(.*)\1|(.*))$"""
+    pattern = F.concat(F.lit(r"(?isu)^\Q"), column, F.lit(rest))
+    return strip(F.regexp_replace(text, pattern, F.lit("$2$3")))
 
 
 def clean_model_text(text: Column, column_name: Column | str | None = None) -> Column:
@@ -68,15 +66,15 @@ def clean_model_text(text: Column, column_name: Column | str | None = None) -> C
     """
     out = strip_quotes(strip_fences(first_line(text)))
     out = strip(F.regexp_replace(out, r"^\d+[.)\-]\s*", ""))
-    out = F.when(out.rlike(r"^[-*] "), strip(F.substring(out, 3, 1 << 30))).otherwise(out)
+    out = strip(F.regexp_replace(out, r"^[-*] ", ""))
     cleaned = out
+    if isinstance(column_name, str):
+        column_name = F.lit(column_name) if column_name else None
     if column_name is not None:
-        name = F.lit(column_name) if isinstance(column_name, str) else column_name
-        stripped = strip_column_prefix(out, name)
         # An absent or empty name changes nothing.
-        cleaned = F.when(F.coalesce(F.length(name), F.lit(0)) == 0, out).when(
-            F.lower(stripped) != F.lower(name), stripped
-        )
+        name = F.nullif(column_name, F.lit(""))
+        cleaned = strip_column_prefix(out, F.coalesce(name, F.lit("\0")))
+        cleaned = F.when(name.isNull() | (F.lower(cleaned) != F.lower(name)), cleaned)
     return F.when(~is_chatter(out), cleaned)
 
 

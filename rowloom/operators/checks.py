@@ -42,14 +42,9 @@ def column_key(identifier: Column) -> Column:
 
 
 def unquote(text: Column) -> Column:
-    trimmed = F.trim(text)
-    single = F.regexp_extract(trimmed, r"(?s)^'(.*)'$", 1)
-    double = F.regexp_extract(trimmed, r'(?s)^"(.*)"$', 1)
-    return (
-        F.when(trimmed.rlike(r"(?s)^'.*'$"), F.replace(single, F.lit("''"), F.lit("'")))
-        .when(trimmed.rlike(r'(?s)^".*"$'), double)
-        .otherwise(trimmed)
-    )
+    """Without the quotes around it; a doubled single quote stands for one."""
+    bare = F.regexp_replace(F.trim(text), r"""(?s)^(['"])(.*)\1$""", "$2")
+    return F.replace(bare, F.lit("''"), F.lit("'"))
 
 
 def _finds(checks: DataFrame, source: str, pattern: str, kind: str, parts: int) -> DataFrame:

@@ -188,3 +188,22 @@ def discover_references(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequ
             [], "child_table string, child_column string, parent_table string, parent_column string, coverage double, one_to_one boolean"
         )
     return reduce(DataFrame.unionByName, found)
+
+
+def describe_columns(df: DataFrame, table: str, max_values: int = 20) -> DataFrame:
+    """One row per comparable, non-temporal column: nullability, limits and value list, as a specification needs them.
+
+    Columns of a single-column key are never nullable. The value list is given when at most
+    ``max_values`` values occur, so it is short by definition.
+    """
+    temporal = (T.DateType, T.TimestampType, T.TimestampNTZType)
+    kept = df.select(*[f.name for f in df.schema.fields if _comparable(f.dataType) and not isinstance(f.dataType, temporal)])
+    facts = profile_columns(kept, table)
+    unique = (F.col("n_distinct") == F.col("n_rows")) & (F.col("n_nulls") == 0) & F.col("type_family").isin("integer", "string")
+    domains = column_domains(kept, table, kept.columns, max_values).groupBy("column_name").agg(F.sort_array(F.collect_list("value")).alias("allowed"))
+    limits = numeric_ranges(kept, table).drop("table_name")
+    return (
+        facts.join(limits, "column_name", "left").join(domains, "column_name", "left")
+        .select("table_name", "column_name", "type_family", unique.alias("is_key"), (~unique & (F.col("n_nulls") > 0)).alias("nullable"),
+                "is_uuid", "min_value", "max_value", "allowed")
+    )
