@@ -94,10 +94,23 @@ def numeric_ranges(df: DataFrame, table: str) -> DataFrame:
     return totals.select(F.explode(F.array(*lines)).alias("r")).select(F.lit(table).alias("table_name"), "r.*")
 
 
-def _is_key(df: DataFrame, columns: Sequence[str]) -> bool:
-    """No key occurs twice among rows without nulls."""
-    present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
-    return df.where(present).groupBy(*columns).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+def _without_duplicates(df: DataFrame, candidates: Sequence[tuple[str, ...]]) -> list[tuple[str, ...]]:
+    """The candidates whose values never repeat among rows without nulls; one job for all of them.
+
+    Values are counted before they move, so a frequent value costs one row per task.
+    """
+    if not candidates:
+        return []
+    width = max(len(c) for c in candidates)
+    lines = []
+    for i, columns in enumerate(candidates):
+        padded = [F.col(c).cast("string") for c in columns] + [F.lit("")] * (width - len(columns))
+        lines.append(F.struct(F.lit(i).alias("key"), *[v.alias(f"v{j}") for j, v in enumerate(padded)]))
+    values = [f"v{j}" for j in range(width)]
+    present = reduce(lambda a, b: a & b, [F.col(v).isNotNull() for v in values])
+    counted = df.select(F.explode(F.array(*lines)).alias("r")).select("r.*").where(present).groupBy("key", *values).agg(F.count("*").alias("n"))
+    repeated = {r["key"] for r in counted.where("n > 1").select("key").distinct().collect()}
+    return [c for i, c in enumerate(candidates) if i not in repeated]
 
 
 @dataclass(frozen=True)
@@ -120,26 +133,44 @@ def discover_keys(df: DataFrame, max_columns: int = 2) -> Keys:
     for i, c in enumerate(names):
         aggs += [F.count(c).alias(f"c{i}"), F.approx_count_distinct(c, SKETCH_ERROR).alias(f"d{i}")]
     for j, (a, b) in enumerate(pairs):
-        both = F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.struct(a, b))
-        aggs += [F.count(both).alias(f"pc{j}"), F.approx_count_distinct(F.xxhash64(a, b), SKETCH_ERROR).alias(f"pd{j}")]
+        # The hash is null-free, so rows with a null are left out by hand.
+        both = F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.xxhash64(a, b))
+        aggs += [F.count(both).alias(f"pc{j}"), F.approx_count_distinct(both, SKETCH_ERROR).alias(f"pd{j}")]
     seen = df.agg(*aggs).first()
-    primary, unique, single = [], [], set()
-    for i, c in enumerate(names):
-        filled = seen[f"c{i}"]
-        if filled and seen[f"d{i}"] >= SKETCH_SHARE * filled and _is_key(df, [c]):
-            single.add(c)
-            unique.append((c,))
-            if filled == seen["n"]:
-                primary.append((c,))
-    for j, (a, b) in enumerate(pairs):
-        filled = seen[f"pc{j}"]
-        if a in single or b in single or not filled or seen[f"pd{j}"] < SKETCH_SHARE * filled:
-            continue
-        if _is_key(df, [a, b]):
-            unique.append((a, b))
-            if filled == seen["n"]:
-                primary.append((a, b))
-    return Keys(primary, unique)
+
+    def promising(filled: int, distinct: int) -> bool:
+        return filled > 0 and distinct >= SKETCH_SHARE * filled
+
+    filled = {(c,): seen[f"c{i}"] for i, c in enumerate(names)} | {p: seen[f"pc{j}"] for j, p in enumerate(pairs)}
+    single = _without_duplicates(df, [(c,) for i, c in enumerate(names) if promising(seen[f"c{i}"], seen[f"d{i}"])])
+    alone = {c for (c,) in single}
+    double = _without_duplicates(
+        df, [p for j, p in enumerate(pairs) if not alone & set(p) and promising(seen[f"pc{j}"], seen[f"pd{j}"])]
+    )
+    unique = [*single, *double]
+    return Keys([k for k in unique if filled[k] == seen["n"]], unique)
+
+
+def _ranges(tables: Mapping[str, DataFrame]) -> dict[tuple[str, str], tuple]:
+    """(family, min, max) per key-like column; one job over all tables."""
+    parts = []
+    for name, df in tables.items():
+        for kind, cast in (("integer", "bigint"), ("text", "string")):
+            cols = [c for c in _key_columns(df) if (_family(df.schema[c].dataType) == "integer") == (kind == "integer")]
+            if not cols:
+                continue
+            lows = df.agg(*[a for i, c in enumerate(cols) for a in (F.min(c).cast(cast).alias(f"a{i}"), F.max(c).cast(cast).alias(f"b{i}"))])
+            number = [F.struct(F.lit(c).alias("c"), *[
+                (F.col(f"{s}{i}") if kind == k else F.lit(None)).cast(t).alias(f"{s}_{k}")
+                for k, t in (("integer", "bigint"), ("text", "string")) for s in ("a", "b")
+            ]) for i, c in enumerate(cols)]
+            parts.append(lows.select(F.explode(F.array(*number)).alias("r")).select(F.lit(name).alias("t"), "r.*"))
+    found = {}
+    for r in reduce(DataFrame.unionByName, parts).collect():
+        family = _family(tables[r["t"]].schema[r["c"]].dataType)
+        kind = "integer" if family == "integer" else "text"
+        found[r["t"], r["c"]] = (family, r[f"a_{kind}"], r[f"b_{kind}"])
+    return found
 
 
 def discover_references(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -147,47 +178,56 @@ def discover_references(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequ
 
     ``coverage`` is the share of parent keys in use. Dense integer keys include each other by
     chance, so these are candidates to rank, not references to enforce. Pairs of different
-    type or with values outside the key's range are dropped before any join; one scan per
-    table gives the ranges.
+    type or with values outside the key's range are dropped first. All remaining pairs are
+    tested in one pass: every child value once, joined to the list of keys that hold it, which
+    is as short as the schema.
     """
     spark = next(iter(tables.values())).sparkSession
-    ranges: dict[tuple[str, str], tuple] = {}
-    for name, df in tables.items():
-        cols = _key_columns(df)
-        row = df.agg(*[a for i, c in enumerate(cols) for a in (F.min(c).alias(f"a{i}"), F.max(c).alias(f"b{i}"))]).first()
-        for i, c in enumerate(cols):
-            ranges[name, c] = (_family(df.schema[c].dataType), row[f"a{i}"], row[f"b{i}"])
-    used: dict[tuple[str, str], DataFrame] = {}
-    found = []
-    for (child, column), (family, low, high) in ranges.items():
+    ranges = _ranges(tables)
+    pairs: dict[str, list[tuple[tuple[str, str], tuple[str, str]]]] = {}
+    for child, (family, low, high) in ranges.items():
         for parent, parent_keys in keys.items():
             for key in parent_keys:
                 other, first, last = ranges[parent, key]
-                if (child, column) == (parent, key) or family != other or low is None or first is None:
-                    continue
-                if low < first or high > last:
-                    continue
-                # Each child value once, however often it occurs.
-                values = used.setdefault(
-                    (child, column),
-                    tables[child].where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n")),
-                )
-                parents = tables[parent].select(F.col(key).alias("v"))
-                lost = values.join(parents, "v", "left_anti").agg(F.count("*").alias("lost"))
-                sizes = values.agg(F.count("*").alias("used"), F.max("n").alias("most"))
-                total = parents.agg(F.count("*").alias("total"))
-                found.append(
-                    lost.join(sizes).join(total).where("lost = 0").select(
-                        F.lit(child).alias("child_table"), F.lit(column).alias("child_column"),
-                        F.lit(parent).alias("parent_table"), F.lit(key).alias("parent_column"),
-                        (F.col("used") / F.col("total")).alias("coverage"), (F.col("most") == 1).alias("one_to_one"),
-                    )
-                )
-    if not found:
-        return spark.createDataFrame(
-            [], "child_table string, child_column string, parent_table string, parent_column string, coverage double, one_to_one boolean"
-        )
-    return reduce(DataFrame.unionByName, found)
+                if child != (parent, key) and family == other and low is not None and first is not None and low >= first and high <= last:
+                    pairs.setdefault(family, []).append((child, (parent, key)))
+    empty = spark.createDataFrame(
+        [], "child_table string, child_column string, parent_table string, parent_column string, coverage double, one_to_one boolean"
+    )
+    return reduce(DataFrame.unionByName, [_included(tables, family, found) for family, found in pairs.items()], empty)
+
+
+def _included(tables: Mapping[str, DataFrame], family: str, pairs: list[tuple[tuple[str, str], tuple[str, str]]]) -> DataFrame:
+    children = list(dict.fromkeys(c for c, _ in pairs))
+    parents = list(dict.fromkeys(p for _, p in pairs))
+    cast = "bigint" if family == "integer" else "string"
+
+    def stacked(columns: list[tuple[str, str]], tag: str) -> DataFrame:
+        """(tag, v): the columns below each other, read together per table."""
+        parts = []
+        for name in dict.fromkeys(t for t, _ in columns):
+            own = [F.struct(F.lit(i).alias(tag), F.col(c).cast(cast).alias("v")) for i, (t, c) in enumerate(columns) if t == name]
+            parts.append(tables[name].select(F.explode(F.array(*own)).alias("r")).select("r.*"))
+        return reduce(DataFrame.unionByName, parts).where("v is not null")
+
+    used = stacked(children, "child").groupBy("child", "v").agg(F.count("*").alias("n"))
+    distinct_keys = stacked(parents, "parent").distinct()
+    holders = distinct_keys.groupBy("v").agg(F.collect_set("parent").alias("holders"))
+    totals = distinct_keys.groupBy("parent").agg(F.count("*").alias("total"))
+    wanted = [[parents.index(p) for c, p in pairs if c == child] for child in children]
+    tested = used.join(holders, "v", "left").select(
+        "child", "n", "holders", F.explode(F.element_at(F.lit(wanted), F.col("child") + 1)).alias("parent")
+    )
+    summed = tested.groupBy("child", "parent").agg(
+        F.count_if(~F.coalesce(F.array_contains("holders", F.col("parent")), F.lit(False))).alias("lost"),
+        F.count("*").alias("used"), F.max("n").alias("most"),
+    )
+    named = [F.element_at(F.lit([c[k] for c in children]), F.col("child") + 1) for k in (0, 1)]
+    keyed = [F.element_at(F.lit([p[k] for p in parents]), F.col("parent") + 1) for k in (0, 1)]
+    return summed.where("lost = 0").join(F.broadcast(totals), "parent").select(
+        named[0].alias("child_table"), named[1].alias("child_column"), keyed[0].alias("parent_table"), keyed[1].alias("parent_column"),
+        (F.col("used") / F.col("total")).alias("coverage"), (F.col("most") == 1).alias("one_to_one"),
+    )
 
 
 def describe_columns(df: DataFrame, table: str, max_values: int = 20) -> DataFrame:
