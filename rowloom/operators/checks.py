@@ -19,20 +19,24 @@ NUMBER = r"[-+]?\d+(?:\.\d+)?"
 BETWEEN = rf"(?i)({IDENT})\s*{CAST}\s+BETWEEN\s+({NUMBER})\s*{CAST}\s+AND\s+({NUMBER})"
 COMPARE = rf"(?i)({IDENT})\s*{CAST}\s*(>=|<=|>|<|=)\s*({NUMBER})"
 QUOTED = r"'[^']*+(?:''[^']*+)*+'"
-IN_LIST = rf"(?i)({IDENT})[\s)]*{CAST}\s+IN\s*\(((?:[^)']++|{QUOTED})+)\)"
+IN_LIST = rf"(?i)({IDENT})[\s)]*{CAST}\s+IN\s*\(((?:[^)']++|{QUOTED})++)\)"
 ANY_ARRAY = rf"(?i)({IDENT})\s*{CAST}\s*=\s*ANY\s+ARRAY\s*\[(.*?)\]"
 EQUALS = rf"(?i)({IDENT})\s*{CAST}\s*=\s*({QUOTED}|\"[^\"]*\"|[\w+-]+(?:\.\d+)?)"
 LENGTH = rf"(?i)(?:char_length|length)\s*\(\s*\(*\s*({IDENT})\s*\)*{CAST}\s*\)\s*(<=|<|=)\s*(\d+)"
 LIST_ITEM = rf"{QUOTED}|\"[^\"]*\"|[^,\s][^,]*"
 CONDITION = rf"(?i)^\s*({IDENT})\s*{CAST}\s*=\s*('\d+'|\"[^\"]*\"|[\w+-]+(?:\.\d+)?){CAST}\s*$"
-# A parenthesis followed only by complete quoted strings and unquoted text.
-OUTER_PAREN = r"""[()](?=[^'"]*+(?:(?:'[^']*'|"[^"]*")[^'"]*+)*+$)"""
+QUOTED_OR_PAREN = r"""('[^']*+'|"[^"]*+")|[()]"""
 MAX_NESTING = 8
 
 
 def strip_parens(expr: Column) -> Column:
-    """Parentheses outside quoted strings become blanks."""
-    return F.regexp_replace(expr, OUTER_PAREN, " ")
+    """Parentheses outside quoted strings become blanks.
+
+    Each quoted string and each parenthesis gets a mark; the mark behind a string's closing
+    quote goes again, those in place of parentheses become blanks.
+    """
+    marked = F.regexp_replace(expr, QUOTED_OR_PAREN, "$1\u0001")
+    return F.translate(F.regexp_replace(marked, "(['\"])\u0001", "$1"), "\u0001", " ")
 
 
 def column_key(identifier: Column) -> Column:

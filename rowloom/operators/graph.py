@@ -10,10 +10,10 @@ from __future__ import annotations
 from functools import reduce
 from math import ceil, log2
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from rowloom.session import materialize
+from rowloom.session import materialize, materialize_counted
 
 
 def reference_edges(fks: DataFrame, tables: DataFrame) -> DataFrame:
@@ -44,22 +44,23 @@ def _runs(edges: DataFrame, levels: DataFrame | None = None) -> tuple[DataFrame,
     distance from it, the level the run alone guarantees, and the branching node after the
     run with the distance to it. Rings: (node, ring) with the smallest member.
     """
-    linear = materialize(_degrees(edges).where("ins = 1 and outs = 1").select("node"))
-    count = linear.count()
+    linear, count = materialize_counted(_degrees(edges).where("ins = 1 and outs = 1").select("node"))
     if count == 0:
         return None
-    before = edges.join(linear.withColumnRenamed("node", "dst"), "dst", "left_semi")
-    after = edges.join(linear.withColumnRenamed("node", "src"), "src", "left_semi")
-    inside = linear.select(F.col("node").alias("at"), F.lit(True).alias("inner"))
     zero = F.lit(0).cast("bigint")
-    hops = before.select(F.col("dst").alias("node"), F.col("src").alias("at"), F.col("w").alias("steps"))
+    before = edges.join(linear.withColumnRenamed("node", "dst"), "dst", "left_semi").select(
+        F.lit("up").alias("way"), F.col("dst").alias("node"), F.col("src").alias("at"), F.col("w").alias("steps")
+    )
+    after = edges.join(linear.withColumnRenamed("node", "src"), "src", "left_semi").select(
+        F.lit("down").alias("way"), F.col("src").alias("node"), F.col("dst").alias("at"), F.col("w").alias("steps")
+    )
+    hops = before.unionByName(after)
     if levels is None:
         hops = hops.withColumn("base", zero)
     else:
         hops = hops.join(levels.select("node", F.col("level").alias("base")), "node")
-    up = _double(hops, inside, count)
-    after = after.select(F.col("src").alias("node"), F.col("dst").alias("at"), F.col("w").alias("steps"), zero.alias("base"))
-    down = _double(after, inside, count)
+    ends = _follow(hops, linear, count)
+    up, down = ends.where("way = 'up'"), ends.where("way = 'down'")
     rings = up.where("inner").select("node", F.least("node", "low").alias("ring"))
     runs = (
         up.where("not inner").select("node", F.col("at").alias("head"), "steps", "base")
@@ -68,27 +69,28 @@ def _runs(edges: DataFrame, levels: DataFrame | None = None) -> tuple[DataFrame,
     return materialize(runs), materialize(rings)
 
 
-def _double(hops: DataFrame, inside: DataFrame, count: int) -> DataFrame:
-    """Follow pointers, doubling the distance each round, until they leave the linear nodes."""
-    now = hops.join(inside, "at", "left").select(
-        "node", "at", "steps", "base", F.coalesce("inner", F.lit(False)).alias("inner"), F.col("at").alias("low")
-    )
-    now = materialize(now)
+def _follow(hops: DataFrame, linear: DataFrame, count: int) -> DataFrame:
+    """Follow pointers both ways, doubling the distance each round, until they leave the linear nodes."""
+    inside = linear.select(F.col("node").alias("at"), F.lit(True).alias("inner"))
+    now = materialize(hops.join(inside, "at", "left").select(
+        "way", "node", "at", "steps", "base", F.coalesce("inner", F.lit(False)).alias("inner"), F.col("at").alias("low")
+    ))
     for _ in range(ceil(log2(count + 1)) + 1):
-        going = now.where("inner")
-        if going.isEmpty():
-            break
-        # A pointer's target is a linear node with one predecessor, so targets are distinct.
+        # A linear node has one neighbour either way, so targets are distinct per direction.
         onward = now.select(
-            F.col("node").alias("at"), F.col("at").alias("at2"), F.col("steps").alias("steps2"),
+            "way", F.col("node").alias("at"), F.col("at").alias("at2"), F.col("steps").alias("steps2"),
             F.col("base").alias("base2"), F.col("inner").alias("inner2"), F.col("low").alias("low2"),
         )
-        moved = going.join(onward, "at").select(
-            "node", F.col("at2").alias("at"), (F.col("steps") + F.col("steps2")).alias("steps"),
+        moved = now.where("inner").join(onward, ["way", "at"]).select(
+            "way", "node", F.col("at2").alias("at"), (F.col("steps") + F.col("steps2")).alias("steps"),
             F.greatest(F.col("base"), F.col("base2") + F.col("steps")).alias("base"),
             F.col("inner2").alias("inner"), F.least("low", "low2").alias("low"),
         )
-        now = materialize(now.where("not inner").unionByName(moved))
+        seen = Observation()
+        both = now.where("not inner").unionByName(moved).observe(seen, F.count_if(F.col("inner")).alias("going"))
+        now = materialize(both)
+        if seen.get["going"] == 0:
+            break
     return now
 
 
@@ -116,30 +118,29 @@ def component_ids(edges: DataFrame) -> DataFrame:
     smallest node reaches all others, and removes them.
     """
     all_nodes = materialize(_ends(edges).distinct())
-    left = materialize(edges.where("src <> dst").select("src", "dst", F.lit(1).cast("bigint").alias("w")).distinct())
+    left, size = materialize_counted(edges.where("src <> dst").select("src", "dst", F.lit(1).cast("bigint").alias("w")).distinct())
     found: list[DataFrame] = []
     expansions: list[DataFrame] = []
-    while not left.isEmpty():
+    while size:
         keep = _degrees(left).where("ins > 0 and outs > 0").select("node")
-        inner = materialize(
+        left, inner_size = materialize_counted(
             left.join(keep.withColumnRenamed("node", "src"), "src", "left_semi").join(
                 keep.withColumnRenamed("node", "dst"), "dst", "left_semi"
             )
         )
-        shrunk = inner.count() < left.count()
-        left = inner
-        parts = _runs(left) if not left.isEmpty() else None
+        shrunk, size = inner_size < size, inner_size
+        parts = _runs(left) if size else None
         if parts is not None:
             runs, rings = parts
             found.append(rings.select("node", F.col("ring").alias("component")))
             expansions.append(runs.select("node", "head", "tail"))
             left = left.join(rings.select(F.col("node").alias("src")), "src", "left_anti")
-            left = materialize(_contract(left, runs).where("src <> dst"))
-        elif not shrunk:
+            left, size = materialize_counted(_contract(left, runs).where("src <> dst"))
+        elif size and not shrunk:
             members = _colour(left)
             found.append(members)
             gone = members.select("node")
-            left = materialize(
+            left, size = materialize_counted(
                 left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(
                     gone.withColumnRenamed("node", "dst"), "dst", "left_anti"
                 )
@@ -170,27 +171,27 @@ def _colour(edges: DataFrame) -> DataFrame:
         .where("a = b").select("src", "dst", "a")
     )
     backwards = materialize(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    reached = materialize(colours.where("node = label").select("node", F.col("label").alias("component")))
+    reached, size = materialize_counted(colours.where("node = label").select("node", F.col("label").alias("component")))
     frontier = reached
-    while not frontier.isEmpty():
+    while size:
         nxt = backwards.join(frontier.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "component").distinct()
-        frontier = materialize(nxt.join(reached, "node", "left_anti"))
+        frontier, size = materialize_counted(nxt.join(reached, "node", "left_anti"))
         reached = materialize(reached.unionByName(frontier))
     return reached
 
 
 def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Send the smallest label along the edges until nothing changes."""
-    labels = materialize(labels)
+    labels, size = materialize_counted(labels)
     changed = labels
-    while not changed.isEmpty():
+    while size:
         offers = (
             edges.join(changed.withColumnRenamed("node", "src"), "src")
             .groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("offer"))
         )
         both = materialize(labels.join(offers, "node", "left"))
         better = F.col("offer") < F.col("label")
-        changed = materialize(both.where(better).select("node", F.col("offer").alias("label")))
+        changed, size = materialize_counted(both.where(better).select("node", F.col("offer").alias("label")))
         labels = materialize(both.select("node", F.when(better, F.col("offer")).otherwise(F.col("label")).alias("label")))
     return labels
 
@@ -245,11 +246,9 @@ def _longest_paths(edges: DataFrame, members: DataFrame) -> DataFrame | None:
     levels = materialize(members.select("node", F.lit(0).cast("bigint").alias("level")))
     expansions: list[DataFrame] = []
     round_ = 0
-    while not left.isEmpty():
+    size = 1
+    while size:
         round_ += 1
-        sources = _degrees(left).where("ins = 0").select("node")
-        if sources.isEmpty():
-            return None
         # Looking for runs costs joins, so it is tried in rounds 2, 4, 8, ...
         parts = _runs(left, levels) if round_ > 1 and round_ & (round_ - 1) == 0 else None
         if parts is not None:
@@ -263,14 +262,18 @@ def _longest_paths(edges: DataFrame, members: DataFrame) -> DataFrame | None:
             # A run that returns to its own head is a cycle.
             if not left.where("src = dst").isEmpty():
                 return None
-            sources = _degrees(left).where("ins = 0").select("node")
+        sources, ready = materialize_counted(_degrees(left).where("ins = 0").select("node"))
+        if ready == 0:
+            if left.isEmpty():
+                break
+            return None
         sending = left.join(sources.withColumnRenamed("node", "src"), "src", "left_semi")
         offers = (
             sending.join(levels.select(F.col("node").alias("src"), "level"), "src")
             .groupBy(F.col("dst").alias("node")).agg(F.max(F.col("level") + F.col("w")).alias("offer"))
         )
         levels = _raise(levels, offers)
-        left = materialize(left.join(sources.withColumnRenamed("node", "src"), "src", "left_anti"))
+        left, size = materialize_counted(left.join(sources.withColumnRenamed("node", "src"), "src", "left_anti"))
     for runs in reversed(expansions):
         inner = runs.join(levels.select(F.col("node").alias("head"), "level"), "head").select(
             "node", F.greatest(F.col("base"), F.col("level") + F.col("steps")).alias("offer")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # A side is broadcast up to this many rows of a narrow key projection.
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 << 20
+# Below this many rows a hot key is not worth a pass of its own.
+SMALL_LEFT = 1_000_000
 
 
 def fits_broadcast(df: DataFrame, rows: int) -> bool:
@@ -35,7 +37,7 @@ def lookup(left: DataFrame, right: DataFrame, on: list[str], right_rows: int | N
     total = counts.agg(F.sum("_n")).first()[0] or 0
     hot = [tuple(r[c] for c in on) for r in counts.where(F.col("_n") * 1000 > F.lit(total)).select(*on).collect()]
     hot = [k for k in hot if all(v is not None for v in k)]
-    if not hot or total < 1_000_000:
+    if not hot or total < SMALL_LEFT:
         return left.join(right, on, how)
     schema = right.select(*on).schema
     hot_keys = left.sparkSession.createDataFrame(hot, schema)

@@ -80,10 +80,10 @@ def pinned_columns(blocks: RuleBlocks, rule_id: Column, seed: int, numeric_scale
     out = {}
     for name, slots in per_column.items():
         column = spec.column(name)
-        at = rule_id + 1
-        given = F.element_at(F.array(*[F.lit(s is not None) for s in slots]), at)
-        text = F.element_at(F.array(*[F.lit(s[0] if s else None).cast("string") for s in slots]), at)
-        is_set = F.coalesce(given, F.lit(False))
+        # get, not element_at: the planner takes element_at of a null index for not null.
+        given = F.get(F.array(*[F.lit(s is not None) for s in slots]), rule_id)
+        text = F.get(F.array(*[F.lit(s[0] if s else None).cast("string") for s in slots]), rule_id)
+        is_set = rule_id.isNotNull() & F.coalesce(given, F.lit(False))
         if not column.nullable:
             is_set = is_set & text.try_cast(column.data_type(numeric_scale)).isNotNull()
         out[name] = PinnedColumn(is_set, text)

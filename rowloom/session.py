@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", name: str = "rowloom") -> SparkSession:
@@ -56,9 +57,15 @@ def materialize(df: DataFrame) -> DataFrame:
     Read back, the table has true sizes, so later joins are planned on facts. Loops need that:
     a checkpoint keeps the estimates and constraints of its plan, which grow every round.
     """
+    return materialize_counted(df)[0]
+
+
+def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``materialize`` and the number of rows, counted while they are written."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/rowloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["n"]
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
