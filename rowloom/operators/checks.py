@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from rowloom.model import ColumnSpec, TableSpec
 
 # The pieces of CHECK syntax that are understood.
-IDENT = r'(?:"?[\w$]+"?\.)*(?:"[^"]+"|[A-Za-z_][\w$]*)'
+IDENT = r'(?<![\w$."])(?:"?[\w$]++"?\.)*+(?:"[^"]++"|[A-Za-z_][\w$]*+)'
 CAST = r"(?:\s*::[\w\[\]]+(?:\s+[\w\[\]]+)*)*"
 NUMBER = r"[-+]?\d+(?:\.\d+)?"
 BETWEEN = rf"(?i)({IDENT})\s*{CAST}\s+BETWEEN\s+({NUMBER})\s*{CAST}\s+AND\s+({NUMBER})"
@@ -26,7 +26,7 @@ LENGTH = rf"(?i)(?:char_length|length)\s*\(\s*\(*\s*({IDENT})\s*\)*{CAST}\s*\)\s
 LIST_ITEM = rf"{QUOTED}|\"[^\"]*\"|[^,\s][^,]*"
 CONDITION = rf"(?i)^\s*({IDENT})\s*{CAST}\s*=\s*('\d+'|\"[^\"]*\"|[\w+-]+(?:\.\d+)?){CAST}\s*$"
 QUOTED_OR_PAREN = r"""('[^']*+'|"[^"]*+")|[()]"""
-MAX_NESTING = 8
+LIMIT_KINDS = ("between", "compare", "length")
 
 
 def strip_parens(expr: Column) -> Column:
@@ -51,13 +51,27 @@ def unquote(text: Column) -> Column:
     return F.replace(bare, F.lit("''"), F.lit("'"))
 
 
-def _finds(checks: DataFrame, source: str, pattern: str, kind: str, parts: int) -> DataFrame:
-    found = checks.select("table_name", F.explode(F.regexp_extract_all(F.col(source), F.lit(pattern), 0)).alias("m"))
-    groups = [F.regexp_extract("m", pattern, i + 2).alias(f"p{i}") for i in range(parts)]
-    padding = [F.lit(None).cast("string").alias(f"p{i}") for i in range(parts, 2)]
-    return found.select(
-        "table_name", column_key(F.regexp_extract("m", pattern, 1)).alias("key"), F.lit(kind).alias("kind"), *groups, *padding
-    )
+def _finds(checks: DataFrame, rules: list[tuple[str, str, str, str]]) -> DataFrame:
+    """(table_name, key, kind, p0, p1) for ``(kind, source column, marker, pattern)`` rules, in one pass.
+
+    A pattern runs only on texts that hold its marker word or sign.
+    """
+    none = F.array().cast("array<string>")
+
+    def tagged_finds(kind: str, source: str, marker: str, pattern: str) -> Column:
+        matches = F.when(F.col(source).rlike(marker), F.regexp_extract_all(F.col(source), F.lit(pattern), 0)).otherwise(none)
+        return F.transform(matches, lambda m: F.struct(F.lit(kind).alias("kind"), m.alias("m")))
+
+    tagged = [tagged_finds(*rule) for rule in rules]
+    found = checks.select("table_name", F.explode(F.concat(*tagged)).alias("f")).select("table_name", "f.kind", "f.m")
+
+    def part(group: int) -> Column:
+        # Value lists have one part behind the column, limits have two.
+        values = [F.when(F.col("kind") == kind, F.regexp_extract("m", pattern, group)) for kind, _, _, pattern in rules
+                  if group < 3 or kind in LIMIT_KINDS]
+        return F.coalesce(*values) if values else F.lit(None).cast("string")
+
+    return found.select("table_name", "kind", column_key(part(1)).alias("key"), part(2).alias("p0"), part(3).alias("p1"))
 
 
 def _prepared(checks: DataFrame) -> DataFrame:
@@ -73,34 +87,23 @@ def column_limits(checks: DataFrame, columns: DataFrame) -> DataFrame:
     Reversed BETWEEN bounds are swapped, repeated limits intersect, ``length(x) < n`` means
     n-1, and a declared column length caps the result. ``*_open`` marks strict bounds.
     """
-    ready = _prepared(checks)
-    between = _finds(ready, "flat", BETWEEN, "between", 2).select(
+    found = _finds(_prepared(checks), [
+        ("between", "flat", "(?i)between", BETWEEN), ("compare", "flat", "[<>=]", COMPARE), ("length", "expr", "(?i)length", LENGTH),
+    ])
+    kind, first, second = F.col("kind"), F.col("p0").try_cast("double"), F.col("p1").try_cast("double")
+    op, compare = F.col("p0"), F.col("kind") == "compare"
+    limits = found.select(
         "table_name", "key",
-        F.least(F.col("p0").cast("double"), F.col("p1").cast("double")).alias("low"), F.lit(False).alias("low_open"),
-        F.greatest(F.col("p0").cast("double"), F.col("p1").cast("double")).alias("high"), F.lit(False).alias("high_open"),
-        F.lit(None).cast("int").alias("size"),
+        F.when(kind == "between", F.least(first, second)).when(compare & op.isin(">", ">=", "="), second).alias("low"),
+        (compare & (op == ">")).alias("low_open"),
+        F.when(kind == "between", F.greatest(first, second)).when(compare & op.isin("<", "<=", "="), second).alias("high"),
+        (compare & (op == "<")).alias("high_open"),
+        F.when(kind == "length", F.col("p1").try_cast("int") - F.when(op == "<", 1).otherwise(0)).alias("size"),
     )
-    number, op = F.col("p1").cast("double"), F.col("p0")
-    compare = _finds(ready, "flat", COMPARE, "compare", 2).select(
-        "table_name", "key",
-        F.when(op.isin(">", ">=", "="), number).alias("low"), (op == ">").alias("low_open"),
-        F.when(op.isin("<", "<=", "="), number).alias("high"), (op == "<").alias("high_open"),
-        F.lit(None).cast("int").alias("size"),
-    )
-    none = F.lit(None).cast("double")
-    lengths = _finds(ready, "expr", LENGTH, "length", 2).select(
-        "table_name", "key", none.alias("low"), F.lit(False).alias("low_open"), none.alias("high"),
-        F.lit(False).alias("high_open"),
-        (F.col("p1").cast("int") - F.when(op == "<", 1).otherwise(0)).alias("size"),
-    )
-    merged = (
-        between.unionByName(compare).unionByName(lengths)
-        .groupBy("table_name", "key")
-        .agg(
-            F.max(F.when(F.col("low").isNotNull(), F.struct("low", "low_open"))).alias("lower"),
-            F.min(F.when(F.col("high").isNotNull(), F.struct("high", (~F.col("high_open")).alias("closed")))).alias("upper"),
-            F.min("size").alias("size"),
-        )
+    merged = limits.groupBy("table_name", "key").agg(
+        F.max(F.when(F.col("low").isNotNull(), F.struct("low", "low_open"))).alias("lower"),
+        F.min(F.when(F.col("high").isNotNull(), F.struct("high", (~F.col("high_open")).alias("closed")))).alias("upper"),
+        F.min("size").alias("size"),
     )
     named = columns.select("table_name", "column_name", "length", F.lower("column_name").alias("key"))
     declared = F.when(F.col("length") > 0, F.col("length"))
@@ -121,17 +124,32 @@ def integer_bounds(low: Column, low_open: Column, high: Column, high_open: Colum
 
 def allowed_values(checks: DataFrame, columns: DataFrame) -> DataFrame:
     """The values a column may take, one row each, from IN lists, ANY ARRAY[...] and equalities."""
-    ready = _prepared(checks)
-    lists = _finds(ready, "plain", IN_LIST, "in", 1).unionByName(_finds(ready, "flat", ANY_ARRAY, "any", 1))
-    items = lists.select("table_name", "key", F.explode(F.regexp_extract_all("p0", F.lit(LIST_ITEM), 0)).alias("item"))
-    items = items.select("table_name", "key", unquote(F.regexp_replace("item", r"::[\w\[\]]+(?:\s+[\w\[\]]+)*", "")).alias("value"))
-    single = _finds(ready, "flat", EQUALS, "eq", 1).where(~F.upper("p0").isin("ANY", "NULL"))
-    single = single.select("table_name", "key", unquote(F.col("p0")).alias("value"))
-    found = items.unionByName(single).where("value <> ''").distinct()
+    finds = _finds(_prepared(checks), [
+        ("in", "plain", r"(?i)\bin\b", IN_LIST), ("any", "flat", r"(?i)\bany\b", ANY_ARRAY), ("eq", "flat", "=", EQUALS),
+    ])
+    listed = F.regexp_extract_all("p0", F.lit(LIST_ITEM), 0)
+    single = F.when(~F.upper("p0").isin("ANY", "NULL"), F.array("p0")).otherwise(F.array().cast("array<string>"))
+    items = finds.select("table_name", "key", "kind", F.explode(F.when(F.col("kind") == "eq", single).otherwise(listed)).alias("item"))
+    # A cast inside a quoted single value is part of the value.
+    bare = F.when(F.col("kind") == "eq", F.col("item")).otherwise(F.regexp_replace("item", r"::[\w\[\]]+(?:\s+[\w\[\]]+)*", ""))
+    found = items.select("table_name", "key", unquote(bare).alias("value")).where("value <> ''").distinct()
     named = columns.select("table_name", "column_name", F.lower("column_name").alias("key"))
     return found.join(named, ["table_name", "key"]).select("table_name", "column_name", "value")
 
 
+def _nesting(texts: DataFrame, column: str) -> int:
+    """How deep parentheses are nested in any of the texts."""
+    parens = F.split(F.regexp_replace(column, "[^()]", ""), "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(state: Column, sign: Column) -> Column:
+        now = state["now"] + F.when(sign == "(", 1).when(sign == ")", -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(state["most"], now).alias("most"))
+
+    depth = F.aggregate(parens, start, step, lambda state: state["most"])
+    return texts.agg(F.max(depth)).first()[0] or 0
+
+
 def value_combinations(checks: DataFrame) -> DataFrame:
     """Multi-column rules written as OR of AND of equalities, one row per clause and column.
 
@@ -148,7 +166,7 @@ def value_combinations(checks: DataFrame) -> DataFrame:
         "table_name", "expr", masked.alias("flat"), F.regexp_extract_all(text, F.lit(QUOTED), 0).alias("literals")
     )
     flat = F.col("flat")
-    for _ in range(MAX_NESTING):
+    for _ in range(_nesting(ready, "flat")):
         flat = F.regexp_replace(flat, r"(?i)\((?![^()]*\bOR\b)([^()]*)\)", " $1 ")
         flat = F.regexp_replace(flat, r"\(\s*\(([^()]*)\)\s*\)", "($1)")
     flat = F.regexp_replace(flat, r"^\s*\(([^()]*)\)\s*$", "$1")

@@ -45,8 +45,9 @@ def _comparable(kind: T.DataType) -> bool:
 def profile_columns(df: DataFrame, table: str, exact: bool = True) -> DataFrame:
     """One row per column: type, rows, nulls, distinct values, longest text, largest scale, UUID share.
 
-    Sizes come from one scan. Exact distinct counts are aggregated per column on the values
-    themselves; with ``exact=False`` a sketch in the same scan replaces them.
+    Sizes come from one scan. Exact distinct counts read one column each, so no row is
+    multiplied and only that column is shuffled; with ``exact=False`` a sketch in the first
+    scan replaces them.
     """
     fields = [f for f in df.schema.fields if _comparable(f.dataType)]
     aggs: list[Column] = [F.count("*").alias("n")]
@@ -61,8 +62,6 @@ def profile_columns(df: DataFrame, table: str, exact: bool = True) -> DataFrame:
             aggs.append(F.max(F.length(digits)).alias(f"s{i}"))
         if not exact:
             aggs.append(_estimate(_hashed(f.name)).alias(f"d{i}"))
-        else:
-            aggs.append(F.count_distinct(value).alias(f"d{i}"))
     totals = df.agg(*aggs)
     have = set(totals.columns)
     lines = []
@@ -73,19 +72,35 @@ def profile_columns(df: DataFrame, table: str, exact: bool = True) -> DataFrame:
             F.lit(_family(f.dataType)).alias("type_family"),
             F.col("n").alias("n_rows"),
             (F.col("n") - F.col(f"c{i}")).alias("n_nulls"),
-            F.col(f"d{i}").cast("bigint").alias("n_distinct"),
+            (F.lit(None) if exact else F.col(f"d{i}")).cast("bigint").alias("n_distinct"),
             (F.col(f"l{i}") if f"l{i}" in have else F.lit(None)).cast("int").alias("max_length"),
             (F.col(f"s{i}") if f"s{i}" in have else F.lit(scale)).cast("int").alias("max_scale"),
             (((F.col(f"u{i}") == F.col(f"c{i}")) & (F.col(f"c{i}") > 0)) if f"u{i}" in have else F.lit(False)).alias("is_uuid"),
         ))
-    return totals.select(F.explode(F.array(*lines)).alias("r")).select(F.lit(table).alias("table_name"), "r.*")
+    facts = totals.select(F.explode(F.array(*lines)).alias("r")).select(F.lit(table).alias("table_name"), "r.*")
+    if not exact:
+        return facts
+    counted = [
+        df.select(F.col(f"`{f.name}`").alias("v")).where("v is not null").distinct()
+        .agg(F.count("*").alias("d")).select(F.lit(f.name).alias("column_name"), "d")
+        for f in fields
+    ]
+    # One row per column on either side.
+    distinct = reduce(DataFrame.unionByName, counted)
+    return facts.join(F.broadcast(distinct), "column_name").withColumn("n_distinct", F.col("d")).select(*facts.columns)
 
 
 def column_domains(df: DataFrame, table: str, columns: Sequence[str], max_values: int) -> DataFrame:
     """(table, column, value) for the columns with at most ``max_values`` distinct values.
 
-    Values are counted before they move, so a frequent value costs one row per task.
+    Values are counted before they move, so a frequent value costs one row per task. The
+    sketch only sorts out; the limit itself is tested on exact counts.
     """
+    # Sketches drop the columns that are far over the limit, so their values never move.
+    seen = df.agg(*[_estimate(_hashed(c)).alias(f"d{i}") for i, c in enumerate(columns)]).first()
+    columns = [c for i, c in enumerate(columns) if (seen[f"d{i}"] or 0) * SKETCH_SHARE <= max_values]
+    if not columns:
+        return df.sparkSession.createDataFrame([], "table_name string, column_name string, value string, n bigint")
     pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns])
     counted = df.select(F.explode(pairs).alias("p")).select("p.*").where("value is not null").groupBy("column_name", "value").agg(F.count("*").alias("n"))
     small = counted.groupBy("column_name").agg(F.count("*").alias("d")).where(F.col("d") <= max_values)

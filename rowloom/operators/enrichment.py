@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import LongType, StringType
 
 from rowloom.functions.cleaning import clean_model_text, provided_value
 from rowloom.functions.keyed import Draws
@@ -104,7 +104,8 @@ def first_occurrences(values: DataFrame, group: Sequence[str], value: str, order
 
 def response_chunk(line: Column) -> Column:
     """The text chunk of one NDJSON line: ``response``, or ``message.content``; null when malformed."""
-    return F.coalesce(F.get_json_object(line, "$.response"), F.get_json_object(line, "$.message.content"))
+    parsed = F.from_json(line, "response string, message struct<content: string>")
+    return F.coalesce(parsed["response"], parsed["message"]["content"])
 
 
 def rebuild_lines(chunks: DataFrame, request: str = "request_id", seq: str = "seq", line: str = "line") -> DataFrame:
@@ -117,10 +118,10 @@ def rebuild_lines(chunks: DataFrame, request: str = "request_id", seq: str = "se
     chunk = response_chunk(F.col(line))
     parsed = chunks.select(F.col(request).alias("request"), F.col(seq).alias("seq"), chunk.alias("chunk")).where("chunk is not null")
     breaks = F.length("chunk") - F.length(F.translate("chunk", "\n", ""))
-    ordered = checkpointed(
-        parsed.withColumn("breaks", breaks.cast("bigint")).repartitionByRange("request", "seq").sortWithinPartitions("request", "seq")
-    )
-    numbered = _running_breaks(ordered)
+    # Range partitioning reads its input twice, so the parsed chunks are written once first.
+    parsed = materialize(parsed.withColumn("breaks", breaks.cast("bigint")))
+    ordered = checkpointed(parsed.repartitionByRange("request", "seq").sortWithinPartitions("request", "seq"))
+    numbered = materialize(_running_breaks(ordered))
     starts = numbered.groupBy("request").agg(F.min("before").alias("start"))
     pieces = lookup(numbered, starts, ["request"]).select(
         "request", "seq", (F.col("before") - F.col("start")).alias("first_line"), F.posexplode(F.split("chunk", "\n", -1)).alias("i", "piece")
@@ -131,7 +132,7 @@ def rebuild_lines(chunks: DataFrame, request: str = "request_id", seq: str = "se
 
 
 def _running_breaks(ordered: DataFrame) -> DataFrame:
-    """Line breaks before each row, over the whole order."""
+    """Line breaks before each row, over the whole order. Only the counts go to Python."""
     part = F.spark_partition_id()
     totals = {r["part"]: r["n"] for r in ordered.groupBy(part.alias("part")).agg(F.sum("breaks").alias("n")).collect()}
     offsets, running = [], 0
@@ -139,18 +140,17 @@ def _running_breaks(ordered: DataFrame) -> DataFrame:
         offsets.append(running)
         running += totals.get(p, 0)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
-        for frame in batches:
-            if total is None and len(frame):
-                total = int(frame["offset"].iloc[0])
-            sums = frame["breaks"].cumsum() + (total or 0)
-            yield frame.assign(before=sums - frame["breaks"])[["request", "seq", "chunk", "before"]]
-            total = int(sums.iloc[-1]) if len(frame) else total
+    @F.pandas_udf(LongType())
+    def before(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        total = 0
+        for counts in batches:
+            sums = counts.cumsum() + total
+            yield sums - counts
+            total = int(sums.iloc[-1]) if len(counts) else total
 
-    placed = ordered.select("*", F.element_at(F.lit(offsets or [0]), part + 1).cast("bigint").alias("offset"))
-    fields = {f.name: f.dataType.simpleString() for f in ordered.schema.fields}
-    return placed.mapInPandas(scan, f"request {fields['request']}, seq {fields['seq']}, chunk string, before bigint")
+    start = F.element_at(F.lit(offsets or [0]), part + 1).cast("bigint")
+    inside = ordered.select("request", "seq", "chunk", start.alias("start"), before("breaks").alias("inside"))
+    return inside.select("request", "seq", "chunk", (F.col("start") + F.col("inside")).alias("before"))
 
 
 def model_values(lines: DataFrame, column_name: str | None = None) -> DataFrame:
@@ -165,14 +165,14 @@ def attach_phrases(df: DataFrame, row: str, words: DataFrame, draws: Draws, colu
 
     Uniform draws make the join even, whatever the frequency of a word in its source.
     """
-    vocabulary = dense_index(words.select("word").distinct(), ["word"])
+    vocabulary = dense_index(words.select("word").distinct(), ["word"], derived=True)
     n = vocabulary.count
     high = min(n, max_words + 1) - 1 if n > 1 else 1
     size = 1 + F.pmod(draws.at(column, F.col(row)).digits(25, 2), F.lit(high))
     slots = df.select(F.col(row).alias("_row"), F.explode(F.sequence(F.lit(0), (size - 1).cast("int"))).alias("slot"))
     pick = draws.at(column, F.concat_ws("#", F.col("_row").cast("string"), F.col("slot").cast("string"))).below(n)
     drawn = slots.withColumn(vocabulary.position, pick)
-    named = lookup(drawn, vocabulary.df, [vocabulary.position], right_rows=n, how="inner")
+    named = lookup(drawn, vocabulary.df, [vocabulary.position], right_rows=n, how="inner", even=True)
     phrases = named.groupBy("_row").agg(
         F.array_join(F.sort_array(F.collect_list(F.struct("slot", "word"))).getField("word"), " ").alias(column)
     )

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.session import checkpointed
+from rowloom.session import checkpointed, materialize
 
 _SLOT_MASK = (1 << 33) - 1
 
@@ -19,13 +19,16 @@ class IndexedRows:
     position: str
 
 
-def dense_index(df: DataFrame, order_by: list[str], position: str = "_pos") -> IndexedRows:
+def dense_index(df: DataFrame, order_by: list[str], position: str = "_pos", derived: bool = False) -> IndexedRows:
     """Number the rows 0..n-1 in the order of ``order_by``, which must identify a row.
 
     Range partitioning sorts in parallel; the driver sees one count per partition and hands
     back one offset per partition. The sorted rows are checkpointed first: numbering reads
-    them twice and both readings must agree. Pass only the columns that are needed.
+    them twice and both readings must agree. Pass only the columns that are needed, and
+    ``derived`` when they are costly to compute: sampling the ranges reads the input once more.
     """
+    if derived:
+        df = materialize(df)
     keys = [F.col(c) for c in order_by]
     ordered = checkpointed(df.repartitionByRange(*keys).sortWithinPartitions(*keys))
     sizes = {

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,24 +26,37 @@ def _width(kind) -> int:
         "long", "double", "date", "timestamp", "timestamp_ntz", "decimal") else 64)
 
 
-def lookup(left: DataFrame, right: DataFrame, on: list[str], right_rows: int | None = None, how: str = "left") -> DataFrame:
-    """Join ``right`` (one row per key) to ``left``.
+def lookup(
+    left: DataFrame, right: DataFrame, on: list[str], right_rows: int | None = None, how: str = "left", even: bool = False
+) -> DataFrame:
+    """Join ``right`` (one row per key) to ``left``, as a left or an inner join.
 
-    A right side proven small is broadcast. Otherwise the few hot keys of ``left`` (keys with
-    more than 1/1000 of its rows, so at most 1000 of them) are looked up by broadcast of just
-    those right rows, and the rest goes through an ordinary shuffle join.
+    A right side proven small is broadcast. Otherwise rows without a key never enter the
+    shuffle, the few hot keys of ``left`` (keys with more than 1/1000 of its rows, so at most
+    1000 of them) are looked up by broadcast of just those right rows, and the rest goes
+    through an ordinary shuffle join. ``even`` says that keys are spread evenly, which saves
+    counting them.
     """
     if right_rows is not None and fits_broadcast(right, right_rows):
         return left.join(F.broadcast(right), on, how)
+    present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
+    keyed = left.where(present)
+    joined = _split_hot(keyed, right, on, how) if not even else keyed.join(right, on, how)
+    if how == "inner":
+        return joined
+    added = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields if f.name not in on]
+    return joined.unionByName(left.where(~present).select("*", *added))
+
+
+def _split_hot(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
     counts = left.groupBy(*on).agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n")).first()[0] or 0
-    hot = [tuple(r[c] for c in on) for r in counts.where(F.col("_n") * 1000 > F.lit(total)).select(*on).collect()]
-    hot = [k for k in hot if all(v is not None for v in k)]
-    if not hot or total < SMALL_LEFT:
+    if total < SMALL_LEFT:
+        return left.join(right, on, how)
+    hot = counts.where(F.col("_n") * 1000 > F.lit(total)).select(*on).collect()
+    if not hot:
         return left.join(right, on, how)
-    schema = right.select(*on).schema
-    hot_keys = left.sparkSession.createDataFrame(hot, schema)
-    hot_left = left.join(F.broadcast(hot_keys), on, "left_semi")
-    cold_left = left.join(F.broadcast(hot_keys), on, "left_anti")
-    hot_right = right.join(F.broadcast(hot_keys), on, "left_semi")
-    return hot_left.join(F.broadcast(hot_right), on, how).unionByName(cold_left.join(right, on, how))
+    hot_keys = F.broadcast(left.sparkSession.createDataFrame([tuple(r) for r in hot], left.select(*on).schema))
+    hot_right = right.join(hot_keys, on, "left_semi")
+    often = left.join(hot_keys, on, "left_semi").join(F.broadcast(hot_right), on, how)
+    return often.unionByName(left.join(hot_keys, on, "left_anti").join(right, on, how))

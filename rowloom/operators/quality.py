@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom.functions.keyed import Draws
@@ -27,13 +27,16 @@ def outside_bounds(value: Column, low: float | None, high: float | None) -> Colu
 
 
 def numeric_outside(value: Column, low: float | None, high: float | None) -> Column:
-    """``outside_bounds`` for columns that are numeric already; it reaches the scan as a plain comparison."""
-    tests = [F.lit(False)]
+    """``outside_bounds`` for columns that are numeric already; a plain comparison, which reaches the scan.
+
+    Null for null, which filters and counts take for inside.
+    """
+    tests = []
     if low is not None:
         tests.append(value < F.lit(low))
     if high is not None:
         tests.append(value > F.lit(high))
-    return F.coalesce(reduce(lambda a, b: a | b, tests), F.lit(False))
+    return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
 
 
 def clamp(value: Column, low: float | None, high: float | None) -> Column:
@@ -94,16 +97,6 @@ class RangeRule:
     high: float | None = None
 
 
-def _result(table: str, kind: str, constraint: str, df: DataFrame) -> DataFrame:
-    return df.select(
-        F.lit(table).alias("table_name"),
-        F.lit(kind).alias("kind"),
-        F.lit(constraint).alias("constraint_name"),
-        F.coalesce(F.col("checked"), F.lit(0)).cast("bigint").alias("checked"),
-        F.coalesce(F.col("violations"), F.lit(0)).cast("bigint").alias("violations"),
-    )
-
-
 def row_rules(df: DataFrame, spec: TableSpec, expected_rows: int | None = None) -> DataFrame:
     """All rules that look at single rows, in one scan: NOT NULL, range, value list, combinations, row count."""
     tests: list[tuple[str, str, Column]] = []
@@ -141,39 +134,97 @@ def row_rules(df: DataFrame, spec: TableSpec, expected_rows: int | None = None)
     )
 
 
-def unique_rule(df: DataFrame, table: str, key: Sequence[str], kind: str) -> DataFrame:
-    """Rows minus distinct keys, over rows whose key has no null."""
-    present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in key])
-    groups = df.where(present).groupBy(*key).agg(F.count("*").alias("n"))
-    total = groups.agg(F.sum("n").alias("checked"), (F.sum("n") - F.count("*")).alias("violations"))
-    return _result(table, kind, ",".join(key), total)
+def _kind(df: DataFrame, columns: Sequence[str]) -> tuple[str, ...]:
+    """How a key's columns are compared: whole numbers as bigint, all else as text."""
+    types = dict(df.dtypes)
+    return tuple("bigint" if types[c] in ("tinyint", "smallint", "int", "bigint") else "string" for c in columns)
 
 
-def reference_rule(child: DataFrame, parent: DataFrame, table: str, fk: ForeignKey) -> DataFrame:
-    """Child rows without a parent. Child keys are counted first, then matched once each."""
-    present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in fk.columns])
-    used = child.where(present).groupBy(*fk.columns).agg(F.count("*").alias("n"))
-    keys = parent.select(*[F.col(p).alias(c) for c, p in zip(fk.columns, fk.parent_columns)])
-    lost = used.join(keys, list(fk.columns), "left_anti")
-    both = used.select("n", F.lit(0).cast("bigint").alias("lost")).unionByName(
-        lost.select(F.lit(0).cast("bigint").alias("n"), F.col("n").alias("lost"))
+def _stack(sources: Sequence[tuple[int, DataFrame, Sequence[str]]], kinds: Sequence[str]) -> DataFrame:
+    """(no, v0, v1, ...): several keys of equal kind below each other, one scan per table, nulls left out."""
+    values = [f"v{i}" for i in range(len(kinds))]
+    per_table: dict[int, tuple[DataFrame, list]] = {}
+    for number, df, columns in sources:
+        cells = [F.col(c).cast(k).alias(v) for c, k, v in zip(columns, kinds, values)]
+        per_table.setdefault(id(df), (df, []))[1].append(F.struct(F.lit(number).alias("no"), *cells))
+    parts = []
+    for df, lines in per_table.values():
+        one = df.select(lines[0].alias("r")) if len(lines) == 1 else df.select(F.explode(F.array(*lines)).alias("r"))
+        parts.append(one.select("r.*"))
+    present = reduce(lambda a, b: a & b, [F.col(v).isNotNull() for v in values])
+    return reduce(DataFrame.unionByName, parts).where(present)
+
+
+def _by_kind(rules: Sequence[tuple]) -> dict[tuple[str, ...], list[tuple]]:
+    groups: dict[tuple[str, ...], list[tuple]] = {}
+    for rule in rules:
+        groups.setdefault(rule[0], []).append(rule)
+    return groups
+
+
+def _labelled(spark: SparkSession, labels: list[tuple], totals: DataFrame) -> DataFrame:
+    """Put names to the numbered results; a rule without rows has checked none."""
+    names = spark.createDataFrame(labels, "no int, table_name string, kind string, constraint_name string")
+    return names.join(totals, "no", "left").select(
+        "table_name", "kind", "constraint_name",
+        F.coalesce("checked", F.lit(0)).cast("bigint").alias("checked"),
+        F.coalesce("violations", F.lit(0)).cast("bigint").alias("violations"),
     )
-    total = both.agg(F.sum("n").alias("checked"), F.sum("lost").alias("violations"))
-    return _result(table, "foreign_key", fk.name, total)
+
+
+def unique_rules(spark: SparkSession, rules: Sequence[tuple[str, str, DataFrame, Sequence[str]]]) -> DataFrame:
+    """Rows minus distinct keys for ``(table, kind, df, columns)``; rows with a null in the key do not count.
+
+    Keys of equal type share one shuffle. Rows are counted per key before it.
+    """
+    out = []
+    for kinds, group in _by_kind([(_kind(df, cols), t, k, df, cols) for t, k, df, cols in rules]).items():
+        sources = [(no, df, cols) for no, (_, _, _, df, cols) in enumerate(group)]
+        counted = _stack(sources, kinds).groupBy("no", *[f"v{i}" for i in range(len(kinds))]).agg(F.count("*").alias("n"))
+        totals = counted.groupBy("no").agg(F.sum("n").alias("checked"), (F.sum("n") - F.count("*")).alias("violations"))
+        out.append(_labelled(spark, [(no, t, k, ",".join(c)) for no, (_, t, k, _, c) in enumerate(group)], totals))
+    return reduce(DataFrame.unionByName, out)
+
+
+def reference_rules(
+    spark: SparkSession, rules: Sequence[tuple[str, ForeignKey, DataFrame, DataFrame]]
+) -> DataFrame:
+    """Child rows without a parent for ``(table, fk, child, parent)``.
+
+    References of equal type are tested together: child rows are counted per value before the
+    shuffle, and each value then meets the parents' keys once, however often it occurs.
+    """
+    out = []
+    for kinds, group in _by_kind([(_kind(c, fk.columns), t, fk, c, p) for t, fk, c, p in rules]).items():
+        values = [f"v{i}" for i in range(len(kinds))]
+        # Several references may point to the same key; it is read once.
+        keys: dict[tuple, tuple[int, DataFrame]] = {}
+        for _, _, fk, _, parent in group:
+            keys.setdefault((fk.parent, fk.parent_columns), (len(keys), parent))
+        target = [keys[fk.parent, fk.parent_columns][0] for _, _, fk, _, _ in group]
+        used = _stack([(no, c, fk.columns) for no, (_, _, fk, c, _) in enumerate(group)], kinds)
+        used = used.groupBy("no", *values).agg(F.count("*").alias("n"))
+        used = used.withColumn("key", F.element_at(F.lit(target), F.col("no") + 1))
+        parents = _stack([(no, parent, cols) for (_, cols), (no, parent) in keys.items()], kinds).withColumnRenamed("no", "key")
+        lost = used.join(parents, ["key", *values], "left_anti").groupBy("no").agg(F.sum("n").alias("violations"))
+        totals = used.groupBy("no").agg(F.sum("n").alias("checked")).join(F.broadcast(lost), "no", "left")
+        out.append(_labelled(spark, [(no, t, "foreign_key", fk.name) for no, (_, t, fk, _, _) in enumerate(group)], totals))
+    return reduce(DataFrame.unionByName, out)
 
 
 def integrity_report(
     tables: Mapping[str, DataFrame], specs: Sequence[TableSpec], expected_rows: Mapping[str, int] | None = None
 ) -> DataFrame:
     """One row per constraint of the schema: rows checked and rows in violation."""
-    parts = []
-    for spec in specs:
-        df = tables[spec.name]
-        parts.append(row_rules(df, spec, (expected_rows or {}).get(spec.name)))
-        if spec.primary_key:
-            parts.append(unique_rule(df, spec.name, spec.primary_key, "primary_key"))
-        parts.extend(unique_rule(df, spec.name, k, "unique") for k in spec.unique_keys)
-        parts.extend(
-            reference_rule(df, tables[fk.parent], spec.name, fk) for fk in spec.foreign_keys if fk.parent in tables
-        )
+    spark = next(iter(tables.values())).sparkSession
+    parts = [row_rules(tables[s.name], s, (expected_rows or {}).get(s.name)) for s in specs]
+    unique = [(s.name, "primary_key", tables[s.name], s.primary_key) for s in specs if s.primary_key]
+    unique += [(s.name, "unique", tables[s.name], k) for s in specs for k in s.unique_keys]
+    references = [
+        (s.name, fk, tables[s.name], tables[fk.parent]) for s in specs for fk in s.foreign_keys if fk.parent in tables
+    ]
+    if unique:
+        parts.append(unique_rules(spark, unique))
+    if references:
+        parts.append(reference_rules(spark, references))
     return reduce(DataFrame.unionByName, parts)

@@ -88,10 +88,11 @@ def chain_position(position: Column, rows: int, depth: int = DEFAULT_CHAIN_DEPTH
 # --- assignment from existing parents ---------------------------------------------------------
 
 
-def attach_keys(child: DataFrame, parent: Parent, position: Column, mapping: dict[str, str]) -> DataFrame:
+def attach_keys(child: DataFrame, parent: Parent, position: Column, mapping: dict[str, str], even: bool = True) -> DataFrame:
     """Add FK columns ``{child column: parent column}`` from the parent at ``position``.
 
-    All columns of a composite key come from the same parent row.
+    All columns of a composite key come from the same parent row. ``even`` tells that the
+    positions are spread over the parents, as drawn and permuted ones are.
     """
     pick = "_parent_pos"
     keys = parent.rows.df.select(
@@ -99,7 +100,7 @@ def attach_keys(child: DataFrame, parent: Parent, position: Column, mapping: dic
     )
     dropped = [c for c in mapping if c in child.columns]
     picked = child.drop(*dropped).withColumn(pick, position)
-    return lookup(picked, keys, [pick], right_rows=parent.count).drop(pick)
+    return lookup(picked, keys, [pick], right_rows=parent.count, even=even).drop(pick)
 
 
 def require_parents(parents: int, nullable: bool, fk: str) -> None:
@@ -158,7 +159,8 @@ def assign_matching(
     ranged = lookup(child, groups, list(shared), right_rows=indexed.count)
     place = F.col("_start") + F.pmod(draws.at(fk, F.col(row)).value, F.col("_size"))
     rows = IndexedRows(indexed.df, indexed.count, indexed.position)
-    return attach_keys(ranged, Parent(rows, tuple(wanted)), place, mapping).drop("_start", "_size")
+    # A group may be one parent with very many children, so these positions are not even.
+    return attach_keys(ranged, Parent(rows, tuple(wanted)), place, mapping, even=False).drop("_start", "_size")
 
 
 def assign_chain(
