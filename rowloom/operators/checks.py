@@ -100,17 +100,19 @@ def column_limits(checks: DataFrame, columns: DataFrame) -> DataFrame:
         (compare & (op == "<")).alias("high_open"),
         F.when(kind == "length", F.col("p1").try_cast("int") - F.when(op == "<", 1).otherwise(0)).alias("size"),
     )
+    # Plain numbers aggregate by hash; at equal values the strict bound is the tighter one.
     merged = limits.groupBy("table_name", "key").agg(
-        F.max(F.when(F.col("low").isNotNull(), F.struct("low", "low_open"))).alias("lower"),
-        F.min(F.when(F.col("high").isNotNull(), F.struct("high", (~F.col("high_open")).alias("closed")))).alias("upper"),
+        F.max(F.when(~F.col("low_open"), F.col("low"))).alias("low"), F.max(F.when(F.col("low_open"), F.col("low"))).alias("above"),
+        F.min(F.when(~F.col("high_open"), F.col("high"))).alias("high"), F.min(F.when(F.col("high_open"), F.col("high"))).alias("below"),
         F.min("size").alias("size"),
     )
     named = columns.select("table_name", "column_name", "length", F.lower("column_name").alias("key"))
     declared = F.when(F.col("length") > 0, F.col("length"))
+    low, high = F.greatest("low", "above"), F.least("high", "below")
     return named.join(merged, ["table_name", "key"], "left").select(
         "table_name", "column_name",
-        F.col("lower.low").alias("min_value"), F.coalesce("lower.low_open", F.lit(False)).alias("min_open"),
-        F.col("upper.high").alias("max_value"), (~F.coalesce("upper.closed", F.lit(True))).alias("max_open"),
+        low.alias("min_value"), F.coalesce(F.col("above") >= low, F.lit(False)).alias("min_open"),
+        high.alias("max_value"), F.coalesce(F.col("below") <= high, F.lit(False)).alias("max_open"),
         F.least(F.col("size"), declared).alias("max_length"),
     )
 

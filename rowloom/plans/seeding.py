@@ -9,12 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom.functions.keyed import Draws
+from rowloom.functions.literals import Dialect
 from rowloom.model import ForeignKey, RepetitionRule, TableSpec
 from rowloom.operators import generate as g
 from rowloom.operators import graph, references
 from rowloom.operators.generate import POSITION, GenerateOptions
 from rowloom.operators.references import Deferred, MissingParents
 from rowloom.session import materialize
+from rowloom.sinks.script import TableRows, TableUpdates, script
 
 
 @dataclass(frozen=True)
@@ -210,3 +212,30 @@ def _with_ruled_parents(spark: SparkSession, plan: SeedPlan, spec: TableSpec, ma
         df = references.attach_keys(df, references.Parent(rows, fk.parent_columns), place, mapping)
     order = [POSITION, g.RULE, *[c.name for c in spec.columns]]
     return df.select(*order)
+
+
+def script_of(
+    spark: SparkSession, seeded: Seeded, specs: Sequence[TableSpec], dialect: Dialect,
+    defaults: Mapping[str, frozenset[str]] | None = None,
+) -> DataFrame:
+    """The whole job as an SQL script: parents first, pending foreign keys as updates at the end.
+
+    ``defaults`` names columns, such as soft-delete ones, that print DEFAULT.
+    """
+    known = {s.name: s for s in specs}
+    # ``inserts`` was filled in load order.
+    tables, updates = [], []
+    for name, df in seeded.inserts.items():
+        uuids = _uuid_columns(known[name], df)
+        tables.append(TableRows(name, df, POSITION, uuids, (defaults or {}).get(name, frozenset())))
+        if name in seeded.updates:
+            updates.append(TableUpdates(name, seeded.updates[name], known[name].primary_key, uuids))
+    return script(spark, tables, updates, dialect, seeded.deferred)
+
+
+def _uuid_columns(spec: TableSpec, df: DataFrame) -> frozenset[str]:
+    """UUID columns, and those that became text because their parent's key was made a UUID."""
+    types = dict(df.dtypes)
+    return frozenset(
+        c.name for c in spec.columns if c.uuid or (types[c.name] == "string" and not c.is_text and c.data_type().simpleString() != "string")
+    )

@@ -7,7 +7,8 @@ from rowloom.operators.generate import GenerateOptions, generate_table
 from rowloom.operators.quality import integrity_report
 from rowloom.operators.references import MissingParents, apply_updates
 from rowloom.operators.uniqueness import make_unique, with_suffix
-from rowloom.plans.seeding import ChainRule, SeedOptions, seed
+from rowloom.functions.literals import DIALECTS
+from rowloom.plans.seeding import ChainRule, SeedOptions, script_of, seed
 
 UUID = {"uuid": True}
 USERS = TableSpec(
@@ -145,3 +146,26 @@ def test_make_unique_leaves_out_what_cannot_fit(spark):
 def test_xxhash_rows_keep_the_rules(spark):
     made = seed(spark, SHOP, SeedOptions(rows=30, deferred=True, table=GenerateOptions(5, "xxhash64")))
     assert violations(made.tables, SHOP, {s.name: 30 for s in SHOP}) == []
+
+
+def test_script_of_a_schema(spark):
+    made = seed(spark, SHOP, SeedOptions(rows=30, chains={"users": {"manager": ChainRule(3)}}))
+    lines = script_of(spark, made, SHOP, DIALECTS["h2"], {"reviews": frozenset({"comment"})}).orderBy("section", "part", "line").collect()
+    texts = [r["statement"] for r in lines]
+    assert [t.split()[0] for t in texts] == ["INSERT"] * 5 + ["UPDATE"] * 30
+    names = [t.split()[2] for t in texts[:5]]
+    assert names.index('"users"') < names.index('"user_roles"') and names.index('"roles"') < names.index('"user_roles"')
+    assert next(t for t in texts if '"reviews"' in t).count("DEFAULT") == 30
+    assert all(t.startswith('UPDATE "users" SET "manager_id"=\'') for t in texts[5:])
+
+
+def test_first_key_to_set_a_column_wins(spark):
+    from rowloom.operators.references import assign_combinations, parent_of
+
+    a = parent_of(spark.range(3).select(F.col("id").alias("x"), (F.col("id") * 10).alias("y")), ["x", "y"])
+    b = parent_of(spark.range(100, 104).select(F.col("id").alias("x"), (F.col("id") * 10).alias("z")), ["x", "z"])
+    rows = spark.range(15).withColumnRenamed("id", "pos")
+    got = assign_combinations(rows, [(a, {"shared": "x", "p": "y"}), (b, {"shared": "x", "q": "z"})], "pos")
+    done = got.where("shared is not null")
+    assert done.count() == 12 and done.where("shared > 2 or p <> shared * 10").isEmpty()
+    assert done.select("p", "q").distinct().count() == 12 and got.where("q is null").count() == 3
