@@ -239,47 +239,48 @@ def load_levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 def _longest_paths(edges: DataFrame, members: DataFrame) -> DataFrame | None:
     """(node, level) by removing sources round by round, or None when a cycle is left.
 
-    Runs are contracted on the way, so depth alone does not cost rounds.
+    A round touches only nodes that are still waiting. Runs are contracted on the way, so
+    depth alone does not cost rounds.
     """
-    left = edges
-    # Best known level so far; it is final once a node has no predecessors left.
+    left, size = edges, 1
+    # Best known level of the waiting nodes; it is final once a node has no predecessors left.
     levels = materialize(members.select("node", F.lit(0).cast("bigint").alias("level")))
+    final: list[DataFrame] = []
     expansions: list[DataFrame] = []
     round_ = 0
-    size = 1
     while size:
         round_ += 1
         # Looking for runs costs joins, so it is tried in rounds 2, 4, 8, ...
         parts = _runs(left, levels) if round_ > 1 and round_ & (round_ - 1) == 0 else None
         if parts is not None:
-            if not parts[1].isEmpty():
+            runs, rings = parts
+            left = materialize(_contract(left, runs))
+            # Rings, and runs that return to their own head, are cycles.
+            if not rings.isEmpty() or not left.where("src = dst").isEmpty():
                 return None
-            runs = parts[0]
             expansions.append(runs.select("node", "head", "steps", "base"))
             raised = runs.groupBy(F.col("tail").alias("node")).agg(F.max(F.col("base") + F.col("rest")).alias("offer"))
-            levels = _raise(levels, raised)
-            left = materialize(_contract(left, runs))
-            # A run that returns to its own head is a cycle.
-            if not left.where("src = dst").isEmpty():
-                return None
+            levels = _raise(levels.join(runs.select("node"), "node", "left_anti"), raised)
         sources, ready = materialize_counted(_degrees(left).where("ins = 0").select("node"))
         if ready == 0:
             if left.isEmpty():
                 break
             return None
+        ended = levels.join(sources, "node", "left_semi")
+        final.append(ended)
         sending = left.join(sources.withColumnRenamed("node", "src"), "src", "left_semi")
         offers = (
-            sending.join(levels.select(F.col("node").alias("src"), "level"), "src")
+            sending.join(ended.withColumnRenamed("node", "src"), "src")
             .groupBy(F.col("dst").alias("node")).agg(F.max(F.col("level") + F.col("w")).alias("offer"))
         )
-        levels = _raise(levels, offers)
+        levels = _raise(levels.join(sources, "node", "left_anti"), offers)
         left, size = materialize_counted(left.join(sources.withColumnRenamed("node", "src"), "src", "left_anti"))
+    known = materialize(reduce(DataFrame.unionByName, final, levels))
     for runs in reversed(expansions):
-        inner = runs.join(levels.select(F.col("node").alias("head"), "level"), "head").select(
-            "node", F.greatest(F.col("base"), F.col("level") + F.col("steps")).alias("offer")
-        )
-        levels = _raise(levels, inner)
-    return levels
+        heads = known.select(F.col("node").alias("head"), "level")
+        inner = runs.join(heads, "head").select("node", F.greatest(F.col("base"), F.col("level") + F.col("steps")).alias("level"))
+        known = materialize(known.unionByName(inner))
+    return known
 
 
 def _raise(levels: DataFrame, offers: DataFrame) -> DataFrame:

@@ -62,8 +62,8 @@ WITH {FACTS}
 SELECT table_name, 'qty' AS column_name, a::DOUBLE AS min_value, false AS min_open, least(b, 40.5)::DOUBLE AS max_value, false AS max_open, NULL::INTEGER AS max_length FROM f
 UNION ALL SELECT table_name, 'Tax', a, true, b, true, NULL FROM f
 UNION ALL SELECT table_name, 'price', a + 0.25, false, a + 0.25, false, NULL FROM f
-UNION ALL SELECT table_name, 'comment', NULL, false, NULL, false, least(25, c - 1) FROM f
-UNION ALL SELECT table_name, 'title', NULL, false, NULL, false, c - 1 FROM f
+UNION ALL SELECT table_name, 'comment', NULL, false, NULL, false, least(25, c - 1)::INTEGER FROM f
+UNION ALL SELECT table_name, 'title', NULL, false, NULL, false, (c - 1)::INTEGER FROM f
 UNION ALL SELECT table_name, 'flag', NULL, false, NULL, false, NULL FROM f
 UNION ALL SELECT table_name, 'status', NULL, false, NULL, false, NULL FROM f
 UNION ALL SELECT table_name, 'mode', NULL, false, NULL, false, NULL FROM f
