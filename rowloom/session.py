@@ -33,7 +33,7 @@ def tune(spark: SparkSession) -> SparkSession:
     """Session settings the wide generating projections need.
 
     A projection whose generated method passes 8000 bytecodes is never compiled by the JVM.
-    With this limit Spark splits it into compiled pieces instead; measured 3 to 4 times
+    With this limit Spark splits it into compiled pieces instead; measured about 3 times
     faster on 14 generated columns.
     """
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
