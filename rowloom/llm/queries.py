@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from rowloom.llm import decontamination, mixing
+from rowloom.llm import decontamination, language, mixing, simhash, toxicity, url_filter
 
 QUERIES = {
     "op2_mix_sources": (mixing.op2_mix_sources, mixing.OP2_SQL),
+    "op3_language_id": (language.op3_language_id, None),
+    "op5_url_filter": (url_filter.op5_url_filter, None),
+    "op6_simhash_near_dedup": (simhash.op6_simhash_near_dedup, None),
+    "op7_toxicity": (toxicity.op7_toxicity, None),
     "op10_benchmark_decontamination": (decontamination.op10_benchmark_decontamination, decontamination.OP10_SQL),
 }
