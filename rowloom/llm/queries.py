@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from rowloom.llm import decontamination, language, mixing, simhash, toxicity, url_filter
+from rowloom.llm import decontamination, language, line_dedup, mixing, simhash, toxicity, url_filter
 
 QUERIES = {
+    "op1_line_dedup": (line_dedup.op1_line_dedup, None),
     "op2_mix_sources": (mixing.op2_mix_sources, mixing.OP2_SQL),
     "op3_language_id": (language.op3_language_id, None),
     "op5_url_filter": (url_filter.op5_url_filter, None),
