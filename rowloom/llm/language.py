@@ -7,7 +7,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
@@ -84,26 +84,29 @@ class Filters:
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, common: float = COMMON, slots: int = SLOTS) -> Filters:
     """Fill the filters from (text, lang): a bounded sample per language, n-grams counted by Spark.
 
+    The sample holds the documents of least hash; only hashes are sorted to find its bounds, and equal
+    texts stay or go together.
+
     Slots that several n-grams share hold the languages of all; the share of set slots tells each
     language's rate of false positives. Only the filters come to the driver: ``slots`` masks at most.
     """
-    known = docs.where("lang is not null and text is not null").select("lang", "text").distinct()
-    languages = sorted(r["lang"] for r in known.select("lang").distinct().collect())
+    known = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("order"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
+    least = known.select("lang", "order").withColumn("nth", nth).where(F.col("nth") <= per_language)
+    bounds = least.groupBy("lang").agg(F.max("order").alias("bound"), F.count("*").alias("n")).collect()
+    languages = sorted(r["lang"] for r in bounds)
     words = (len(languages) + 63) // 64
     if not languages:
         return Filters([], np.zeros((slots, 1), np.uint64), np.zeros(0))
-    samples = [known.where(F.col("lang") == x).orderBy(F.xxhash64("text"), "text").limit(per_language) for x in languages]
-    sample = samples[0]
-    for more in samples[1:]:
-        sample = sample.union(more)
+    limits = docs.sparkSession.createDataFrame([(r["lang"], r["bound"], r["n"] * common) for r in bounds], "lang string, bound long, least double")
+    sample = known.join(F.broadcast(limits), "lang").where(F.col("order") <= F.col("bound")).select("lang", "text", "least")
     found = StructType([StructField("grams", ArrayType(LongType()))])
 
     def distinct(texts):
         return [pa.array([np.unique(grams(t)).view(np.int64).tolist() for t in texts], pa.list_(pa.int64()))]
 
-    each = map_texts(sample, distinct, found).select("row.lang", F.explode("found.grams").alias("gram"))
-    sizes = sample.groupBy("lang").agg((F.count("*") * F.lit(common)).alias("least"))
-    kept = each.groupBy("lang", "gram").agg(F.count("*").alias("n")).join(F.broadcast(sizes), "lang").where("n >= least and n > 1")
+    each = map_texts(sample, distinct, found).select("row.lang", "row.least", F.explode("found.grams").alias("gram"))
+    kept = each.groupBy("lang", "least", "gram").agg(F.count("*").alias("n")).where("n >= least and n > 1")
     rows = kept.select("lang", "gram").toArrow()
     numbers = {x: k for k, x in enumerate(languages)}
     masks = np.zeros((slots, words), np.uint64)
