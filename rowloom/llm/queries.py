@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rowloom.llm import decontamination, fingerprints, language, line_dedup, mixing, simhash, suffix_index, toxicity, url_filter
+from rowloom.llm import decontamination, fingerprints, language, line_dedup, mixing, paragraphs, simhash, suffix_index, toxicity, url_filter
 
 QUERIES = {
     "op1_line_dedup": (line_dedup.op1_line_dedup, None),
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_url_filter": (url_filter.op5_url_filter, None),
     "op6_simhash_near_dedup": (simhash.op6_simhash_near_dedup, None),
     "op7_toxicity": (toxicity.op7_toxicity, None),
+    "op8_paragraph_dedup": (paragraphs.op8_paragraph_dedup, None),
     "op9_suffix_array_dedup": (suffix_index.op9_suffix_array_dedup, None),
     "op10_benchmark_decontamination": (decontamination.op10_benchmark_decontamination, decontamination.OP10_SQL),
 }

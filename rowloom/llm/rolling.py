@@ -54,12 +54,11 @@ class Rolling:
         return mixed((self.sums[size : size + n] - self.sums[:n]) * self.down[:n])
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """A hash for each run of bytes other than ASCII white space, in order."""
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and stop of each run of bytes other than ASCII white space, in order."""
     raw = np.frombuffer(data, np.uint8)
-    inside = np.ones(len(raw) + 2, np.int8)
-    inside[0] = inside[-1] = 0
+    inside = np.zeros(len(raw) + 2, np.int8)
     inside[1:-1] = (raw != 32) & ((raw < 9) | (raw > 13))
     edge = np.diff(inside)
     starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    return Rolling(BYTES[raw]).of(starts, stops)
+    return Rolling(BYTES[raw]).of(starts, stops), starts, stops

@@ -29,7 +29,7 @@ BATCHES = 3
 # Texts are read in pieces of so many window starts.
 PIECE = 1 << 20
 _PLACE = 21  # bits for a position within a piece
-# Anchors with more different surroundings have their windows dealt out one by one.
+# Anchors with more different surroundings have them compared in parts of about this many.
 GROUP = 2000
 
 _FIELDS = ("anchor", "around", "first", "last")
@@ -156,25 +156,28 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _distinct_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each different window of a part of a group once; with its place if it is alone in the part."""
     for batch in batches:
-        for start in range(0, batch.num_rows, 1000):
-            rows = batch.slice(start, 1000).to_pylist()
-            hashes, row, offset = _windows(rows)
-            names = ("anchor", "around")
+        for anchor, group in zip(batch.column("anchor").to_pylist(), batch.column("members").to_pylist(), strict=True):
+            hashes, row, offset = _windows(group)
+            window, at, times = np.unique(hashes, return_index=True, return_counts=True)
+            around = np.array([m["around"] for m in group], np.int64)[row[at]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array([r[n] for r in rows], np.int64)[row]) for n in names]
-                + [pa.array(hashes.view(np.int64)), pa.array(offset, pa.int32())],
-                [*names, "window", "at"],
+                [
+                    pa.array(np.full(len(window), anchor, np.int64)), pa.array(around, mask=times > 1),
+                    pa.array(window.view(np.int64)), pa.array(offset[at], pa.int32()),
+                ],
+                ["anchor", "around", "window", "at"],
             )
 
 
 def _contested(groups: DataFrame, texts: DataFrame) -> DataFrame:
     """(anchor, around, starts, stops): repeated windows of surroundings that occur once as a whole.
 
-    Surroundings of the same anchor are compared by the bytes of one place each. Anchors with at most
-    GROUP of them are compared in a task each; of the others every window becomes a row, and rows are
-    counted by window.
+    Surroundings of the same anchor are compared by the bytes of one place each, in parts of about GROUP
+    by hash. Where there are several parts, windows alone in theirs are then counted across parts; what a
+    part holds more than once goes there as one row, so a passage found everywhere adds a row per part.
     """
     per = groups.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("times").alias("least")).where("kinds > 1 and least = 1")
     wanted = groups.join(per.select("anchor", "kinds"), "anchor").select(
@@ -191,12 +194,15 @@ def _contested(groups: DataFrame, texts: DataFrame) -> DataFrame:
             F.substring(raw, F.col("s.first") + 1, F.col("s.last") - F.col("s.first") + LENGTH).alias("bytes"),
         )
     )
-    few = cut.where(F.col("kinds") <= GROUP).groupBy("anchor").agg(F.collect_set(F.struct("around", "bytes")).alias("members"))
-    many = cut.where(F.col("kinds") > GROUP).select("anchor", "around", "bytes").distinct()
-    windows = many.mapInArrow(_single_windows, "anchor long, around long, window long, at int")
-    twice = windows.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    dealt = windows.join(twice, ["anchor", "window"]).groupBy("anchor", "around").agg(F.collect_list("at").alias("starts"))
-    return few.mapInArrow(_grouped, RUNS).unionByName(dealt.select("anchor", "around", "starts", F.col("starts").alias("stops")))
+    part = F.pmod(F.xxhash64("around"), F.ceil(F.col("kinds") / GROUP)).cast("int").alias("part")
+    parts = cut.select("anchor", "kinds", part, "around", "bytes").groupBy("anchor", "kinds", "part")
+    members = parts.agg(F.collect_set(F.struct("around", "bytes")).alias("members"))
+    inside = members.select("anchor", "members").mapInArrow(_grouped, RUNS)
+    large = members.where(F.col("kinds") > GROUP).select("anchor", "members")
+    windows = large.mapInArrow(_distinct_windows, "anchor long, around long, window long, at int")
+    shared = windows.groupBy("anchor", "window").agg(F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    across = windows.where("around is not null").join(shared, ["anchor", "window"]).groupBy("anchor", "around").agg(F.collect_list("at").alias("starts"))
+    return inside.unionByName(across.select("anchor", "around", "starts", F.col("starts").alias("stops")))
 
 
 REMOVED = StructType(
