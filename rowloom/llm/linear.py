@@ -22,6 +22,8 @@ class Model:
     bias: float = -np.inf
 
     def score(self, features: np.ndarray, earlier: tuple[float, ...] = ()) -> float:
+        if np.isinf(self.bias):  # one label value only was seen
+            return float(self.bias > 0)
         known = self.weights
         z = self.bias + sum(known[f] for f in features.tolist() if f in known)
         return float(1 / (1 + np.exp(-np.clip(z + sum(w * p for w, p in zip(self.earlier, earlier, strict=True)), -500, 500))))

@@ -23,8 +23,8 @@ BANDS = 9
 ROWS = 3
 # Shorter paragraphs are everyday lines: they are left alone.
 MIN_WORDS = 20
-# Sentences are gathered into passages of at least this many words, wherever they stand in a line.
-MIN_PASSAGE = 10
+# Sentences of so many words count as passages of their own.
+MIN_PASSAGE = 12
 # A band's bucket with more paragraphs is verified in cells of about this many.
 CELL = 500
 
@@ -47,9 +47,9 @@ def shingles(data: bytes, size: int = SHINGLE) -> np.ndarray:
 def units(data: bytes) -> list[tuple[int, int, int, int, list[int] | None]]:
     """(start, stop, words, code, bands) of a document's paragraphs and passages, in bytes.
 
-    A paragraph is a line of MIN_WORDS or more. A passage is a run of whole sentences of MIN_PASSAGE words
-    or more; it ends with a line, or after a sentence whose last two words say so, hence a passage copied
-    into another line is cut alike. Passages have no bands: they count as repeated when equal.
+    A paragraph is a line of MIN_WORDS or more. A passage is a sentence of MIN_PASSAGE words or more, so
+    text copied into the middle of another line is found by the sentences it brings along. Passages have
+    no bands: they count as repeated when equal.
     """
     hashes, starts, stops = word_hashes(data.lower())
     n = len(hashes)
@@ -58,8 +58,7 @@ def units(data: bytes) -> list[tuple[int, int, int, int, list[int] | None]]:
     raw = np.frombuffer(data, np.uint8)
     line = np.searchsorted(np.flatnonzero(raw == 10), starts)
     ends_line = np.concatenate((line[1:] != line[:-1], [True]))
-    pairs = np.concatenate((hashes[:1], mixed(hashes[:-1] * np.uint64(3) + hashes[1:])))
-    ends_passage = ends_line | (np.isin(raw[stops - 1], (33, 46, 63)) & (pairs & np.uint64(1) == 1))
+    ends_passage = ends_line | np.isin(raw[stops - 1], (33, 46, 63))
     rolling = Rolling(hashes)
     found, bounds = [], set()
     low, high = _stretches(ends_line, MIN_WORDS)
