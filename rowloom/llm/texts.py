@@ -10,6 +10,8 @@ from pyspark.sql.types import StructField, StructType
 
 # A slice holds texts of so many bytes at most, or a single longer text.
 SLICE_BYTES = 4 << 20
+# Rows and bytes sent to a Python worker at once. Whole documents are long: Spark's 10,000 rows fill its memory.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def map_texts(docs: DataFrame, work: Callable[[list[bytes | None]], list[pa.Array]], found: StructType, text: str = "text") -> DataFrame:
@@ -18,6 +20,8 @@ def map_texts(docs: DataFrame, work: Callable[[list[bytes | None]], list[pa.Arra
     ``work`` gets the UTF-8 bytes of some texts (None for null) and returns one array per field of
     ``found``. Packing both sides keeps extra columns of any name from clashing.
     """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     schema = StructType([StructField("row", docs.schema), StructField("found", found)])
     names = [f.name for f in found]
     at = docs.columns.index(text)
