@@ -46,7 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
     known = sc.getCheckpointDir()
     if known is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local"):
+        if not named and sc.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="rowloom-checkpoint-"))
         known = sc.getCheckpointDir()
