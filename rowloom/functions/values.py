@@ -82,7 +82,7 @@ def _wide_below(draw: Draw, span: int) -> Column:
     return F.pmod(total, F.lit(Decimal(span)).cast("decimal(38,0)"))
 
 
-def _units(low: float | int, high: float | int, scale: int) -> tuple[int, int]:
+def units_between(low: float | int, high: float | int, scale: int) -> tuple[int, int]:
     """Bounds as integer multiples of 10^-scale, rounded inwards."""
     low, high = min(low, high), max(low, high)
     with localcontext(prec=80):
@@ -93,10 +93,14 @@ def _units(low: float | int, high: float | int, scale: int) -> tuple[int, int]:
 
 def uniform_decimal(draw: Draw, low, high, precision: int, scale: int) -> Column:
     """Exact decimal arithmetic in integer units of 10^-scale."""
-    a, b = _units(low, high, scale)
+    a, b = units_between(low, high, scale)
     span = b - a + 1
     below = draw.below(span).cast("decimal(19,0)") if span <= DRAW_SPACE else _wide_below(draw, span)
-    units = (below + F.lit(Decimal(a)).cast("decimal(38,0)")).cast("decimal(38,0)")
+    return decimal_of_units((below + F.lit(Decimal(a)).cast("decimal(38,0)")).cast("decimal(38,0)"), precision, scale)
+
+
+def decimal_of_units(units: Column, precision: int, scale: int) -> Column:
+    """A DECIMAL(38,0) number of units of 10^-scale as a decimal."""
     unit = F.lit(Decimal(1).scaleb(-scale)).cast(f"decimal({max(scale, 1)},{scale})")
     if precision + scale + 2 > 38:
         return (units / F.lit(Decimal(10) ** scale).cast("decimal(38,0)")).cast(f"decimal({precision},{scale})")
@@ -105,7 +109,7 @@ def uniform_decimal(draw: Draw, low, high, precision: int, scale: int) -> Column
 
 
 def uniform_double(draw: Draw, low, high, scale: int) -> Column:
-    a, b = _units(low, high, scale)
+    a, b = units_between(low, high, scale)
     return (F.lit(a).cast("bigint") + draw.below(b - a + 1)).cast("double") / F.lit(float(10**scale))
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+import datetime as dt
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from decimal import Decimal
 from math import prod
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,10 +15,12 @@ from rowloom.functions.keyed import Draws, SharedDraws, base36, permute, step_fo
 from rowloom.functions.values import (
     ValueSettings,
     cell_value,
+    decimal_of_units,
     fallback_value,
     fit_length,
     numeric_limits,
     soft_delete_value,
+    units_between,
 )
 from rowloom.model import INTEGER_TYPES, ColumnSpec, RepetitionRule, TableSpec
 from rowloom.operators.combinations import choose_combination, typed
@@ -25,6 +29,10 @@ from rowloom.operators.rules import constant_key, lay_out, pinned_columns
 POSITION, RULE = "_idx", "_rule_id"
 # Computes a foreign-key column from the row position.
 Reference = Callable[[Column], Column]
+# Key dates run from the first day to the year 9999; key codes stay below WIDEST.
+FIRST_DAY, DAYS = dt.date(2000, 1, 1), 2_900_000
+WIDEST = 1 << 60
+SHORT_TEXT = 10
 
 
 @dataclass(frozen=True)
@@ -38,6 +46,8 @@ class GenerateOptions:
     soft_delete_value: str | None = None
     soft_delete_default: bool = False
     references: Mapping[str, Reference] = field(default_factory=dict)
+    # The number inside its domain of a primary key column that shares a code with foreign keys.
+    key_places: Mapping[str, Reference] = field(default_factory=dict)
 
 
 def is_countable(column: ColumnSpec) -> bool:
@@ -52,47 +62,130 @@ def key_domain(column: ColumnSpec, rows: int) -> tuple[int, int]:
     return int(low), int(high) - int(low) + 1
 
 
-def key_capacity(spec: TableSpec, rows: int) -> int:
-    """How many distinct primary keys exist: the bound on the rows that can be delivered."""
+@dataclass(frozen=True)
+class Domain:
+    """The values a key column may take, numbered from 0."""
+
+    size: int
+    value: Callable[[Column], Column]
+
+
+def domain_of(column: ColumnSpec, rows: int, scale: int = 2) -> Domain | None:
+    """The column's values as a numbered domain; None where cells differ by themselves (UUIDs, texts with room)."""
+    kind = column.data_type(scale)
+    if column.allowed:
+        listed = list(dict.fromkeys(column.allowed))
+        return Domain(len(listed), lambda i: F.element_at(F.array(*map(F.lit, listed)), (i + 1).cast("int")).try_cast(kind))
+    if column.uuid:
+        return None
+    if is_countable(column):
+        low, size = key_domain(column, rows)
+        return Domain(size, lambda i: (F.lit(low) + i).cast(kind))
+    if column.is_numeric:
+        places = column.effective_scale(scale)
+        low, high = units_between(*numeric_limits(column, scale), places)
+        if column.type == "decimal":
+            first = F.lit(Decimal(low)).cast("decimal(38,0)")
+            return Domain(
+                min(high - low + 1, WIDEST),
+                lambda i: decimal_of_units((i.cast("decimal(19,0)") + first).cast("decimal(38,0)"), column.length or 18, places).cast(kind),
+            )
+        # Whole units below 2^53 (2^24 for floats) stay apart when they are divided.
+        most = max(1, (1 << (24 if column.type == "float" else 53)) - max(abs(low), 0))
+        return Domain(min(high - low + 1, most), lambda i: ((F.lit(low) + i).cast("double") / F.lit(float(10**places))).cast(kind))
+    if column.type == "boolean":
+        return Domain(2, lambda i: i == 1)
+    if column.type == "date":
+        return Domain(DAYS, lambda i: F.date_add(F.lit(FIRST_DAY), i.cast("int")))
+    if column.type == "timestamp":
+        return Domain(86_400 * DAYS, lambda i: F.timestamp_seconds(F.unix_seconds(F.lit(FIRST_DAY).cast("timestamp")) + i))
+    if column.is_text and 0 < column.length <= SHORT_TEXT and 36**column.length < rows:
+        return Domain(36**column.length, lambda i: F.lpad(base36(i), column.length, "0"))
+    return None
+
+
+def key_capacity(spec: TableSpec, rows: int, key: Sequence[str] | None = None, scale: int = 2) -> int:
+    """How many distinct keys there are, as far as the rows need; foreign-key columns set no bound here."""
+    names = spec.primary_key if key is None else key
     sizes = []
-    for name in spec.primary_key:
+    for name in names:
         column = spec.column(name)
-        if column.name in spec.fk_columns:
-            return rows
-        if is_countable(column):
-            sizes.append(key_domain(column, rows)[1])
-        elif column.is_text and not column.uuid and not column.allowed and 0 < column.length <= 10:
-            sizes.append(36**column.length)
-        else:
+        domain = None if column.name in spec.fk_columns else domain_of(column, rows, scale)
+        if domain is None:
             return rows
+        sizes.append(domain.size)
     return min(rows, prod(sizes)) if sizes else rows
 
 
-def primary_key_values(spec: TableSpec, draws: Draws, position: Column, rows: int, settings: ValueSettings) -> dict[str, Column]:
-    """Key columns as one-to-one functions of the position; composite keys split one permuted code."""
-    own = [spec.column(c) for c in spec.primary_key if c not in spec.fk_columns]
-    countable = [c for c in own if is_countable(c)]
+def own_unique_keys(spec: TableSpec) -> list[list[str]]:
+    """Unique keys made by construction: those that share no column with another key, a foreign key or a
+    combination rule. A key that holds the whole primary key needs nothing; other overlapping keys are left
+    to ``make_unique``."""
+    used = {spec.column(c).name for c in spec.primary_key} | set(spec.fk_columns)
+    used |= {spec.column(c).name for rule in spec.combinations for c in rule.columns if spec.has_column(c)}
+    found = []
+    for key in spec.unique_keys:
+        names = [spec.column(c).name for c in key]
+        if not used & set(names):
+            used |= set(names)
+            found.append(names)
+    return found
+
+
+def split_code(position: Column, sizes: Sequence[int], rows: int, seed: int) -> list[Column]:
+    """Numbers below each size that together differ for the first ``rows`` positions: digits of a permuted code.
+
+    Domains are used only as far as the rows need, the last one whole while the code stays 64-bit.
+    """
+    trimmed, left = [], rows
+    for i, size in enumerate(sizes):
+        room = left if i < len(sizes) - 1 else max(left, WIDEST // max(prod(trimmed), 1))
+        trimmed.append(max(1, min(size, room)))
+        left = -(-left // trimmed[-1])
+    space = prod(trimmed)
+    code = permute(position, space, shift=seed % space)
+    out = []
+    for size in trimmed:
+        out.append(F.pmod(code, F.lit(size)))
+        code = F.call_function("div", code, F.lit(size))
+    return out
+
+
+def key_values(
+    spec: TableSpec, key: Sequence[str], draws: Draws, position: Column, rows: int, settings: ValueSettings,
+    places: Mapping[str, Reference] | None = None,
+) -> dict[str, Column]:
+    """The key's own columns as one-to-one functions of the position; composite keys split one permuted code.
+
+    ``places`` gives the number inside a column's domain where it is settled elsewhere. Beyond the key's
+    capacity a nullable column is null.
+    """
+    own = [spec.column(c) for c in key if spec.column(c).name not in spec.fk_columns]
+    domains = {c.name: domain_of(c, rows, settings.numeric_scale) for c in own}
     out: dict[str, Column] = {}
-    if countable:
-        sizes = [key_domain(c, rows)[1] for c in countable]
-        # Split a code over the smallest domain product that holds the rows, so codes stay 64-bit.
-        trimmed, left = [], rows
-        for i, size in enumerate(sizes):
-            trimmed.append(max(1, min(size, left)) if i < len(sizes) - 1 else size)
-            left = -(-left // trimmed[-1])
-        space = prod(trimmed)
-        code = permute(position, space, shift=draws.seed % space)
-        for column, size in zip(countable, trimmed):
-            low, _ = key_domain(column, rows)
-            out[column.name] = (F.lit(low) + F.pmod(code, F.lit(size))).cast(column.data_type())
-            code = F.call_function("div", code, F.lit(size))
-    for column in own:
-        if column.name in out:
-            continue
-        if column.is_text and not column.uuid and not column.allowed:
+    if places:
+        return {c: domains[c].value(place(position)) for c, place in places.items()}
+    endless = [c for c in own if domains[c.name] is None]
+    # Beside a column that differs in every row only whole numbers follow the code.
+    coded = [c for c in own if domains[c.name] is not None and (not endless or is_countable(c))]
+    if coded:
+        sizes = [domains[c.name].size for c in coded]
+        for column, digit in zip(coded, split_code(position, sizes, rows, draws.seed), strict=True):
+            out[column.name] = domains[column.name].value(digit)
+        nullable = next((c.name for c in coded if c.nullable), None)
+        if not endless and prod(sizes) < rows and nullable is not None:
+            out[nullable] = F.when(position < prod(sizes), out[nullable])
+    for column in endless:
+        if column.is_text and not column.uuid:
             out[column.name] = distinct_text(column, draws, position, rows, settings)
-        else:
-            out[column.name] = cell_value(column, draws, position, settings, position)
+            break
+    for column in own:
+        if column.name not in out and spec.primary_key and column in map(spec.column, spec.primary_key):
+            free_text = column.is_text and not column.uuid and not column.allowed
+            out[column.name] = (
+                distinct_text(column, draws, position, rows, settings) if free_text
+                else cell_value(column, draws, position, settings, position)
+            )
     return out
 
 
@@ -126,8 +219,10 @@ def row_columns(spec: TableSpec, options: GenerateOptions, position: Column, row
     blocks = lay_out(spec, list(options.rules))
     rule_id = F.col(RULE)
     pinned = pinned_columns(blocks, rule_id, options.seed, scale)
-    keys = primary_key_values(spec, draws, position, rows, settings)
-    single_unique = {k[0] for k in spec.unique_keys if len(k) == 1}
+    keys = key_values(spec, spec.primary_key, draws, position, rows, settings, options.key_places)
+    unique: dict[str, Column] = {}
+    for key in own_unique_keys(spec):
+        unique |= key_values(spec, key, draws, position, rows, settings)
     combos: dict[str, Column] = {}
     for rule in spec.combinations:
         fixed = {c: (pinned[c].is_set, pinned[c].text) for c in rule.columns if c in pinned}
@@ -149,13 +244,8 @@ def row_columns(spec: TableSpec, options: GenerateOptions, position: Column, row
             value = soft_delete_value(column, options.soft_delete_value, options.soft_delete_default, scale)
         elif column.name in keys:
             value = keys[column.name]
-        elif column.name in single_unique and column.is_text and not column.uuid and not column.allowed:
-            value = distinct_text(column, draws, position, rows, settings)
-        elif column.name in single_unique and is_countable(column):
-            low, size = key_domain(column, rows)
-            value = (F.lit(low) + permute(position, size, shift=draws.seed % size)).cast(kind)
-            if size < rows and column.nullable:
-                value = F.when(position < size, value)
+        elif column.name in unique:
+            value = unique[column.name]
         else:
             key = constant_key(blocks, column.name, rule_id, position)
             value = cell_value(column, draws, key, settings, position)
@@ -197,11 +287,13 @@ def _avoid(value: Column, taken: list[int], column: ColumnSpec, rows: int, draws
 
 
 def planned_rows(spec: TableSpec, rows: int, options: GenerateOptions) -> int:
-    """max(N, rule rows), within the primary key's capacity; a table without columns has no rows."""
+    """max(N, rule rows), within the capacity of every key that takes no nulls; a table without columns has no rows."""
     if not spec.columns:
         return 0
     wanted = max(rows, lay_out(spec, list(options.rules)).total)
-    return min(wanted, key_capacity(spec, wanted))
+    scale = options.values.numeric_scale
+    binding = [k for k in own_unique_keys(spec) if not any(spec.column(c).nullable or c in options.excluded for c in k)]
+    return min(key_capacity(spec, wanted, k, scale) for k in [spec.primary_key, *binding])
 
 
 def generate_over(positions: DataFrame, spec: TableSpec, rows: int, options: GenerateOptions, position: str = POSITION) -> DataFrame:

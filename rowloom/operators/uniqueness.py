@@ -1,8 +1,9 @@
-"""First-by-position per key, and redraw of the rows that lost."""
+"""First-by-position per key; rows that lost draw again, then take free keys."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 
 from rowloom.functions.keyed import base36
 from rowloom.operators.generate import POSITION
-from rowloom.session import materialize
+from rowloom.operators.indexing import dense_index
+from rowloom.session import materialize, materialize_counted
 
 
 def first_per_key(df: DataFrame, key: list[str], position: str = POSITION, nulls_equal: bool = False) -> DataFrame:
@@ -33,6 +35,14 @@ def _not_taken(df: DataFrame, taken: DataFrame, key: list[str], nulls_equal: boo
     return df.join(taken.select(*key), reduce(lambda a, b: a & b, same), "left_anti")
 
 
+@dataclass(frozen=True)
+class Distinct:
+    """Rows with distinct keys, and the rows that found none."""
+
+    rows: DataFrame
+    left_out: DataFrame
+
+
 def make_unique(
     df: DataFrame,
     key: list[str],
@@ -40,23 +50,34 @@ def make_unique(
     rounds: int = 3,
     position: str = POSITION,
     nulls_equal: bool = False,
-) -> DataFrame:
-    """Rows with distinct keys: losers are redrawn with a new salt, for a bounded number of rounds.
+    domain: DataFrame | None = None,
+) -> Distinct:
+    """Losers are redrawn with a new salt for ``rounds`` rounds, then take what is free of ``domain``.
 
     Only losers are redrawn and shuffled again. A candidate that equals an accepted key loses.
-    What still collides after the last round is left out, so fewer rows may come back; use
-    ``with_suffix`` on those where text has room.
+    ``domain`` has one row per possible key. Its free keys in their order go to the remaining rows by
+    position, so a row is left out only when every key is taken. Without a domain, rounds go on until
+    all rows are placed or one places none.
     """
     pending, accepted = materialize(df), None
-    for round_ in range(rounds + 1):
+    round_ = 0
+    while True:
         fresh = pending if accepted is None else _not_taken(pending, accepted, key, nulls_equal)
-        kept = materialize(first_per_key(fresh, key, position, nulls_equal))
+        kept, n = materialize_counted(first_per_key(fresh, key, position, nulls_equal))
         accepted = kept if accepted is None else accepted.unionByName(kept)
-        losers = materialize(pending.join(kept.select(position), position, "left_anti"))
-        if round_ == rounds or losers.isEmpty():
+        losers, left = materialize_counted(pending.join(kept.select(position), position, "left_anti"))
+        if left == 0 or (round_ >= rounds if domain is not None else n == 0 and round_ >= rounds):
             break
-        pending = redraw(losers, round_ + 1)
-    return accepted
+        round_ += 1
+        pending = redraw(losers, round_)
+    if domain is None or left == 0:
+        return Distinct(accepted, losers)
+    free = dense_index(_not_taken(domain.select(*key), accepted, key, nulls_equal), key, "_free", derived=True)
+    waiting = dense_index(losers, [position], "_free")
+    keys = free.df.select("_free", *key)
+    placed = waiting.df.drop(*key).join(keys, "_free").select(*df.columns)
+    left_out = waiting.df.where(F.col("_free") >= free.count).select(*df.columns)
+    return Distinct(accepted.unionByName(placed), left_out)
 
 
 def with_suffix(text: Column, position: Column, length: int, digits: int) -> Column:

@@ -45,6 +45,8 @@ class Seeded:
     updates: dict[str, DataFrame]
     levels: DataFrame
     deferred: bool
+    # {table: rows that were asked for but that its keys have no room for}
+    shortfall: dict[str, int] = field(default_factory=dict)
 
 
 class SeedPlan:
@@ -60,13 +62,63 @@ class SeedPlan:
                             for c, p in zip(fk.columns, fk.parent_columns) if p in keys}
                 self.specs[s.name] = s.with_uuid_keys(pointing | {c.name for c in s.columns if c.uuid})
         self.options = options
-        self.counts = {name: self._count(spec) for name, spec in self.specs.items()}
+        self.counts: dict[str, int] = {}
+        for name in self.specs:
+            self._count(name)
 
-    def _count(self, spec: TableSpec) -> int:
+    def wanted(self, table: str) -> int:
         rows = self.options.rows
-        wanted = rows if isinstance(rows, int) else rows.get(spec.name, 0)
-        table = replace(self.options.table, rules=tuple(self.options.rules.get(spec.name, ())))
-        return g.planned_rows(spec, wanted, table)
+        return rows if isinstance(rows, int) else rows.get(table, 0)
+
+    def _count(self, name: str) -> int:
+        """Rows of a table: as many as asked for, within the room of its keys, foreign-key digits included."""
+        if name not in self.counts:
+            spec = self.specs[name]
+            rules = tuple(self.options.rules.get(name, ()))
+            excluded = frozenset(self.options.excluded_columns.get(name, ()))
+            planned = g.planned_rows(spec, self.wanted(name), replace(self.options.table, rules=rules, excluded=excluded))
+            # Inside a cycle of tables the row count without the foreign keys' bound holds.
+            self.counts[name] = planned
+            shared = self.shared_key(spec)
+            if shared:
+                room = _product([*shared[1].values(), *(self._count(fk.parent) for fk in shared[0])])
+                self.counts[name] = min(planned, room)
+        return self.counts[name]
+
+    def shared_key(self, spec: TableSpec) -> tuple[list[ForeignKey], dict[str, int]] | None:
+        """(foreign keys, {own column: domain size}) of a primary key that only both together keep distinct."""
+        own = [spec.column(c).name for c in spec.primary_key if c not in spec.fk_columns]
+        if not own or len(own) == len(spec.primary_key):
+            return None
+        rows = self.counts[spec.name]
+        domains = {c: g.domain_of(spec.column(c), rows, self.options.table.values.numeric_scale) for c in own}
+        if any(d is None for d in domains.values()) or _product([d.size for d in domains.values()]) >= rows:
+            return None
+        first = [next(fk for fk in spec.foreign_keys if c in fk.columns) for c in spec.primary_key if c in spec.fk_columns]
+        fks = list(dict.fromkeys(first))
+        fixed = [fk for fk in fks if fk.one_to_one or fk.parent not in self.specs or fk.name in self.options.chains.get(spec.name, {})]
+        return None if fixed else (fks, {c: d.size for c, d in domains.items()})
+
+    def _shared_places(self, spec: TableSpec, position: Column) -> tuple[list[ForeignKey], dict[str, Column], list[Column]]:
+        """The digits of one code: the own columns' numbers, then the parents' positions."""
+        shared = self.shared_key(spec)
+        if shared is None:
+            return [], {}, []
+        fks, own = shared
+        sizes = _trimmed([*own.values(), *(self.counts[fk.parent] for fk in fks)], self.counts[spec.name])
+        places = references.combination_positions(position, sizes, self.options.table.seed)
+        return fks, dict(zip(own, places, strict=False)), places[len(own):]
+
+    def is_joined(self, table: str, column: str, seen: frozenset[str] = frozenset()) -> bool:
+        """Whether a referenced column comes, however far up, from a table with repetition rules."""
+        if self.options.rules.get(table):
+            return True
+        spec = self.specs[table]
+        if column not in spec.fk_columns or table in seen:
+            return False
+        fk = next(f for f in spec.foreign_keys if column in f.columns)
+        above = fk.parent_columns[fk.columns.index(column)]
+        return fk.parent in self.specs and self.is_joined(fk.parent, above, seen | {table})
 
     def _draws(self, table: str) -> Draws:
         return Draws(self.options.table.seed, table, self.options.table.algorithm)
@@ -82,6 +134,9 @@ class SeedPlan:
             rules=tuple(self.options.rules.get(name, ())),
             excluded=frozenset(self.options.excluded_columns.get(name, ())),
             references=made,
+            key_places={
+                c: lambda position, c=c: self._shared_places(spec, position)[1][c] for c in (self.shared_key(spec) or ((), {}))[1]
+            },
         )
 
     def parent_position(self, spec: TableSpec, fk: ForeignKey, position: Column) -> Column:
@@ -96,6 +151,9 @@ class SeedPlan:
         if fk.parent not in self.specs:
             return F.lit(None).cast("bigint")
         references.require_parents(parents, nullable, fk.name)
+        fks, _, places = self._shared_places(spec, position)
+        if fk in fks:
+            return places[fks.index(fk)]
         shift = draws.seed % max(parents, 1)
         if fk.one_to_one or set(fk.columns) in [set(k) for k in spec.unique_fk_keys()]:
             if rows > parents and not nullable:
@@ -191,14 +249,15 @@ def seed(spark: SparkSession, specs: Sequence[TableSpec], options: SeedOptions |
             inserts[spec.name], updates[spec.name] = split.inserts, split.updates
         else:
             inserts[spec.name] = df
-    return Seeded(made, inserts, updates, levels, bool(deferred))
+    short = {s.name: plan.wanted(s.name) - plan.counts[s.name] for s in kept if plan.counts[s.name] < plan.wanted(s.name)}
+    return Seeded(made, inserts, updates, levels, bool(deferred), short)
 
 
 def _with_ruled_parents(spark: SparkSession, plan: SeedPlan, spec: TableSpec, made: Mapping[str, DataFrame]) -> DataFrame:
-    """Generate one table; keys of parents with repetition rules are joined by position instead of computed."""
+    """Generate one table; keys that come from tables with repetition rules are joined by position."""
     ruled = [
         fk for fk in spec.foreign_keys
-        if fk.parent in plan.specs and plan.options.rules.get(fk.parent)
+        if fk.parent in plan.specs and any(plan.is_joined(fk.parent, p) for p in fk.parent_columns)
     ]
     options = plan.options_for(spec.name)
     joined = {c for fk in ruled for c in fk.columns}

@@ -138,7 +138,10 @@ def test_text_key_in_a_short_column(spark):
 def test_make_unique_leaves_out_what_cannot_fit(spark):
     rows = spark.range(40).withColumnRenamed("id", "_idx").withColumn("code", F.col("_idx") % 5)
     done = make_unique(rows, ["code"], lambda df, r: df.withColumn("code", (F.col("_idx") + r) % 7), rounds=3)
-    assert done.count() == 7 and done.select("code").distinct().count() == 7
+    assert done.rows.count() == 7 and done.rows.select("code").distinct().count() == 7 and done.left_out.count() == 33
+    codes = spark.range(38).withColumnRenamed("id", "code")
+    full = make_unique(rows, ["code"], lambda df, r: df, rounds=1, domain=codes)
+    assert full.rows.select("code").distinct().count() == 38 and full.left_out.select("_idx").collect() == [(38,), (39,)]
     suffixed = rows.select(with_suffix(F.lit("abcdefgh"), F.col("_idx"), 8, 2).alias("s"))
     assert suffixed.distinct().count() == 40 and suffixed.where(F.length("s") > 8).isEmpty()
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,9 @@ from rowloom.model import ColumnSpec, CombinationRule, ForeignKey, RepetitionRul
 from rowloom.operators.enrichment import attach_phrases
 from rowloom.operators.generate import GenerateOptions, generate_over, generate_table
 from rowloom.operators.indexing import dense_index
+from rowloom.operators.quality import integrity_report
 from rowloom.operators.uniqueness import first_per_key, make_unique
+from rowloom.plans.seeding import SeedOptions, seed
 from rowloom.sources.tables import vocabulary, word_list
 from workload.common import SEED, draw, nullable, step, table, uuid_sql
 
@@ -321,7 +324,7 @@ UNION ALL SELECT event_id, kind, 'nulls equal' FROM r WHERE rn = 1
 
 
 def unique_retry(spark: SparkSession, d: str) -> DataFrame:
-    """Codes for all orders drawn from a domain twice as large; losers draw again, twice."""
+    """Codes for all orders drawn from a domain twice as large; losers draw again, twice, then take the free codes."""
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("_idx"))
     domain = 2 * orders.count()
     draws = Draws(SEED, "codes")
@@ -329,7 +332,9 @@ def unique_retry(spark: SparkSession, d: str) -> DataFrame:
     def with_code(df: DataFrame, round_: int) -> DataFrame:
         return df.withColumn("code", draws.at("code", F.col("_idx"), f"round{round_}").below(domain))
 
-    return make_unique(with_code(orders, 0), ["code"], with_code, rounds=2).withColumnRenamed("_idx", "o_orderkey")
+    codes = spark.range(domain).withColumnRenamed("id", "code")
+    done = make_unique(with_code(orders, 0), ["code"], with_code, rounds=2, domain=codes)
+    return done.rows.withColumnRenamed("_idx", "o_orderkey")
 
 
 def _retry_round(n: int) -> str:
@@ -342,8 +347,12 @@ a0 AS (SELECT min(k) AS k, code FROM c0 GROUP BY code),
 c1 AS (SELECT k, {_retry_round(1)} AS code FROM c0 WHERE k NOT IN (SELECT k FROM a0)),
 a1 AS (SELECT min(k) AS k, code FROM c1 WHERE code NOT IN (SELECT code FROM a0) GROUP BY code),
 c2 AS (SELECT k, {_retry_round(2)} AS code FROM c1 WHERE k NOT IN (SELECT k FROM a1)),
-a2 AS (SELECT min(k) AS k, code FROM c2 WHERE code NOT IN (SELECT code FROM a0) AND code NOT IN (SELECT code FROM a1) GROUP BY code)
-SELECT k AS o_orderkey, code FROM (SELECT * FROM a0 UNION ALL SELECT * FROM a1 UNION ALL SELECT * FROM a2)
+a2 AS (SELECT min(k) AS k, code FROM c2 WHERE code NOT IN (SELECT code FROM a0) AND code NOT IN (SELECT code FROM a1) GROUP BY code),
+drawn AS (SELECT * FROM a0 UNION ALL SELECT * FROM a1 UNION ALL SELECT * FROM a2),
+waiting AS (SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) AS nth FROM orders WHERE o_orderkey NOT IN (SELECT k FROM drawn)),
+free AS (SELECT code, row_number() OVER (ORDER BY code) AS nth FROM (SELECT unnest(range(0, 2 * count(*))) AS code FROM orders)
+  WHERE code NOT IN (SELECT code FROM drawn))
+SELECT k AS o_orderkey, code FROM drawn UNION ALL SELECT k, code FROM waiting JOIN free USING (nth)
 """
 
 
@@ -428,7 +437,78 @@ GEN_CAPACITY = """
 SELECT count(*) // 10 AS n_rows, count(*) // 10 AS n_keys, 1 AS low, (count(*) // 10)::INTEGER AS high FROM orders
 """
 
+def unique_all_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and distinct keys for keys of every kind, as many rows as there are orders (lines: five times)."""
+    n = table(spark, d, "orders").count()
+    primary = {
+        "date": (C("k", "date"),), "decimal": (C("k", "decimal", length=14, scale=2),),
+        "boolean and date": (C("f", "boolean"), C("k", "date")),
+        "value list and number": (C("k", allowed=("a", "b", "c")), C("m", "int", min_value=1, max_value=n)),
+    }
+    unique = {"unique pair": (C("a", "int", False, min_value=1, max_value=n), C("b", "smallint", False, min_value=1, max_value=3)),
+              "unique date": (C("a", "date", False),)}
+    specs = [TableSpec(name, cols, tuple(c.name for c in cols)) for name, cols in primary.items()]
+    specs += [TableSpec(name, cols, unique_keys=(tuple(c.name for c in cols),)) for name, cols in unique.items()]
+    made = {s.name: (generate_table(spark, s, n, _options()), [c.name for c in s.columns]) for s in specs}
+    parent = TableSpec("parents", (C("id", "bigint"),), ("id",))
+    lines = TableSpec("lines", (C("parent", "bigint"), C("line", "int", min_value=1, max_value=7), C("v", "int")), ("parent", "line"),
+                      (ForeignKey(("parent",), "parents", ("id",)),))
+    seeded = seed(spark, (parent, lines), SeedOptions(rows={"parents": n, "lines": 5 * n}, table=_options()))
+    made["parent and line"] = (seeded.tables["lines"], ["parent", "line"])
+    return reduce(DataFrame.unionByName, [
+        df.agg(F.lit(name).alias("key_kind"), F.count("*").alias("n_rows"), F.count_distinct(*key).alias("n_keys")) for name, (df, key) in made.items()
+    ])
+
+
+UNIQUE_ALL_KINDS = """
+SELECT unnest(['date', 'decimal', 'boolean and date', 'value list and number', 'unique pair', 'unique date']) AS key_kind,
+  count(*) AS n_rows, count(*) AS n_keys FROM orders
+UNION ALL SELECT 'parent and line', 5 * count(*), 5 * count(*) FROM orders
+"""
+
+
+def shortfall_report(spark: SparkSession, d: str) -> DataFrame:
+    """Rows made and rows missing where a key has fewer values than rows were asked for."""
+    n = table(spark, d, "orders").count()
+    codes = TableSpec("codes", (C("code", "int", False, min_value=1, max_value=n // 10),), unique_keys=(("code",),))
+    lines = TableSpec("lines", (C("code", "int"), C("line", "int", min_value=1, max_value=3)), ("code", "line"),
+                      (ForeignKey(("code",), "codes", ("code",)),))
+    made = seed(spark, (codes, lines), SeedOptions(rows=n, table=_options()))
+    return reduce(DataFrame.unionByName, [
+        made.tables[t].agg(F.lit(t).alias("table_name"), F.count("*").alias("n_rows"), F.lit(made.shortfall.get(t, 0)).cast("bigint").alias("missing"))
+        for t in ("codes", "lines")
+    ])
+
+
+SHORTFALL_REPORT = """
+SELECT 'codes' AS table_name, count(*) // 10 AS n_rows, count(*) - count(*) // 10 AS missing FROM orders
+UNION ALL SELECT 'lines', 3 * (count(*) // 10), count(*) - 3 * (count(*) // 10) FROM orders
+"""
+
+
+def seed_ruled_shared_key(spark: SparkSession, d: str) -> DataFrame:
+    """Rules on a root table, a table that shares its key, and one that refers to that: all rules hold."""
+    n = table(spark, d, "supplier").count()
+    users = TableSpec("users", (C("id", "int"), C("kind")), ("id",))
+    profile = TableSpec("profile", (C("id", "int"),), ("id",), (ForeignKey(("id",), "users", ("id",), one_to_one=True, name="of"),))
+    photo = TableSpec("photo", (C("id", "int"), C("p", "int", False)), ("id",), (ForeignKey(("p",), "profile", ("id",), name="shows"),))
+    specs = (users, profile, photo)
+    rules = {"users": [RepetitionRule(3, {"kind": "vip"})]}
+    made = seed(spark, specs, SeedOptions(rows=n, rules=rules, table=_options()))
+    return integrity_report(made.tables, specs, {s.name: n for s in specs}).where("kind in ('primary_key', 'foreign_key', 'row_count')")
+
+
+SEED_RULED_SHARED_KEY = "\nUNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{k}' AS kind, '{c}' AS constraint_name, count(*) AS checked, 0 AS violations FROM supplier"
+    for t, k, c in (("users", "primary_key", "id"), ("profile", "primary_key", "id"), ("photo", "primary_key", "id"),
+                    ("profile", "foreign_key", "of"), ("photo", "foreign_key", "shows"),
+                    ("users", "row_count", "*"), ("profile", "row_count", "*"), ("photo", "row_count", "*"))
+)
+
 QUERIES = {
+    "unique_all_kinds": (unique_all_kinds, UNIQUE_ALL_KINDS),
+    "shortfall_report": (shortfall_report, SHORTFALL_REPORT),
+    "seed_ruled_shared_key": (seed_ruled_shared_key, SEED_RULED_SHARED_KEY),
     "gen_scalar_types": (gen_scalar_types, GEN_SCALAR_TYPES),
     "gen_text": (gen_text, GEN_TEXT),
     "gen_text_latin": (gen_text_latin, GEN_TEXT_LATIN),
