@@ -20,11 +20,14 @@ def _combination_array(rule: CombinationRule) -> Column:
 
 
 def matches_combination(rule: CombinationRule, values: list[Column]) -> Column:
-    """True when the values are one of the allowed combinations; a listed NULL matches null."""
+    """True when the values are one of the allowed combinations; a listed NULL matches null.
+
+    As in SQL, null where only a null value keeps this from being known, which a CHECK lets pass.
+    """
     tests = []
     for combo in rule.combinations:
         parts = [
-            value.isNull() if v is None or v.upper() == "NULL" else value.cast("string").eqNullSafe(F.lit(v))
+            value.isNull() if v is None or v.upper() == "NULL" else value.cast("string") == F.lit(v)
             for v, value in zip(combo, values)
         ]
         test = parts[0]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 from functools import reduce
 from itertools import combinations
 
@@ -11,9 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rowloom.operators.quality import WHOLE, common_type
+
 UUID_PATTERN = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 # Sketches of 4096 buckets err by 1.6 %; a key's estimate stays above this share of the rows.
 SKETCH_BITS, SKETCH_SHARE = 12, 0.8
+# Families of exact numbers, which may refer to each other.
+NUMBERS = {"integer", "decimal"}
 _KEY_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.StringType, T.DateType, T.DecimalType)
 
 
@@ -193,7 +198,10 @@ def _ranges(tables: Mapping[str, DataFrame]) -> dict[tuple[str, str], tuple]:
     for r in reduce(DataFrame.unionByName, parts).collect():
         family = _family(tables[r["t"]].schema[r["c"]].dataType)
         kind = "integer" if family == "integer" else "text"
-        found[r["t"], r["c"]] = (family, r[f"a_{kind}"], r[f"b_{kind}"])
+        low, high = r[f"a_{kind}"], r[f"b_{kind}"]
+        if family == "decimal" and low is not None:
+            low, high = Decimal(low), Decimal(high)
+        found[r["t"], r["c"]] = (family, low, high)
     return found
 
 
@@ -213,18 +221,19 @@ def discover_references(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequ
         for parent, parent_keys in keys.items():
             for key in parent_keys:
                 other, first, last = ranges[parent, key]
-                if child != (parent, key) and family == other and low is not None and first is not None and low >= first and high <= last:
-                    pairs.setdefault(family, []).append((child, (parent, key)))
+                if child != (parent, key) and (family == other or {family, other} == NUMBERS) and low is not None and first is not None and low >= first and high <= last:
+                    pairs.setdefault(family if family == other else "decimal", []).append((child, (parent, key)))
     empty = spark.createDataFrame(
         [], "child_table string, child_column string, parent_table string, parent_column string, coverage double, one_to_one boolean"
     )
-    return reduce(DataFrame.unionByName, [_included(tables, family, found) for family, found in pairs.items()], empty)
+    return reduce(DataFrame.unionByName, [_included(tables, found) for found in pairs.values()], empty)
 
 
-def _included(tables: Mapping[str, DataFrame], family: str, pairs: list[tuple[tuple[str, str], tuple[str, str]]]) -> DataFrame:
+def _included(tables: Mapping[str, DataFrame], pairs: list[tuple[tuple[str, str], tuple[str, str]]]) -> DataFrame:
     children = list(dict.fromkeys(c for c, _ in pairs))
     parents = list(dict.fromkeys(p for _, p in pairs))
-    cast = "bigint" if family == "integer" else "string"
+    cast = reduce(common_type, [tables[t].schema[c].dataType for t, c in dict.fromkeys([*children, *parents])])
+    cast = T.LongType() if isinstance(cast, WHOLE) else cast
 
     def stacked(columns: list[tuple[str, str]], tag: str) -> DataFrame:
         """(tag, v): the columns below each other, read together per table."""

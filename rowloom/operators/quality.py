@@ -8,21 +8,25 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowloom.functions.keyed import Draws
 from rowloom.functions.values import numeric_value
 from rowloom.model import ColumnSpec, ForeignKey, TableSpec
 from rowloom.operators.combinations import matches_combination
 
+WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
 
 def outside_bounds(value: Column, low: float | None, high: float | None) -> Column:
-    """Null is inside; text that is not a number is outside."""
+    """Null and NaN are inside; text that is not a number is outside."""
     number = value.cast("string").try_cast("double")
     tests = [number.isNull()]
     if low is not None:
         tests.append(number < F.lit(float(low)))
     if high is not None:
-        tests.append(number > F.lit(float(high)))
+        # NaN sorts above all numbers here, but breaks no bound.
+        tests.append((number > F.lit(float(high))) & ~F.isnan(number))
     return F.coalesce(value.isNotNull() & reduce(lambda a, b: a | b, tests), F.lit(False))
 
 
@@ -54,9 +58,13 @@ def repair_numeric(
     """Bring a numeric column into its bounds: redraw by row key, or clamp when no key is given.
 
     Values on the allowed list are left alone. A redraw cannot fall outside, since draws are
-    made in whole units inside the bounds.
+    made in whole units inside the bounds. In a text column, text that is no number goes to the
+    lower bound, or to the upper one where there is no lower.
     """
     value = F.col(column.name)
+    kind = df.schema[column.name].dataType
+    if isinstance(kind, T.StringType):
+        return df.withColumn(column.name, _repaired_text(value, column))
     bad = numeric_outside(value, column.min_value, column.max_value)
     if column.allowed:
         bad = bad & ~value.cast("string").isin(*column.allowed)
@@ -64,10 +72,23 @@ def repair_numeric(
         fixed = clamp(value, column.min_value, column.max_value)
     else:
         fixed = numeric_value(column, draws.at(column.name, F.col(row), "repair"), numeric_scale)
-    kind = df.schema[column.name].dataType
     return df.withColumn(column.name, F.when(bad, fixed.cast(kind)).otherwise(value))
 
 
+def _repaired_text(value: Column, column: ColumnSpec) -> Column:
+    low, high = column.min_value, column.max_value
+    if low is None and high is None:
+        return value
+    bad = outside_bounds(value, low, high)
+    if column.allowed:
+        bad = bad & ~value.isin(*column.allowed)
+    first, last = (None if b is None else F.lit(str(b)) for b in (low, high))
+    if first is None or last is None:
+        return F.when(bad, last if first is None else first).otherwise(value)
+    above = value.try_cast("double") > F.lit(float(high))
+    return F.when(bad & above, last).when(bad, first).otherwise(value)
+
+
 def orphans(child: DataFrame, parent: DataFrame, fk: ForeignKey) -> DataFrame:
     """Foreign-key values without a parent row, with the number of child rows holding each.
 
@@ -116,7 +137,7 @@ def row_rules(df: DataFrame, spec: TableSpec, expected_rows: int | None = None)
             tests.append(("allowed", column.name, value.isNotNull() & ~value.cast("string").isin(*column.allowed)))
     for rule in spec.combinations:
         held = matches_combination(rule, [F.col(c) for c in rule.columns])
-        tests.append(("combination", ",".join(rule.columns), ~F.coalesce(held, F.lit(False))))
+        tests.append(("combination", ",".join(rule.columns), ~held))
     counts = [F.count("*").alias("n")] + [F.count_if(t).alias(f"t{i}") for i, (_, _, t) in enumerate(tests)]
     totals = df.agg(*counts)
     lines = [
@@ -135,9 +156,29 @@ def row_rules(df: DataFrame, spec: TableSpec, expected_rows: int | None = None)
 
 
 def _kind(df: DataFrame, columns: Sequence[str]) -> tuple[str, ...]:
-    """How a key's columns are compared: whole numbers as bigint, all else as text."""
-    types = dict(df.dtypes)
-    return tuple("bigint" if types[c] in ("tinyint", "smallint", "int", "bigint") else "string" for c in columns)
+    """How a key's columns are compared among themselves: whole numbers as bigint, all else as text."""
+    return tuple("bigint" if isinstance(df.schema[c].dataType, WHOLE) else "string" for c in columns)
+
+
+def common_type(a: T.DataType, b: T.DataType) -> T.DataType:
+    """The type in which values of both can be compared: equal values are equal in it, whatever their scale."""
+    if isinstance(a, WHOLE) and isinstance(b, WHOLE):
+        return T.LongType()
+    if isinstance(a, (*WHOLE, T.DecimalType)) and isinstance(b, (*WHOLE, T.DecimalType)):
+        sizes = [(k.precision, k.scale) if isinstance(k, T.DecimalType) else (19, 0) for k in (a, b)]
+        scale = max(s for _, s in sizes)
+        return T.DecimalType(min(38, max(p - s for p, s in sizes) + scale), scale)
+    if isinstance(a, T.NumericType) and isinstance(b, T.NumericType):
+        return T.DoubleType()
+    if a == b:
+        return a
+    moments = (T.DateType, T.TimestampType, T.TimestampNTZType)
+    return T.TimestampType() if isinstance(a, moments) and isinstance(b, moments) else T.StringType()
+
+
+def _pair_kind(child: DataFrame, parent: DataFrame, fk: ForeignKey) -> tuple[str, ...]:
+    pairs = zip(fk.columns, fk.parent_columns, strict=True)
+    return tuple(common_type(child.schema[c].dataType, parent.schema[p].dataType).simpleString() for c, p in pairs)
 
 
 def _stack(sources: Sequence[tuple[int, DataFrame, Sequence[str]]], kinds: Sequence[str]) -> DataFrame:
@@ -191,11 +232,11 @@ def reference_rules(
 ) -> DataFrame:
     """Child rows without a parent for ``(table, fk, child, parent)``.
 
-    References of equal type are tested together: child rows are counted per value before the
+    Both sides are compared in their common type. References of equal type are tested together: child rows are counted per value before the
     shuffle, and each value then meets the parents' keys once, however often it occurs.
     """
     out = []
-    for kinds, group in _by_kind([(_kind(c, fk.columns), t, fk, c, p) for t, fk, c, p in rules]).items():
+    for kinds, group in _by_kind([(_pair_kind(c, p, fk), t, fk, c, p) for t, fk, c, p in rules]).items():
         values = [f"v{i}" for i in range(len(kinds))]
         # Several references may point to the same key; it is read once.
         keys: dict[tuple, tuple[int, DataFrame]] = {}
