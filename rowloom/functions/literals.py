@@ -23,6 +23,7 @@ class Dialect:
     date: str = "'{}'"
     timestamp: str = "'{}'"
     uuid: str = "'{}'"
+    binary: str = "X'{}'"
     escape_backslash: bool = False
     batch_rows: int = 1000
     multi_row: bool = True
@@ -64,26 +65,26 @@ DIALECTS = {
     for d in (
         Dialect("standard", disable="SET CONSTRAINTS ALL DEFERRED;\n"),
         Dialect("bigquery", open_quote="`", close_quote="`", quote_escape="\\`", date="DATE '{}'",
-                timestamp="TIMESTAMP '{}'", begin="BEGIN TRANSACTION;\n", commit="COMMIT TRANSACTION;\n"),
-        Dialect("cockroachdb"),
-        Dialect("db2", uppercase=True, true="1", false="0", begin="BEGIN TRANSACTION;\n"),
+                timestamp="TIMESTAMP '{}'", binary="FROM_HEX('{}')", begin="BEGIN TRANSACTION;\n", commit="COMMIT TRANSACTION;\n"),
+        Dialect("cockroachdb", binary="'\\x{}'"),
+        Dialect("db2", uppercase=True, true="1", false="0", binary="BX'{}'", begin="BEGIN TRANSACTION;\n"),
         Dialect("derby", date="DATE('{}')", timestamp="TIMESTAMP('{}')", multi_row=False, begin=""),
         Dialect("h2", disable="SET REFERENTIAL_INTEGRITY FALSE;\n", enable="SET REFERENTIAL_INTEGRITY TRUE;\n"),
-        Dialect("hive", **_BACKTICK, multi_row=False, begin="", commit=""),
+        Dialect("hive", **_BACKTICK, binary="UNHEX('{}')", multi_row=False, begin="", commit=""),
         Dialect("hsqldb", begin="START TRANSACTION;\n", disable="SET DATABASE REFERENTIAL INTEGRITY FALSE;\n",
                 enable="SET DATABASE REFERENTIAL INTEGRITY TRUE;\n"),
         Dialect("mariadb", **_MYSQL, true="1", false="0"),
         Dialect("mysql", **_MYSQL, true="1", false="0"),
-        Dialect("oracle", uppercase=True, true="1", false="0", date="TO_DATE('{}', 'YYYY-MM-DD')",
+        Dialect("oracle", uppercase=True, true="1", false="0", binary="HEXTORAW('{}')", date="TO_DATE('{}', 'YYYY-MM-DD')",
                 timestamp="TO_TIMESTAMP('{}', 'YYYY-MM-DD HH24:MI:SS.FF')", multi_row=False,
                 header="INSERT ALL\n", row_prefix="INTO {table} ({columns}) VALUES (", separator="\n",
                 footer="\nSELECT * FROM dual;\n", begin="SET TRANSACTION READ WRITE;\n",
                 disable=_ORACLE_SWITCH.format("DISABLE"), enable=_ORACLE_SWITCH.format("ENABLE")),
-        Dialect("postgresql", disable="SET CONSTRAINTS ALL DEFERRED;\n-- Alternatively, to fully disable: ALTER TABLE ... DISABLE TRIGGER ALL;\n"),
-        Dialect("redshift"),
+        Dialect("postgresql", binary="'\\x{}'", disable="SET CONSTRAINTS ALL DEFERRED;\n-- Alternatively, to fully disable: ALTER TABLE ... DISABLE TRIGGER ALL;\n"),
+        Dialect("redshift", binary="FROM_HEX('{}')"),
         Dialect("sqlite", true="1", false="0", batch_rows=100, begin="BEGIN TRANSACTION;\n",
                 disable="PRAGMA foreign_keys = OFF;\n", enable="PRAGMA foreign_keys = ON;\n"),
-        Dialect("sqlserver", open_quote="[", close_quote="]", quote_escape="]]", true="1", false="0",
+        Dialect("sqlserver", open_quote="[", close_quote="]", quote_escape="]]", true="1", false="0", binary="0x{}",
                 begin="BEGIN TRANSACTION;\n", commit="COMMIT TRANSACTION;\n",
                 disable=_SQLSERVER_SWITCH.format("NOCHECK"), enable=_SQLSERVER_SWITCH.format("WITH CHECK CHECK")),
     )
@@ -105,22 +106,23 @@ def _wrap(form: str, value: Column) -> Column:
 
 
 def _plain_double(value: Column) -> Column:
-    """A double without exponent or trailing zeros; NaN and infinities have no literal."""
-    # Doubles print at most 17 significant digits; DECIMAL(38,18) covers 20 digits before the point.
-    exact = value.cast("string").try_cast("decimal(38,18)")
-    text = F.regexp_replace(F.regexp_replace(exact.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    wide = value.cast("string").try_cast("decimal(38,0)").cast("string")
-    finite = ~(F.isnan(value) | value.isin(float("inf"), float("-inf")))
-    return F.when(finite, F.coalesce(F.when((F.abs(value) >= 1e-4) | (value == 0), text), wide_or_small(value), wide, value.cast("string")))
-
+    """A double without exponent or trailing zeros, all printed digits kept; NaN and infinities have no literal.
 
-def wide_or_small(value: Column) -> Column:
-    """Magnitudes below 1e-4 keep all their digits by moving the point in the printed mantissa."""
+    The point is moved inside the printed digits, so nothing is computed and nothing is rounded.
+    """
     printed = F.lower(value.cast("string"))
-    digits = F.regexp_replace(F.regexp_extract(printed, r"^-?([\d.]+)e-\d+$", 1), r"\.0$|\.", "")
-    places = F.regexp_extract(printed, r"e-(\d+)$", 1).try_cast("int")
-    sign = F.when(value < 0, F.lit("-")).otherwise(F.lit(""))
-    return F.when(places.isNotNull(), F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), places - 1), digits))
+    fraction = F.regexp_extract(printed, r"\.(\d*?)0*(?:e|$)", 1)
+    digits = F.concat(F.regexp_extract(printed, r"^-?(\d+)", 1), fraction)
+    shift = F.coalesce(F.regexp_extract(printed, r"e(-?\d+)$", 1).try_cast("int"), F.lit(0))
+    point = F.length(F.regexp_extract(printed, r"^-?(\d+)", 1)) + shift
+    size = F.length(digits)
+    text = (
+        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+        .when(point >= size, F.concat(digits, F.repeat(F.lit("0"), point - size)))
+        .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, size)))
+    )
+    finite = ~(F.isnan(value) | value.isin(float("inf"), float("-inf")))
+    return F.when(finite, F.concat(F.when(value < 0, F.lit("-")).otherwise(F.lit("")), text))
 
 
 def timestamp_text(value: Column) -> Column:
@@ -144,6 +146,10 @@ def literal(value: Column, kind: T.DataType, dialect: Dialect, is_uuid: bool = F
     elif isinstance(kind, T.ArrayType):
         items = F.transform(value, lambda v: literal(v, kind.elementType, dialect))
         text = F.concat(F.lit("ARRAY["), F.array_join(items, ", "), F.lit("]"))
-    else:
+    elif isinstance(kind, T.BinaryType):
+        text = _wrap(dialect.binary, F.lower(F.hex(value)))
+    elif isinstance(kind, (T.IntegralType, T.DecimalType)):
         text = value.cast("string")
+    else:
+        raise TypeError(f"{kind.simpleString()} values have no SQL literal")
     return F.coalesce(text, F.lit("NULL"))

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowloom.functions.literals import DIALECTS, literal
 from rowloom.operators.indexing import dense_index
@@ -140,7 +141,28 @@ def sink_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return back.intersect(spark.read.format("orc").load(f"{path}/orc/orders").select(*back.columns))
 
 
+def sql_literal_extremes(spark: SparkSession, d: str) -> DataFrame:
+    """Doubles of every magnitude, and bytes, as SQL text without loss."""
+    lines = table(spark, d, "lineitem")
+    power = F.col("l_orderkey") * 31 % 601 - 300
+    value = F.concat(F.col("l_partkey") * 10 + 7, F.lit("e"), power).cast("double")
+    sign = F.when(F.col("l_linenumber") % 2 == 0, -1).otherwise(1)
+    raw = F.concat("l_returnflag", F.lit("'"), "l_linestatus").cast("binary")
+    text = literal(value * sign, T.DoubleType(), DIALECTS["h2"])
+    return lines.select(
+        "l_orderkey", "l_partkey", "l_linenumber", text.rlike(r"^-?\d+(\.\d*[1-9])?$").alias("plain"), text.cast("double").alias("number"),
+        literal(raw, T.BinaryType(), DIALECTS["oracle"]).alias("bytes"),
+    )
+
+
+SQL_LITERAL_EXTREMES = """
+SELECT l_orderkey, l_partkey, l_linenumber, true AS plain,
+  ((l_partkey * 10 + 7) || 'e' || (l_orderkey * 31 % 601 - 300))::DOUBLE * CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END AS number,
+  'HEXTORAW(' || chr(39) || lower(hex(l_returnflag || chr(39) || l_linestatus)) || chr(39) || ')' AS bytes FROM lineitem
+"""
+
 QUERIES = {
+    "sql_literal_extremes": (sql_literal_extremes, SQL_LITERAL_EXTREMES),
     "sql_literals": (sql_literals, SQL_LITERALS),
     "sql_insert_batches": (sql_insert_batches, SQL_INSERT_BATCHES),
     "sql_updates": (sql_updates, SQL_UPDATES),
