@@ -1,32 +1,46 @@
-"""Column limits and value lists from a table of CHECK expressions.
+"""Column limits, value lists and combinations from a table of CHECK expressions.
 
-Input ``checks(table_name, expr)``. Each expression is read by a few fixed regexes that also
-capture the column they speak about; the finds are then matched to ``columns(table_name,
-column_name, length)`` by equality. No expression is paired with columns it does not mention.
+Input ``checks(table_name, expr)``. Each expression is cut into tokens once and written anew in one plain
+spelling: one blank between tokens, column names bare of qualifiers and in double quotes, quoted texts
+replaced by their token number in single quotes, casts left out. Short patterns over that spelling find the
+rules; the finds are then matched to ``columns(table_name, column_name, length)`` by equality. No expression
+is paired with columns it does not mention, and nothing inside a quoted text is taken for syntax.
 """
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from rowloom.model import ColumnSpec, TableSpec
-
-# The pieces of CHECK syntax that are understood.
-IDENT = r'(?<![\w$."])(?:"?[\w$]++"?\.)*+(?:"[^"]++"|[A-Za-z_][\w$]*+)'
-CAST = r"(?:\s*::[\w\[\]]+(?:\s+[\w\[\]]+)*)*"
-NUMBER = r"[-+]?\d+(?:\.\d+)?"
-BETWEEN = rf"(?i)({IDENT})\s*{CAST}\s+BETWEEN\s+({NUMBER})\s*{CAST}\s+AND\s+({NUMBER})"
-COMPARE = rf"(?i)({IDENT})\s*{CAST}\s*(>=|<=|>|<|=)\s*({NUMBER})"
-QUOTED = r"'[^']*+(?:''[^']*+)*+'"
-IN_LIST = rf"(?i)({IDENT})[\s)]*{CAST}\s+IN\s*\(((?:[^)']++|{QUOTED})++)\)"
-ANY_ARRAY = rf"(?i)({IDENT})\s*{CAST}\s*=\s*ANY\s+ARRAY\s*\[(.*?)\]"
-EQUALS = rf"(?i)({IDENT})\s*{CAST}\s*=\s*({QUOTED}|\"[^\"]*\"|[\w+-]+(?:\.\d+)?)"
-LENGTH = rf"(?i)(?:char_length|length)\s*\(\s*\(*\s*({IDENT})\s*\)*{CAST}\s*\)\s*(<=|<|=)\s*(\d+)"
-LIST_ITEM = rf"{QUOTED}|\"[^\"]*\"|[^,\s][^,]*"
-CONDITION = rf"(?i)^\s*({IDENT})\s*{CAST}\s*=\s*('\d+'|\"[^\"]*\"|[\w+-]+(?:\.\d+)?){CAST}\s*$"
+from pyspark.sql.types import ArrayType, StringType
+
+from rowloom.model import ColumnSpec, CombinationRule, TableSpec
+
+# Tokens, in the order they are tried.
+TEXT = r"'[^']*+(?:''[^']*+)*+'"
+WORD = r'(?:"[^"]++"|[A-Za-z_][\w$]*+)'
+TYPE = r"[A-Za-z_]\w*+(?:\s+(?:varying|precision|(?:with|without)\s+time\s+zone))?+(?:\s*\(\s*\d++(?:\s*,\s*\d++)?\s*\))?+(?:\s*\[\s*\])*+"
+DIGITS = r"(?:\d++(?:\.\d*+)?|\.\d++)(?:[eE][+-]?\d++)?"
+TOKEN = rf"(?i){TEXT}|::\s*{TYPE}|{WORD}(?:\s*\.\s*{WORD})*+|{DIGITS}|<=|>=|<>|!=|\S"
+KEYWORDS = ("AND", "OR", "NOT", "IN", "BETWEEN", "ANY", "ARRAY", "NULL", "IS", "LIKE", "CHECK")
+LENGTHS = ("LENGTH", "CHAR_LENGTH", "CHARACTER_LENGTH")
+
+# Rules in the plain spelling without parentheses. A column inside a function call, arithmetic, a negation
+# or a list of columns says nothing about the column's own value.
+COLUMN = r'(?<!#LENGTH |#CALL |NOT |[-+*/%|,] )"([^"]++)"'
+WHOLE = r"(?! [-+*/%|])"
+NUMBER = rf"(?:[-+] )?{DIGITS}"
+ITEM = rf"""'\d++'|"[^"]++"|{NUMBER}"""
+ITEMS = rf"((?:{ITEM})(?: , (?:{ITEM}))*+)"
+BETWEEN = rf"{COLUMN} BETWEEN ({NUMBER}) AND ({NUMBER}){WHOLE}"
+COMPARE = rf"{COLUMN} (>=|<=|>|<|=) ({NUMBER}){WHOLE}"
+LENGTH = r'#LENGTH "([^"]++)" (<=|<|=|BETWEEN \d++ AND) (\d++)'
+IN_LIST = rf"{COLUMN} IN {ITEMS}"
+ANY_ARRAY = rf"{COLUMN} = ANY (?:ARRAY )?\[ {ITEMS}"
+EQUALS = rf"{COLUMN} = ({ITEM}){WHOLE}"
 QUOTED_OR_PAREN = r"""('[^']*+'|"[^"]*+")|[()]"""
-LIMIT_KINDS = ("between", "compare", "length")
 
 
 def strip_parens(expr: Column) -> Column:
@@ -39,66 +53,104 @@ def strip_parens(expr: Column) -> Column:
     return F.translate(F.regexp_replace(marked, "(['\"])\u0001", "$1"), "\u0001", " ")
 
 
-def column_key(identifier: Column) -> Column:
-    """The last part of a qualified name, unquoted, in lower case."""
-    last = F.regexp_extract(identifier, r'(?:"[^"]+"|[\w$]+)$', 0)
-    return F.lower(F.replace(last, F.lit('"'), F.lit("")))
+def balanced(text: Column) -> Column:
+    """What stands between a text's first character, an opening parenthesis, and the one that closes it; else null.
+
+    Parentheses inside quoted texts don't count.
+    """
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"), F.lit(False).alias("quoted"))
+
+    def step(state: Column, sign: Column) -> Column:
+        quoted = state["quoted"] != (sign == "'")
+        depth = state["depth"] + F.when(quoted, 0).when(sign == "(", 1).when(sign == ")", -1).otherwise(0)
+        end = F.when((state["end"] == 0) & (depth == 0) & ~quoted, state["at"] + 1).otherwise(state["end"])
+        return F.struct(depth.alias("depth"), (state["at"] + 1).alias("at"), end.alias("end"), quoted.alias("quoted"))
+
+    end = F.aggregate(F.split(text, ""), start, step, lambda state: state["end"])
+    return F.when(end > 1, F.substring(text, F.lit(2), end - 2))
+
+
+def _plain_token(token: Column, number: Column, following: Column) -> Column:
+    upper = F.upper(token)
+    call = F.coalesce(following == "(", F.lit(False))
+    name = F.concat(F.lit('"'), F.replace(F.regexp_extract(token, rf"({WORD})$", 1), F.lit('"'), F.lit("")), F.lit('"'))
+    return (
+        F.when(token.startswith("'"), F.concat(F.lit("'"), number.cast("string"), F.lit("'")))
+        .when(token.startswith("::"), F.lit(""))
+        .when(upper.isin(*KEYWORDS), upper)
+        .when(upper.isin(*LENGTHS) & call, F.lit("#LENGTH"))
+        .when(token.rlike(r'^[A-Za-z_"]') & call, F.lit("#CALL"))
+        .when(token.rlike(r'^[A-Za-z_"]'), name)
+        .otherwise(token)
+    )
+
 
+def plain_spelling(checks: DataFrame) -> DataFrame:
+    """(table_name, expr, tokens, plain): blank and null expressions are left out."""
+    cut = checks.where(F.length(F.trim("expr")) > 0).select("table_name", "expr", F.regexp_extract_all("expr", F.lit(TOKEN), 0).alias("tokens"))
+    spelled = F.transform("tokens", lambda t, i: _plain_token(t, i, F.get(F.col("tokens"), i + 1)))
+    return cut.select("table_name", "expr", "tokens", F.array_join(F.filter(spelled, lambda t: t != ""), " ").alias("plain"))
 
-def unquote(text: Column) -> Column:
-    """Without the quotes around it; a doubled single quote stands for one."""
-    bare = F.regexp_replace(F.trim(text), r"""(?s)^(['"])(.*)\1$""", "$2")
-    return F.replace(bare, F.lit("''"), F.lit("'"))
 
+def _flat(checks: DataFrame) -> DataFrame:
+    """The plain spelling without parentheses; ``tokens`` are kept to read texts from."""
+    flat = F.regexp_replace("plain", r"[()] | ?[()]", "")
+    return plain_spelling(checks).select("table_name", "tokens", flat.alias("flat"))
 
-def _finds(checks: DataFrame, rules: list[tuple[str, str, str, str]]) -> DataFrame:
-    """(table_name, key, kind, p0, p1) for ``(kind, source column, marker, pattern)`` rules, in one pass.
 
-    A pattern runs only on texts that hold its marker word or sign.
+def _finds(flat: DataFrame, rules: dict[str, tuple[str, str]], parts: int) -> DataFrame:
+    """(table_name, tokens, kind, key, p0, p1) for ``{kind: (marker, pattern)}``, in one pass.
+
+    A pattern runs only on texts that hold its marker word or sign. ``parts`` groups stand behind the column.
     """
     none = F.array().cast("array<string>")
 
-    def tagged_finds(kind: str, source: str, marker: str, pattern: str) -> Column:
-        matches = F.when(F.col(source).rlike(marker), F.regexp_extract_all(F.col(source), F.lit(pattern), 0)).otherwise(none)
-        return F.transform(matches, lambda m: F.struct(F.lit(kind).alias("kind"), m.alias("m")))
+    def tagged(kind: str, marker: str, pattern: str) -> Column:
+        found = F.when(F.col("flat").contains(marker), F.regexp_extract_all(F.col("flat"), F.lit(pattern), 0)).otherwise(none)
+        return F.transform(found, lambda m: F.struct(F.lit(kind).alias("kind"), m.alias("m")))
 
-    tagged = [tagged_finds(*rule) for rule in rules]
-    found = checks.select("table_name", F.explode(F.concat(*tagged)).alias("f")).select("table_name", "f.kind", "f.m")
+    every = F.concat(*[tagged(kind, *rule) for kind, rule in rules.items()])
+    each = flat.select("table_name", "tokens", F.explode(every).alias("f")).select("table_name", "tokens", "f.kind", "f.m")
 
     def part(group: int) -> Column:
-        # Value lists have one part behind the column, limits have two.
-        values = [F.when(F.col("kind") == kind, F.regexp_extract("m", pattern, group)) for kind, _, _, pattern in rules
-                  if group < 3 or kind in LIMIT_KINDS]
-        return F.coalesce(*values) if values else F.lit(None).cast("string")
+        if group > parts + 1:
+            return F.lit(None).cast("string")
+        return F.coalesce(*[F.when(F.col("kind") == k, F.regexp_extract("m", p, group)) for k, (_, p) in rules.items()])
+
+    return each.select("table_name", "tokens", "kind", F.lower(part(1)).alias("key"), part(2).alias("p0"), part(3).alias("p1"))
 
-    return found.select("table_name", "kind", column_key(part(1)).alias("key"), part(2).alias("p0"), part(3).alias("p1"))
 
+def _number(text: Column) -> Column:
+    return F.replace(text, F.lit(" "), F.lit("")).try_cast("double")
 
-def _prepared(checks: DataFrame) -> DataFrame:
-    """Length rules are taken out before numbers are compared, since they bound the length, not the value."""
-    kept = checks.where(F.length(F.trim("expr")) > 0)
-    rest = F.regexp_replace("expr", LENGTH, " ")
-    return kept.select("table_name", "expr", rest.alias("plain"), strip_parens(rest).alias("flat"))
+
+def _item(item: Column, tokens: Column) -> Column:
+    """The value an item of a list stands for: a quoted text is read from its token."""
+    at = F.regexp_extract(item, r"^'(\d+)'$", 1).try_cast("int")
+    token = F.get(tokens, at)
+    text = F.replace(F.substring(token, F.lit(2), F.length(token) - 2), F.lit("''"), F.lit("'"))
+    bare = F.when(item.startswith('"'), F.replace(item, F.lit('"'), F.lit(""))).otherwise(F.replace(item, F.lit(" "), F.lit("")))
+    return F.coalesce(text, bare)
 
 
 def column_limits(checks: DataFrame, columns: DataFrame) -> DataFrame:
     """One row per column with its tightest bounds and text length; null where nothing limits it.
 
     Reversed BETWEEN bounds are swapped, repeated limits intersect, ``length(x) < n`` means
-    n-1, and a declared column length caps the result. ``*_open`` marks strict bounds.
+    n-1, and a declared column length caps the result. Other tests of a length bound neither
+    the value nor the length. ``*_open`` marks strict bounds.
     """
-    found = _finds(_prepared(checks), [
-        ("between", "flat", "(?i)between", BETWEEN), ("compare", "flat", "[<>=]", COMPARE), ("length", "expr", "(?i)length", LENGTH),
-    ])
-    kind, first, second = F.col("kind"), F.col("p0").try_cast("double"), F.col("p1").try_cast("double")
+    found = _finds(_flat(checks), {"between": ("BETWEEN", BETWEEN), "compare": ('"', COMPARE), "length": ("#LENGTH", LENGTH)}, 2)
+    kind, first, second = F.col("kind"), _number(F.col("p0")), _number(F.col("p1"))
     op, compare = F.col("p0"), F.col("kind") == "compare"
+    ends = F.greatest(F.regexp_extract("p0", r"(\d+)", 1).try_cast("int"), F.col("p1").try_cast("int"))
     limits = found.select(
         "table_name", "key",
         F.when(kind == "between", F.least(first, second)).when(compare & op.isin(">", ">=", "="), second).alias("low"),
         (compare & (op == ">")).alias("low_open"),
         F.when(kind == "between", F.greatest(first, second)).when(compare & op.isin("<", "<=", "="), second).alias("high"),
         (compare & (op == "<")).alias("high_open"),
-        F.when(kind == "length", F.col("p1").try_cast("int") - F.when(op == "<", 1).otherwise(0)).alias("size"),
+        F.when(kind == "length", ends - F.when(op == "<", 1).otherwise(0)).alias("size"),
     )
     # Plain numbers aggregate by hash; at equal values the strict bound is the tighter one.
     merged = limits.groupBy("table_name", "key").agg(
@@ -126,69 +178,99 @@ def integer_bounds(low: Column, low_open: Column, high: Column, high_open: Colum
 
 def allowed_values(checks: DataFrame, columns: DataFrame) -> DataFrame:
     """The values a column may take, one row each, from IN lists, ANY ARRAY[...] and equalities."""
-    finds = _finds(_prepared(checks), [
-        ("in", "plain", r"(?i)\bin\b", IN_LIST), ("any", "flat", r"(?i)\bany\b", ANY_ARRAY), ("eq", "flat", "=", EQUALS),
-    ])
-    listed = F.regexp_extract_all("p0", F.lit(LIST_ITEM), 0)
-    single = F.when(~F.upper("p0").isin("ANY", "NULL"), F.array("p0")).otherwise(F.array().cast("array<string>"))
-    items = finds.select("table_name", "key", "kind", F.explode(F.when(F.col("kind") == "eq", single).otherwise(listed)).alias("item"))
-    # A cast inside a quoted single value is part of the value.
-    bare = F.when(F.col("kind") == "eq", F.col("item")).otherwise(F.regexp_replace("item", r"::[\w\[\]]+(?:\s+[\w\[\]]+)*", ""))
-    found = items.select("table_name", "key", unquote(bare).alias("value")).where("value <> ''").distinct()
+    finds = _finds(_flat(checks), {"in": (" IN ", IN_LIST), "any": ("ANY", ANY_ARRAY), "eq": ("=", EQUALS)}, 1)
+    items = finds.select("table_name", "key", "tokens", F.explode(F.split("p0", " , ")).alias("item"))
+    found = items.select("table_name", "key", _item(F.col("item"), F.col("tokens")).alias("value")).where("value <> ''").distinct()
     named = columns.select("table_name", "column_name", F.lower("column_name").alias("key"))
     return found.join(named, ["table_name", "key"]).select("table_name", "column_name", "value")
 
 
-def _nesting(texts: DataFrame, column: str) -> int:
-    """How deep parentheses are nested in any of the texts."""
-    parens = F.split(F.regexp_replace(column, "[^()]", ""), "")
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+# One condition of a clause in the plain spelling, and a value alone in parentheses.
+_CONDITION = re.compile(rf"""^"([^"]+)" = ({ITEM})$""")
+_ALONE = re.compile(rf"""(?<!IN )(?<!CALL )(?<!LENGTH )(?<!ANY )\( ((?:{ITEM})) \)""")
 
-    def step(state: Column, sign: Column) -> Column:
-        now = state["now"] + F.when(sign == "(", 1).when(sign == ")", -1).otherwise(0)
-        return F.struct(now.alias("now"), F.greatest(state["most"], now).alias("most"))
 
-    depth = F.aggregate(parens, start, step, lambda state: state["most"])
-    return texts.agg(F.max(depth)).first()[0] or 0
+def clauses(plain: str) -> list[list[list[str]] | None]:
+    """The alternatives of a condition, each as [column, value] pairs; None for one with other tests than equality.
+
+    Parts joined by AND are multiplied out over the ORs inside them, to any depth.
+    """
+    before = None
+    while before != plain:
+        before, plain = plain, _ALONE.sub(r"\1", plain)
+    # Per open parenthesis: the finished alternatives, and those of the part being read.
+    frames: list[list] = [[[], None]]
+    tokens, at = plain.split(" "), 0
+
+    def join(found: list) -> None:
+        now = frames[-1][1]
+        frames[-1][1] = found if now is None else [None if a is None or b is None else a + b for a in now for b in found]
+
+    fresh = True
+    while at < len(tokens):
+        token = tokens[at]
+        if token in ("AND", "OR"):
+            if token == "OR":
+                frames[-1][0] += frames[-1][1] or []
+                frames[-1][1] = None
+            fresh, at = True, at + 1
+        elif token == "(" and fresh:
+            frames.append([[], None])
+            at += 1
+        elif token == ")":
+            if len(frames) == 1:
+                return []
+            done, last = frames.pop()
+            join(done + (last or []))
+            fresh, at = False, at + 1
+        else:
+            start, depth = at, 0
+            while at < len(tokens) and (depth or tokens[at] not in ("OR", ")") and (tokens[at] != "AND" or "BETWEEN" in tokens[start:at] and "AND" not in tokens[start:at])):
+                depth += (tokens[at] == "(") - (tokens[at] == ")")
+                at += 1
+            match = _CONDITION.match(" ".join(tokens[start:at])) if fresh else None
+            join([[[match[1].lower(), match[2]]] if match else None])
+            fresh = False
+    return frames[0][0] + (frames[0][1] or []) if len(frames) == 1 else []
+
+
+@F.pandas_udf(ArrayType(ArrayType(ArrayType(StringType()))))
+def _clauses(plain: pd.Series) -> pd.Series:
+    return plain.map(clauses)
 
 
 def value_combinations(checks: DataFrame) -> DataFrame:
-    """Multi-column rules written as OR of AND of equalities, one row per clause and column.
+    """Multi-column rules written as OR and AND of equalities, one row per clause and column.
 
-    A clause with anything but equalities is dropped. Quoted texts are set aside first, so
-    that words inside them are not taken for operators.
+    ORs inside a clause make a clause each. A clause with anything but equalities is dropped.
     """
-    text = F.regexp_replace("expr", r"(?is)^\s*CHECK\s*(?=\()", "")
-    pieces = F.split(text, QUOTED, -1)
-    last = F.size(pieces) - 1
-    masked = F.array_join(
-        F.transform(pieces, lambda p, i: F.when(i < last, F.concat(p, F.lit("'"), i.cast("string"), F.lit("'"))).otherwise(p)), ""
-    )
-    ready = checks.where(F.col("expr").contains("=")).select(
-        "table_name", "expr", masked.alias("flat"), F.regexp_extract_all(text, F.lit(QUOTED), 0).alias("literals")
-    )
-    flat = F.col("flat")
-    for _ in range(_nesting(ready, "flat")):
-        flat = F.regexp_replace(flat, r"(?i)\((?![^()]*\bOR\b)([^()]*)\)", " $1 ")
-        flat = F.regexp_replace(flat, r"\(\s*\(([^()]*)\)\s*\)", "($1)")
-    flat = F.regexp_replace(flat, r"^\s*\(([^()]*)\)\s*$", "$1")
-    ready = ready.withColumn("flat", flat).where(F.col("flat").rlike(r"(?i)\b(OR|AND)\b") & ~F.col("flat").rlike(r"[()]"))
-    clauses = ready.select("table_name", "expr", "literals", F.posexplode(F.split("flat", r"(?i)\bOR\b", -1)).alias("clause", "body"))
-    parts = clauses.withColumn("parts", F.split("body", r"(?i)\bAND\b", -1)).where(
-        F.forall("parts", lambda p: p.rlike(CONDITION))
-    )
-    single = parts.select("table_name", "expr", "literals", "clause", F.explode("parts").alias("part"))
-    found = F.regexp_extract("part", CONDITION, 2)
-    number = F.regexp_extract(found, r"^'(\d+)'$", 1).try_cast("int")
-    value = F.coalesce(F.get(F.col("literals"), number), found)
+    spelled = plain_spelling(checks).where(F.col("plain").contains(" = ") & F.col("plain").rlike(r"\b(?:AND|OR)\b"))
+    ready = spelled.select("table_name", "expr", "tokens", F.regexp_replace("plain", "^CHECK ", "").alias("plain"))
+    each = ready.select("table_name", "expr", "tokens", F.posexplode(_clauses("plain")).alias("clause", "parts"))
+    single = each.select("table_name", "expr", "tokens", "clause", F.explode("parts").alias("part"))
     return single.select(
-        "table_name", "expr", F.col("clause").cast("int").alias("clause"),
-        column_key(F.regexp_extract("part", CONDITION, 1)).alias("column_name"), unquote(value).alias("value"),
+        "table_name", "expr", F.col("clause").cast("int").alias("clause"), F.get("part", F.lit(0)).alias("column_name"),
+        _item(F.get("part", F.lit(1)), F.col("tokens")).alias("value"),
     )
 
 
-def constrain(spec: TableSpec, limits: DataFrame, allowed: DataFrame) -> TableSpec:
-    """Put extracted limits into a table's specification; both frames are one schema in size."""
+def _rules(spec: TableSpec, combinations: DataFrame) -> tuple[CombinationRule, ...]:
+    """The table's combination rules: clauses of one CHECK over the same two or more of its columns."""
+    texts: dict[str, dict[int, dict[str, str]]] = {}
+    for r in combinations.where(F.col("table_name") == spec.name).orderBy("expr", "clause").collect():
+        if spec.has_column(r["column_name"]):
+            texts.setdefault(r["expr"], {}).setdefault(r["clause"], {})[spec.column(r["column_name"]).name] = r["value"]
+    found = []
+    for by_clause in texts.values():
+        names = sorted({c for clause in by_clause.values() for c in clause})
+        whole = [tuple(clause[c] for c in names) for clause in by_clause.values() if len(clause) == len(names)]
+        if len(names) > 1 and whole:
+            found.append(CombinationRule(tuple(names), tuple(dict.fromkeys(whole))))
+    return tuple(found)
+
+
+def constrain(spec: TableSpec, limits: DataFrame, allowed: DataFrame, combinations: DataFrame | None = None) -> TableSpec:
+    """Put extracted limits and combinations into a table's specification; the frames are one schema in size."""
     bounds = {r["column_name"].lower(): r for r in limits.where(F.col("table_name") == spec.name).collect()}
     values: dict[str, list[str]] = {}
     for r in allowed.where(F.col("table_name") == spec.name).orderBy("column_name", "value").collect():
@@ -201,7 +283,8 @@ def constrain(spec: TableSpec, limits: DataFrame, allowed: DataFrame) -> TableSp
             low = None if low is None else (int(low // 1) + 1 if r["min_open"] else int(-(-low // 1)))
             high = None if high is None else (int(-(-high // 1)) - 1 if r["max_open"] else int(high // 1))
         columns.append(_limited(c, low, high, tuple(values.get(c.name.lower(), ())), size))
-    return TableSpec(spec.name, tuple(columns), spec.primary_key, spec.foreign_keys, spec.unique_keys, spec.combinations)
+    rules = spec.combinations + (_rules(spec, combinations) if combinations is not None else ())
+    return TableSpec(spec.name, tuple(columns), spec.primary_key, spec.foreign_keys, spec.unique_keys, rules)
 
 
 def _limited(c: ColumnSpec, low, high, allowed: tuple[str, ...], size: int | None) -> ColumnSpec:

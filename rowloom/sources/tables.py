@@ -5,25 +5,30 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Catalog queries for CHECK texts, (schema, table, clause) in that order.
+from rowloom.operators.checks import balanced
+
+# Catalog queries for CHECK texts: schema, table, clause, for the schema put in as an SQL expression.
 CHECK_QUERIES = {
-    "postgresql": "SELECT nsp.nspname AS schema_name, rel.relname AS table_name, pg_get_constraintdef(con.oid) AS clause"
-    " FROM pg_constraint con JOIN pg_class rel ON rel.oid = con.conrelid"
-    " JOIN pg_namespace nsp ON nsp.oid = con.connamespace WHERE con.contype = 'c'",
-    "mysql": "SELECT tc.TABLE_SCHEMA AS schema_name, tc.TABLE_NAME AS table_name, cc.CHECK_CLAUSE AS clause"
-    " FROM information_schema.CHECK_CONSTRAINTS cc JOIN information_schema.TABLE_CONSTRAINTS tc"
-    " ON cc.CONSTRAINT_SCHEMA = tc.CONSTRAINT_SCHEMA AND cc.CONSTRAINT_NAME = tc.CONSTRAINT_NAME"
-    " WHERE tc.CONSTRAINT_TYPE = 'CHECK'",
-    "h2": "SELECT tc.TABLE_SCHEMA AS schema_name, tc.TABLE_NAME AS table_name, cc.CHECK_CLAUSE AS clause"
-    " FROM INFORMATION_SCHEMA.CHECK_CONSTRAINTS cc JOIN INFORMATION_SCHEMA.TABLE_CONSTRAINTS tc"
-    " ON cc.CONSTRAINT_NAME = tc.CONSTRAINT_NAME WHERE tc.CONSTRAINT_TYPE = 'CHECK'",
+    "postgresql": "SELECT connamespace::regnamespace::text, (SELECT relname FROM pg_catalog.pg_class WHERE oid = conrelid),"
+    " pg_get_constraintdef(oid) FROM pg_catalog.pg_constraint"
+    " WHERE contype = 'c' AND connamespace = (SELECT oid FROM pg_catalog.pg_namespace WHERE nspname = {schema})",
+    "mysql": "SELECT constraint_schema, (SELECT table_name FROM information_schema.table_constraints AS t"
+    " WHERE t.constraint_schema = c.constraint_schema AND t.constraint_name = c.constraint_name AND t.constraint_type = 'CHECK'),"
+    " check_clause FROM information_schema.check_constraints AS c WHERE constraint_schema = {schema}",
+    # Here constraint names repeat between tables, and the view names the table itself.
+    "mariadb": "SELECT constraint_schema, table_name, check_clause FROM information_schema.check_constraints"
+    " WHERE constraint_schema = {schema}",
+    "h2": "SELECT constraint_schema, (SELECT table_name FROM information_schema.table_constraints AS t"
+    " WHERE t.constraint_schema = c.constraint_schema AND t.constraint_name = c.constraint_name),"
+    " check_clause FROM information_schema.check_constraints AS c WHERE constraint_schema = {schema}",
 }
 CHECK_QUERIES["cockroachdb"] = CHECK_QUERIES["postgresql"]
-CHECK_QUERIES["mariadb"] = CHECK_QUERIES["mysql"]
-CHECK_WRAPPER = r"(?is)CHECK\s*\((.*)\)"
+# The connection's own schema, where none is named.
+OWN_SCHEMA = {"postgresql": "current_schema()", "cockroachdb": "current_schema()", "mysql": "database()", "mariadb": "database()",
+              "h2": "current_schema"}
 
 
 def load_tables(spark: SparkSession, path: str, names: Sequence[str], fmt: str = "parquet", suffix: str = "") -> dict[str, DataFrame]:
@@ -58,6 +63,12 @@ def table_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _bodies(text: Column) -> Column:
+    """What stands in the parentheses of each CHECK of a text; those that never close are left out."""
+    behind = F.slice(F.split(text, r"(?i)\bCHECK\s*(?=\()", -1), 2, 1 << 30)
+    return F.filter(F.transform(behind, balanced), lambda body: body.isNotNull())
+
+
 def strip_check_wrapper(checks: DataFrame, quote: str = "", wrapped: bool = True) -> DataFrame:
     """Catalog clauses ``(schema_name, table_name, clause)`` as ``(schema_name, table_name, expr)``.
 
@@ -65,8 +76,7 @@ def strip_check_wrapper(checks: DataFrame, quote: str = "", wrapped: bool = True
     """
     clause = F.col("clause")
     if wrapped:
-        inner = F.regexp_extract(clause, CHECK_WRAPPER, 1)
-        clause = F.when(clause.rlike(CHECK_WRAPPER), inner).otherwise(clause)
+        clause = F.coalesce(F.get(_bodies(clause), F.lit(0)), clause)
     if quote:
         clause = F.replace(clause, F.lit(quote), F.lit(""))
     return checks.where(F.length(F.trim("clause")) > 0).select("schema_name", "table_name", clause.alias("expr"))
@@ -75,21 +85,21 @@ def strip_check_wrapper(checks: DataFrame, quote: str = "", wrapped: bool = True
 def load_checks(
     spark: SparkSession, url: str, dialect: str, schema: str | None = None, properties: Mapping[str, str] | None = None
 ) -> DataFrame:
-    """CHECK texts from a database catalog, through the JDBC source."""
-    query = CHECK_QUERIES[dialect]
+    """CHECK texts from a database catalog, through the JDBC source; without a schema, those of the connection's own."""
+    named = OWN_SCHEMA[dialect]
+    if schema is not None:
+        named = "'" + (schema.upper() if dialect == "h2" else schema).replace("'", "''") + "'"
+    query = CHECK_QUERIES[dialect].format(schema=named)
     found = spark.read.format("jdbc").options(url=url, query=query, **(properties or {})).load().toDF(
         "schema_name", "table_name", "clause"
     )
-    if schema is not None:
-        found = found.where(F.col("schema_name") == (schema.upper() if dialect == "h2" else schema))
     quote = "`" if dialect in ("mysql", "mariadb") else ""
     return strip_check_wrapper(found, quote, wrapped=dialect in ("postgresql", "cockroachdb"))
 
 
 def checks_from_remarks(remarks: DataFrame) -> DataFrame:
-    """CHECK texts embedded in comments: ``(table_name, remark)`` to ``(table_name, expr)``."""
-    found = remarks.select("table_name", F.explode(F.regexp_extract_all(F.col("remark"), F.lit(CHECK_WRAPPER), 1)).alias("expr"))
-    return found
+    """CHECK texts embedded in comments: ``(table_name, remark)`` to ``(table_name, expr)``, one row per CHECK."""
+    return remarks.select("table_name", F.explode(_bodies(F.col("remark"))).alias("expr"))
 
 
 def vocabulary(texts: DataFrame, column: str) -> DataFrame:

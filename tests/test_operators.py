@@ -87,7 +87,7 @@ def test_combination_rule(spark):
     rule = CombinationRule(("a", "b"), (("x", "1"), ("y", "NULL")))
     df = spark.createDataFrame([("x", 1), ("x", 2), ("y", None), ("y", 1), (None, 1)], "a string, b int")
     assert sorted(map(str, combination_violations(df, rule).collect())) == sorted(
-        ["Row(a='x', b=2)", "Row(a='y', b=1)", "Row(a=None, b=1)"])
+        ["Row(a='x', b=2)", "Row(a='y', b=1)"])
 
 
 CLEANED = [
@@ -224,3 +224,21 @@ def test_oversized_word_list_is_refused():
 
     with pytest.raises(ValueError):
         ValueSettings(words=("w",) * (MAX_INLINE_WORDS + 1))
+
+
+def test_combinations_enter_the_specification(spark):
+    texts = spark.createDataFrame(
+        [("t", "(kind = 'a' AND size = 1) OR (kind = 'b' AND (size = 2 OR size = 3))"), ("t", "kind = 'a' OR kind = 'b'"), ("u", "kind = 'z' AND size = 1")],
+        "table_name string, expr string",
+    )
+    spec = TableSpec("t", (C("kind"), C("size", "int")))
+    columns = spark.createDataFrame([("t", c.name, c.length) for c in spec.columns], "table_name string, column_name string, length int")
+    got = checks.constrain(spec, checks.column_limits(texts, columns), checks.allowed_values(texts, columns), checks.value_combinations(texts))
+    assert got.combinations == (CombinationRule(("kind", "size"), (("a", "1"), ("b", "2"), ("b", "3"))),)
+
+
+def test_clauses():
+    assert checks.clauses("\"a\" BETWEEN 1 AND 3 AND \"b\" = 2 OR ( \"a\" ) = '5' AND \"b\" = 1") == [None, [["a", "'5'"], ["b", "1"]]]
+    assert checks.clauses('NOT ( "a" = 1 OR "a" = 2 )') == [None] and checks.clauses('( "a" = 1') == []
+    deep = "( " * 3000 + '"a" = 1' + " )" * 3000
+    assert checks.clauses(deep) == [[["a", "1"]]]

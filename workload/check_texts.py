@@ -183,7 +183,51 @@ WITH m AS (SELECT round(avg(l_quantity)) AS low FROM lineitem)
 SELECT count(*) FILTER (l_quantity BETWEEN low AND 48) AS inside, any_value(low) AS low, 48::DOUBLE AS high FROM lineitem, m
 """
 
+def parse_edge_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Tests that bound no value, exponents, arithmetic, negation, and texts that look like rules."""
+    facts = _facts(spark, d)
+    a, c = F.col("a"), F.col("c")
+    made = [
+        F.concat(F.lit("length(code) >= "), a), F.concat(F.lit("char_length(title) BETWEEN 1 AND "), c),
+        F.concat(F.lit("price >= "), a, F.lit("e2 AND price < .5E6")), F.concat(F.lit("tax + qty > "), a, F.lit(" OR abs(qty) > 9")),
+        F.concat(F.lit("NOT (free > "), a, F.lit(")")), F.concat(F.lit("status = 'tax > "), a, F.lit("'")),
+    ]
+    names = F.array(*[F.lit(n) for n in ("code", "title", "price", "tax", "qty", "free", "status")])
+    columns = facts.select("table_name", F.explode(names).alias("column_name"), F.lit(0).alias("length"))
+    return checks.column_limits(facts.select("table_name", F.explode(F.array(*made)).alias("expr")), columns)
+
+
+PARSE_EDGE_LIMITS = f"""
+WITH {FACTS}
+SELECT table_name, unnest(['code', 'tax', 'qty', 'free', 'status']) AS column_name, NULL::DOUBLE AS min_value, false AS min_open,
+  NULL::DOUBLE AS max_value, false AS max_open, NULL::INTEGER AS max_length FROM f
+UNION ALL SELECT table_name, 'title', NULL, false, NULL, false, c::INTEGER FROM f
+UNION ALL SELECT table_name, 'price', a * 100.0, false, 500000.0, true, NULL FROM f
+"""
+
+
+def parse_edge_combinations(spark: SparkSession, d: str) -> DataFrame:
+    """ORs inside clauses, a range beside them, and several CHECKs in one remark."""
+    facts = _facts(spark, d)
+    a, k = F.col("a"), F.col("l_partkey").cast("string")
+    remark = F.concat(
+        F.lit("first CHECK ((kind = 'x"), k, F.lit(") OR' AND size = 1) OR (kind = 'b' AND (size = 2 OR size = "), a,
+        F.lit("))) then check ((kind)::text = 'c' AND size BETWEEN 1 AND 3 OR kind = 'd' AND size = 4) (end"),
+    )
+    found = checks.value_combinations(checks_from_remarks(facts.select("table_name", remark.alias("remark"))))
+    return found.select("table_name", F.col("expr").contains("BETWEEN").alias("second"), "clause", "column_name", "value")
+
+
+PARSE_EDGE_COMBINATIONS = f"""
+WITH {FACTS}
+SELECT table_name, false AS second, unnest([0, 1, 2]) AS clause, 'kind' AS column_name, unnest(['x' || k || ') OR', 'b', 'b']) AS value FROM f
+UNION ALL SELECT table_name, false, unnest([0, 1, 2]), 'size', unnest(['1', '2', a::VARCHAR]) FROM f
+UNION ALL SELECT table_name, true, 1, unnest(['kind', 'size']), unnest(['d', '4']) FROM f
+"""
+
 QUERIES = {
+    "parse_edge_limits": (parse_edge_limits, PARSE_EDGE_LIMITS),
+    "parse_edge_combinations": (parse_edge_combinations, PARSE_EDGE_COMBINATIONS),
     "parse_limits": (parse_limits, PARSE_LIMITS),
     "parse_integer_bounds": (parse_integer_bounds, PARSE_INTEGER_BOUNDS),
     "parse_allowed": (parse_allowed, PARSE_ALLOWED),
