@@ -22,12 +22,11 @@ TRIM = "'^[\\x00-\\x20]+|[\\x00-\\x20]+$'"
 
 
 def _wrapped(text: Column, number: Column) -> Column:
-    """The text's first line inside one of the wrappings."""
-    line = F.regexp_extract(text, r"^([^\r\n]*)", 1)
+    """The whole text inside one of the wrappings."""
     choice = F.pmod(number, F.lit(len(WRAPPINGS))).cast("int") + 1
     before = F.element_at(F.array(*[F.lit(b.encode().decode("unicode_escape")) for b, _ in WRAPPINGS]), choice)
     after = F.element_at(F.array(*[F.lit(a.encode().decode("unicode_escape")) for _, a in WRAPPINGS]), choice)
-    return F.concat(before, line, after)
+    return F.concat(before, text, after)
 
 
 def clean_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -74,7 +73,7 @@ cleaned AS (SELECT {key}, CASE WHEN NOT ({starts} OR {inside}) THEN {final} END
 _BEFORE = "[" + ", ".join(_sql_text(b) for b, _ in WRAPPINGS) + "]"
 _AFTER = "[" + ", ".join(_sql_text(a) for _, a in WRAPPINGS) + "]"
 CLEAN_TEXTS = f"""
-WITH w AS (SELECT doc_id, ({_BEFORE})[(doc_id % {len(WRAPPINGS)} + 1)::INTEGER] || regexp_extract(text, '^([^\\r\\n]*)', 1) ||
+WITH w AS (SELECT doc_id, ({_BEFORE})[(doc_id % {len(WRAPPINGS)} + 1)::INTEGER] || text ||
   ({_AFTER})[(doc_id % {len(WRAPPINGS)} + 1)::INTEGER] AS t FROM documents),
 {_clean_sql('w', 't', 'doc_id', 'text')}
 SELECT doc_id, value FROM cleaned
@@ -143,12 +142,12 @@ SELECT event_id, (props::JSON->>'$.k')::INTEGER AS n, NULL::BIGINT AS m, substr(
 
 def enrich_dedupe(spark: SparkSession, d: str) -> DataFrame:
     """Provided texts for a unique column: the first row to get a text keeps it."""
-    texts = table(spark, d, "documents").select("lang", "doc_id", F.regexp_extract("text", r"^([^ ]*)", 1).alias("value"))
+    texts = table(spark, d, "documents").select("lang", "doc_id", F.col("text").alias("value"))
     return first_occurrences(texts, ["lang"], "value", "doc_id").select("lang", "value", "doc_id")
 
 
 ENRICH_DEDUPE = """
-SELECT lang, regexp_extract(text, '^([^ ]*)', 1) AS value, min(doc_id) AS doc_id FROM documents GROUP BY 1, 2
+SELECT lang, text AS value, min(doc_id) AS doc_id FROM documents GROUP BY 1, 2
 """
 
 

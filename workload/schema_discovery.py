@@ -12,7 +12,6 @@ from rowloom.sources.tables import vocabulary
 from workload.common import table
 from workload.star import STAR, star_tables
 
-PROFILED = ("nation", "customer", "orders", "lineitem", "events", "documents")
 # The provided schema's column kinds, for the SQL side.
 KINDS = {
     "nation": {"n_nationkey": "integer", "n_name": "string", "n_regionkey": "integer"},
@@ -24,11 +23,19 @@ KINDS = {
                  "l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "time"},
     "events": {"event_id": "integer", "ts": "time", "user_id": "integer", "event_type": "string", "value": "double", "props": "string"},
     "documents": {"doc_id": "integer", "text": "string", "lang": "string", "source": "string", "n_chars": "integer"},
+    "region": {"r_regionkey": "integer", "r_name": "string"},
+    "supplier": {"s_suppkey": "integer", "s_name": "string", "s_nationkey": "integer", "s_acctbal": "double"},
+    "part": {"p_partkey": "integer", "p_name": "string", "p_brand": "string", "p_type": "string", "p_size": "integer", "p_retailprice": "double"},
+    "embeddings": {"vec_id": "integer", "label": "integer"},
+    "pages": {"page_id": "integer", "url": "string", "html": "string"},
+    "benchmark": {"item_id": "integer", "text": "string"},
+    "labels": {"doc_id": "integer", "quality": "integer", "toxic": "integer"},
+    "conversations": {"conv_id": "integer", "turn": "integer", "role": "string", "text": "string"},
 }
 
 
 def profile_columns(spark: SparkSession, d: str) -> DataFrame:
-    parts = [discovery.profile_columns(table(spark, d, n), n) for n in PROFILED]
+    parts = [discovery.profile_columns(table(spark, d, n), n) for n in KINDS]
     shown = reduce(DataFrame.unionByName, parts)
     # Readers differ in how they name timestamp types.
     family = F.when(F.col("type_family").startswith("timestamp"), F.lit("time")).otherwise(F.col("type_family"))
@@ -53,8 +60,6 @@ def discover_keys(spark: SparkSession, d: str) -> DataFrame:
     """Keys of one or two columns of the star schema."""
     rows = []
     for name, df in star_tables(spark, d).items():
-        if name in ("lineitem", "documents"):
-            continue
         found = discovery.discover_keys(df)
         rows += [(name, "primary", ",".join(k)) for k in found.primary] + [(name, "unique", ",".join(k)) for k in found.unique]
     return spark.createDataFrame(rows, "table_name string, kind string, key_columns string")
@@ -67,6 +72,8 @@ def _keys_sql() -> str:
         "part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size"),
         "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"),
         "events": ("event_id", "user_id", "event_type", "props"), "labels": ("doc_id", "quality", "toxic"),
+        "lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"),
+        "documents": ("doc_id", "text", "lang", "source", "n_chars"),
     }
     lines = []
     for t, names in columns.items():
