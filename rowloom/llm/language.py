@@ -84,22 +84,23 @@ class Filters:
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, common: float = COMMON, slots: int = SLOTS) -> Filters:
     """Fill the filters from (text, lang): a bounded sample per language, n-grams counted by Spark.
 
-    The sample holds the documents of least hash; only hashes are sorted to find its bounds, and equal
-    texts stay or go together.
+    The sample holds the texts of least hash; only hashes are sorted to find its bounds. Equal texts are
+    learned from once, so a large group of copies neither fills a sample nor speaks for its language.
 
     Slots that several n-grams share hold the languages of all; the share of set slots tells each
     language's rate of false positives. Only the filters come to the driver: ``slots`` masks at most.
     """
     known = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("order"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
-    least = known.select("lang", "order").withColumn("nth", nth).where(F.col("nth") <= per_language)
+    least = known.select("lang", "order").distinct().withColumn("nth", nth).where(F.col("nth") <= per_language)
     bounds = least.groupBy("lang").agg(F.max("order").alias("bound"), F.count("*").alias("n")).collect()
     languages = sorted(r["lang"] for r in bounds)
     words = (len(languages) + 63) // 64
     if not languages:
         return Filters([], np.zeros((slots, 1), np.uint64), np.zeros(0))
     limits = docs.sparkSession.createDataFrame([(r["lang"], r["bound"], r["n"] * common) for r in bounds], "lang string, bound long, least double")
-    sample = known.join(F.broadcast(limits), "lang").where(F.col("order") <= F.col("bound")).select("lang", "text", "least")
+    chosen = known.join(F.broadcast(limits), "lang").where(F.col("order") <= F.col("bound"))
+    sample = chosen.dropDuplicates(["lang", "order"]).select("lang", "text", "least")
     found = StructType([StructField("grams", ArrayType(LongType()))])
 
     def distinct(texts):
