@@ -86,6 +86,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, common: float = COM
 
     The sample holds the texts of least hash; only hashes are sorted to find its bounds. Equal texts are
     learned from once, so a large group of copies neither fills a sample nor speaks for its language.
+    N-grams of a single text count only where a language has no other.
 
     Slots that several n-grams share hold the languages of all; the share of set slots tells each
     language's rate of false positives. Only the filters come to the driver: ``slots`` masks at most.
@@ -98,7 +99,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, common: float = COM
     words = (len(languages) + 63) // 64
     if not languages:
         return Filters([], np.zeros((slots, 1), np.uint64), np.zeros(0))
-    limits = docs.sparkSession.createDataFrame([(r["lang"], r["bound"], r["n"] * common) for r in bounds], "lang string, bound long, least double")
+    limits = docs.sparkSession.createDataFrame([(r["lang"], r["bound"], float(max(r["n"] * common, min(r["n"], 2)))) for r in bounds], "lang string, bound long, least double")
     chosen = known.join(F.broadcast(limits), "lang").where(F.col("order") <= F.col("bound"))
     sample = chosen.dropDuplicates(["lang", "order"]).select("lang", "text", "least")
     found = StructType([StructField("grams", ArrayType(LongType()))])
@@ -107,7 +108,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, common: float = COM
         return [pa.array([np.unique(grams(t)).view(np.int64).tolist() for t in texts], pa.list_(pa.int64()))]
 
     each = map_texts(sample, distinct, found).select("row.lang", "row.least", F.explode("found.grams").alias("gram"))
-    kept = each.groupBy("lang", "least", "gram").agg(F.count("*").alias("n")).where("n >= least and n > 1")
+    kept = each.groupBy("lang", "least", "gram").agg(F.count("*").alias("n")).where("n >= least")
     rows = kept.select("lang", "gram").toArrow()
     numbers = {x: k for k, x in enumerate(languages)}
     masks = np.zeros((slots, words), np.uint64)
