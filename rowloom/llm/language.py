@@ -19,6 +19,8 @@ HASHES = 3
 SLOTS = 1 << 20
 # At most so many documents are learned from per language, those of least hash.
 PER_LANGUAGE = 1000
+# Ranked are about this many times as many.
+SPARE = 4
 # An n-gram is filed under a language if this share of its learned documents hold it.
 COMMON = 0.02
 UNKNOWN = "und"
@@ -93,7 +95,12 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, common: float = COM
     """
     known = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("order"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
-    least = known.select("lang", "order").distinct().withColumn("nth", nth).where(F.col("nth") <= per_language)
+    # Hashes spread evenly: those of the first few thousand texts lie below this reach, and no more are ranked.
+    share = F.lit(SPARE * per_language) / F.approx_count_distinct("order")
+    reach = F.when(share < 1, (F.lit(2.0**64) * share - 2.0**63).cast("bigint"))
+    reaches = known.groupBy("lang").agg(F.coalesce(reach, F.lit(2**63 - 1)).alias("reach"))
+    near = known.select("lang", "order").join(F.broadcast(reaches), "lang").where("order <= reach")
+    least = near.select("lang", "order").distinct().withColumn("nth", nth).where(F.col("nth") <= per_language)
     bounds = least.groupBy("lang").agg(F.max("order").alias("bound"), F.count("*").alias("n")).collect()
     languages = sorted(r["lang"] for r in bounds)
     words = (len(languages) + 63) // 64
