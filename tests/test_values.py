@@ -88,7 +88,7 @@ def test_soft_delete(spark):
     assert parse_column_list(None) == frozenset()
 
 
-def test_pattern_texts():
+def test_pattern_texts(spark):
     import re
 
     for pattern in (r"[A-Z]{3}-\d{2,4}", r"(foo|ba[rz])+x?", r"[^a-y]\w\.", r"(ab)\1"):

@@ -415,14 +415,31 @@ SELECT s_suppkey, (['x', 'y'])[({draw('soft', 'name', 's_suppkey')} % 2 + 1)::IN
 
 
 def regex_rows(spark: SparkSession, d: str) -> DataFrame:
-    """One text per order from a pattern; every text matches it."""
-    pattern = r"[A-Z]{2}-\d{3,5}(x|yz)?"
+    """One text per order from a pattern, and whether it matches; a second one has to fit ten characters."""
+    pattern, repeated = r"[A-Z]{2}-\d{3,5}(x|yz)?", r"([a-c]\d)+_\1"
     orders = table(spark, d, "orders").select("o_orderkey")
-    made = orders.withColumn("code", pattern_column(pattern, F.col("o_orderkey")))
-    return made.select("o_orderkey", F.col("code").rlike(f"^(?:{pattern})$").alias("matches"))
+    key, draws = F.col("o_orderkey"), Draws(SEED, "codes")
+    made = orders.withColumn("code", pattern_column(pattern, key, draws=draws)).withColumn("short", pattern_column(repeated, key, 10, draws))
+    fits = F.col("short").rlike(f"^(?:{repeated})$") & (F.length("short") <= 10)
+    return made.select("o_orderkey", "code", F.col("code").rlike(f"^(?:{pattern})$").alias("matches"), fits.alias("fits"))
 
 
-REGEX_ROWS = "SELECT o_orderkey, true AS matches FROM orders"
+def _places(place: str, characters: str, times: int) -> str:
+    """The characters drawn by the turns of a repeat, as SQL."""
+    return " || ".join(
+        f"substr('{characters}', ({draw('codes', place, f"o_orderkey || '.{i}'")} % {len(characters)} + 1)::INTEGER, 1)"
+        for i in range(1, times + 1)
+    )
+
+
+REGEX_ROWS = f"""
+SELECT o_orderkey, true AS matches, true AS fits,
+  {_places('r.0.0', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 2)} || '-' ||
+  substr({_places('r.2.0', '0123456789', 5)}, 1, (3 + {draw('codes', 'r.2', 'o_orderkey', 'n')} % 3)::INTEGER) ||
+  CASE WHEN {draw('codes', 'r.3', 'o_orderkey', 'n')} % 2 = 0 THEN ''
+       WHEN {draw('codes', 'r.3.0.0', "o_orderkey || '.1'")} % 2 = 0 THEN 'x' ELSE 'yz' END AS code
+FROM orders
+"""
 
 
 def gen_capacity(spark: SparkSession, d: str) -> DataFrame:
