@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from decimal import Decimal
 from functools import reduce
@@ -17,6 +17,7 @@ from rowloom.operators.quality import WHOLE, common_type
 UUID_PATTERN = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 # Sketches of 4096 buckets err by 1.6 %; a key's estimate stays above this share of the rows.
 SKETCH_BITS, SKETCH_SHARE = 12, 0.8
+SKETCHES = 200
 # Families of exact numbers, which may refer to each other.
 NUMBERS = {"integer", "decimal"}
 _KEY_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.StringType, T.DateType, T.DecimalType)
@@ -50,9 +51,9 @@ def _comparable(kind: T.DataType) -> bool:
 def profile_columns(df: DataFrame, table: str, exact: bool = True) -> DataFrame:
     """One row per column: type, rows, nulls, distinct values, longest text, largest scale, UUID share.
 
-    Sizes come from one scan. Exact distinct counts read one column each, so no row is
-    multiplied and only that column is shuffled; with ``exact=False`` a sketch in the first
-    scan replaces them.
+    Sizes come from one scan. Exact distinct counts take a second one: each cell becomes its
+    column's number and a 128-bit digest, equal ones meet in their task first, and one exchange
+    of those counts all columns. With ``exact=False`` a sketch in the first scan replaces them.
     """
     fields = [f for f in df.schema.fields if _comparable(f.dataType)]
     aggs: list[Column] = [F.count("*").alias("n")]
@@ -85,14 +86,23 @@ def profile_columns(df: DataFrame, table: str, exact: bool = True) -> DataFrame:
     facts = totals.select(F.explode(F.array(*lines)).alias("r")).select(F.lit(table).alias("table_name"), "r.*")
     if not exact:
         return facts
-    counted = [
-        df.select(F.col(f"`{f.name}`").alias("v")).where("v is not null").distinct()
-        .agg(F.count("*").alias("d")).select(F.lit(f.name).alias("column_name"), "d")
-        for f in fields
-    ]
     # One row per column on either side.
-    distinct = reduce(DataFrame.unionByName, counted)
-    return facts.join(F.broadcast(distinct), "column_name").withColumn("n_distinct", F.col("d")).select(*facts.columns)
+    return facts.join(F.broadcast(_distinct_values(df, fields)), "column_name").withColumn("n_distinct", F.col("d")).select(*facts.columns)
+
+
+def _distinct_values(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
+    """(column_name, d): how many values each column has."""
+    cells = []
+    for i, f in enumerate(fields):
+        value = F.col(f"`{f.name}`")
+        both = F.struct(F.lit(i).alias("c"), F.xxhash64(value).alias("a"), F.xxhash64(F.lit(i), value, value).alias("b"))
+        cells.append(F.when(value.isNotNull(), both))
+    distinct = df.select(F.explode(F.array(*cells)).alias("x")).where("x is not null").select("x.*").distinct()
+    named = F.element_at(F.lit([f.name for f in fields]), F.col("c") + 1).alias("column_name")
+    # A column without values has no cell; it still gets its line.
+    bare = df.sparkSession.createDataFrame([(i, 0) for i in range(len(fields))], "c int, d bigint")
+    found = distinct.groupBy("c").agg(F.count("*").alias("d")).unionByName(bare)
+    return found.groupBy("c").agg(F.sum("d").alias("d")).select(named, "d")
 
 
 def column_domains(df: DataFrame, table: str, columns: Sequence[str], max_values: int) -> DataFrame:
@@ -153,31 +163,47 @@ class Keys:
 
 
 def discover_keys(df: DataFrame, max_columns: int = 2) -> Keys:
-    """Candidate keys of one or two columns.
+    """Candidate keys of up to ``max_columns`` columns; of three and more only where no shorter primary key exists.
 
-    One scan of sketches rules out the columns that cannot be keys; only the rest is counted
-    exactly. Pairs are tried among columns that are not keys themselves.
+    Sketches rule out the tuples that cannot be keys, one scan for each width (pairs share the scan
+    of single columns); only the rest is counted exactly. A tuple that holds a shorter key is not tried.
     """
     names = _key_columns(df)
     pairs = list(combinations(names, 2)) if max_columns > 1 else []
-    aggs = [F.count("*").alias("n")]
-    for i, c in enumerate(names):
-        aggs += [F.count(c).alias(f"c{i}"), _estimate(_hashed(c)).alias(f"d{i}")]
-    for j, pair in enumerate(pairs):
-        aggs += [F.count(_hashed(*pair)).alias(f"pc{j}"), _estimate(_hashed(*pair)).alias(f"pd{j}")]
-    seen = df.agg(*aggs).first()
-
-    def promising(filled: int, distinct: int) -> bool:
-        return filled > 0 and distinct >= SKETCH_SHARE * filled
-
-    filled = {(c,): seen[f"c{i}"] for i, c in enumerate(names)} | {p: seen[f"pc{j}"] for j, p in enumerate(pairs)}
-    single = _without_duplicates(df, [(c,) for i, c in enumerate(names) if promising(seen[f"c{i}"], seen[f"d{i}"])])
-    alone = {c for (c,) in single}
-    double = _without_duplicates(
-        df, [p for j, p in enumerate(pairs) if not alone & set(p) and promising(seen[f"pc{j}"], seen[f"pd{j}"])]
-    )
-    unique = [*single, *double]
-    return Keys([k for k in unique if filled[k] == seen["n"]], unique)
+    sizes, promising = _sketched(df, [*[(c,) for c in names], *pairs])
+    unique = _without_duplicates(df, [k for k in promising if len(k) == 1])
+    for width in range(2, max_columns + 1):
+        primary = [k for k in unique if sizes[k] == sizes[()]]
+        if width > 2:
+            if primary or not names:
+                break
+            more, promising = _sketched(df, [k for k in combinations(names, width) if not _holds(k, unique)])
+            sizes |= more
+        unique += _without_duplicates(df, [k for k in promising if len(k) == width and not _holds(k, unique)])
+    return Keys([k for k in unique if sizes[k] == sizes[()]], unique)
+
+
+def _holds(columns: tuple[str, ...], keys: Sequence[tuple[str, ...]]) -> bool:
+    return any(set(k) <= set(columns) for k in keys)
+
+
+def _sketched(df: DataFrame, candidates: Sequence[tuple[str, ...]]) -> tuple[dict[tuple[str, ...], int], list[tuple[str, ...]]]:
+    """Rows without nulls per candidate (all rows under the empty tuple), and the candidates that may be keys."""
+    sizes: dict[tuple[str, ...], int] = {}
+    promising = []
+    # Each sketch is a buffer of its own, so a scan carries a bounded number of them.
+    for start in range(0, max(len(candidates), 1), SKETCHES):
+        part = candidates[start:start + SKETCHES]
+        aggs = [F.count("*").alias("n")]
+        for i, c in enumerate(part):
+            aggs += [F.count(_hashed(*c)).alias(f"c{i}"), _estimate(_hashed(*c)).alias(f"d{i}")]
+        seen = df.agg(*aggs).first()
+        sizes[()] = seen["n"]
+        for i, c in enumerate(part):
+            sizes[c] = seen[f"c{i}"]
+            if seen[f"c{i}"] > 0 and seen[f"d{i}"] >= SKETCH_SHARE * seen[f"c{i}"]:
+                promising.append(c)
+    return sizes, promising
 
 
 def _ranges(tables: Mapping[str, DataFrame]) -> dict[tuple[str, str], tuple]:
@@ -205,12 +231,15 @@ def _ranges(tables: Mapping[str, DataFrame]) -> dict[tuple[str, str], tuple]:
     return found
 
 
-def discover_references(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]]) -> DataFrame:
+def discover_references(
+    tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]],
+    tried: Callable[[str, str, str, str], bool] = lambda child, column, parent, key: True,
+) -> DataFrame:
     """Columns whose values all occur in another table's key: (child, column, parent, key, coverage, one_to_one).
 
     ``coverage`` is the share of parent keys in use. Dense integer keys include each other by
     chance, so these are candidates to rank, not references to enforce. Pairs of different
-    type or with values outside the key's range are dropped first. All remaining pairs are
+    type or with values outside the key's range are dropped first, as are those ``tried`` turns down. All remaining pairs are
     tested in one pass: every child value once, joined to the list of keys that hold it, which
     is as short as the schema.
     """
@@ -221,7 +250,7 @@ def discover_references(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequ
         for parent, parent_keys in keys.items():
             for key in parent_keys:
                 other, first, last = ranges[parent, key]
-                if child != (parent, key) and (family == other or {family, other} == NUMBERS) and low is not None and first is not None and low >= first and high <= last:
+                if child != (parent, key) and tried(*child, parent, key) and (family == other or {family, other} == NUMBERS) and low is not None and first is not None and low >= first and high <= last:
                     pairs.setdefault(family if family == other else "decimal", []).append((child, (parent, key)))
     empty = spark.createDataFrame(
         [], "child_table string, child_column string, parent_table string, parent_column string, coverage double, one_to_one boolean"

@@ -10,11 +10,13 @@ from rowloom.functions.literals import DIALECTS, literal
 from rowloom.model import ColumnSpec as C
 from rowloom.model import CombinationRule, RepetitionRule, TableSpec
 from rowloom.operators import checks, graph, joins
+from rowloom.operators.discovery import profile_columns
 from rowloom.operators.enrichment import enrich, enrichable_columns, rebuild_lines
 from rowloom.operators.generate import GenerateOptions, generate_table
 from rowloom.operators.indexing import dense_index
 from rowloom.operators.combinations import combination_violations
 from rowloom.operators.quality import clamp, outside_bounds, repair_numeric
+from rowloom.plans.discover import discover
 from rowloom.sinks.script import script, write_script
 from rowloom.streaming.line_assembly import assemble_lines
 
@@ -242,3 +244,24 @@ def test_clauses():
     assert checks.clauses('NOT ( "a" = 1 OR "a" = 2 )') == [None] and checks.clauses('( "a" = 1') == []
     deep = "( " * 3000 + '"a" = 1' + " )" * 3000
     assert checks.clauses(deep) == [[["a", "1"]]]
+
+
+def test_discover_reads_keys_references_and_rules(spark):
+    days = spark.sql("SELECT id div 6 AS a, id div 2 % 3 AS b, id % 2 AS c, date_add(DATE'2024-01-01', CAST(id AS INT)) AS day, 'x' || id % 2 AS kind FROM range(24)")
+    used = spark.sql("SELECT id AS use_id, id % 4 AS a, id % 3 AS b, id % 2 AS c, CASE WHEN id % 5 > 0 THEN id END AS n FROM range(50)")
+    empty = spark.createDataFrame([], "e_id bigint, t string")
+    texts = spark.createDataFrame([("used", "n < 40")], "table_name string, expr string")
+    specs = {s.name: s for s in discover({"days": days.drop("day"), "used": used, "empty": empty}, texts)}
+    assert specs["days"].primary_key == ("a", "b", "c")
+    assert specs["days"].column("kind").allowed == ("x0", "x1")
+    assert specs["used"].primary_key == ("use_id",)
+    assert [(fk.columns, fk.parent, fk.parent_columns) for fk in specs["used"].foreign_keys] == [(("a", "b", "c"), "days", ("a", "b", "c"))]
+    assert specs["used"].column("n").nullable and specs["used"].column("n").max_value < 40
+    assert specs["empty"].primary_key == () and specs["empty"].column("t").nullable
+    assert discover({"days": days})[0].primary_key == ("day",)
+
+
+def test_profile_counts_nulls_and_equal_values(spark):
+    df = spark.createDataFrame([(1, 0.0, None), (1, -0.0, None), (2, float("nan"), None)], "a int, b double, c string")
+    got = {r["column_name"]: (r["n_nulls"], r["n_distinct"]) for r in profile_columns(df, "t").collect()}
+    assert got == {"a": (0, 2), "b": (0, 2), "c": (3, 0)}

@@ -7,9 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.operators import discovery
+from rowloom.operators import discovery, quality
+from rowloom.operators.generate import GenerateOptions
+from rowloom.plans.discover import discover
+from rowloom.plans.seeding import SeedOptions, seed
 from rowloom.sources.tables import vocabulary
-from workload.common import table
+from workload.common import SEED, table
 from workload.star import STAR, star_tables
 
 # The provided schema's column kinds, for the SQL side.
@@ -175,7 +178,58 @@ SELECT word, count(*) AS n FROM (SELECT unnest(string_split_regex(text, '[ \\t\\
 WHERE word <> '' GROUP BY word
 """
 
+def discover_specs(spark: SparkSession, d: str) -> DataFrame:
+    """The specifications read from the star schema's tables, one row per column."""
+    rows = []
+    for s in discover(star_tables(spark, d)):
+        for c in s.columns:
+            fk = next((fk for fk in s.foreign_keys if c.name in fk.columns), None)
+            refers = f"{fk.parent}.{fk.parent_columns[fk.columns.index(c.name)]}" if fk else None
+            rows.append((s.name, c.name, c.nullable, c.length if c.is_text else None, refers))
+    return spark.createDataFrame(rows, "table_name string, column_name string, nullable boolean, max_length int, refers string")
+
+
+# Pairs whose names speak of each other, the child first.
+NAMED = {
+    ("nation", "n_regionkey"): ("region", "r_regionkey"), ("customer", "c_nationkey"): ("nation", "n_nationkey"),
+    ("supplier", "s_nationkey"): ("nation", "n_nationkey"), ("orders", "o_custkey"): ("customer", "c_custkey"),
+    ("lineitem", "l_orderkey"): ("orders", "o_orderkey"), ("lineitem", "l_partkey"): ("part", "p_partkey"),
+    ("lineitem", "l_suppkey"): ("supplier", "s_suppkey"), ("labels", "doc_id"): ("documents", "doc_id"),
+}
+
+
+def _specs_sql() -> str:
+    lines = []
+    for s in STAR:
+        for c, kind in KINDS[s.name].items():
+            parent, key = NAMED.get((s.name, c), (None, None))
+            lost = f"(SELECT count(*) FROM {s.name} WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT {key} FROM {parent}))"
+            refers = f"CASE WHEN count({c}) > 0 AND {lost} = 0 THEN '{parent}.{key}' END" if parent else "NULL::VARCHAR"
+            lines.append(
+                f"SELECT '{s.name}' AS table_name, '{c}' AS column_name, count(*) > count({c}) OR count({c}) = 0 AS nullable,"
+                f" {f'coalesce(max(length({c})), 0)' if kind == 'string' else 'NULL'}::INTEGER AS max_length, {refers} AS refers FROM {s.name}"
+            )
+    return "\nUNION ALL ".join(lines)
+
+
+def discover_and_seed(spark: SparkSession, d: str) -> DataFrame:
+    """The star schema's tables made anew from their own data: as many rows each, and no rule broken."""
+    tables = star_tables(spark, d)
+    specs = discover(tables)
+    rows = {name: df.count() for name, df in tables.items()}
+    made = seed(spark, specs, SeedOptions(rows=rows, table=GenerateOptions(SEED)))
+    report = quality.integrity_report(made.tables, specs, rows)
+    counted = F.max(F.when(F.col("kind") == "row_count", F.col("checked"))).alias("n_rows")
+    return report.groupBy("table_name").agg(counted, F.sum("violations").alias("violations"))
+
+
+DISCOVER_AND_SEED = "\nUNION ALL ".join(
+    f"SELECT '{s.name}' AS table_name, count(*) AS n_rows, 0::BIGINT AS violations FROM {s.name}" for s in STAR
+)
+
 QUERIES = {
+    "discover_specs": (discover_specs, _specs_sql()),
+    "discover_and_seed": (discover_and_seed, DISCOVER_AND_SEED),
     "profile_columns": (profile_columns, _profile_sql()),
     "discover_keys": (discover_keys, _keys_sql()),
     "discover_references": (discover_references, _references_sql()),
