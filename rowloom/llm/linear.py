@@ -11,6 +11,7 @@ FEATURES = 1 << 20
 SCREENED = 256
 RIDGE = 0.05
 ROUNDS = 30
+COUNTED = 500
 
 
 @dataclass(frozen=True)
@@ -31,10 +32,14 @@ class Model:
 
 def screen(rows: list[np.ndarray], labels: np.ndarray, keep: int = SCREENED) -> np.ndarray:
     """The features with the highest chi-square against the labels; each row holds a feature once."""
-    sizes = [len(r) for r in rows]
-    every = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    inside = np.bincount(every, weights=np.repeat(labels, sizes), minlength=FEATURES)
-    seen = np.bincount(every, minlength=FEATURES).astype(float)
+    inside, seen = np.zeros(FEATURES), np.zeros(FEATURES)
+    # Some rows at a time: the counts need working copies of all features they look at.
+    for start in range(0, len(rows), COUNTED):
+        some = rows[start : start + COUNTED]
+        every = np.concatenate(some)
+        weights = np.repeat(labels[start : start + COUNTED], [len(r) for r in some])
+        inside += np.bincount(every, weights=weights, minlength=FEATURES)
+        seen += np.bincount(every, minlength=FEATURES)
     n, positive = float(len(rows)), float(labels.sum())
     spread = seen * (n - seen) * positive * (n - positive)
     chi = np.divide(n * (inside * n - seen * positive) ** 2, spread, out=np.zeros(FEATURES), where=spread > 0)
@@ -97,4 +102,4 @@ def chained(models: list[Model], features: np.ndarray) -> tuple[float, ...]:
 
 def hashed(terms, code: Callable[[bytes], int]) -> np.ndarray:
     """Distinct feature numbers of some terms."""
-    return np.unique(np.fromiter(map(code, terms), np.int64) & (FEATURES - 1))
+    return np.unique(np.fromiter(map(code, terms), np.int64) & (FEATURES - 1)).astype(np.int32)

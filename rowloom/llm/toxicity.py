@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from rowloom.llm.linear import chained, hashed, train_chain
 from rowloom.llm.texts import map_texts
@@ -27,7 +27,7 @@ _TERM = re.compile(rb"[a-z\x80-\xff]+|[^a-z\x80-\xff\s]+")
 
 def terms(text: bytes | None) -> np.ndarray:
     """The document's distinct terms (ASCII letters lower-cased) as feature numbers."""
-    return hashed(set(_TERM.findall(text.lower())), crc32) if text else np.zeros(0, np.int64)
+    return hashed(set(_TERM.findall(text.lower())), crc32) if text else np.zeros(0, np.int32)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, limit: int = LABELLED) -> DataFrame:
@@ -43,11 +43,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, l
 def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, limit: int = LABELLED):
     """The chain's models. Folds go by text, so copies of a document are never on both sides."""
     sample = labelled_sample(docs, labels, categories, limit)
-    found = StructType([StructField("terms", ArrayType(LongType())), StructField("fold", LongType())])
+    found = StructType([StructField("terms", ArrayType(IntegerType())), StructField("fold", LongType())])
 
     def features(texts):
         folds = [crc32(t or b"") % FOLDS for t in texts]
-        return [pa.array([terms(t).tolist() for t in texts], pa.list_(pa.int64())), pa.array(folds, pa.int64())]
+        return [pa.array([terms(t).tolist() for t in texts], pa.list_(pa.int32())), pa.array(folds, pa.int64())]
 
     names = [name for name, _ in categories]
     made = map_texts(sample, features, found).select("found.terms", "found.fold", *[f"row.is_{name}" for name in names])
