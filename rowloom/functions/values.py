@@ -6,7 +6,9 @@ import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass
 from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal, localcontext
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ TYPE_LIMITS = {
 }
 # Column names that ask for a picture address.
 PICTURE_NAMES = ("foto", "avatar", "image", "picture", "profile")
-# ISO 3166 codes, two and three letters.
+# ISO 3166 codes of the countries most used, two and three letters.
 COUNTRY_CODES_2 = ("AR", "AT", "AU", "BE", "BR", "CA", "CH", "CL", "CN", "CO", "CZ", "DE", "DK",
                    "EG", "ES", "FI", "FR", "GB", "GR", "HU", "IE", "IN", "IS", "IT", "JP", "KE",
                    "KR", "MX", "NL", "NO", "NZ", "PE", "PL", "PT", "RO", "SE", "TR", "US", "UY", "ZA")
@@ -48,9 +50,19 @@ WORDS_PER_DIGEST, WORD_DIGITS = 4, 6
 MAX_INLINE_WORDS = 50_000
 
 
+@lru_cache(maxsize=1)
+def iso_countries() -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """All ISO 3166 codes that the JVM knows, of two and of three letters, in the same order."""
+    locale = SparkContext.getOrCreate()._jvm.java.util.Locale
+    two = tuple(sorted(locale.getISOCountries()))
+    return two, tuple(locale("", code).getISO3Country() for code in two)
+
+
 @dataclass(frozen=True)
 class ValueSettings:
     words: tuple[str, ...] = ()
+    # Codes of two and of three letters to draw from; all ISO countries without them.
+    countries: tuple[tuple[str, ...], tuple[str, ...]] | None = None
     latin: bool = False
     as_of: dt.datetime = dt.datetime(2024, 1, 1)
     numeric_scale: int = 2
@@ -162,7 +174,7 @@ def text_value(
     draw = draws.at(column.name, row, tag)
     pad = column.type == "char"
     if size in (2, 3):
-        codes = COUNTRY_CODES_2 if size == 2 else COUNTRY_CODES_3
+        codes = (settings.countries or iso_countries())[size - 2]
         return F.element_at(F.array(*[F.lit(c) for c in codes]), draw.below(len(codes)).cast("int") + 1)
     if size == IBAN_LENGTH:
         halves = [

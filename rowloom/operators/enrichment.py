@@ -11,10 +11,11 @@ from pyspark.sql.types import LongType, StringType
 
 from rowloom.functions.cleaning import clean_model_text, provided_value
 from rowloom.functions.keyed import Draws
+from rowloom.functions.values import LATIN_WORDS, phrase
 from rowloom.model import ColumnSpec, RepetitionRule, TableSpec
 from rowloom.operators.generate import POSITION, RULE
 from rowloom.operators.indexing import dense_index
-from rowloom.operators.joins import lookup
+from rowloom.operators.joins import fits_broadcast, lookup
 from rowloom.operators.uniqueness import first_per_key
 from rowloom.session import checkpointed, materialize
 
@@ -33,20 +34,20 @@ def enrichable_columns(
     return [c for c in found if c.name not in excluded and c.name not in ruled and c.name not in spec.fk_columns]
 
 
-def _ask(provider: Provider, table: str, column: str, kind: str, words: int, count: int) -> list[str]:
-    """Distinct texts for one batch. A round that brings nothing new counts as a failed try."""
+def _ask(provider: Provider, table: str, column: str, kind: str, words: int, count: int) -> tuple[list[str], int]:
+    """Distinct texts for one batch, and how often the provider raised. A round that brings nothing new is a failed try."""
     seen: dict[str, None] = {}
-    tries = 0
+    tries = errors = 0
     while len(seen) < count and tries < TRIES:
         before = len(seen)
         try:
             for text in provider(table, column, kind, words, count - len(seen)):
                 seen.setdefault(text)
         except Exception:  # a provider may fail in any way; the row then keeps its generated value
-            pass
+            errors += 1
         if len(seen) == before:
             tries += 1
-    return list(seen)[:count]
+    return list(seen)[:count], errors
 
 
 def provided_texts(
@@ -54,43 +55,50 @@ def provided_texts(
 ) -> DataFrame:
     """Add the provider's texts, asked for in batches of 50 within each partition; null where it gave too few.
 
-    Only the position column goes to Python. The result is written out, since asking a
+    ``_errors`` counts the exceptions of a batch on its first row and is 0 on the others, so sums are right. Only the position column goes to Python. The result is written out, since asking a
     provider again would give other texts.
     """
     kind, label = column.type, column.name
 
-    @F.pandas_udf(StringType())
-    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("text string, errors bigint")
+    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for positions in batches:
             out: list[str | None] = []
+            failed: list[int] = []
             for start in range(0, len(positions), BATCH):
                 count = min(BATCH, len(positions) - start)
-                texts = _ask(provider, table, label, kind, words, count)
+                texts, errors = _ask(provider, table, label, kind, words, count)
                 out.extend(texts + [None] * (count - len(texts)))
-            yield pd.Series(out, dtype=object)
+                failed.extend([errors] + [0] * (count - 1))
+            yield pd.DataFrame({"text": pd.Series(out, dtype=object), "errors": pd.Series(failed, dtype="int64")})
 
-    return materialize(df.withColumn(name, ask(F.col(POSITION))))
+    asked = df.withColumn("_answer", ask(F.col(POSITION)))
+    return materialize(asked.select(*df.columns, F.col("_answer.text").alias(name), F.col("_answer.errors").alias("_errors")))
 
 
 def enrich(
-    df: DataFrame, spec: TableSpec, column: ColumnSpec, provider: Provider, words: int = 3, unique: bool = False
+    df: DataFrame, spec: TableSpec, column: ColumnSpec, provider: Provider, words: int = 3, unique: bool = False,
+    errors: str | None = None,
 ) -> DataFrame:
     """Replace a generated text column by provided texts; what is missing keeps the generated value.
 
+    With ``errors`` a column of that name keeps the provider's exceptions, one count a batch, to be summed up.
+
     Rows whose value a rule pinned are left alone. For a unique column a text is used by the
     first row that got it, and only when no row keeps it as its generated value.
     """
     given = provided_texts(df, provider, spec.name, column, words)
     value = provided_value(F.col("_provided"), column)
-    given = given.withColumn("_value", value)
+    # A row whose value a rule pinned takes no text, nor keeps one from another row.
+    free = F.col(RULE).isNull() if _is_ruled(df) else F.lit(True)
+    given = given.withColumn("_value", F.when(free, value))
     if unique:
         held = given.select(F.col(column.name).alias("_value")).distinct()
         fresh = given.where("_value is not null").select(POSITION, "_value").join(held, "_value", "left_anti")
         winners = first_per_key(fresh, ["_value"], POSITION)
         given = given.drop("_value").join(winners, POSITION, "left")
-    free = F.col(RULE).isNull() if _is_ruled(df) else F.lit(True)
-    kept = F.when(free, F.col("_value"))
-    return given.withColumn(column.name, F.coalesce(kept, F.col(column.name))).drop("_provided", "_value")
+    made = given.withColumn(column.name, F.coalesce("_value", F.col(column.name))).drop("_provided", "_value")
+    return made.withColumnRenamed("_errors", errors) if errors else made.drop("_errors")
 
 
 def _is_ruled(df: DataFrame) -> bool:
@@ -163,14 +171,30 @@ def model_values(lines: DataFrame, column_name: str | None = None) -> DataFrame:
 def attach_phrases(df: DataFrame, row: str, words: DataFrame, draws: Draws, column: str, max_words: int = 4) -> DataFrame:
     """Phrases from a vocabulary too large to inline: word numbers are drawn and looked up by join.
 
-    Uniform draws make the join even, whatever the frequency of a word in its source.
+    Uniform draws make the join even, whatever the frequency of a word in its source. A vocabulary that may be
+    broadcast is looked up word by word beside the row, without a shuffle; a larger one meets the drawn numbers
+    alone, and the phrases then meet their rows. Without any word the filler words make the text.
     """
     vocabulary = dense_index(words.select("word").distinct(), ["word"], derived=True)
     n = vocabulary.count
+    if n == 0:
+        return df.withColumn(column, phrase(draws, column, F.col(row), LATIN_WORDS, 3, 9))
     high = min(n, max_words + 1) - 1 if n > 1 else 1
     size = 1 + F.pmod(draws.at(column, F.col(row)).digits(25, 2), F.lit(high))
+
+    def picked(key: str, slot: Column) -> Column:
+        return draws.at(column, F.concat_ws("#", F.col(key).cast("string"), slot.cast("string"))).below(n)
+
+    if fits_broadcast(vocabulary.df, n):
+        out, places = df.drop(column), range(max(high, 1))
+        out = out.select("*", *[F.when(size > slot, picked(row, F.lit(slot))).alias(f"_at{slot}") for slot in places])
+        for slot in places:
+            word = vocabulary.df.select(F.col(vocabulary.position).alias(f"_at{slot}"), F.col("word").alias(f"_word{slot}"))
+            out = out.join(F.broadcast(word), f"_at{slot}", "left")
+        phrases = F.concat_ws(" ", *[f"_word{slot}" for slot in places]).alias(column)
+        return out.select(*[c for c in df.columns if c != column], phrases)
     slots = df.select(F.col(row).alias("_row"), F.explode(F.sequence(F.lit(0), (size - 1).cast("int"))).alias("slot"))
-    pick = draws.at(column, F.concat_ws("#", F.col("_row").cast("string"), F.col("slot").cast("string"))).below(n)
+    pick = picked("_row", F.col("slot"))
     drawn = slots.withColumn(vocabulary.position, pick)
     named = lookup(drawn, vocabulary.df, [vocabulary.position], right_rows=n, how="inner", even=True)
     phrases = named.groupBy("_row").agg(

@@ -14,16 +14,22 @@ BROADCAST_BYTES = 64 << 20
 SMALL_LEFT = 1_000_000
 
 
-def fits_broadcast(df: DataFrame, rows: int) -> bool:
-    """Bounded by the row count and the schema's default row width."""
-    width = sum(_width(f.dataType) for f in df.schema.fields)
-    return rows <= BROADCAST_ROWS and rows * width <= BROADCAST_BYTES
+WIDTHS = {"byte": 1, "boolean": 1, "short": 2, "integer": 4, "float": 4, "decimal": 16} | dict.fromkeys(
+    ("long", "double", "date", "timestamp", "timestamp_ntz"), 8
+)
 
 
-def _width(kind) -> int:
-    name = kind.typeName()
-    return {"byte": 1, "boolean": 1, "short": 2, "integer": 4, "float": 4}.get(name, 8 if name in (
-        "long", "double", "date", "timestamp", "timestamp_ntz", "decimal") else 64)
+def fits_broadcast(df: DataFrame, rows: int) -> bool:
+    """Bounded by the row count and the bytes: fixed widths by type, texts as measured. Nested values never fit."""
+    kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    texts = [n for n, k in kinds.items() if k in ("string", "varchar", "char", "binary")]
+    fixed = [WIDTHS.get(k) for n, k in kinds.items() if n not in texts]
+    if rows > BROADCAST_ROWS or None in fixed or rows * sum(fixed) > BROADCAST_BYTES:
+        return False
+    if not texts:
+        return True
+    measured = df.agg(*[F.sum(F.octet_length(f"`{n}`")).alias(f"b{i}") for i, n in enumerate(texts)]).first()
+    return rows * (sum(fixed) + 8 * len(texts)) + sum(b or 0 for b in measured) <= BROADCAST_BYTES
 
 
 def lookup(

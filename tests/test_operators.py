@@ -11,7 +11,9 @@ from rowloom.model import ColumnSpec as C
 from rowloom.model import CombinationRule, RepetitionRule, TableSpec
 from rowloom.operators import checks, graph, joins
 from rowloom.operators.discovery import profile_columns
-from rowloom.operators.enrichment import enrich, enrichable_columns, rebuild_lines
+from rowloom.functions.keyed import Draws
+from rowloom.functions.values import iso_countries
+from rowloom.operators.enrichment import attach_phrases, enrich, enrichable_columns, rebuild_lines
 from rowloom.operators.generate import GenerateOptions, generate_table
 from rowloom.operators.indexing import dense_index
 from rowloom.operators.combinations import combination_violations
@@ -194,6 +196,8 @@ def test_provider_failures_keep_generated_values(spark):
     spec = TableSpec("t", (C("note", "string", False, 30),))
     df = generate_table(spark, spec, 20)
     assert enrich(df, spec, spec.column("note"), broken).select("note").exceptAll(df.select("note")).isEmpty()
+    failed = enrich(df, spec, spec.column("note"), broken, errors="failed").agg(F.sum("failed"), F.count_if(F.col("failed") > 0)).first()
+    assert failed[0] == 3 * failed[1] and failed[1] * 50 >= df.count()
 
 
 LINES = [(1, 0, '{"response":"one\\ntw"}'), (1, 1, "{broken"), (1, 2, '{"response":"o\\n\\nthr"}'), (1, 3, '{"response":"ee"}'),
@@ -265,3 +269,21 @@ def test_profile_counts_nulls_and_equal_values(spark):
     df = spark.createDataFrame([(1, 0.0, None), (1, -0.0, None), (2, float("nan"), None)], "a int, b double, c string")
     got = {r["column_name"]: (r["n_nulls"], r["n_distinct"]) for r in profile_columns(df, "t").collect()}
     assert got == {"a": (0, 2), "b": (0, 2), "c": (3, 0)}
+
+
+def test_phrases_from_no_and_from_large_vocabularies(spark, monkeypatch):
+    rows, draws = spark.range(50).withColumnRenamed("id", "k"), Draws(1, "t")
+    words = spark.createDataFrame([(f"w{i}",) for i in range(30)], "word string")
+    small = attach_phrases(rows, "k", words, draws, "p")
+    beside = {tuple(r) for r in small.collect()}
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 5)
+    assert {tuple(r) for r in attach_phrases(rows, "k", words, draws, "p").select(small.columns).collect()} == beside
+    filled = attach_phrases(rows, "k", words.where("false"), draws, "p")
+    assert filled.count() == 50 and filled.where("p rlike '^[a-z]+( [a-z]+){2,8}$'").count() == 50
+
+
+def test_broadcast_measures_texts_and_countries_are_all(spark):
+    wide = spark.range(100).select("id", F.repeat(F.lit("x"), 1_000_000).alias("t"))
+    assert not joins.fits_broadcast(wide, 100) and joins.fits_broadcast(wide.select("id", F.lit("x").alias("t")), 100)
+    two, three = iso_countries()
+    assert len(two) == len(three) > 200 and dict(zip(two, three))["JP"] == "JPN"

@@ -103,7 +103,8 @@ def _type_words(spark: SparkSession, d: str) -> tuple[str, ...]:
 
 def gen_text(spark: SparkSession, d: str) -> DataFrame:
     keys = table(spark, d, "events").select(F.col("event_id").alias("_idx"))
-    options = GenerateOptions(SEED, values=ValueSettings(words=_type_words(spark, d)))
+    countries = (COUNTRY_CODES_2, COUNTRY_CODES_3)
+    options = GenerateOptions(SEED, values=ValueSettings(words=_type_words(spark, d), countries=countries))
     return generate_over(keys, TEXTS, 0, options).drop("_rule_id").withColumnRenamed("_idx", "event_id")
 
 

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from rowloom.functions.cleaning import PREAMBLE_PHRASES, PREAMBLE_STARTS, REFUSAL_STARTS, clean_model_text, provided_value
 from rowloom.functions.values import ValueSettings
-from rowloom.model import ColumnSpec, TableSpec
-from rowloom.operators.enrichment import enrich, first_occurrences, model_values, rebuild_lines
-from rowloom.operators.generate import GenerateOptions, generate_over
-from workload.common import SEED, table
+from rowloom.model import ColumnSpec, RepetitionRule, TableSpec
+from rowloom.operators.enrichment import enrich, enrichable_columns, first_occurrences, model_values, rebuild_lines
+from rowloom.operators.generate import GenerateOptions, generate_over, generate_table
+from workload.common import SEED, draw, table
 
 # Wrappings put around the provided texts, by document number: (before, after).
 WRAPPINGS = (
@@ -166,7 +166,53 @@ def enrich_from_provider(spark: SparkSession, d: str) -> DataFrame:
     return made.select(F.col("_idx").alias("o_orderkey"), known.alias("known"))
 
 
+NOTES = TableSpec("notes", (ColumnSpec("note", "string", False, 40), ColumnSpec("n", "int", False)))
+NOTE_WORDS = ("alpha", "beta", "gamma")
+
+
+def _broken(table_name: str, column: str, kind: str, words: int, count: int) -> list[str]:
+    raise TimeoutError("no answer")
+
+
+def enrich_failing_provider(spark: SparkSession, d: str) -> DataFrame:
+    """A provider that never answers: every row keeps its generated value, and the failures are counted."""
+    keys = table(spark, d, "orders").select(F.col("o_orderkey").alias("_idx"))
+    rows = generate_over(keys, NOTES, 0, GenerateOptions(SEED, values=ValueSettings(words=NOTE_WORDS)))
+    made = enrich(rows, NOTES, NOTES.column("note"), _broken, errors="failed")
+    # Each batch of at most 50 rows fails three times.
+    total = made.agg((F.sum("failed") % 3 == 0).alias("thrice"), (F.sum("failed") * 50 >= 3 * F.count("*")).alias("all_asked"))
+    return made.select(F.col("_idx").alias("o_orderkey"), "note").crossJoin(F.broadcast(total))
+
+
+ENRICH_FAILING_PROVIDER = f"""
+SELECT o_orderkey, true AS thrice, true AS all_asked, array_to_string((
+  [{', '.join(f"(['alpha', 'beta', 'gamma'])[({draw('notes', 'note', 'o_orderkey', 'v', 1 + 6 * i, 6)} % 3 + 1)::INTEGER]" for i in range(2))}]
+  )[1:(1 + {draw('notes', 'note', 'o_orderkey', 'v', 25, 2)} % 2)::INTEGER], ' ') AS note
+FROM orders
+"""
+
+
+def enrich_unique(spark: SparkSession, d: str) -> DataFrame:
+    """Provided texts in a unique column beside rows that a rule pins: each text once, pinned rows untouched."""
+    n = table(spark, d, "orders").count()
+    spec = TableSpec("tickets", (ColumnSpec("id", "int", False), ColumnSpec("note", "string", False, 40)), ("id",))
+    rules = (RepetitionRule(10, {"note": "note 3"}),)
+    rows = generate_table(spark, spec, n, GenerateOptions(SEED, values=ValueSettings(words=NOTE_WORDS), rules=rules))
+    made = rows
+    for column in enrichable_columns(spec, ["note", "missing"], frozenset({"id"})):
+        made = enrich(made, spec, column, _provider, unique=True)
+    known = F.when(F.col("note").rlike("^note [0-9]$"), F.col("note")).otherwise("generated")
+    return made.groupBy(known.alias("note")).agg(F.count("*").alias("n"))
+
+
+ENRICH_UNIQUE = """
+SELECT note, CASE note WHEN 'note 3' THEN 10 WHEN 'generated' THEN (SELECT count(*) FROM orders) - 16 ELSE 1 END AS n
+FROM (SELECT unnest(['note 0', 'note 1', 'note 2', 'note 3', 'note 4', 'note 5', 'note 6', 'generated']) AS note)
+"""
+
 QUERIES = {
+    "enrich_failing_provider": (enrich_failing_provider, ENRICH_FAILING_PROVIDER),
+    "enrich_unique": (enrich_unique, ENRICH_UNIQUE),
     "clean_texts": (clean_texts, CLEAN_TEXTS),
     "ndjson_lines": (ndjson_lines, NDJSON_LINES),
     "ndjson_values": (ndjson_values, NDJSON_VALUES),
