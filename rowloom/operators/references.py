@@ -62,17 +62,27 @@ def one_to_one_position(position: Column, parents: int, shift: int = 0) -> Colum
 
 
 def combination_positions(position: Column, parents: Sequence[int], shift: int = 0) -> list[Column]:
-    """Distinct tuples of parent positions: the digits of one permuted code; null beyond the product."""
-    space = prod(parents)
-    if space == 0:
+    """Distinct tuples of parent positions: the digits of one permuted code; null beyond the product.
+
+    Where the product passes 2^60, the code runs over fewer places of the largest parents. Places that are equal
+    modulo that number then share a digit, and each row draws one of them, so every parent stays in reach.
+    """
+    if prod(parents) == 0:
         return [F.lit(None).cast("bigint") for _ in parents]
-    if space > MAX_COMBINATIONS:
-        raise ValueError("more than 2^60 combinations; trim the parents first")
+    coded = list(parents)
+    while prod(coded) > MAX_COMBINATIONS:
+        largest = coded.index(max(coded))
+        coded[largest] //= 2
+    space = prod(coded)
     code = F.when(position < space, permute(position, space, shift))
     out = []
-    for size in parents:
-        out.append(F.pmod(code, F.lit(size)))
-        code = F.call_function("div", code, F.lit(size))
+    for number, (size, digits) in enumerate(zip(parents, coded, strict=True)):
+        place = F.pmod(code, F.lit(digits))
+        if digits < size:
+            alike = F.call_function("div", F.lit(size - 1) - place, F.lit(digits)) + 1
+            place = place + F.lit(digits) * F.pmod(F.xxhash64(position, F.lit(number), F.lit(shift)), alike)
+        out.append(place)
+        code = F.call_function("div", code, F.lit(digits))
     return out
 
 

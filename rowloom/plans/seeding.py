@@ -105,7 +105,7 @@ class SeedPlan:
         if shared is None:
             return [], {}, []
         fks, own = shared
-        sizes = _trimmed([*own.values(), *(self.counts[fk.parent] for fk in fks)], self.counts[spec.name])
+        sizes = [*own.values(), *(self.counts[fk.parent] for fk in fks)]
         places = references.combination_positions(position, sizes, self.options.table.seed)
         return fks, dict(zip(own, places, strict=False)), places[len(own):]
 
@@ -163,8 +163,6 @@ class SeedPlan:
             group = [f for f in spec.foreign_keys if set(f.columns) & set(key) and f.parent in self.specs]
             if fk in group and len(group) > 1:
                 sizes = [self.counts[f.parent] for f in group]
-                # Trim the parents so that the code stays 64-bit; enough tuples remain for the rows.
-                sizes = _trimmed(sizes, rows)
                 return references.combination_positions(position, sizes, draws.seed)[group.index(fk)]
         return references.random_position(draws, fk.name, position, parents)
 
@@ -191,17 +189,6 @@ class SeedPlan:
         return columns[spec.column(column).name]
 
 
-def _trimmed(sizes: list[int], rows: int) -> list[int]:
-    out = list(sizes)
-    while _product(out) > references.MAX_COMBINATIONS:
-        largest = out.index(max(out))
-        smaller = max(out[largest] // 2, 1)
-        if _product(out[:largest] + [smaller] + out[largest + 1:]) < rows:
-            break
-        out[largest] = smaller
-    return out
-
-
 def _product(numbers: Sequence[int]) -> int:
     total = 1
     for n in numbers:

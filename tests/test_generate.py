@@ -5,6 +5,7 @@ from rowloom.model import ColumnSpec as C
 from rowloom.model import ForeignKey, RepetitionRule, TableSpec
 from rowloom.operators.generate import GenerateOptions, generate_table
 from rowloom.operators.quality import integrity_report
+from rowloom.operators import references
 from rowloom.operators.references import MissingParents, apply_updates
 from rowloom.operators.uniqueness import make_unique, with_suffix
 from rowloom.functions.literals import DIALECTS
@@ -172,3 +173,17 @@ def test_first_key_to_set_a_column_wins(spark):
     done = got.where("shared is not null")
     assert done.count() == 12 and done.where("shared > 2 or p <> shared * 10").isEmpty()
     assert done.select("p", "q").distinct().count() == 12 and got.where("q is null").count() == 3
+
+
+def test_combinations_beyond_the_code_reach_every_parent(spark, monkeypatch):
+    sizes = [10, 400]
+    places = references.combination_positions(F.col("id"), [1 << 40, 1 << 41], 3)
+    wide = spark.range(5000).select(*[p.alias(f"p{i}") for i, p in enumerate(places)])
+    assert wide.distinct().count() == 5000
+    assert wide.where(f"p0 < 0 or p0 >= {1 << 40} or p1 < 0 or p1 >= {1 << 41}").isEmpty()
+    assert wide.where(f"p1 >= {1 << 40}").count() > 1000
+    monkeypatch.setattr(references, "MAX_COMBINATIONS", 1100)
+    places = references.combination_positions(F.col("id"), sizes, 3)
+    rows = [tuple(r) for r in spark.range(1000).select(*places).collect()]
+    assert len(set(rows)) == 1000 and all(0 <= a < 10 and 0 <= b < 400 for a, b in rows)
+    assert max(b for _, b in rows) > 350
