@@ -12,9 +12,10 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 
 from rowloom.llm.components import components
 from rowloom.llm.rolling import Rolling, mixed, word_hashes
-from rowloom.llm.suffix_index import kept_bytes, merged_spans
+from rowloom.llm.suffix_index import _least, kept_bytes, merged_spans
 from rowloom.llm.texts import map_texts
-from rowloom.session import materialize
+from rowloom.operators.joins import lookup
+from rowloom.session import materialize, materialize_counted
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -25,6 +26,10 @@ ROWS = 3
 MIN_WORDS = 20
 # Sentences of so many words count as passages of their own.
 MIN_PASSAGE = 12
+# A run of so many words that stands elsewhere too is a repeated passage, whatever lines and marks it has.
+RUN = 51
+# Runs are found by the least hash of the GRAM-word stretches in them.
+GRAM = 12
 # A band's bucket with more paragraphs is verified in cells of about this many.
 CELL = 500
 
@@ -36,6 +41,10 @@ UNITS = StructType(
     + [StructField("code", ArrayType(LongType())), StructField("bands", ArrayType(ArrayType(LongType())))]
 )
 _FIELDS = UNITS.names
+ANCHORS = StructType(
+    [StructField(n, ArrayType(LongType())) for n in ("anchor", "around")]
+    + [StructField(n, ArrayType(IntegerType())) for n in ("first", "last")]
+)
 
 
 def shingles(data: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -77,6 +86,22 @@ def units(data: bytes) -> list[tuple[int, int, int, int, list[int] | None]]:
     return found
 
 
+def anchors(data: bytes) -> list[np.ndarray]:
+    """(anchor, around, first, last): neighbouring runs of RUN words with the same least stretch, a hash of
+    all their words, and the first words of the first and the last run. Equal runs have equal anchors."""
+    hashes = word_hashes(data.lower())[0]
+    if len(hashes) < RUN:
+        return [np.zeros(0, np.int64)] * 4
+    rolling = Rolling(hashes)
+    grams = rolling.every(GRAM)
+    low = np.uint64(32)  # bits for a position
+    ranked = (grams >> low << low) | np.arange(len(grams), dtype=np.uint64)
+    at = (_least(ranked, RUN - GRAM + 1) & np.uint64((1 << 32) - 1)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    last = np.concatenate((first[1:], [len(at)])) - 1
+    return [grams[at[first]].view(np.int64), rolling.of(first, last + RUN).view(np.int64), first, last]
+
+
 def _stretches(ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     high = np.flatnonzero(ends) + 1
     low = np.concatenate(([0], high[:-1]))
@@ -100,6 +125,12 @@ def _listed(texts: list[bytes | None]) -> list[pa.Array]:
     return [pa.array([[u[k] for u in f] for f in found], pa.list_(kind)) for k, kind in enumerate(kinds)]
 
 
+def _marked(texts: list[bytes | None]) -> list[pa.Array]:
+    found = [anchors(t or b"") for t in texts]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    return _listed(texts) + [pa.array([f[k] for f in found], pa.list_(kind)) for k, kind in enumerate(kinds)]
+
+
 def _who(doc_id, text) -> list:
     """Identity and order of a document: its id, null last, then a digest of its text."""
     return [doc_id.isNull().alias("no_id"), F.coalesce(doc_id, F.lit(0)).alias("id"), F.xxhash64(text).alias("digest")]
@@ -169,11 +200,81 @@ def similar_paragraphs(codes: DataFrame, texts: DataFrame) -> DataFrame:
     return components(edges)
 
 
+def _run_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hash of every run of RUN words that starts in some stretches of a text."""
+    for batch in batches:
+        found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]
+        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            every = Rolling(word_hashes(text.lower())[0]).every(RUN).view(np.int64)
+            for s in spans:
+                at = np.arange(s["first"], s["last"] + 1)
+                parts = (np.full(len(at), s["anchor"]), np.full(len(at), s["around"]), at - s["first"], every[at])
+                for column, part in zip(found, parts, strict=True):
+                    column.append(part)
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate(f), k) for f, k in zip(found, kinds, strict=True)], ["anchor", "around", "off", "run"]
+        )
+
+
+def repeated_runs(found: DataFrame, texts: DataFrame) -> DataFrame:
+    """(who, runs): the runs of RUN words that stand earlier too, as (at, keeper), keeper a place (who, at).
+
+    Runs that are equal share their anchor. Where all holders of an anchor have the same surroundings,
+    these go as a whole; else each run of one holder per surroundings is compared by hash.
+    """
+    names = ANCHORS.names
+    spans = found.select(*WHO, F.explode(F.arrays_zip(*names)).alias("s")).select(*WHO, "s.*")
+    repeats, n = materialize_counted(spans.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
+    held = materialize(lookup(spans, repeats, ["anchor"], n, "inner").select(*WHO, *names))
+    place = F.struct(*WHO, F.col("first").alias("at"))
+    groups = materialize(held.groupBy("anchor", "around").agg(F.min(place).alias("place"), F.max(F.expr("last - first")).alias("reach")))
+    several = groups.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
+    mixed_ = materialize(groups.join(several, "anchor"))
+    span = F.struct("anchor", "around", F.col("place.at").alias("first"), (F.col("place.at") + F.col("reach")).alias("last"))
+    wanted = mixed_.select(*[F.col(f"place.{w}").alias(w) for w in WHO], span.alias("s")).groupBy(*WHO).agg(F.collect_list("s").alias("spans"))
+    hashed = texts.join(wanted, WHO).select("text", "spans").mapInArrow(_run_hashes, "anchor long, around long, off int, run long")
+    own = F.struct(*[F.col(f"place.{w}").alias(w) for w in WHO], (F.col("place.at") + F.col("off")).alias("at"))
+    runs = materialize(hashed.distinct().join(mixed_, ["anchor", "around"]).select("anchor", "around", "off", "run", own.alias("place")))
+    firsts, n_runs = materialize_counted(runs.groupBy("run").agg(F.min("place").alias("keeper")))
+    compared = lookup(runs.select("anchor", "around", "off", "run"), firsts, ["run"], n_runs, "inner")
+    offs = F.sort_array(F.collect_list(F.struct("off", "keeper"))).alias("offs")
+    some = compared.groupBy("anchor", "around").agg(offs)
+    step = F.transform(
+        F.sequence(F.lit(0), F.col("reach")),
+        lambda k: F.struct(k.alias("off"), F.struct(*[F.col(f"place.{w}").alias(w) for w in WHO], (F.col("place.at") + k).alias("at")).alias("keeper")),
+    )
+    whole = groups.join(several, "anchor", "left_anti").select("anchor", "around", step.alias("offs"))
+    kept, n_kept = materialize_counted(whole.unionByName(some))
+    gone = lookup(held, kept, ["anchor", "around"], n_kept, "inner").select(
+        *WHO, F.transform("offs", lambda o: F.struct((F.col("first") + o["off"]).alias("at"), o["keeper"].alias("keeper"))).alias("runs")
+    )
+    other = F.filter("runs", lambda r: F.struct(*WHO, r["at"].alias("at")) != r["keeper"])
+    return gone.select(*WHO, F.explode(other).alias("r")).groupBy(*WHO).agg(F.collect_set("r").alias("runs"))
+
+
+def _run_spans(text: bytes, who: tuple, runs: list[dict]) -> list[tuple[int, int]]:
+    """The bytes of the runs. A run that overlaps the one kept in the same text goes from that one's end."""
+    _, starts, stops = word_hashes(text)
+    out = []
+    for r in runs:
+        low, high, kept = r["at"], r["at"] + RUN, r["keeper"]
+        if who == (kept["no_id"], kept["id"], kept["digest"]):
+            low = max(low, kept["at"] + RUN)
+        if low < high:
+            out.append((int(starts[low]), int(stops[high - 1])))
+    return out
+
+
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept, removed, spans = [], [], []
-        for text, parts in zip(batch.column("text").to_pylist(), batch.column("parts").to_pylist(), strict=True):
-            runs = merged_spans(*np.array([[p["start"], p["stop"]] for p in parts or []], np.int64).reshape(-1, 2).T)
+        columns = [batch.column(n).to_pylist() for n in ("text", "parts", "runs", *WHO)]
+        for text, parts, repeated, *who in zip(*columns, strict=True):
+            cut = [(p["start"], p["stop"]) for p in parts or []]
+            if repeated:
+                cut += _run_spans(text, tuple(who), repeated)
+            runs = merged_spans(*np.array(cut, np.int64).reshape(-1, 2).T)
             kept.append(None if text is None else kept_bytes(text, runs).decode("utf-8", "replace"))
             removed.append(int((runs[:, 1] - runs[:, 0]).sum()))
             spans.append(len(runs))
@@ -187,13 +288,13 @@ def deduped(docs: DataFrame) -> DataFrame:
     """``row`` (all columns of docs), the text ``kept``, ``n_spans`` and ``n_removed`` (bytes cut out), and
     ``kept_in``: the ids of the documents that keep what was cut.
 
-    Of each component of similar paragraphs, and of equal passages, the first by document order (id, null
+    Of each component of similar paragraphs, of equal passages, and of equal runs of RUN words, the first by document order (id, null
     last; then a digest of the text; then place) stays, the others go. Rows that repeat id and text are
-    one document. Null texts stay null; texts without a paragraph or passage stay as they are.
+    one document. Null texts stay null; texts without a paragraph, passage or run stay as they are.
     """
     raw = F.col("text").cast("binary")
     plain = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_id"), raw.alias("text")).select("row", *_who(F.col("_id"), F.col("text")), "text")
-    found = materialize(map_texts(plain.select(*WHO, "text"), _listed, UNITS).select(*[f"row.{w}" for w in WHO], "found.*"))
+    found = materialize(map_texts(plain.select(*WHO, "text"), _marked, StructType([*UNITS.fields, *ANCHORS.fields])).select(*[f"row.{w}" for w in WHO], "found.*"))
     each = found.select(*WHO, F.explode(F.arrays_zip(*_FIELDS)).alias("u")).select(*WHO, "u.*").withColumn("place", F.struct(*WHO, "start", "stop"))
     codes = materialize(
         each.groupBy(*CODE).agg(F.min("place").alias("place"), F.count("*").alias("n"), F.max("bands").alias("bands"))
@@ -209,7 +310,9 @@ def deduped(docs: DataFrame) -> DataFrame:
         F.collect_set(F.struct("start", "stop")).alias("parts"),
         F.sort_array(F.collect_set(F.when(~F.col("keeper.no_id"), F.col("keeper.id")))).alias("kept_in"),
     )
-    joined = plain.join(parts, WHO, "left").select("row", "text", "parts", "kept_in")
+    runs = repeated_runs(found, plain.select(*WHO, "text"))
+    both = parts.join(runs, WHO, "full").select(*WHO, "parts", "runs", _keepers().alias("kept_in"))
+    joined = plain.join(both, WHO, "left").select("row", *WHO, "text", "parts", "runs", "kept_in")
     schema = StructType(
         [
             StructField("row", docs.schema), StructField("kept", StringType()), StructField("n_spans", LongType()),
@@ -219,6 +322,15 @@ def deduped(docs: DataFrame) -> DataFrame:
     return joined.mapInArrow(_cut_out, schema)
 
 
+def _keepers():
+    """The ids of the documents that keep the parts or the runs."""
+    ids = F.transform(F.filter("runs", lambda r: ~r["keeper"]["no_id"]), lambda r: r["keeper"]["id"])
+    none = F.slice(F.array(F.lit(0).cast("long")), 1, 0)
+    return F.when(F.col("runs").isNull(), F.col("kept_in")).otherwise(
+        F.array_sort(F.array_distinct(F.concat(F.coalesce("kept_in", none), ids)))
+    )
+
+
 def op8_paragraph_dedup(spark, sf_dir: str) -> DataFrame:
     found = deduped(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return found.select(
