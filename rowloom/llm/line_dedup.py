@@ -117,6 +117,31 @@ def _joined(blocks: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     return out
 
 
+def left_over(a: list[int], b: list[int], words: list[int], gone: set[int]) -> set[int]:
+    """The lines of b, besides ``gone``, in blocks of a with a run of evidence that no alignment holds: those
+    whose lines repeat on a side, or that stand in another order."""
+    places: dict[int, list[int]] = {}
+    for i, line in enumerate(a):
+        places.setdefault(line, []).append(i)
+    more: set[int] = set()
+    for start, run in enumerate(evidence(b, words)):
+        if run[0] not in places or all(p in gone or p in more for p in range(start, start + len(run))):
+            continue
+        longest = range(0)
+        for i in places[run[0]]:
+            if tuple(a[i : i + len(run)]) != run:
+                continue
+            up, down = 0, len(run)
+            while i > up and start > up and a[i - up - 1] == b[start - up - 1]:
+                up += 1
+            while i + down < len(a) and start + down < len(b) and a[i + down] == b[start + down]:
+                down += 1
+            if up + down > len(longest):
+                longest = range(start - up, start + down)
+        more.update(longest)
+    return more - gone
+
+
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The later document of each pair with the line numbers that go from it."""
     for batch in batches:
@@ -124,7 +149,8 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gone = []
         for a, b, w in zip(earlier.to_pylist(), later.to_pylist(), words.to_pylist(), strict=True):
             total = np.concatenate(([0], np.cumsum(w)))
-            gone.append([p for _, j, n in patience(a, b) if total[j + n] - total[j] >= MIN_WORDS for p in range(j, j + n)])
+            lines = {p for _, j, n in patience(a, b) if total[j + n] - total[j] >= MIN_WORDS for p in range(j, j + n)}
+            gone.append(sorted(lines | left_over(a, b, w, lines)))
         yield pa.RecordBatch.from_arrays([who, pa.array(gone, pa.list_(pa.int32()))], ["who", "gone"])
 
 
@@ -159,7 +185,8 @@ def removals(docs: DataFrame) -> DataFrame:
 
     Each run of evidence links all its holders with the earliest of them, one link a holder, so neither
     a frequent line nor a large group of copies makes all pairs. The two ends of a link are aligned by
-    their line hashes; documents themselves don't travel.
+    their line hashes; documents themselves don't travel. Runs that the alignment leaves are matched as
+    blocks, so every run that an earlier document holds goes by its own link.
     """
     listed = map_texts(docs.select("doc_id", "text"), _lines, LINES)
     base = materialize(listed.select(_who("row.").alias("who"), "found.*")).select("who", "hashes", "words", "runs")
