@@ -2,7 +2,20 @@
 
 from __future__ import annotations
 
-from rowloom.llm import decontamination, fingerprints, language, line_dedup, mixing, paragraphs, simhash, suffix_index, toxicity, url_filter
+from rowloom.llm import (
+    decontamination,
+    fill_in_middle,
+    fingerprints,
+    language,
+    line_dedup,
+    mixing,
+    paragraphs,
+    sentence_pieces,
+    simhash,
+    suffix_index,
+    toxicity,
+    url_filter,
+)
 
 QUERIES = {
     "op1_line_dedup": (line_dedup.op1_line_dedup, None),
@@ -15,4 +28,6 @@ QUERIES = {
     "op8_paragraph_dedup": (paragraphs.op8_paragraph_dedup, None),
     "op9_suffix_array_dedup": (suffix_index.op9_suffix_array_dedup, None),
     "op10_benchmark_decontamination": (decontamination.op10_benchmark_decontamination, decontamination.OP10_SQL),
+    "op12_sentence_pieces": (sentence_pieces.op12_sentence_pieces, None),
+    "op13_fill_in_middle": (fill_in_middle.op13_fill_in_middle, None),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql.types import StructField, StructType
 
 # A slice holds texts of so many bytes at most, or a single longer text.
@@ -14,26 +14,31 @@ SLICE_BYTES = 4 << 20
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
-def map_texts(docs: DataFrame, work: Callable[[list[bytes | None]], list[pa.Array]], found: StructType, text: str = "text") -> DataFrame:
+def map_texts(
+    docs: DataFrame, work: Callable[..., list[pa.Array]], found: StructType, text: str = "text", beside: Column | None = None
+) -> DataFrame:
     """One row per row of ``docs``: ``row`` holds all its columns, ``found`` what ``work`` made of the texts.
 
     ``work`` gets the UTF-8 bytes of some texts (None for null) and returns one array per field of
-    ``found``. Packing both sides keeps extra columns of any name from clashing.
+    ``found``; with ``beside``, it gets the values of that expression as a second list. Packing both
+    sides keeps extra columns of any name from clashing.
     """
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     schema = StructType([StructField("row", docs.schema), StructField("found", found)])
     names = [f.name for f in found]
-    at = docs.columns.index(text)
+    at, width = docs.columns.index(text), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, at):
                 texts = part.column(at).cast(pa.binary()).to_pylist()
-                row = pa.StructArray.from_arrays(part.columns, fields=list(part.schema))
-                yield pa.RecordBatch.from_arrays([row, pa.StructArray.from_arrays(work(texts), names)], ["row", "found"])
+                more = [c.to_pylist() for c in part.columns[width:]]
+                row = pa.StructArray.from_arrays(part.columns[:width], fields=list(part.schema)[:width])
+                yield pa.RecordBatch.from_arrays([row, pa.StructArray.from_arrays(work(texts, *more), names)], ["row", "found"])
 
-    return docs.mapInArrow(run, schema)
+    given = docs if beside is None else docs.select("*", beside.alias("|".join(["beside", *docs.columns])))
+    return given.mapInArrow(run, schema)
 
 
 def slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
