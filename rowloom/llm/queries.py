@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from rowloom.llm import (
+    conversations,
     decontamination,
     fill_in_middle,
     fingerprints,
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_paragraph_dedup": (paragraphs.op8_paragraph_dedup, None),
     "op9_suffix_array_dedup": (suffix_index.op9_suffix_array_dedup, None),
     "op10_benchmark_decontamination": (decontamination.op10_benchmark_decontamination, decontamination.OP10_SQL),
+    "op11_conversation_repair": (conversations.op11_conversation_repair, None),
     "op12_sentence_pieces": (sentence_pieces.op12_sentence_pieces, None),
     "op13_fill_in_middle": (fill_in_middle.op13_fill_in_middle, None),
 }
