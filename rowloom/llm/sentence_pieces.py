@@ -19,8 +19,8 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from rowloom.llm.texts import map_texts
 
 SPACE = "▁"
-# Ids of so many short chunks, and the answers of so many token pairs, are kept in a worker (twice at most).
-KEPT = 400_000
+# Ids of so many short chunks, and the answers of so many token pairs, are kept in a worker (twice as many at most).
+KEPT = 250_000
 KEPT_CHARS = 48
 _NEVER = float("-inf")
 
@@ -47,32 +47,56 @@ class _Recent(dict):
         return value
 
 
+def _reader(model: bytes) -> sentencepiece.SentencePieceProcessor:
+    reader = sentencepiece.SentencePieceProcessor(model_proto=model)
+    if reader.normalize("A  b ") != f"{SPACE}A{SPACE}{SPACE}b{SPACE}":
+        raise ValueError("only models that keep texts as they are, with a space put before, are read")
+    return reader
+
+
+class Printer:
+    """What ids print as, read from the model's bytes."""
+
+    def __init__(self, model: bytes):
+        reader = _reader(model)
+        size = range(reader.get_piece_size())
+        self.control = {i for i in size if reader.is_control(i)}
+        # These begin a text as they are; other pieces lose a space there.
+        self.bare = {i for i in size if reader.is_byte(i) or reader.is_unknown(i)}
+        self.prints = [b""] * len(size)
+        for i in size:
+            if reader.is_byte(i):
+                self.prints[i] = bytes([int(reader.id_to_piece(i)[1:-1], 16)])
+            elif i not in self.control:
+                self.prints[i] = (" ⁇ " if reader.is_unknown(i) else reader.id_to_piece(i).replace(SPACE, " ")).encode()
+
+    def decode(self, ids: bytes) -> str:
+        """The text of ids: control pieces print nothing, the space before the first piece goes, bytes join."""
+        numbers = np.frombuffer(ids, "<u4").tolist()
+        first = next((k for k, i in enumerate(numbers) if i not in self.control), len(numbers))
+        data = b"".join(map(self.prints.__getitem__, numbers[first:]))
+        if first < len(numbers) and numbers[first] not in self.bare:
+            data = data.removeprefix(b" ")
+        return data.decode("utf-8", "each-invalid-byte")
+
+
 class Pieces:
     """The vocabulary of a merge-type model, read from the model's bytes."""
 
     def __init__(self, model: bytes):
-        reader = sentencepiece.SentencePieceProcessor(model_proto=model)
-        if reader.normalize("A  b ") != f"{SPACE}A{SPACE}{SPACE}b{SPACE}":
-            raise ValueError("only models that keep texts as they are, with a space put before, are read")
+        reader = _reader(model)
         size = range(reader.get_piece_size())
-        special = {i for i in size if reader.is_control(i) or reader.is_unknown(i)}
         in_bytes = [i for i in size if reader.is_byte(i)]
         if len(in_bytes) != 256 or any(reader.is_unused(i) for i in size):
             raise ValueError("only models with all byte pieces and no unused pieces are read")
-        plain = [i for i in size if i not in special and not reader.is_byte(i)]
+        plain = [i for i in size if not (reader.is_control(i) or reader.is_unknown(i) or reader.is_byte(i))]
         self.ids = {reader.id_to_piece(i): i for i in plain}
         self.scores = {reader.id_to_piece(i): reader.get_score(i) for i in plain}
         byte_id = {int(reader.id_to_piece(i)[1:-1], 16): i for i in in_bytes}
-        self.begin, self.end = (np.array([i], "<u4").tobytes() for i in (reader.bos_id(), reader.eos_id()))
         self.byte_ids = [byte_id[b] for b in range(256)]
-        # What an id prints as; no piece prints as nothing but the control pieces.
-        self.control = {i for i in size if reader.is_control(i)}
-        self.prints = [b""] * len(size)
-        for i in size:
-            if i not in self.control:
-                self.prints[i] = " ⁇ ".encode() if reader.is_unknown(i) else reader.id_to_piece(i).replace(SPACE, " ").encode()
-        for b, i in byte_id.items():
-            self.prints[i] = bytes([b])
+        self.begin, self.end = (struct.pack("<I", i) for i in (reader.bos_id(), reader.eos_id()))
+        if any("\n" in p for p in self.ids):
+            raise ValueError("only models without a line end in their pieces are read")
         # No merge joins two characters that stand side by side in no piece.
         self.touching = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.trie = ahocorasick.Automaton()
@@ -82,7 +106,7 @@ class Pieces:
         self.trie.make_automaton()
         tokens = set(made)
         self.shorter = {p: next((k for k in range(len(p) - 1, 1, -1) if p[:k] in tokens), 1) for p in made}
-        self.agree = _Recent(lambda pair: self.merged(pair[0] + pair[1]) == [*pair])
+        self.agree = _Recent(self.stays)
         self.packed = _Recent(self.pack, lambda chunk: len(chunk) <= KEPT_CHARS)
 
     def merged(self, text: str) -> list[str]:
@@ -135,17 +159,23 @@ class Pieces:
                 length = self.shorter[token] if len(token) > 1 else 0
 
     def fits(self, left: str, right: str) -> bool:
-        return left[-1] + right[0] not in self.touching or self.agree[left, right]
+        return left[-1] + right[0] not in self.touching or self.agree[f"{left}\n{right}"]
+
+    def stays(self, pair: str) -> bool:
+        """Merging two tokens anew gives the two again."""
+        left, right = pair.split("\n")
+        return self.merged(left + right) == [left, right]
 
     def pack(self, chunk: str) -> bytes:
         """The ids of a chunk, 32 bits each; its parts between boundaries are looked up on their own."""
-        parts, start, touching = [], 0, self.touching
-        for k in range(1, len(chunk)):
-            if chunk[k - 1 : k + 1] not in touching:
-                parts.append(chunk[start:k])
-                start = k
-        if parts:
-            return b"".join(map(self.packed.__getitem__, [*parts, chunk[start:]]))
+        if not chunk[1:].isalpha():
+            parts, start, touching = [], 0, self.touching
+            for k in range(1, len(chunk)):
+                if chunk[k - 1 : k + 1] not in touching:
+                    parts.append(chunk[start:k])
+                    start = k
+            if parts:
+                return b"".join(map(self.packed.__getitem__, [*parts, chunk[start:]]))
         found = []
         for token in self.tokens(chunk):
             number = self.ids.get(token)
@@ -157,23 +187,12 @@ class Pieces:
         chunks = _CHUNK.findall(SPACE + text.replace(" ", SPACE)) if text else []
         return b"".join((self.begin, *map(self.packed.__getitem__, chunks), self.end))
 
-    def decode(self, ids: bytes) -> str:
-        """The text of ids: control pieces print nothing, the space before the first piece goes, bytes join."""
-        numbers = np.frombuffer(ids, "<u4").tolist()
-        first = next((k for k, i in enumerate(numbers) if i not in self.control), len(numbers))
-        data = b"".join(map(self.prints.__getitem__, numbers[first:]))
-        if first < len(numbers) and numbers[first] not in self.byte_ids and self.prints[numbers[first]] != b" \xe2\x81\x87 ":
-            data = data.removeprefix(b" ")
-        return data.decode("utf-8", "each-invalid-byte")
-
 
 codecs.register_error("each-invalid-byte", lambda e: ("�" * (e.end - e.start), e.end))
 
 
-@lru_cache(maxsize=2)
-def _pieces(model: bytes) -> Pieces:
-    """Read once in a worker."""
-    return Pieces(model)
+# Read once in a worker.
+_pieces, _printer = lru_cache(maxsize=2)(Pieces), lru_cache(maxsize=2)(Printer)
 
 
 def _encoded(texts: Iterable[bytes | None], model: bytes) -> list[pa.Array]:
@@ -202,8 +221,8 @@ def decode(ids: Column, model: str) -> Column:
 
     @F.pandas_udf("string")
     def texts(packed):
-        pieces = _pieces(data)
-        return packed.map(lambda i: None if i is None else pieces.decode(i))
+        printer = _printer(data)
+        return packed.map(lambda i: None if i is None else printer.decode(i))
 
     return texts(ids)
 
