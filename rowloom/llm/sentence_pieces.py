@@ -191,8 +191,15 @@ class Pieces:
 codecs.register_error("each-invalid-byte", lambda e: ("�" * (e.end - e.start), e.end))
 
 
-# Read once in a worker.
-_pieces, _printer = lru_cache(maxsize=2)(Pieces), lru_cache(maxsize=2)(Printer)
+@lru_cache(maxsize=2)
+def _pieces(model: bytes) -> Pieces:
+    """Read once in a worker."""
+    return Pieces(model)
+
+
+@lru_cache(maxsize=2)
+def _printer(model: bytes) -> Printer:
+    return Printer(model)
 
 
 def _encoded(texts: Iterable[bytes | None], model: bytes) -> list[pa.Array]:
