@@ -119,8 +119,8 @@ def key_capacity(spec: TableSpec, rows: int, key: Sequence[str] | None = None, s
 
 def own_unique_keys(spec: TableSpec) -> list[list[str]]:
     """Unique keys made by construction: those that share no column with another key, a foreign key or a
-    combination rule. A key that holds the whole primary key needs nothing; other overlapping keys are left
-    to ``make_unique``."""
+    combination rule. A key that holds the whole primary key needs nothing; other overlapping keys are kept by
+    ``make_all_unique``."""
     used = {spec.column(c).name for c in spec.primary_key} | set(spec.fk_columns)
     used |= {spec.column(c).name for rule in spec.combinations for c in rule.columns if spec.has_column(c)}
     found = []
@@ -286,13 +286,33 @@ def _avoid(value: Column, taken: list[int], column: ColumnSpec, rows: int, draws
     return F.when(found > 0, swapped.cast(column.data_type())).otherwise(value)
 
 
+def redrawn(rows: DataFrame, spec: TableSpec, total: int, options: GenerateOptions, names: Sequence[str], position: str = POSITION) -> DataFrame:
+    """Generate the named columns of existing rows anew, with the draws of ``options``.
+
+    What a repetition rule pins stays pinned, and its constant columns stay as they are in its rows.
+    """
+    draws = SharedDraws(options.seed, spec.name, options.algorithm)
+    columns, _ = row_columns(spec, options, F.col(position), total, draws)
+    hashed = rows.select("*", *draws.digest_columns())
+    out = []
+    for name in rows.columns:
+        if name not in names:
+            out.append(F.col(name))
+            continue
+        value, constant = columns[name], [i for i, r in enumerate(options.rules) if name.lower() in map(str.lower, r.constant)]
+        if constant:
+            value = F.when(F.col(RULE).isin(constant), F.col(name)).otherwise(value)
+        out.append(value.alias(name))
+    return hashed.select(*out)
+
+
 def planned_rows(spec: TableSpec, rows: int, options: GenerateOptions) -> int:
     """max(N, rule rows), within the capacity of every key that takes no nulls; a table without columns has no rows."""
     if not spec.columns:
         return 0
     wanted = max(rows, lay_out(spec, list(options.rules)).total)
     scale = options.values.numeric_scale
-    binding = [k for k in own_unique_keys(spec) if not any(spec.column(c).nullable or c in options.excluded for c in k)]
+    binding = [k for k in spec.unique_keys if not any(spec.column(c).nullable or c in options.excluded for c in k)]
     return min(key_capacity(spec, wanted, k, scale) for k in [spec.primary_key, *binding])
 
 

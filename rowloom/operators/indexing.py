@@ -1,10 +1,10 @@
-"""Dense row numbers over a total order, without a single-task window."""
+"""Dense row numbers and running totals over a total order, without a single-task window."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowloom.session import checkpointed, materialize
@@ -43,3 +43,35 @@ def dense_index(df: DataFrame, order_by: list[str], position: str = "_pos", deri
     start = F.element_at(F.lit(offsets or [0]), F.spark_partition_id() + 1)
     slot = F.monotonically_increasing_id().bitwiseAND(F.lit(_SLOT_MASK))
     return IndexedRows(ordered.select("*", (start + slot).cast("bigint").alias(position)), total, position)
+
+
+@dataclass(frozen=True)
+class RunningTotal:
+    df: DataFrame
+    total: int
+
+
+def running_total(df: DataFrame, order_by: list[str], value: str, before: str) -> RunningTotal:
+    """The sum of ``value`` (whole numbers, as DECIMAL(38,0)) over all earlier rows, and over all.
+
+    ``order_by`` must identify a row. A window runs inside each range partition; the driver sees one sum a partition.
+    """
+    keys = [F.col(c) for c in order_by]
+    ordered = checkpointed(df.repartitionByRange(*keys).sortWithinPartitions(*keys)).withColumn("_part", F.spark_partition_id())
+    sums = {r["_part"]: int(r["n"] or 0) for r in ordered.groupBy("_part").agg(F.sum(value).cast("decimal(38,0)").alias("n")).collect()}
+    offsets, total = [], 0
+    for part in range(max(sums, default=-1) + 1):
+        offsets.append(F.lit(total).cast("decimal(38,0)"))
+        total += sums.get(part, 0)
+    earlier = Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.element_at(F.array(*offsets), F.col("_part") + 1) if offsets else F.lit(0).cast("decimal(38,0)")
+    inside = F.coalesce(F.sum(value).over(earlier), F.lit(0)).cast("decimal(38,0)")
+    return RunningTotal(ordered.select("*", (start + inside).cast("decimal(38,0)").alias(before)).drop("_part"), total)
+
+
+def numbers_below(df: DataFrame, limit: str, name: str, block: int = 1000) -> DataFrame:
+    """Each row once for every number from 0 to below ``limit``: two short sequences instead of one as long as the limit."""
+    low = F.sequence(F.lit(0).cast("bigint"), (F.col(limit) - 1).cast("bigint"), F.lit(block).cast("bigint"))
+    blocks = df.where(F.col(limit) > 0).select("*", F.explode(low).alias("_low")).hint("rebalance")
+    numbers = F.sequence("_low", F.least(F.col("_low") + block, F.col(limit).cast("bigint")) - 1)
+    return blocks.select(*df.columns, F.explode(numbers).alias(name))

@@ -1,17 +1,19 @@
-"""First-by-position per key; rows that lost draw again, then take free keys."""
+"""First-by-position per key; rows that lost draw again, then take free keys. One key, or several that overlap."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from math import prod
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.functions.keyed import base36
-from rowloom.operators.generate import POSITION
-from rowloom.operators.indexing import dense_index
+from rowloom.operators.generate import POSITION, Domain
+from rowloom.operators.indexing import dense_index, numbers_below
+from rowloom.operators.joins import lookup
 from rowloom.session import materialize, materialize_counted
 
 
@@ -85,3 +87,132 @@ def with_suffix(text: Column, position: Column, length: int, digits: int) -> Col
     room = length - digits - 1 if length > 0 else 0
     head = F.substring(text, 1, room) if length > 0 else text
     return F.concat(head, F.lit("-"), F.lpad(base36(position), digits, "0"))
+
+
+# --- several keys at once ---------------------------------------------------------------------
+
+
+def _complete(key: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in key])
+
+
+def key_values(df: DataFrame, keys: Sequence[Sequence[str]], position: str) -> DataFrame:
+    """(position, key number, 128-bit digest) for every complete key of every row: all keys in one shape."""
+    entries = []
+    for number, key in enumerate(keys):
+        texts = [F.col(c).cast("string") for c in key]
+        value = F.concat_ws("|", *[part for t in texts for part in (F.length(t).cast("string"), t)])
+        entries.append(F.struct(F.lit(number).alias("key"), F.when(_complete(key), F.md5(value)).alias("value")))
+    return df.select(position, F.explode(F.array(*entries)).alias("e")).select(position, "e.*").where("value is not null")
+
+
+def least_in_all(df: DataFrame, keys: Sequence[Sequence[str]], position: str = POSITION) -> DataFrame:
+    """The rows that are the least of every key group they stand in.
+
+    Minima are aggregated before the shuffle and counted per winning row, so no group is gathered and none
+    is joined with its own rows.
+    """
+    least = key_values(df, keys, position).groupBy("key", "value").agg(F.min(position).alias(position))
+    wins = least.groupBy(position).agg(F.count("*").alias("_wins"))
+    stands = reduce(lambda a, b: a + b, [_complete(k).cast("int") for k in keys])
+    return df.join(wins, position, "left").where(F.coalesce("_wins", F.lit(0)) == stands).drop("_wins")
+
+
+def make_all_unique(
+    df: DataFrame,
+    keys: Sequence[Sequence[str]],
+    redraw: Callable[[DataFrame, int], DataFrame],
+    domains: Mapping[str, Domain] | None = None,
+    rounds: int = 6,
+    position: str = POSITION,
+) -> Distinct:
+    """Rows that agree in none of several keys, which may share columns. Nulls never agree.
+
+    Key groups are the edges of a conflict hypergraph. A row is accepted if it is the least of every group it
+    stands in; rows that only lost to rows which lost elsewhere compete again, until all others collide with an
+    accepted row: rounds of a maximal independent set. Only those losers are redrawn. After ``rounds`` rounds,
+    or a round that places less than a quarter, they are given free values of ``domains`` key by key and
+    compete as before; rows are left out when two such rounds in a row place none.
+    """
+    keys = [list(k) for k in keys]
+    waiting, n_waiting = materialize_counted(df)
+    parts, taken, round_, idle = [], [], 0, 0
+    while n_waiting:
+        contest, before = waiting, n_waiting
+        while True:
+            if taken:
+                known = reduce(DataFrame.unionByName, taken)
+                collide = lookup(key_values(contest, keys, position), known, ["key", "value"], how="inner").select(position).distinct()
+                contest = contest.join(collide, position, "left_anti")
+            won, n = materialize_counted(least_in_all(contest, keys, position))
+            if n == 0:
+                break
+            parts.append(won)
+            taken.append(key_values(won, keys, position).select("key", "value"))
+            waiting, n_waiting = materialize_counted(waiting.join(won.select(position), position, "left_anti"))
+            if n_waiting == 0:
+                break
+            contest = waiting
+        if n_waiting == 0:
+            break
+        placed = before - n_waiting
+        idle = idle + 1 if placed == 0 else 0
+        if idle >= 2 and (round_ > rounds or not domains):
+            break
+        round_ += 1
+        waiting = redraw(waiting, round_)
+        if domains and parts and (round_ >= rounds or idle or 4 * placed < before):
+            accepted = reduce(DataFrame.unionByName, parts)
+            waiting = give_free_values(materialize(waiting), accepted, keys, domains, position)
+            rounds = min(rounds, round_)
+        waiting = materialize(waiting)
+    rows = reduce(DataFrame.unionByName, parts) if parts else df.limit(0)
+    return Distinct(rows, waiting)
+
+
+def give_free_values(
+    waiting: DataFrame, accepted: DataFrame, keys: Sequence[Sequence[str]], domains: Mapping[str, Domain], position: str = POSITION
+) -> DataFrame:
+    """Give waiting rows free values, one key after the other; what an earlier key settled stays.
+
+    For a key, rows stand in groups of its settled columns. Among the first w + t codes of a group, with w rows
+    waiting and t taken, at least w are free, so no more are made than there are rows. Free codes and waiting
+    rows are numbered within their group over the whole cluster and meet by number.
+    """
+    done: set[str] = set()
+    for key in keys:
+        free = [c for c in key if c in domains and c not in done]
+        done |= set(key)
+        if not free:
+            continue
+        settled = [c for c in key if c not in free]
+        sizes = [domains[c].size for c in free]
+        ready = waiting.where(_complete(settled)) if settled else waiting
+        taken = accepted.where(_complete(key))
+        group = settled or ["_all"]
+        counted = ready.withColumn("_all", F.lit(0)).groupBy(*group).agg(F.count("*").alias("_waiting"))
+        held = taken.withColumn("_all", F.lit(0)).groupBy(*group).agg(F.count("*").alias("_taken"))
+        room = counted.join(held, group, "left").withColumn(
+            "_codes", F.least(F.col("_waiting") + F.coalesce("_taken", F.lit(0)), F.lit(min(prod(sizes), 1 << 62)))
+        )
+        codes = numbers_below(room.select(*group, "_codes"), "_codes", "_code")
+        rest, made = F.col("_code"), {}
+        for name, size in zip(free, sizes, strict=True):
+            made[name] = domains[name].value(F.pmod(rest, F.lit(size)))
+            rest = F.call_function("div", rest, F.lit(size))
+        candidates = codes.select("*", *[v.alias(c) for c, v in made.items()])
+        open_ = candidates.join(taken.select(*key), key, "left_anti").select(*group, "_code", *free)
+        offered = _numbered(open_, group, "_code").select(*group, "_number", *[F.col(c).alias(f"_free_{c}") for c in free])
+        asking = _numbered(ready.withColumn("_all", F.lit(0)).select(*group, position), group, position).select(*group, "_number", position)
+        given = asking.join(offered, [*group, "_number"]).select(position, *[f"_free_{c}" for c in free])
+        waiting = waiting.join(given, position, "left").select(
+            *[F.coalesce(f"_free_{c}", c).alias(c) if c in free else F.col(c) for c in waiting.columns]
+        )
+    return waiting
+
+
+def _numbered(df: DataFrame, group: list[str], order: str) -> DataFrame:
+    """``_number`` from 0 within each group, without gathering a group."""
+    indexed = dense_index(df, [*group, order], "_place", derived=True).df
+    starts = indexed.groupBy(*group).agg(F.min("_place").alias("_start"))
+    return lookup(indexed, starts, group, how="inner").withColumn("_number", F.col("_place") - F.col("_start"))

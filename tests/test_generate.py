@@ -163,18 +163,6 @@ def test_script_of_a_schema(spark):
     assert all(t.startswith('UPDATE "users" SET "manager_id"=\'') for t in texts[5:])
 
 
-def test_first_key_to_set_a_column_wins(spark):
-    from rowloom.operators.references import assign_combinations, parent_of
-
-    a = parent_of(spark.range(3).select(F.col("id").alias("x"), (F.col("id") * 10).alias("y")), ["x", "y"])
-    b = parent_of(spark.range(100, 104).select(F.col("id").alias("x"), (F.col("id") * 10).alias("z")), ["x", "z"])
-    rows = spark.range(15).withColumnRenamed("id", "pos")
-    got = assign_combinations(rows, [(a, {"shared": "x", "p": "y"}), (b, {"shared": "x", "q": "z"})], "pos")
-    done = got.where("shared is not null")
-    assert done.count() == 12 and done.where("shared > 2 or p <> shared * 10").isEmpty()
-    assert done.select("p", "q").distinct().count() == 12 and got.where("q is null").count() == 3
-
-
 def test_combinations_beyond_the_code_reach_every_parent(spark, monkeypatch):
     sizes = [10, 400]
     places = references.combination_positions(F.col("id"), [1 << 40, 1 << 41], 3)

@@ -22,7 +22,7 @@ from rowloom.operators.enrichment import attach_phrases
 from rowloom.operators.generate import GenerateOptions, generate_over, generate_table
 from rowloom.operators.indexing import dense_index
 from rowloom.operators.quality import integrity_report
-from rowloom.operators.uniqueness import first_per_key, make_unique
+from rowloom.operators.uniqueness import first_per_key, least_in_all, make_unique
 from rowloom.plans.seeding import SeedOptions, seed
 from rowloom.sources.tables import vocabulary, word_list
 from workload.common import SEED, draw, nullable, step, table, uuid_sql
@@ -523,7 +523,80 @@ SEED_RULED_SHARED_KEY = "\nUNION ALL ".join(
                     ("users", "row_count", "*"), ("profile", "row_count", "*"), ("photo", "row_count", "*"))
 )
 
+def unique_least_in_all(spark: SparkSession, d: str) -> DataFrame:
+    """Order lines that are the first of their part and supplier, and of their supplier and day: two keys that share a column."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.to_date("l_shipdate").alias("day"))
+    placed = dense_index(lines, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "day"], "_idx").df
+    return least_in_all(placed, [["l_partkey", "l_suppkey"], ["l_suppkey", "day"]]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "day")
+
+
+UNIQUE_LEAST_IN_ALL = """
+WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate::DATE AS day,
+  row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate::DATE) AS pos FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, day FROM l QUALIFY pos = min(pos) OVER (PARTITION BY l_partkey, l_suppkey)
+  AND pos = min(pos) OVER (PARTITION BY l_suppkey, day)
+"""
+
+
+def seed_overlapping_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Unique keys that share columns with each other, with the primary key and with a foreign key: duplicates per key.
+
+    As many rows as there are customers, four times as many places in each key.
+    """
+    n = table(spark, d, "customer").count()
+    parent = TableSpec("places", (C("id", "int"),), ("id",))
+    spec = TableSpec(
+        "seats",
+        (C("a", "int", min_value=1, max_value=n), C("b", "int", min_value=1, max_value=n), C("x", "int", False, min_value=1, max_value=4 * n // 30),
+         C("y", "smallint", False, min_value=1, max_value=30), C("place", "int", False)),
+        ("a", "b"), (ForeignKey(("place",), "places", ("id",)),), (("x", "y"), ("place", "y"), ("a", "x")),
+    )
+    made = seed(spark, (parent, spec), SeedOptions(rows={"places": 4 * n // 30, "seats": n}, table=_options()))
+    rows = made.tables["seats"]
+    return reduce(DataFrame.unionByName, [
+        rows.groupBy(*key).count().agg(
+            F.lit(",".join(key)).alias("key"), F.sum("count").alias("n_rows"), F.sum((F.col("count") > 1).cast("bigint")).alias("duplicates"),
+            F.lit(made.shortfall.get("seats", 0)).cast("bigint").alias("missing"),
+        )
+        for key in (spec.primary_key, *spec.unique_keys)
+    ])
+
+
+SEED_OVERLAPPING_KEYS = """
+SELECT unnest(['a,b', 'x,y', 'place,y', 'a,x']) AS key, count(*) AS n_rows, 0 AS duplicates, 0 AS missing FROM customer
+"""
+
+
+def seed_shared_references(spark: SparkSession, d: str) -> DataFrame:
+    """Three foreign keys of a table that share a column, and a table below: every key holds in every row."""
+    n = table(spark, d, "supplier").count()
+    shops = TableSpec("shops", (C("town", "int"), C("shop", "int")), ("town", "shop"))
+    staff = TableSpec("staff", (C("town", "int"), C("name", "varchar", length=12)), ("town", "name"))
+    roads = TableSpec("roads", (C("town", "int"), C("road", "uuid", uuid=True)), ("town", "road"))
+    visits = TableSpec(
+        "visits", (C("id", "int"), C("town", "int", False), C("shop", "int", False), C("name", "varchar", False, 12), C("road", uuid=True, nullable=False)), ("id",),
+        (ForeignKey(("town", "shop"), "shops", ("town", "shop"), name="in"), ForeignKey(("town", "name"), "staff", ("town", "name"), name="by"),
+         ForeignKey(("town", "road"), "roads", ("town", "road"), name="on")),
+    )
+    notes = TableSpec("notes", (C("id", "int"), C("town", "int"), C("shop", "int")), ("id",), (ForeignKey(("town", "shop"), "shops", ("town", "shop"), name="about"),))
+    specs = (shops, staff, roads, visits, notes)
+    made = seed(spark, specs, SeedOptions(rows={"shops": n, "staff": n, "roads": n // 2, "visits": 5 * n, "notes": n}, table=_options()))
+    counts = {"visits": 5 * n, "notes": n}
+    return integrity_report(made.tables, specs, counts).where("table_name in ('visits', 'notes') and kind in ('primary_key', 'foreign_key', 'row_count')")
+
+
+SEED_SHARED_REFERENCES = "\nUNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{k}' AS kind, '{c}' AS constraint_name, {times} * count(*) AS checked, 0 AS violations FROM supplier"
+    for t, times, k, c in (
+        ("visits", 5, "primary_key", "id"), ("visits", 5, "foreign_key", "in"), ("visits", 5, "foreign_key", "by"), ("visits", 5, "foreign_key", "on"),
+        ("visits", 5, "row_count", "*"), ("notes", 1, "primary_key", "id"), ("notes", 1, "foreign_key", "about"), ("notes", 1, "row_count", "*"),
+    )
+)
+
 QUERIES = {
+    "unique_least_in_all": (unique_least_in_all, UNIQUE_LEAST_IN_ALL),
+    "seed_overlapping_keys": (seed_overlapping_keys, SEED_OVERLAPPING_KEYS),
+    "seed_shared_references": (seed_shared_references, SEED_SHARED_REFERENCES),
     "unique_all_kinds": (unique_all_kinds, UNIQUE_ALL_KINDS),
     "shortfall_report": (shortfall_report, SHORTFALL_REPORT),
     "seed_ruled_shared_key": (seed_ruled_shared_key, SEED_RULED_SHARED_KEY),

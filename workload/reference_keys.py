@@ -175,6 +175,52 @@ def fk_empty_parent(spark: SparkSession, d: str) -> DataFrame:
     return ref.assign_random(events, parent, {"customer_id": "c_custkey"}, DRAWS, "event_id", "fk_nobody")
 
 
+def fk_agreeing(spark: SparkSession, d: str) -> DataFrame:
+    """Every order gets a customer and a supplier of one nation: two keys that share the nation column."""
+    orders = table(spark, d, "orders").select("o_orderkey")
+    parents = [
+        ("fk_of_customer", table(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("customer"))),
+        ("fk_of_supplier", table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("supplier"))),
+    ]
+    return ref.assign_shared(orders, parents, DRAWS, "o_orderkey").rows.select("o_orderkey", "nation", "customer", "supplier")
+
+
+FK_AGREEING = f"""
+WITH c AS (SELECT c_nationkey AS nation, c_custkey AS customer, row_number() OVER (ORDER BY c_nationkey, c_custkey) - 1 AS pos,
+    count(*) OVER () AS n FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier)),
+s AS (SELECT s_nationkey AS nation, s_suppkey AS supplier, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS pos,
+    count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier)
+SELECT o_orderkey, c.nation, customer, supplier FROM orders
+JOIN c ON c.pos = {draw('refs', 'fk_of_customer', 'o_orderkey')} % c.n
+JOIN s ON s.nation = c.nation AND s.pos = {draw('refs', 'fk_of_supplier', 'o_orderkey')} % s.n
+"""
+
+
+def fk_agreeing_tuples(spark: SparkSession, d: str) -> DataFrame:
+    """As many different (customer, supplier) pairs of one nation as there are parts, a nation's share by its number of pairs."""
+    customer = ref.parent_of(table(spark, d, "customer").select("c_nationkey", "c_custkey"), ["c_nationkey", "c_custkey"])
+    supplier = ref.parent_of(table(spark, d, "supplier").select("s_nationkey", "s_suppkey"), ["s_nationkey", "s_suppkey"])
+    parts = dense_index(table(spark, d, "part").select("p_partkey"), ["p_partkey"], "pos").df
+    pairs = [(customer, {"nation": "c_nationkey", "customer": "c_custkey"}), (supplier, {"nation": "s_nationkey", "supplier": "s_suppkey"})]
+    return ref.assign_combinations(parts, pairs, "pos").select("pos", "p_partkey", "nation", "customer", "supplier")
+
+
+FK_AGREEING_TUPLES = """
+WITH c AS (SELECT c_nationkey AS nation, c_custkey AS customer, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS pos FROM customer),
+s AS (SELECT s_nationkey AS nation, s_suppkey AS supplier, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS pos FROM supplier),
+cn AS (SELECT nation, count(*) AS n1 FROM c GROUP BY nation), sn AS (SELECT nation, count(*) AS n2 FROM s GROUP BY nation),
+g AS (SELECT nation, n1, n2, n1 * n2 AS pairs, coalesce(sum(n1 * n2) OVER (ORDER BY nation ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM cn JOIN sn USING (nation)),
+t AS (SELECT sum(pairs)::BIGINT AS total, least(sum(pairs)::BIGINT, (SELECT count(*) FROM part)) AS taken FROM g),
+a AS (SELECT *, before * taken // total AS first, (before + pairs) * taken // total - before * taken // total AS own FROM g, t),
+k AS (SELECT *, unnest(range(0, own)) AS code FROM a),
+m AS (SELECT first + code AS pos, nation, (code * pairs // own) % n1 AS p1, (code * pairs // own) // n1 % n2 AS p2 FROM k),
+p AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS pos, p_partkey FROM part)
+SELECT p.pos, p_partkey, m.nation, customer, supplier FROM p LEFT JOIN m ON m.pos = p.pos
+LEFT JOIN c ON c.nation = m.nation AND c.pos = m.p1 LEFT JOIN s ON s.nation = m.nation AND s.pos = m.p2
+"""
+
+
 def _deferred(spark: SparkSession, d: str) -> ref.Deferred:
     chained = ref.assign_chain(table(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey", "next_custkey", 3, ref.NULL_FK)
     return ref.defer(chained, ["c_custkey"], ["next_custkey"])
@@ -208,6 +254,8 @@ QUERIES = {
     "fk_chain_positions": (fk_chain_positions, FK_CHAIN_POSITIONS),
     "fk_generated_parent": (fk_generated_parent, FK_GENERATED_PARENT),
     "fk_empty_parent": (fk_empty_parent, "SELECT event_id, NULL::BIGINT AS customer_id FROM events"),
+    "fk_agreeing": (fk_agreeing, FK_AGREEING),
+    "fk_agreeing_tuples": (fk_agreeing_tuples, FK_AGREEING_TUPLES),
     "fk_deferred_inserts": (fk_deferred_inserts, "SELECT c_custkey, c_name, NULL::BIGINT AS next_custkey FROM customer"),
     "fk_deferred_updates": (
         fk_deferred_updates, f"SELECT * FROM ({_chain(3, 'NULL')}) WHERE next_custkey IS NOT NULL"
