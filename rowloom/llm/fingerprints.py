@@ -1,4 +1,4 @@
-"""Document fingerprints from closed syncmers, in DataFrame operations only."""
+"""Document fingerprints from closed syncmers, matched by position, in DataFrame operations only."""
 
 from __future__ import annotations
 
@@ -10,10 +10,9 @@ from rowloom.session import materialize
 
 # A k-mer is SIZE words; its inner substrings are single words.
 SIZE = 4
-# A fingerprint keeps so many of the least syncmer hashes.
-KEPT = 96
 WORD = r"[^\x20\x09-\x0D]+"
-_HEX = 12
+# An anchor is packed into 32 bits: its gap to the anchor before (GAP bits, below the sign) and HASH bits of its hash.
+HASH, GAP = 28, 3
 
 
 def word_hashes(text: Column) -> Column:
@@ -45,64 +44,122 @@ def syncmers(hashes: Column, size: int = SIZE) -> Column:
     return F.when(n > 0, anchors).otherwise(F.slice(anchors, 1, 0))
 
 
-def sketch(anchors: Column, kept: int = KEPT) -> Column:
-    """The least distinct anchor hashes, as ascending numbers of 48 bits."""
-    codes = F.transform(anchors, lambda a: F.shiftrightunsigned(a["hash"], 64 - 4 * _HEX))
-    return F.slice(F.array_sort(F.array_distinct(codes)), 1, kept)
+def packed(anchors: Column) -> Column:
+    """All anchors in order, each with its gap to the one before. ``anchors`` must be a plain column.
+
+    Neighbouring anchors stand less than SIZE words apart, since of SIZE neighbouring k-mers one is closed; so
+    the gaps tell every place.
+    """
+    most = (1 << GAP) - 1
+
+    def one(anchor: Column, i: Column) -> Column:
+        gap = F.least(anchor["at"] - F.coalesce(F.get(anchors, i - 1)["at"], F.lit(0)), F.lit(most))
+        return F.shiftleft(gap, HASH).bitwiseOR(F.shiftrightunsigned(anchor["hash"], 64 - HASH).cast("int"))
+
+    return F.transform(anchors, one)
 
 
 def digits(codes: Column) -> Column:
-    """A sketch as a string of fixed-width hexadecimal numbers."""
-    return F.concat_ws("", F.transform(codes, lambda c: F.lpad(F.lower(F.hex(c)), _HEX, "0")))
+    """Packed anchors as a string of eight hexadecimal digits each."""
+    return F.concat_ws("", F.transform(codes, lambda c: F.lpad(F.lower(F.hex(c)), 8, "0")))
+
+
+def merged(a: Column, b: Column) -> Column:
+    """The anchors of both texts in order of hash, then of their number in the text; the last bit tells the side."""
+
+    def side(codes: Column, bit: int) -> Column:
+        return F.transform(
+            codes, lambda c, i: F.shiftleft(c.bitwiseAND(F.lit((1 << HASH) - 1)).cast("bigint"), 33).bitwiseOR(F.shiftleft(i.cast("bigint"), 1)).bitwiseOR(F.lit(bit))
+        )
+
+    return F.sort_array(F.concat(side(a, 0), side(b, 1)))
+
+
+def offsets(both: Column) -> Column:
+    """How far equal anchors of the two sides stand apart, in ascending order. ``both`` must be a plain column.
 
+    An anchor that occurs several times is paired with its neighbours in order of number: pairs at one offset
+    never share an anchor.
+    """
+    number = F.lit((1 << 32) - 1)
+    at = lambda x: F.shiftright(x, 1).bitwiseAND(number)
+    sign = lambda x: F.lit(1) - 2 * x.bitwiseAND(F.lit(1))
+    pair = F.filter(
+        F.sequence(F.lit(0), F.size(both) - 2),
+        lambda i: (F.shiftright(F.get(both, i), 33) == F.shiftright(F.get(both, i + 1), 33))
+        & (F.get(both, i).bitwiseXOR(F.get(both, i + 1)).bitwiseAND(F.lit(1)) == 1),
+    )
+    apart = F.transform(pair, lambda i: (at(F.get(both, i + 1)) - at(F.get(both, i))) * sign(F.get(both, i)))
+    return F.when(F.size(both) > 1, F.sort_array(apart)).otherwise(F.array().cast("array<bigint>"))
+
+
+def longest_run(values: Column) -> Column:
+    """How often the most frequent of ascending values occurs."""
+    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def step(state: Column, value: Column) -> Column:
+        run = F.when(state["last"] == value, state["run"] + 1).otherwise(1)
+        return F.struct(value.alias("last"), run.alias("run"), F.greatest(state["best"], run).alias("best"))
 
-def likeness(a: Column, b: Column, kept: int = KEPT) -> Column:
-    """The share of the least codes of both sketches that both hold; two empty ones are alike."""
-    least = F.slice(F.array_sort(F.array_union(a, b)), 1, kept)
-    both = F.size(F.array_intersect(F.array_intersect(least, a), b))
-    return F.when(F.size(least) == 0, F.lit(1.0)).otherwise(both / F.size(least))
+    return F.aggregate(values, start, step, lambda state: state["best"])
 
 
-def _sketched(rows: DataFrame, text: str, name: str) -> DataFrame:
-    """``rows`` with the sketch of column ``text``. The hashes are a column of their own for one evaluation."""
-    return rows.withColumn("_hashes", word_hashes(F.col(text))).withColumn(name, sketch(syncmers(F.col("_hashes")))).drop("_hashes")
+def likeness(a: str, b: str, chain: Column) -> Column:
+    """The share of anchors that match at one common offset, of those of the longer side; two empty texts are alike."""
+    most = F.greatest(F.size(a), F.size(b))
+    return F.when(most == 0, F.lit(1.0)).when(F.col(a) == F.col(b), F.lit(1.0)).otherwise(chain / most)
+
+
+def with_anchors(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """``rows`` with the packed anchors of column ``text``. Hashes and anchors are columns of their own for one evaluation."""
+    hashed = rows.withColumn("_hashes", word_hashes(F.col(text)))
+    return hashed.withColumn("_anchors", syncmers(F.col("_hashes"))).withColumn(name, packed(F.col("_anchors"))).drop("_hashes", "_anchors")
+
+
+def with_likeness(rows: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """``rows`` with the likeness of two columns of packed anchors."""
+    both = rows.withColumn("_both", merged(F.col(a), F.col(b)))
+    return both.withColumn("_apart", offsets(F.col("_both"))).withColumn(name, likeness(a, b, longest_run(F.col("_apart")))).drop("_both", "_apart")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Every distinct (doc_id, text) with its fingerprint, that of its edited text, and both likenesses.
 
+    A fingerprint holds all anchors of the text in order, so it grows with the text. Likeness is positional: of
+    all offsets between equal anchors the one that most share decides.
+
     Documents stand in order of id, null last, ties by a digest of the text; rows that repeat id and text
     are one document here and get one row each in the result. The edited text ends in the head of the
     next document's (the last one's next is the first). Null texts count as empty. Only documents and the
     heads asked of them are shuffled; the order itself is found on narrow rows.
     """
     text = F.coalesce("text", F.lit(""))
+    # Ids of any type: the order of their own type, and a key that is never null.
     plain = docs.select(
-        F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"),
+        F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key"),
         F.xxhash64(text).alias("digest"), text.alias("text"),
     )
-    keys = ["no_id", "id", "digest"]
-    narrow = plain.groupBy(*keys).agg(F.count("*").alias("times"), F.first(F.length("text")).alias("n_chars"))
-    placed = dense_index(narrow, keys, "_at", derived=True)
+    keys = ["no_id", "key", "digest"]
+    narrow = plain.groupBy(*keys).agg(F.first("id").alias("id"), F.count("*").alias("times"), F.first(F.length("text")).alias("n_chars"))
+    placed = dense_index(narrow, ["no_id", "id", "key", "digest"], "_at", derived=True)
     order = materialize(placed.df)
     following = order.select(
         F.pmod(F.col("_at") + 1, F.lit(max(placed.count, 1))).alias("_at"), *[F.col(k).alias(f"to_{k}") for k in keys],
         F.floor(F.col("n_chars") / 4).cast("int").alias("asked"),
     )
-    asked = order.join(following, "_at").drop("_at")
-    known = _sketched(plain, "text", "sketch").join(asked, keys)
+    asked = order.drop("id").join(following, "_at").drop("_at")
+    known = with_anchors(plain.join(asked, keys), "text", "own")
     heads = known.select(
-        *[F.col(f"to_{k}").alias(k) for k in keys], F.substr("text", F.lit(1), F.col("asked")).alias("head"),
-        F.col("sketch").alias("next_sketch"),
+        *[F.col(f"to_{k}").alias(k) for k in keys], F.substr("text", F.lit(1), F.col("asked")).alias("head"), F.col("own").alias("next"),
     ).dropDuplicates(keys)
     edited = known.join(heads, keys).withColumn(
         "edited", F.concat(F.substr("text", F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / 4)).cast("int")), F.col("head"))
     )
-    return _sketched(edited, "edited", "edited_sketch").select(
-        F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), F.col("n_chars").cast("bigint").alias("n_chars"),
-        F.sha2("edited", 256).alias("edited_sha256"), digits(F.col("sketch")).alias("fingerprint"),
-        digits(F.col("edited_sketch")).alias("edited_fingerprint"), likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+    done = with_anchors(edited, "edited", "changed")
+    done = with_likeness(with_likeness(done, "own", "changed", "near_edited"), "own", "next", "near_next")
+    return done.select(
+        F.col("id").alias("doc_id"), F.col("n_chars").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        digits(F.col("own")).alias("fingerprint"), digits(F.col("changed")).alias("edited_fingerprint"), "near_edited", "near_next",
     )
 
 
