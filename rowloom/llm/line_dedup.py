@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 from xxhash import xxh64_intdigest
 
-from rowloom.llm.texts import map_texts
+from rowloom.llm import near_copies
+from rowloom.llm.texts import id_or_default, map_texts
 from rowloom.session import materialize
 
 # A block of common lines goes if it has so many words; shorter ones are everyday lines.
@@ -117,28 +118,61 @@ def _joined(blocks: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     return out
 
 
-def left_over(a: list[int], b: list[int], words: list[int], gone: set[int]) -> set[int]:
-    """The lines of b, besides ``gone``, in blocks of a with a run of evidence that no alignment holds: those
-    whose lines repeat on a side, or that stand in another order."""
-    places: dict[int, list[int]] = {}
-    for i, line in enumerate(a):
-        places.setdefault(line, []).append(i)
+def longest_matches(a: list[int], b: list[int]) -> list[int]:
+    """For each place of b, how many lines up to it stand as a block somewhere in a.
+
+    A suffix automaton of a is walked along b, so both sides cost linear time, however often lines repeat.
+    """
+    steps: list[dict[int, int]] = [{}]
+    link, length, last = [-1], [0], 0
+    for line in a:
+        state = len(steps)
+        steps.append({})
+        link.append(0)
+        length.append(length[last] + 1)
+        at = last
+        while at >= 0 and line not in steps[at]:
+            steps[at][line] = state
+            at = link[at]
+        if at >= 0:
+            to = steps[at][line]
+            if length[to] != length[at] + 1:
+                steps.append(steps[to].copy())
+                link.append(link[to])
+                length.append(length[at] + 1)
+                copy = len(steps) - 1
+                while at >= 0 and steps[at].get(line) == to:
+                    steps[at][line] = copy
+                    at = link[at]
+                link[to] = to = copy
+            link[state] = to
+        last = state
+    found, state, run = [], 0, 0
+    for line in b:
+        while state and line not in steps[state]:
+            state = link[state]
+            run = length[state]
+        if line in steps[state]:
+            state, run = steps[state][line], run + 1
+        else:
+            run = 0
+        found.append(run)
+    return found
+
+
+def left_over(a: list[int], b: list[int], total: list[int], gone: set[int], least: int = MIN_WORDS) -> set[int]:
+    """The lines of b, besides ``gone``, in blocks of a with ``least`` words that no alignment holds: those whose
+    lines repeat on a side, or that stand in another order. ``total``: the words before each line, and all."""
+    known = set(a)
+    if all(p in gone or line not in known for p, line in enumerate(b)):
+        return set()
     more: set[int] = set()
-    for start, run in enumerate(evidence(b, words)):
-        if run[0] not in places or all(p in gone or p in more for p in range(start, start + len(run))):
-            continue
-        longest = range(0)
-        for i in places[run[0]]:
-            if tuple(a[i : i + len(run)]) != run:
-                continue
-            up, down = 0, len(run)
-            while i > up and start > up and a[i - up - 1] == b[start - up - 1]:
-                up += 1
-            while i + down < len(a) and start + down < len(b) and a[i + down] == b[start + down]:
-                down += 1
-            if up + down > len(longest):
-                longest = range(start - up, start + down)
-        more.update(longest)
+    begin = 0  # lines below are settled
+    for p, run in enumerate(longest_matches(a, b)):
+        start = p + 1 - run
+        if total[p + 1] - total[start] >= least:
+            more.update(range(max(start, begin), p + 1))
+            begin = p + 1
     return more - gone
 
 
@@ -148,9 +182,9 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         who, earlier, later, words = batch.columns
         gone = []
         for a, b, w in zip(earlier.to_pylist(), later.to_pylist(), words.to_pylist(), strict=True):
-            total = np.concatenate(([0], np.cumsum(w)))
+            total = np.concatenate(([0], np.cumsum(w))).tolist()
             lines = {p for _, j, n in patience(a, b) if total[j + n] - total[j] >= MIN_WORDS for p in range(j, j + n)}
-            gone.append(sorted(lines | left_over(a, b, w, lines)))
+            gone.append(sorted(lines | left_over(a, b, total, lines)))
         yield pa.RecordBatch.from_arrays([who, pa.array(gone, pa.list_(pa.int32()))], ["who", "gone"])
 
 
@@ -180,19 +214,27 @@ def _who(row: str = "") -> Column:
     return F.struct(doc_id.isNull().alias("no_id"), doc_id.alias("doc_id"), F.xxhash64(F.col(f"{row}text")).alias("digest"))
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """(who, gone): the line numbers that go, for each document that loses lines.
+def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(who, hashes, words, runs) of every document, and the links (first, who).
 
     Each run of evidence links all its holders with the earliest of them, one link a holder, so neither
-    a frequent line nor a large group of copies makes all pairs. The two ends of a link are aligned by
-    their line hashes; documents themselves don't travel. Runs that the alignment leaves are matched as
-    blocks, so every run that an earlier document holds goes by its own link.
+    a frequent line nor a large group of copies makes all pairs.
     """
     listed = map_texts(docs.select("doc_id", "text"), _lines, LINES)
     base = materialize(listed.select(_who("row.").alias("who"), "found.*")).select("who", "hashes", "words", "runs")
     held = base.select("who", F.explode("runs").alias("run")).distinct()
     first = held.groupBy("run").agg(F.min("who").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    links = held.join(first, "run").where("who <> first").select("first", "who").distinct()
+    return base, held.join(first, "run").where("who <> first").select("first", "who").distinct()
+
+
+def removals(docs: DataFrame) -> DataFrame:
+    """(who, gone): the line numbers that go, for each document that loses lines."""
+    return _aligned(*_linked(docs))
+
+
+def _aligned(base: DataFrame, links: DataFrame) -> DataFrame:
+    """The two ends of a link are aligned by their line hashes; documents themselves don't travel. Runs that the
+    alignment leaves are matched as blocks, so every run that an earlier document holds goes by its own link."""
     lines = base.select("who", "hashes", "words").dropDuplicates(["who"])
     pairs = links.join(lines.select(F.col("who").alias("first"), F.col("hashes").alias("earlier")), "first").join(lines, "who")
     aligned = pairs.select("who", "earlier", F.col("hashes").alias("later"), "words").mapInArrow(
@@ -202,6 +244,25 @@ def removals(docs: DataFrame) -> DataFrame:
     return single.groupBy("who").agg(F.array_sort(F.collect_list("line")).alias("gone"))
 
 
+def _code(who: str) -> Column:
+    return F.xxhash64(f"{who}.no_id", f"{who}.doc_id", f"{who}.digest")
+
+
+def cut_copies(docs: DataFrame, base: DataFrame, links: DataFrame, gone: DataFrame) -> DataFrame:
+    """(code): the documents that lose some of their words to a link and were near copies of its other end.
+
+    Only those are looked at whose lines with words go in part; texts of both ends are then compared whole.
+    """
+    lines = base.select("who", "words").dropDuplicates(["who"])
+    worded = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i) > 0)
+    part = gone.join(lines, "who").where(F.size(F.array_except(worded, F.col("gone").cast("array<int>"))) > 0).select("who")
+    pairs = materialize(links.join(part, "who").select(_code("first").alias("a"), _code("who").alias("b")).distinct())
+    ends = pairs.select(F.col("a").alias("code")).union(pairs.select("b")).distinct()
+    texts = docs.select(_who().alias("who"), F.col("text").cast("binary").alias("bytes")).select(_code("who").alias("code"), "bytes")
+    known = materialize(texts.join(ends, "code").dropDuplicates(["code"]).mapInArrow(near_copies._shingled, near_copies.SHINGLED))
+    return near_copies.near_pairs(pairs, known).select(F.col("b").alias("code")).distinct()
+
+
 @F.pandas_udf(StringType())
 def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
     def kept(t, lines):
@@ -215,13 +276,18 @@ def deduped(docs: DataFrame) -> DataFrame:
     """``row`` (all columns of docs), ``kept`` (the text left), ``n_lines`` and ``n_removed``.
 
     Documents come in order of id; ids that repeat with other texts come in order of a text digest, and
-    null ids come last. Rows that repeat id and text are one document and lose the same lines. Null
-    texts have no lines and stay null; empty ones have one empty line, which never goes alone.
+    null ids come last. Ids may be of any type. Rows that repeat id and text are one document and lose the same
+    lines. Null texts have no lines and stay null; empty ones have one empty line, which never goes alone.
     """
-    gone = removals(docs).select(F.struct(F.col("who.no_id"), F.coalesce("who.doc_id", F.lit(0)), "who.digest").alias("key"), "gone")
+    return _without_lines(docs, removals(docs))
+
+
+def _without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
+    kind = docs.schema["doc_id"].dataType
+    gone = removed.select(F.struct(F.col("who.no_id"), id_or_default(F.col("who.doc_id"), kind), "who.digest").alias("key"), "gone")
     packed = docs.select(F.struct("*").alias("row"))
     id_ = F.col("row.doc_id")
-    keyed = packed.withColumn("key", F.struct(id_.isNull(), F.coalesce(id_, F.lit(0)), F.xxhash64("row.text")))
+    keyed = packed.withColumn("key", F.struct(id_.isNull(), id_or_default(id_, kind), F.xxhash64("row.text")))
     joined = keyed.join(gone, keyed["key"] == gone["key"], "left")
     text = F.col("row.text")
     lines = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
@@ -234,8 +300,17 @@ def deduped(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with the text left. Documents that lose lines and keep no word go."""
-    left = deduped(docs).where((F.col("n_removed") == 0) | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
+    """The rows of ``docs`` with the text left.
+
+    Documents that lose lines and keep no word go. So do documents that lose lines to an earlier one they were a
+    near copy of (a Jaccard of 0.8 or more over 5-word shingles of the whole texts): what is left of them are
+    the changed lines, which would look like a new document to every later step.
+    """
+    base, linked = _linked(docs)
+    links = materialize(linked)
+    gone = materialize(_aligned(base, links))
+    left = _without_lines(docs, gone).where((F.col("n_removed") == 0) | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
+    left = left.withColumn("who", _who("row.")).withColumn("code", _code("who")).join(cut_copies(docs, base, links, gone), "code", "left_anti")
     return left.select(*[F.col("kept").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 

@@ -13,7 +13,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 from rowloom.llm.components import components
 from rowloom.llm.rolling import Rolling, mixed, word_hashes
 from rowloom.llm.suffix_index import _least, kept_bytes, merged_spans
-from rowloom.llm.texts import map_texts
+from rowloom.llm.texts import id_or_default, map_texts
 from rowloom.operators.joins import lookup
 from rowloom.session import materialize, materialize_counted
 
@@ -131,9 +131,9 @@ def _marked(texts: list[bytes | None]) -> list[pa.Array]:
     return _listed(texts) + [pa.array([f[k] for f in found], pa.list_(kind)) for k, kind in enumerate(kinds)]
 
 
-def _who(doc_id, text) -> list:
-    """Identity and order of a document: its id, null last, then a digest of its text."""
-    return [doc_id.isNull().alias("no_id"), F.coalesce(doc_id, F.lit(0)).alias("id"), F.xxhash64(text).alias("digest")]
+def _who(doc_id, text, kind) -> list:
+    """Identity and order of a document: its id of any type, null last, then a digest of its text."""
+    return [doc_id.isNull().alias("no_id"), id_or_default(doc_id, kind).alias("id"), F.xxhash64(text).alias("digest")]
 
 
 WHO = ["no_id", "id", "digest"]
@@ -293,7 +293,7 @@ def deduped(docs: DataFrame) -> DataFrame:
     one document. Null texts stay null; texts without a paragraph, passage or run stay as they are.
     """
     raw = F.col("text").cast("binary")
-    plain = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_id"), raw.alias("text")).select("row", *_who(F.col("_id"), F.col("text")), "text")
+    plain = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_id"), raw.alias("text")).select("row", *_who(F.col("_id"), F.col("text"), docs.schema["doc_id"].dataType), "text")
     found = materialize(map_texts(plain.select(*WHO, "text"), _marked, StructType([*UNITS.fields, *ANCHORS.fields])).select(*[f"row.{w}" for w in WHO], "found.*"))
     each = found.select(*WHO, F.explode(F.arrays_zip(*_FIELDS)).alias("u")).select(*WHO, "u.*").withColumn("place", F.struct(*WHO, "start", "stop"))
     codes = materialize(
@@ -325,9 +325,8 @@ def deduped(docs: DataFrame) -> DataFrame:
 def _keepers():
     """The ids of the documents that keep the parts or the runs."""
     ids = F.transform(F.filter("runs", lambda r: ~r["keeper"]["no_id"]), lambda r: r["keeper"]["id"])
-    none = F.slice(F.array(F.lit(0).cast("long")), 1, 0)
     return F.when(F.col("runs").isNull(), F.col("kept_in")).otherwise(
-        F.array_sort(F.array_distinct(F.concat(F.coalesce("kept_in", none), ids)))
+        F.array_sort(F.array_distinct(F.when(F.col("kept_in").isNull(), ids).otherwise(F.concat("kept_in", ids))))
     )
 
 

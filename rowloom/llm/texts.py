@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 # A slice holds texts of so many bytes at most, or a single longer text.
 SLICE_BYTES = 4 << 20
@@ -41,6 +42,12 @@ def map_texts(
     return given.mapInArrow(run, schema)
 
 
+def id_or_default(doc_id: Column, kind: DataType) -> Column:
+    """A document's id of any type, and some value of that type for null: joins by id then need no null-safe equality."""
+    default = "1970-01-01" if kind.typeName().startswith(("date", "timestamp")) else "0"
+    return F.coalesce(doc_id, F.lit(default).cast(kind))
+
+
 def slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the texts in column ``at`` stay below SLICE_BYTES where one text does."""
     import numpy as np

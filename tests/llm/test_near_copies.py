@@ -57,3 +57,45 @@ def test_stage_equals_brute_force_jaccard(spark, monkeypatch, cell):
     assert got == _first(rows)
     by_simhash = {r.component_id for r in simhash.near_duplicates(docs).collect()}
     assert got < by_simhash  # what three bits of 3-word shingles leave
+
+
+def test_bit_planes_equal_counted_bits():
+    import numpy as np
+
+    from rowloom.llm import bit_planes
+
+    rng = np.random.default_rng(0)
+    a = rng.integers(0, 1 << 63, (700, bit_planes.PARTS)).astype(np.uint64)
+    b = a.copy()
+    for i in range(len(b)):
+        for k in rng.integers(0, 256, rng.integers(0, 150)):
+            b[i, k >> 6] ^= np.uint64(1) << np.uint64(k & 63)
+    for radius in (0, 5, 75, 127):
+        assert (bit_planes.pairs_within(a, b, radius) == (np.bitwise_count(a ^ b).sum(axis=1) <= radius)).all()
+        apart = np.bitwise_count(b[:90, None, :] ^ a[None]).sum(axis=2)
+        assert (bit_planes.rows_within(b[:90], a, radius) == (apart <= radius)).all()
+
+
+def test_similar_sets_are_never_sifted_out():
+    import numpy as np
+
+    from rowloom.llm import bit_planes
+
+    rng = np.random.default_rng(1)
+    most = 0
+    for _ in range(2000):
+        union = rng.integers(0, 1 << 63, int(rng.integers(80, 400))).astype(np.uint64)
+        both = int(np.ceil(0.8 * len(union)))
+        cut = int(rng.integers(both, len(union) + 1))
+        one, two = bit_planes.words([bit_planes.fingerprint(s) for s in (union[:cut], np.concatenate((union[:both], union[cut:])))])
+        most = max(most, int(np.bitwise_count(one ^ two).sum()))
+    assert most <= bit_planes.RADIUS - 10
+
+
+def test_ids_may_be_texts(spark):
+    rng = random.Random(5)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(200)]
+    near = " ".join(base[:100] + ["other"] + base[101:])
+    rows = [("x", near), ("m", " ".join(base)), (None, " ".join(base)), ("z", "something else entirely")]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id string, text string"))
+    assert {r.doc_id for r in kept.collect()} == {"m", "z"}
