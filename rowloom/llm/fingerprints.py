@@ -147,8 +147,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         F.pmod(F.col("_at") + 1, F.lit(max(placed.count, 1))).alias("_at"), *[F.col(k).alias(f"to_{k}") for k in keys],
         F.floor(F.col("n_chars") / 4).cast("int").alias("asked"),
     )
-    asked = order.drop("id").join(following, "_at").drop("_at")
-    known = with_anchors(plain.join(asked, keys), "text", "own")
+    asked = order.join(following, "_at").drop("_at")
+    # Both readers below need the same columns of the texts, so they share one shuffle.
+    known = with_anchors(plain.select(*keys, "text").join(asked, keys), "text", "own")
     heads = known.select(
         *[F.col(f"to_{k}").alias(k) for k in keys], F.substr("text", F.lit(1), F.col("asked")).alias("head"), F.col("own").alias("next"),
     ).dropDuplicates(keys)
