@@ -70,6 +70,17 @@ def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
     return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["n"]
 
 
+def forget(table: DataFrame) -> None:
+    """Give back the space of a table that ``materialize`` wrote and nothing will read again.
+
+    The folder is overwritten by an empty table, so only Spark's own writer touches the shared folder.
+    """
+    files = table.inputFiles()
+    if files:
+        folder = files[0].rsplit("/", 1)[0]
+        table.sparkSession.createDataFrame([], table.schema).coalesce(1).write.mode("overwrite").parquet(folder)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """A reliable checkpoint, for when partitions must stay as they are on every reading."""
     shared_dir(df.sparkSession)
