@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.session import materialize
+from rowloom.session import forget, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,7 +14,7 @@ def components(edges: DataFrame) -> DataFrame:
     Each round hooks every neighbour of a node to the smallest of them, larger ones first, then smaller
     ones; the edges become stars in about the logarithm of the longest path. Minima are aggregated
     before the shuffle and joined back, so no neighbourhood is gathered; the rounds are written to the
-    shared folder.
+    shared folder, each in place of the one before.
     """
     state = materialize(_downward(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     mark = _mark(state)
@@ -24,7 +24,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        state = materialize(_downward(small.union(lowest.select("u", F.col("m").alias("v")))))
+        old, state = state, materialize(_downward(small.union(lowest.select("u", F.col("m").alias("v")))))
+        forget(old)
         before, mark = mark, _mark(state)
         if mark == before:
             break

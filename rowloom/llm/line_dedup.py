@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 from xxhash import xxh64_intdigest
 
-from rowloom.llm import near_copies
+from rowloom.llm import similar_sets
 from rowloom.llm.texts import id_or_default, map_texts
 from rowloom.session import materialize
 
@@ -259,8 +259,8 @@ def cut_copies(docs: DataFrame, base: DataFrame, links: DataFrame, gone: DataFra
     pairs = materialize(links.join(part, "who").select(_code("first").alias("a"), _code("who").alias("b")).distinct())
     ends = pairs.select(F.col("a").alias("code")).union(pairs.select("b")).distinct()
     texts = docs.select(_who().alias("who"), F.col("text").cast("binary").alias("bytes")).select(_code("who").alias("code"), "bytes")
-    known = materialize(texts.join(ends, "code").dropDuplicates(["code"]).mapInArrow(near_copies._shingled, near_copies.SHINGLED))
-    return near_copies.near_pairs(pairs, known).select(F.col("b").alias("code")).distinct()
+    known = materialize(texts.join(ends, "code").dropDuplicates(["code"]).mapInArrow(similar_sets.shingled, similar_sets.SHINGLED))
+    return similar_sets.near_pairs(pairs, known).select(F.col("b").alias("code")).distinct()
 
 
 @F.pandas_udf(StringType())

@@ -10,15 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from rowloom.llm.components import components
 from rowloom.llm.rolling import Rolling, mixed, word_hashes
+from rowloom.llm.similar_sets import CELL, SHINGLE, SHINGLED, shingled, similar_sets
 from rowloom.llm.suffix_index import _least, kept_bytes, merged_spans
-from rowloom.llm.texts import id_or_default, map_texts
-from rowloom.operators.joins import lookup
-from rowloom.session import materialize, materialize_counted
+from rowloom.llm.texts import WHO, map_texts, who_columns
+from rowloom.operators.joins import fits_broadcast, lookup
+from rowloom.session import forget, materialize, materialize_counted
 
-SHINGLE = 5
-SIMILAR = 0.8
 # BANDS bands of ROWS minima: a pair at similarity 0.8 collides with probability 1 - (1 - 0.8^3)^9 > 0.998.
 BANDS = 9
 ROWS = 3
@@ -30,8 +28,6 @@ MIN_PASSAGE = 12
 RUN = 51
 # Runs are found by the least hash of the GRAM-word stretches in them.
 GRAM = 12
-# A band's bucket with more paragraphs is verified in cells of about this many.
-CELL = 500
 
 _SEEDS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 _PLACES = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
@@ -40,19 +36,12 @@ UNITS = StructType(
     [StructField(n, ArrayType(IntegerType())) for n in ("start", "stop", "words")]
     + [StructField("code", ArrayType(LongType())), StructField("bands", ArrayType(ArrayType(LongType())))]
 )
-_FIELDS = UNITS.names
 ANCHORS = StructType(
     [StructField(n, ArrayType(LongType())) for n in ("anchor", "around")]
     + [StructField(n, ArrayType(IntegerType())) for n in ("first", "last")]
 )
 
 
-def shingles(data: bytes, size: int = SHINGLE) -> np.ndarray:
-    """Distinct hashes of the word shingles, ASCII letters lower-cased; the whole sequence if it is shorter."""
-    words = word_hashes(data.lower())[0]
-    return np.unique(Rolling(words).every(min(size, len(words)))) if len(words) else words
-
-
 def units(data: bytes) -> list[tuple[int, int, int, int, list[int] | None]]:
     """(start, stop, words, code, bands) of a document's paragraphs and passages, in bytes.
 
@@ -131,73 +120,41 @@ def _marked(texts: list[bytes | None]) -> list[pa.Array]:
     return _listed(texts) + [pa.array([f[k] for f in found], pa.list_(kind)) for k, kind in enumerate(kinds)]
 
 
-def _who(doc_id, text, kind) -> list:
-    """Identity and order of a document: its id of any type, null last, then a digest of its text."""
-    return [doc_id.isNull().alias("no_id"), id_or_default(doc_id, kind).alias("id"), F.xxhash64(text).alias("digest")]
-
-
-WHO = ["no_id", "id", "digest"]
 CODE = ["code", "words"]
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges that connect what is similar in each cell: a paragraph is checked against the members of
-    other groups until it joins them, so a large group needs about one check a member."""
-    for batch in batches:
-        left, right = [], []
-        for members in batch.column("members").to_pylist():
-            sets = [(m["code"], set(m["shingles"])) for m in sorted(members, key=lambda m: m["code"])]
-            groups: list[list[int]] = []
-            for k, (code, own) in enumerate(sets):
-                joined = []
-                for group in groups:
-                    near = next((j for j in group if _similar(own, sets[j][1])), None)
-                    if near is not None:
-                        joined.append(group)
-                        left.append(code)
-                        right.append(sets[near][0])
-                groups = [g for g in groups if not any(g is j for j in joined)]
-                groups.append([k, *(j for g in joined for j in g)])
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
-
-
-def _similar(a: set, b: set) -> bool:
-    """Exact Jaccard of SIMILAR or more."""
-    if SIMILAR * max(len(a), len(b)) > min(len(a), len(b)):
-        return False
-    both = len(a & b)
-    return both >= SIMILAR * (len(a) + len(b) - both)
-
-
-def _shingle_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [shingles(t).view(np.int64).tolist() for t in batch.column("bytes").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("code"), pa.array(found, pa.list_(pa.int64()))], ["code", "shingles"])
+def _sizes(found: DataFrame) -> DataFrame:
+    """(code, size, key) of every paragraph's band keys; a repeated paragraph has the same row each time."""
+    each = found.select(F.explode(F.arrays_zip("code", "words", "bands")).alias("u")).where("u.bands is not null")
+    return each.select("u.code", (F.col("u.words") - (SHINGLE - 1)).alias("size"), F.explode("u.bands").alias("key"))
 
 
-def similar_paragraphs(codes: DataFrame, texts: DataFrame) -> DataFrame:
+def similar_paragraphs(found: DataFrame, codes: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, component) over the codes of paragraphs that are similar to another.
 
-    ``codes`` has one row per different paragraph (code, place, bands). Equal band keys make candidates;
-    keys of many paragraphs are compared in cells, every pair of cells, so no group is in one task. Each
-    cell yields edges between similar ones only, enough to connect all of them.
+    ``found`` has the arrays code, words and bands of every document, ``codes`` one row per different paragraph
+    (code, place). A band key with different codes makes candidates: keys are reduced to their least and largest
+    code before they are shuffled, and only rows of keys with several come back. The texts of those paragraphs
+    are cut out of their first documents and compared as in ``similar_sets``.
     """
-    keyed = codes.where("bands is not null").select("code", F.explode("bands").alias("key"))
-    counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    filed = materialize(keyed.join(counts, "key"))
+    keyed = _sizes(found)
+    shared = keyed.groupBy("key").agg(F.min("code").alias("least"), F.max("code").alias("most")).where("least < most").select("key", "least")
+    buckets, n = materialize_counted(shared)
+    filed = materialize(lookup(keyed, buckets, ["key"], n, "inner").select("key", "code", "size", "least").distinct())
     wanted = codes.join(filed.select("code").distinct(), "code").select("code", "place.*")
-    listed = wanted.groupBy(*WHO).agg(F.collect_list(F.struct("code", "start", "stop")).alias("parts"))
-    cut = texts.join(listed, WHO).select("text", F.explode("parts").alias("p")).select(
+    listed, n_listed = materialize_counted(wanted.groupBy(*WHO).agg(F.collect_list(F.struct("code", "start", "stop")).alias("parts")))
+    cut = _only(texts, listed, n_listed).join(listed, WHO).select("text", F.explode("parts").alias("p")).select(
         F.col("p.code").alias("code"), F.substring("text", F.col("p.start") + 1, F.col("p.stop") - F.col("p.start")).alias("bytes")
     )
-    known = cut.mapInArrow(_shingle_lists, "code long, shingles array<long>")
-    cells = F.ceil(F.col("n") / CELL).cast("int")
-    salt = F.pmod(F.xxhash64("code"), cells).cast("int")
-    dealt = filed.select("code", "key", salt.alias("salt"), F.explode(F.sequence(F.lit(0), cells - 1)).alias("other"))
-    pairs = dealt.select("code", "key", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"))
-    members = pairs.join(known, "code").groupBy("key", "i", "j").agg(F.collect_set(F.struct("code", "shingles")).alias("members"))
-    edges = members.where("size(members) > 1").select("members").mapInArrow(_verified, "a long, b long").distinct()
-    return components(edges)
+    known = materialize(cut.mapInArrow(shingled, SHINGLED))
+    forget(listed)
+    return similar_sets(filed, known, CELL)
+
+
+def _only(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """The texts that ``wanted`` asks for; where few do, the others are left behind before they are shuffled."""
+    asked = wanted.select(*WHO)
+    return texts.join(F.broadcast(asked), WHO, "left_semi") if fits_broadcast(asked, n) else texts
 
 
 def _run_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +175,8 @@ def _run_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_runs(found: DataFrame, texts: DataFrame) -> DataFrame:
-    """(who, runs): the runs of RUN words that stand earlier too, as (at, keeper), keeper a place (who, at).
+    """(who, runs): the runs of RUN words that stand earlier too, as ranges (at, n, keeper), keeper the place (who, at) of the
+    first of n neighbouring runs.
 
     Runs that are equal share their anchor. Where all holders of an anchor have the same surroundings,
     these go as a whole; else each run of one holder per surroundings is compared by hash.
@@ -233,32 +191,49 @@ def repeated_runs(found: DataFrame, texts: DataFrame) -> DataFrame:
     mixed_ = materialize(groups.join(several, "anchor"))
     span = F.struct("anchor", "around", F.col("place.at").alias("first"), (F.col("place.at") + F.col("reach")).alias("last"))
     wanted = mixed_.select(*[F.col(f"place.{w}").alias(w) for w in WHO], span.alias("s")).groupBy(*WHO).agg(F.collect_list("s").alias("spans"))
-    hashed = texts.join(wanted, WHO).select("text", "spans").mapInArrow(_run_hashes, "anchor long, around long, off int, run long")
+    wanted, n_wanted = materialize_counted(wanted)
+    hashed = _only(texts, wanted, n_wanted).join(wanted, WHO).select("text", "spans").mapInArrow(_run_hashes, "anchor long, around long, off int, run long")
     own = F.struct(*[F.col(f"place.{w}").alias(w) for w in WHO], (F.col("place.at") + F.col("off")).alias("at"))
     runs = materialize(hashed.distinct().join(mixed_, ["anchor", "around"]).select("anchor", "around", "off", "run", own.alias("place")))
     firsts, n_runs = materialize_counted(runs.groupBy("run").agg(F.min("place").alias("keeper")))
     compared = lookup(runs.select("anchor", "around", "off", "run"), firsts, ["run"], n_runs, "inner")
     offs = F.sort_array(F.collect_list(F.struct("off", "keeper"))).alias("offs")
-    some = compared.groupBy("anchor", "around").agg(offs)
-    step = F.transform(
-        F.sequence(F.lit(0), F.col("reach")),
-        lambda k: F.struct(k.alias("off"), F.struct(*[F.col(f"place.{w}").alias(w) for w in WHO], (F.col("place.at") + k).alias("at")).alias("keeper")),
-    )
-    whole = groups.join(several, "anchor", "left_anti").select("anchor", "around", step.alias("offs"))
+    some = _ranges(compared.groupBy("anchor", "around").agg(offs)).select("anchor", "around", "ranges")
+    one = F.struct(F.lit(0).alias("off"), (F.col("reach") + 1).alias("n"), F.col("place").alias("keeper"))
+    whole = groups.join(several, "anchor", "left_anti").select("anchor", "around", F.array(one).alias("ranges"))
     kept, n_kept = materialize_counted(whole.unionByName(some))
-    gone = lookup(held, kept, ["anchor", "around"], n_kept, "inner").select(
-        *WHO, F.transform("offs", lambda o: F.struct((F.col("first") + o["off"]).alias("at"), o["keeper"].alias("keeper"))).alias("runs")
-    )
+    for table in (groups, mixed_, wanted, runs, firsts):
+        forget(table)
+    moved = F.transform("ranges", lambda o: F.struct((F.col("first") + o["off"]).alias("at"), o["n"].alias("n"), o["keeper"].alias("keeper")))
+    gone = lookup(held, kept, ["anchor", "around"], n_kept, "inner").select(*WHO, moved.alias("runs"))
     other = F.filter("runs", lambda r: F.struct(*WHO, r["at"].alias("at")) != r["keeper"])
-    return gone.select(*WHO, F.explode(other).alias("r")).groupBy(*WHO).agg(F.collect_set("r").alias("runs"))
+    found_ = materialize(gone.select(*WHO, F.explode(other).alias("r")).groupBy(*WHO).agg(F.collect_set("r").alias("runs")))
+    for table in (held, kept, repeats):
+        forget(table)
+    return found_
+
+
+def _ranges(rows: DataFrame) -> DataFrame:
+    """Neighbouring runs whose keepers are neighbours too become one range (off, n, keeper of the first)."""
+
+    def follows(i):
+        one, two = F.get("offs", i - 1), F.get("offs", i)
+        same = F.struct(*[one["keeper"][w] for w in WHO]) == F.struct(*[two["keeper"][w] for w in WHO])
+        return same & (one["off"] + 1 == two["off"]) & (one["keeper"]["at"] + 1 == two["keeper"]["at"])
+
+    begun = rows.withColumn("starts", F.filter(F.sequence(F.lit(0), F.size("offs") - 1), lambda i: (i == 0) | ~F.coalesce(follows(i), F.lit(False))))
+    n = lambda i, k: (F.coalesce(F.get("starts", k + 1), F.size("offs")) - i).alias("n")
+    return begun.withColumn(
+        "ranges", F.transform("starts", lambda i, k: F.struct(F.get("offs", i)["off"].alias("off"), n(i, k), F.get("offs", i)["keeper"].alias("keeper")))
+    )
 
 
 def _run_spans(text: bytes, who: tuple, runs: list[dict]) -> list[tuple[int, int]]:
-    """The bytes of the runs. A run that overlaps the one kept in the same text goes from that one's end."""
+    """The bytes of ranges of runs. Runs that overlap the ones kept in the same text go from those ones' end."""
     _, starts, stops = word_hashes(text)
     out = []
     for r in runs:
-        low, high, kept = r["at"], r["at"] + RUN, r["keeper"]
+        low, high, kept = r["at"], r["at"] + r["n"] - 1 + RUN, r["keeper"]
         if who == (kept["no_id"], kept["id"], kept["digest"]):
             low = max(low, kept["at"] + RUN)
         if low < high:
@@ -293,24 +268,33 @@ def deduped(docs: DataFrame) -> DataFrame:
     one document. Null texts stay null; texts without a paragraph, passage or run stay as they are.
     """
     raw = F.col("text").cast("binary")
-    plain = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_id"), raw.alias("text")).select("row", *_who(F.col("_id"), F.col("text"), docs.schema["doc_id"].dataType), "text")
-    found = materialize(map_texts(plain.select(*WHO, "text"), _marked, StructType([*UNITS.fields, *ANCHORS.fields])).select(*[f"row.{w}" for w in WHO], "found.*"))
-    each = found.select(*WHO, F.explode(F.arrays_zip(*_FIELDS)).alias("u")).select(*WHO, "u.*").withColumn("place", F.struct(*WHO, "start", "stop"))
-    codes = materialize(
-        each.groupBy(*CODE).agg(F.min("place").alias("place"), F.count("*").alias("n"), F.max("bands").alias("bands"))
+    plain = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_id"), raw.alias("text")).select(
+        "row", *who_columns(F.col("_id"), F.col("text"), docs.schema["doc_id"].dataType), "text"
     )
-    group = similar_paragraphs(codes.drop("words"), plain.select(*WHO, "text"))
+    texts = plain.select(*WHO, "text")
+    found = materialize(map_texts(texts, _marked, StructType([*UNITS.fields, *ANCHORS.fields])).select(*[f"row.{w}" for w in WHO], "found.*"))
+    each = found.select(*WHO, F.explode(F.arrays_zip("start", "stop", "words", "code")).alias("u")).select(*WHO, "u.*").withColumn(
+        "place", F.struct(*WHO, "start", "stop")
+    )
+    codes = materialize(each.groupBy(*CODE).agg(F.min("place").alias("place"), F.count("*").alias("n")))
+    group = similar_paragraphs(found, codes.select("code", "place"), texts)
     named = codes.join(group, codes["code"] == group["node"], "left").select(*CODE, "place", "n", "component")
     firsts = named.where("component is not null").groupBy("component").agg(F.min("place").alias("first"))
-    keepers = named.join(firsts, "component", "left").where("n > 1 or component is not null").select(
-        *CODE, F.coalesce("first", "place").alias("keeper")
+    keepers, n_keepers = materialize_counted(
+        named.join(firsts, "component", "left").where("n > 1 or component is not null").select(*CODE, F.coalesce("first", "place").alias("keeper"))
     )
-    gone = each.drop("bands").join(keepers, CODE).where("place <> keeper")
-    parts = gone.groupBy(*WHO).agg(
-        F.collect_set(F.struct("start", "stop")).alias("parts"),
-        F.sort_array(F.collect_set(F.when(~F.col("keeper.no_id"), F.col("keeper.id")))).alias("kept_in"),
+    forget(codes)
+    forget(group)
+    gone = lookup(each, keepers, CODE, n_keepers, "inner").where("place <> keeper")
+    parts = materialize(
+        gone.groupBy(*WHO).agg(
+            F.collect_set(F.struct("start", "stop")).alias("parts"),
+            F.sort_array(F.collect_set(F.when(~F.col("keeper.no_id"), F.col("keeper.id")))).alias("kept_in"),
+        )
     )
-    runs = repeated_runs(found, plain.select(*WHO, "text"))
+    forget(keepers)
+    runs = repeated_runs(found, texts)
+    forget(found)
     both = parts.join(runs, WHO, "full").select(*WHO, "parts", "runs", _keepers().alias("kept_in"))
     joined = plain.join(both, WHO, "left").select("row", *WHO, "text", "parts", "runs", "kept_in")
     schema = StructType(

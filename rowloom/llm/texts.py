@@ -48,6 +48,15 @@ def id_or_default(doc_id: Column, kind: DataType) -> Column:
     return F.coalesce(doc_id, F.lit(default).cast(kind))
 
 
+#: Identity and order of a document; a text binary or string.
+WHO = ["no_id", "id", "digest"]
+
+
+def who_columns(doc_id: Column, text: Column, kind: DataType) -> list[Column]:
+    """WHO: its id of any type, null last, then a digest of its text."""
+    return [doc_id.isNull().alias("no_id"), id_or_default(doc_id, kind).alias("id"), F.xxhash64(text).alias("digest")]
+
+
 def slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the texts in column ``at`` stay below SLICE_BYTES where one text does."""
     import numpy as np
