@@ -20,7 +20,11 @@ SKETCH_BITS, SKETCH_SHARE = 12, 0.8
 SKETCHES = 200
 # Families of exact numbers, which may refer to each other.
 NUMBERS = {"integer", "decimal"}
-_KEY_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.StringType, T.DateType, T.DecimalType)
+# A child whose sketch says that less than this share of its tuples is in the parent is not tested exactly.
+CONTAINED = 0.9
+THETA_BITS = 12
+# Up to so many columns all tuples are looked at; wider ones only while a table has no primary key yet.
+NARROW = 2
 
 
 def _estimate(value: Column) -> Column:
@@ -41,7 +45,7 @@ def _family(kind: T.DataType) -> str:
 
 
 def _key_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, _KEY_TYPES)]
+    return [f.name for f in df.schema.fields if _comparable(f.dataType)]
 
 
 def _comparable(kind: T.DataType) -> bool:
@@ -127,6 +131,8 @@ def column_domains(df: DataFrame, table: str, columns: Sequence[str], max_values
 def numeric_ranges(df: DataFrame, table: str) -> DataFrame:
     """(table, column, min, max) of the numeric columns, in one scan."""
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
+    if not names:
+        return df.sparkSession.createDataFrame([], "table_name string, column_name string, min_value double, max_value double")
     totals = df.agg(*[g(c).cast("double").alias(f"{k}{i}") for i, c in enumerate(names) for k, g in (("a", F.min), ("b", F.max))])
     lines = [
         F.struct(F.lit(c).alias("column_name"), F.col(f"a{i}").alias("min_value"), F.col(f"b{i}").alias("max_value"))
@@ -135,21 +141,26 @@ def numeric_ranges(df: DataFrame, table: str) -> DataFrame:
     return totals.select(F.explode(F.array(*lines)).alias("r")).select(F.lit(table).alias("table_name"), "r.*")
 
 
+def _digests(columns: Sequence[str | Column]) -> list[Column]:
+    """Two 64-bit hashes of a tuple, null when one of its values is."""
+    values = [F.col(f"`{c}`") if isinstance(c, str) else c for c in columns]
+    present = reduce(lambda a, b: a & b, [v.isNotNull() for v in values])
+    return [F.when(present, F.xxhash64(*[F.lit(salt), *values])) for salt in (1, 2)]
+
+
 def _without_duplicates(df: DataFrame, candidates: Sequence[tuple[str, ...]]) -> list[tuple[str, ...]]:
     """The candidates whose values never repeat among rows without nulls; one job for all of them.
 
-    Values are counted before they move, so a frequent value costs one row per task.
+    A tuple moves as a 128-bit digest, however long its values are, and is counted before it moves.
     """
     if not candidates:
         return []
-    width = max(len(c) for c in candidates)
     lines = []
     for i, columns in enumerate(candidates):
-        padded = [F.col(c).cast("string") for c in columns] + [F.lit("")] * (width - len(columns))
-        lines.append(F.struct(F.lit(i).alias("key"), *[v.alias(f"v{j}") for j, v in enumerate(padded)]))
-    values = [f"v{j}" for j in range(width)]
-    present = reduce(lambda a, b: a & b, [F.col(v).isNotNull() for v in values])
-    counted = df.select(F.explode(F.array(*lines)).alias("r")).select("r.*").where(present).groupBy("key", *values).agg(F.count("*").alias("n"))
+        one, two = _digests(columns)
+        lines.append(F.struct(F.lit(i).alias("key"), one.alias("a"), two.alias("b")))
+    tuples = df.select(F.explode(F.array(*lines)).alias("r")).select("r.*").where("a is not null")
+    counted = tuples.groupBy("key", "a", "b").agg(F.count("*").alias("n"))
     repeated = {r["key"] for r in counted.where("n > 1").select("key").distinct().collect()}
     return [c for i, c in enumerate(candidates) if i not in repeated]
 
@@ -160,50 +171,96 @@ class Keys:
 
     primary: list[tuple[str, ...]]
     unique: list[tuple[str, ...]]
-
-
-def discover_keys(df: DataFrame, max_columns: int = 2) -> Keys:
-    """Candidate keys of up to ``max_columns`` columns; of three and more only where no shorter primary key exists.
-
-    Sketches rule out the tuples that cannot be keys, one scan for each width (pairs share the scan
-    of single columns); only the rest is counted exactly. A tuple that holds a shorter key is not tried.
+    # How many tuples were counted exactly, and how many were only sketched.
+    counted: int = 0
+    sketched: int = 0
+
+
+class _Lattice:
+    """Tuples of a table that were looked at."""
+
+    def __init__(self, df: DataFrame) -> None:
+        self.df = df
+        self.sizes: dict[tuple[str, ...], int] = {}
+        self.distinct: dict[tuple[str, ...], float] = {}
+        self.counted = 0
+
+    def keys_among(self, candidates: Sequence[tuple[str, ...]]) -> list[tuple[str, ...]]:
+        """Sketches first; exact counts of what they leave."""
+        fresh = [c for c in candidates if c not in self.sizes]
+        for c, (filled, estimate) in _sketched(self.df, fresh).items():
+            self.sizes[c] = filled
+            self.distinct[c] = estimate
+        promising = [c for c in candidates if self.sizes[c] and self.distinct[c] >= SKETCH_SHARE * self.sizes[c]]
+        self.counted += len(promising)
+        return _without_duplicates(self.df, promising)
+
+    def reaches(self, columns: tuple[str, ...], rows: int) -> bool:
+        """Whether the columns have enough values between them to tell all rows apart."""
+        product = 1.0
+        for c in columns:
+            product *= max(1.0, self.distinct[c,] / SKETCH_SHARE)
+            if product >= rows:
+                return True
+        return False
+
+
+def discover_keys(df: DataFrame, max_columns: int = NARROW) -> Keys:
+    """Candidate keys of up to ``max_columns`` columns of any comparable type.
+
+    Single columns and pairs are all looked at: sketches, one scan a width, rule out what cannot be a key, and only
+    the rest is counted exactly. A tuple that holds a key is not tried, nor one whose columns have too few values
+    between them. Wider keys are looked for only while there is no primary key, from the top of the lattice: if all
+    columns without nulls together are no key, no tuple is; a column without which the others are no key is part of
+    every key. The search starts from those columns and adds others one width at a time, so a wide key is found
+    without its many narrower tuples.
     """
-    names = _key_columns(df)
-    pairs = list(combinations(names, 2)) if max_columns > 1 else []
-    sizes, promising = _sketched(df, [*[(c,) for c in names], *pairs])
-    unique = _without_duplicates(df, [k for k in promising if len(k) == 1])
-    for width in range(2, max_columns + 1):
-        primary = [k for k in unique if sizes[k] == sizes[()]]
-        if width > 2:
-            if primary or not names:
-                break
-            more, promising = _sketched(df, [k for k in combinations(names, width) if not _holds(k, unique)])
-            sizes |= more
-        unique += _without_duplicates(df, [k for k in promising if len(k) == width and not _holds(k, unique)])
-    return Keys([k for k in unique if sizes[k] == sizes[()]], unique)
+    names, lattice = _key_columns(df), _Lattice(df)
+    rows = df.count()
+    unique = lattice.keys_among([(c,) for c in names])
+    if max_columns > 1:
+        # With nulls in a column, fewer values may do.
+        filled = {c for c in names if lattice.sizes[c,] == rows}
+        pairs = [p for p in combinations(names, 2) if not _holds(p, unique) and (not set(p) <= filled or lattice.reaches(p, rows))]
+        unique += lattice.keys_among(pairs)
+    if max_columns > NARROW and rows:
+        unique += _wide_keys(lattice, [c for c in names if lattice.sizes[c,] == rows], unique, rows, max_columns)
+    full = [k for k in unique if lattice.sizes[k] == rows]
+    return Keys(full, unique, lattice.counted, len(lattice.sizes))
+
+
+def _wide_keys(lattice: _Lattice, filled: list[str], known: list[tuple[str, ...]], rows: int, max_columns: int) -> list[tuple[str, ...]]:
+    if any(lattice.sizes[k] == rows for k in known) or len(filled) <= NARROW or not lattice.keys_among([tuple(filled)]):
+        return []
+    without = [tuple(c for c in filled if c != left_out) for left_out in filled]
+    spare = {next(c for c in filled if c not in k) for k in lattice.keys_among(without)}
+    needed = tuple(c for c in filled if c not in spare)
+    rest = [c for c in filled if c in spare]
+    for width in range(max(NARROW + 1, len(needed)), max_columns + 1):
+        order = {c: i for i, c in enumerate(filled)}
+        found = [tuple(sorted((*needed, *more), key=order.get)) for more in combinations(rest, width - len(needed))]
+        keys = lattice.keys_among([k for k in found if lattice.reaches(k, rows)])
+        if keys:
+            return keys
+    return []
 
 
 def _holds(columns: tuple[str, ...], keys: Sequence[tuple[str, ...]]) -> bool:
     return any(set(k) <= set(columns) for k in keys)
 
 
-def _sketched(df: DataFrame, candidates: Sequence[tuple[str, ...]]) -> tuple[dict[tuple[str, ...], int], list[tuple[str, ...]]]:
-    """Rows without nulls per candidate (all rows under the empty tuple), and the candidates that may be keys."""
-    sizes: dict[tuple[str, ...], int] = {}
-    promising = []
+def _sketched(df: DataFrame, candidates: Sequence[tuple[str, ...]]) -> dict[tuple[str, ...], tuple[int, float]]:
+    """Rows without nulls and the estimated number of different values, per candidate."""
+    seen_all = {}
     # Each sketch is a buffer of its own, so a scan carries a bounded number of them.
-    for start in range(0, max(len(candidates), 1), SKETCHES):
+    for start in range(0, len(candidates), SKETCHES):
         part = candidates[start:start + SKETCHES]
-        aggs = [F.count("*").alias("n")]
+        aggs = []
         for i, c in enumerate(part):
             aggs += [F.count(_hashed(*c)).alias(f"c{i}"), _estimate(_hashed(*c)).alias(f"d{i}")]
         seen = df.agg(*aggs).first()
-        sizes[()] = seen["n"]
-        for i, c in enumerate(part):
-            sizes[c] = seen[f"c{i}"]
-            if seen[f"c{i}"] > 0 and seen[f"d{i}"] >= SKETCH_SHARE * seen[f"c{i}"]:
-                promising.append(c)
-    return sizes, promising
+        seen_all |= {c: (seen[f"c{i}"], seen[f"d{i}"] or 0) for i, c in enumerate(part)}
+    return seen_all
 
 
 def _ranges(tables: Mapping[str, DataFrame]) -> dict[tuple[str, str], tuple]:
@@ -225,8 +282,8 @@ def _ranges(tables: Mapping[str, DataFrame]) -> dict[tuple[str, str], tuple]:
         family = _family(tables[r["t"]].schema[r["c"]].dataType)
         kind = "integer" if family == "integer" else "text"
         low, high = r[f"a_{kind}"], r[f"b_{kind}"]
-        if family == "decimal" and low is not None:
-            low, high = Decimal(low), Decimal(high)
+        if family in ("decimal", "double", "float") and low is not None:
+            low, high = (Decimal(x) if family == "decimal" else float(x) for x in (low, high))
         found[r["t"], r["c"]] = (family, low, high)
     return found
 
@@ -268,7 +325,9 @@ def _included(tables: Mapping[str, DataFrame], pairs: list[tuple[tuple[str, str]
         """(tag, v): the columns below each other, read together per table."""
         parts = []
         for name in dict.fromkeys(t for t, _ in columns):
-            own = [F.struct(F.lit(i).alias(tag), F.col(c).cast(cast).alias("v")) for i, (t, c) in enumerate(columns) if t == name]
+            # Texts move as digests, however long they are.
+            value = lambda c: F.md5(F.col(c)) if isinstance(cast, T.StringType) else F.col(c).cast(cast)
+            own = [F.struct(F.lit(i).alias(tag), value(c).alias("v")) for i, (t, c) in enumerate(columns) if t == name]
             parts.append(tables[name].select(F.explode(F.array(*own)).alias("r")).select("r.*"))
         return reduce(DataFrame.unionByName, parts).where("v is not null")
 
@@ -292,20 +351,126 @@ def _included(tables: Mapping[str, DataFrame], pairs: list[tuple[tuple[str, str]
     )
 
 
+def discover_composite_references(
+    tables: Mapping[str, DataFrame], keys: Mapping[str, tuple[str, ...]],
+    tried: Callable[[str, str, str, str], bool] = lambda child, column, parent, key: True,
+) -> DataFrame:
+    """Column tuples whose values all occur in another table's key of several columns, whatever the columns are called.
+
+    (child, columns, parent, key, coverage, one_to_one), tuples in the order of the key. The search goes up a
+    level at a time: a tuple is only looked at if every column is included in its key column by itself, and a
+    longer one only if its first columns are included together, as far as theta sketches of both sides tell.
+    What the sketches leave is tested exactly, in one pass over digests.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    empty = spark.createDataFrame(
+        [], "child_table string, child_columns string, parent_table string, parent_columns string, coverage double, one_to_one boolean"
+    )
+    keys = {p: tuple(k) for p, k in keys.items() if len(k) > 1}
+    if not keys:
+        return empty
+    single = discover_references(tables, keys, tried).collect()
+    fits: dict[tuple[str, str, str], list[str]] = {}
+    for r in single:
+        if r["child_table"] != r["parent_table"]:
+            fits.setdefault((r["child_table"], r["parent_table"], r["parent_column"]), []).append(r["child_column"])
+    level = [
+        (child, parent, (column,)) for child in tables for parent, key in keys.items() if child != parent
+        for column in sorted(fits.get((child, parent, key[0]), []))
+    ]
+    found = []
+    while level:
+        longer = [
+            (child, parent, (*columns, more)) for child, parent, columns in level
+            for more in sorted(fits.get((child, parent, keys[parent][len(columns)]), [])) if more not in columns
+        ]
+        held = _sketched_inclusions(tables, keys, longer)
+        found += [c for c in held if len(c[2]) == len(keys[c[1]])]
+        level = [c for c in held if len(c[2]) < len(keys[c[1]])]
+    if not found:
+        return empty
+    made, pairs, named = dict(tables), [], {}
+    for i, (child, parent, columns) in enumerate(found):
+        own, whole = _tuple_digests(tables, child, columns, parent, keys[parent])
+        made[child] = made[child].withColumn(f"_child{i}", own)
+        made[parent] = made[parent].withColumn(f"_parent{i}", whole)
+        pairs.append(((child, f"_child{i}"), (parent, f"_parent{i}")))
+        named[f"_child{i}"] = (",".join(columns), ",".join(keys[parent]))
+    name = F.create_map(*[F.lit(x) for c, (columns, _) in named.items() for x in (c, columns)])
+    key_name = F.create_map(*[F.lit(x) for c, (_, key) in named.items() for x in (c, key)])
+    return _included(made, pairs).select(
+        "child_table", F.element_at(name, F.col("child_column")).alias("child_columns"), "parent_table",
+        F.element_at(key_name, F.col("child_column")).alias("parent_columns"), "coverage", "one_to_one",
+    )
+
+
+def _tuple_digests(
+    tables: Mapping[str, DataFrame], child: str, columns: Sequence[str], parent: str, key: Sequence[str]
+) -> tuple[Column, Column]:
+    """A 128-bit digest of a child's tuple and of a parent's, equal for equal values of comparable types."""
+    sides: tuple[list[Column], list[Column]] = ([], [])
+    for c, k in zip(columns, key, strict=False):
+        kind = common_type(tables[child].schema[c].dataType, tables[parent].schema[k].dataType)
+        for side, column in zip(sides, (c, k), strict=True):
+            text = F.col(f"`{column}`").cast(kind).cast("string")
+            side += [F.length(text).cast("string"), text]
+    made = []
+    for side in sides:
+        present = reduce(lambda a, b: a & b, [v.isNotNull() for v in side])
+        made.append(F.when(present, F.md5(F.concat_ws("|", *side))))
+    return made[0], made[1]
+
+
+def _sketched_inclusions(
+    tables: Mapping[str, DataFrame], keys: Mapping[str, tuple[str, ...]], candidates: Sequence[tuple[str, str, tuple[str, ...]]]
+) -> list[tuple[str, str, tuple[str, ...]]]:
+    """The candidates that have tuples, nearly all of which the parent seems to have; one scan a table, sketches alone move."""
+    wanted: dict[str, list[Column]] = {}
+    for i, (child, parent, columns) in enumerate(candidates):
+        own, whole = _tuple_digests(tables, child, columns, parent, keys[parent][: len(columns)])
+        wanted.setdefault(child, []).append(F.theta_sketch_agg(own, F.lit(THETA_BITS)).alias(f"c{i}"))
+        wanted.setdefault(parent, []).append(F.theta_sketch_agg(whole, F.lit(THETA_BITS)).alias(f"p{i}"))
+    spark = next(iter(tables.values())).sparkSession
+    row = spark.range(1)
+    for name, sketches in wanted.items():
+        for start in range(0, len(sketches), SKETCHES):
+            row = row.crossJoin(F.broadcast(tables[name].agg(*sketches[start : start + SKETCHES])))  # one row each
+    both = [
+        F.struct(
+            F.theta_sketch_estimate(f"c{i}").alias("own"), F.theta_sketch_estimate(F.theta_intersection(f"c{i}", f"p{i}")).alias("both")
+        ).alias(f"r{i}")
+        for i in range(len(candidates))
+    ]
+    seen = row.select(*both).first() if candidates else {}
+    return [c for i, c in enumerate(candidates) if seen[f"r{i}"]["own"] and seen[f"r{i}"]["both"] >= CONTAINED * seen[f"r{i}"]["own"]]
+
+
+def temporal_ranges(df: DataFrame, table: str) -> DataFrame:
+    """(table, column, first, last) of the date and time columns as texts with microseconds, in one scan."""
+    moments = (T.DateType, T.TimestampType, T.TimestampNTZType)
+    names = [f.name for f in df.schema.fields if isinstance(f.dataType, moments)]
+    shown = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+    totals = df.agg(F.count("*").alias("n"), *[F.date_format(g(f"`{c}`"), shown).alias(f"{k}{i}") for i, c in enumerate(names) for k, g in (("a", F.min), ("b", F.max))])
+    lines = [F.struct(F.lit(c).alias("column_name"), F.col(f"a{i}").alias("first"), F.col(f"b{i}").alias("last")) for i, c in enumerate(names)]
+    if not lines:
+        return df.sparkSession.createDataFrame([], "table_name string, column_name string, first string, last string")
+    return totals.select(F.explode(F.array(*lines)).alias("r")).select(F.lit(table).alias("table_name"), "r.*")
+
+
 def describe_columns(df: DataFrame, table: str, max_values: int = 20) -> DataFrame:
-    """One row per comparable, non-temporal column: nullability, limits and value list, as a specification needs them.
+    """One row per comparable column: nullability, limits and value list, as a specification needs them.
 
-    Columns of a single-column key are never nullable. The value list is given when at most
-    ``max_values`` values occur, so it is short by definition.
+    Columns without repeats and nulls are never nullable. Numbers have limits as numbers, dates and times as texts
+    with microseconds. The value list is given when at most ``max_values`` values occur, so it is short by
+    definition.
     """
-    temporal = (T.DateType, T.TimestampType, T.TimestampNTZType)
-    kept = df.select(*[f.name for f in df.schema.fields if _comparable(f.dataType) and not isinstance(f.dataType, temporal)])
+    kept = df.select(*[f"`{f.name}`" for f in df.schema.fields if _comparable(f.dataType)])
     facts = profile_columns(kept, table)
     unique = (F.col("n_distinct") == F.col("n_rows")) & (F.col("n_nulls") == 0) & F.col("type_family").isin("integer", "string")
     domains = column_domains(kept, table, kept.columns, max_values).groupBy("column_name").agg(F.sort_array(F.collect_list("value")).alias("allowed"))
-    limits = numeric_ranges(kept, table).drop("table_name")
+    limits, moments = numeric_ranges(kept, table).drop("table_name"), temporal_ranges(kept, table).drop("table_name")
     return (
-        facts.join(limits, "column_name", "left").join(domains, "column_name", "left")
+        facts.join(limits, "column_name", "left").join(moments, "column_name", "left").join(domains, "column_name", "left")
         .select("table_name", "column_name", "type_family", unique.alias("is_key"), (~unique & (F.col("n_nulls") > 0)).alias("nullable"),
-                "is_uuid", "min_value", "max_value", "allowed")
+                "is_uuid", "min_value", "max_value", "first", "last", "allowed")
     )

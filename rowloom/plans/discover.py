@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rowloom.model import ColumnSpec, ForeignKey, TableSpec
 from rowloom.operators import checks as texts
-from rowloom.operators.discovery import UUID_PATTERN, column_domains, discover_keys, discover_references
+from rowloom.operators.discovery import UUID_PATTERN, column_domains, discover_composite_references, discover_keys, discover_references
 
 
 def same_name(child: str, column: str, parent: str, key: str) -> bool:
@@ -37,7 +37,7 @@ def discover(
     ``unique_columns`` columns, since longer ones hold by chance in small tables. A reference is a column whose
     values all occur in another table's primary key and whose pair ``tried`` accepts; of several the one that
     uses most of its parent stays, and of two keys that hold each other the earlier table is the parent.
-    References of several columns are found the same way. Limits are the least and greatest values, text lengths
+    References of several columns are found the same way, by their values. Limits are the least and greatest values, text lengths
     the longest ones, and value lists those of text columns with at most ``max_values`` values. An empty table
     gives its columns alone. Only such facts reach the driver: their number follows the schema.
     """
@@ -103,32 +103,20 @@ def _references(
     out: dict[str, list[ForeignKey]] = {name: [] for name in tables}
     for (child, _), (_, fk) in best.items():
         out[child].append(fk)
-    for parent, key in primary.items():
-        for child in tables:
-            columns = _matching(tables[child], child, parent, key, tried) if len(key) > 1 and child != parent else None
-            if columns and _contained(tables[child], columns, tables[parent], key):
-                # Its columns speak of one parent row, so they refer to nothing else by themselves.
-                kept = [fk for fk in out[child] if not set(fk.columns) <= set(columns)]
-                out[child] = [*kept, ForeignKey(columns, parent, key, set(primary[child]) == set(columns))]
+    composite: dict[tuple[str, str], tuple] = {}
+    for r in discover_composite_references(tables, {n: k for n, k in primary.items() if len(k) > 1}, tried).collect():
+        columns, key = (tuple(r[c].split(",")) for c in ("child_columns", "parent_columns"))
+        rank, place = (-r["coverage"], columns), (r["child_table"], r["parent_table"])
+        if place not in composite or rank < composite[place][0]:
+            composite[place] = (rank, ForeignKey(columns, r["parent_table"], key, set(primary[r["child_table"]]) == set(columns)))
+    for (child, parent), (_, fk) in composite.items():
+        if (parent, child) in composite and order[child] < order[parent]:
+            continue  # two keys that hold each other: the earlier table is the parent
+        # Its columns speak of one parent row, so they refer to nothing else by themselves.
+        out[child] = [*[other for other in out[child] if not set(other.columns) <= set(fk.columns)], fk]
     return out
 
 
-def _matching(df: DataFrame, child: str, parent: str, key: tuple[str, ...], tried) -> tuple[str, ...] | None:
-    """For each column of the key the one column that speaks of it; None when one is missing or in doubt."""
-    picks = [[c for c in df.columns if tried(child, c, parent, k)] for k in key]
-    if any(len(p) != 1 for p in picks) or len({p[0] for p in picks}) < len(key):
-        return None
-    return tuple(p[0] for p in picks)
-
-
-def _contained(child: DataFrame, columns: tuple[str, ...], parent: DataFrame, key: tuple[str, ...]) -> bool:
-    """Whether every complete tuple of the child, of which there is one at least, is a key of the parent."""
-    used = child.select(*[F.col(f"`{c}`").alias(f"v{i}") for i, c in enumerate(columns)]).dropna().distinct()
-    keys = parent.select(*[F.col(f"`{c}`").alias(f"v{i}") for i, c in enumerate(key)])
-    values = [f"v{i}" for i in range(len(key))]
-    return not used.isEmpty() and used.join(keys, values, "left_anti").isEmpty()
-
-
 def _constrained(specs: list[TableSpec], checks: DataFrame) -> list[TableSpec]:
     spark = checks.sparkSession
     named = [(s.name, c.name, c.length if c.is_text else 0) for s in specs for c in s.columns]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations, permutations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,27 +60,24 @@ def _profile_sql() -> str:
     return "\nUNION ALL ".join(lines)
 
 
+def _tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """All provided tables with their comparable columns."""
+    return {n: table(spark, d, n).select(*columns) for n, columns in KINDS.items()}
+
+
 def discover_keys(spark: SparkSession, d: str) -> DataFrame:
-    """Keys of one or two columns of the star schema."""
+    """Keys of one or two columns of all provided tables, columns of every comparable type."""
     rows = []
-    for name, df in star_tables(spark, d).items():
+    for name, df in _tables(spark, d).items():
         found = discovery.discover_keys(df)
         rows += [(name, "primary", ",".join(k)) for k in found.primary] + [(name, "unique", ",".join(k)) for k in found.unique]
     return spark.createDataFrame(rows, "table_name string, kind string, key_columns string")
 
 
 def _keys_sql() -> str:
-    columns = {
-        "region": ("r_regionkey", "r_name"), "nation": ("n_nationkey", "n_name", "n_regionkey"),
-        "customer": ("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), "supplier": ("s_suppkey", "s_name", "s_nationkey"),
-        "part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size"),
-        "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"),
-        "events": ("event_id", "user_id", "event_type", "props"), "labels": ("doc_id", "quality", "toxic"),
-        "lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"),
-        "documents": ("doc_id", "text", "lang", "source", "n_chars"),
-    }
     lines = []
-    for t, names in columns.items():
+    for t, names in KINDS.items():
+        names = list(names)
         for i, a in enumerate(names):
             key = f"(SELECT count(DISTINCT {a}) = count({a}) AND count({a}) > 0 FROM {t})"
             full = f"(SELECT count({a}) = count(*) FROM {t})"
@@ -87,86 +85,159 @@ def _keys_sql() -> str:
             lines.append(f"SELECT '{t}', 'primary', '{a}' WHERE {key} AND {full}")
             for b in names[i + 1:]:
                 pair = f"(SELECT count(*) = 0 FROM (SELECT 1 FROM {t} WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY {a}, {b} HAVING count(*) > 1))"
-                alone = f"(SELECT (count(DISTINCT {a}) = count({a})) OR (count(DISTINCT {b}) = count({b})) FROM {t})"
+                some = f"(SELECT count(*) > 0 FROM {t} WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"
+                alone = f"(SELECT (count(DISTINCT {a}) = count({a}) AND count({a}) > 0) OR (count(DISTINCT {b}) = count({b}) AND count({b}) > 0) FROM {t})"
                 whole = f"(SELECT count(*) = 0 FROM {t} WHERE {a} IS NULL OR {b} IS NULL)"
                 for kind, test in (("unique", "true"), ("primary", whole)):
-                    lines.append(f"SELECT '{t}', '{kind}', '{a},{b}' WHERE {pair} AND NOT {alone} AND {test}")
+                    lines.append(f"SELECT '{t}', '{kind}', '{a},{b}' WHERE {pair} AND {some} AND NOT {alone} AND {test}")
     return "\nUNION ALL ".join(lines)
 
 
-PARENT_KEYS = {s.name: s.primary_key for s in STAR if s.name in ("region", "nation", "customer", "supplier", "part", "orders", "documents")}
-CHILD_COLUMNS = {
-    "region": ("r_regionkey",), "nation": ("n_nationkey", "n_regionkey"), "customer": ("c_custkey", "c_nationkey"),
-    "supplier": ("s_suppkey", "s_nationkey"), "part": ("p_partkey", "p_size"), "orders": ("o_orderkey", "o_custkey"),
-    "lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"), "events": ("event_id", "user_id"),
-    "documents": ("doc_id", "n_chars"), "labels": ("doc_id", "quality", "toxic"),
+WIDE = ("l_returnflag", "l_linenumber", "l_discount", "l_tax", "l_quantity", "n_lines")
+
+
+def _wide_table(spark: SparkSession, d: str) -> DataFrame:
+    """Order lines counted by five coarse columns: a key of five columns, unless fewer will do."""
+    return table(spark, d, "lineitem").groupBy(*WIDE[:-1]).agg(F.count("*").alias("n_lines"))
+
+
+def discover_wide_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Keys of any width of a table that has no primary key of one or two columns."""
+    keys = discovery.discover_keys(_wide_table(spark, d), len(WIDE))
+    return spark.createDataFrame([(",".join(k), len(k)) for k in keys.primary], "key_columns string, width int")
+
+
+def _wide_keys_sql() -> str:
+    parts = []
+    for width in range(1, len(WIDE) + 1):
+        for columns in combinations(WIDE, width):
+            names = ", ".join(columns)
+            parts.append(f"SELECT '{','.join(columns)}' AS key_columns, {width}::INTEGER AS width WHERE (SELECT count(DISTINCT ({names})) = count(*) FROM w)")
+    keys = "\nUNION ALL ".join(parts)
+    grouped = ", ".join(WIDE[:-1])
+    return f"WITH w AS (SELECT {grouped}, count(*) AS n_lines FROM lineitem GROUP BY {grouped}), k AS ({keys}) SELECT * FROM k WHERE width = (SELECT min(width) FROM k)"
+
+
+# Single-column keys that columns may refer to.
+PARENT_KEYS = {
+    "region": ("r_regionkey", "r_name"), "nation": ("n_nationkey", "n_name"), "customer": ("c_custkey", "c_name"),
+    "supplier": ("s_suppkey", "s_name"), "part": ("p_partkey",), "orders": ("o_orderkey",), "documents": ("doc_id",), "events": ("event_id",),
+    "embeddings": ("vec_id",), "pages": ("page_id",), "benchmark": ("item_id",),
 }
 
 
 def discover_references(spark: SparkSession, d: str) -> DataFrame:
-    """Reference candidates among the integer columns of the star schema, with coverage and one-to-one flag."""
-    tables = {n: df.select(*CHILD_COLUMNS[n]) for n, df in star_tables(spark, d).items()}
-    return discovery.discover_references(tables, PARENT_KEYS).withColumn("coverage", F.round("coverage", 6))
+    """Reference candidates among all comparable columns of all provided tables, with coverage and one-to-one flag."""
+    return discovery.discover_references(_tables(spark, d), PARENT_KEYS).withColumn("coverage", F.round("coverage", 6))
 
 
 def _references_sql() -> str:
     lines = []
-    for child, columns in CHILD_COLUMNS.items():
-        for c in columns:
-            for parent, (key,) in PARENT_KEYS.items():
-                if (child, c) == (parent, key):
-                    continue
-                lines.append(
-                    f"SELECT '{child}' AS child_table, '{c}' AS child_column, '{parent}' AS parent_table, '{key}' AS parent_column,"
-                    f" round(count(DISTINCT {c}) / (SELECT count(*) FROM {parent}), 6) AS coverage,"
-                    f" count(DISTINCT {c}) = count({c}) AS one_to_one FROM {child}"
-                    f" HAVING count({c}) > 0 AND (SELECT count(*) FROM {child} WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT {key} FROM {parent})) = 0"
-                )
+    for child, columns in KINDS.items():
+        for c, kind in columns.items():
+            for parent, keys in PARENT_KEYS.items():
+                for key in keys:
+                    if (child, c) == (parent, key) or kind != KINDS[parent][key]:
+                        continue
+                    lines.append(
+                        f"SELECT '{child}' AS child_table, '{c}' AS child_column, '{parent}' AS parent_table, '{key}' AS parent_column,"
+                        f" round(count(DISTINCT {c}) / (SELECT count(DISTINCT {key}) FROM {parent}), 6) AS coverage,"
+                        f" count(DISTINCT {c}) = count({c}) AS one_to_one FROM {child}"
+                        f" HAVING count({c}) > 0 AND NOT EXISTS (SELECT 1 FROM {child} x WHERE x.{c} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {parent} y WHERE y.{key} = x.{c}))"
+                    )
     return "\nUNION ALL ".join(lines)
 
 
+COMPOSITE_KEYS = {"lines": ("l_orderkey", "l_linenumber"), "turns": ("conv_id", "turn")}
+
+
+def _composite_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Two tables with keys of two columns, their children under other names, and all provided tables beside."""
+    lines = table(spark, d, "lineitem").select(*COMPOSITE_KEYS["lines"]).distinct()
+    turns = table(spark, d, "conversations").select(*COMPOSITE_KEYS["turns"]).distinct()
+    half = lines.where("l_orderkey % 2 = 0").select(F.col("l_linenumber").alias("place"), F.col("l_orderkey").alias("bill"), (F.col("l_orderkey") % 7).cast("int").alias("shelf"))
+    first = turns.where("turn < 2").select(F.col("turn").cast("smallint").alias("step"), F.col("conv_id").alias("talk"))
+    return {"lines": lines, "turns": turns, "returns": half, "openings": first, **_tables(spark, d)}
+
+
+def discover_composite_references(spark: SparkSession, d: str) -> DataFrame:
+    """References to keys of two columns, found by values under any names, in all provided tables."""
+    found = discovery.discover_composite_references(_composite_tables(spark, d), COMPOSITE_KEYS)
+    return found.withColumn("coverage", F.round("coverage", 6))
+
+
+def _composite_sql() -> str:
+    made = {
+        "lines": ("SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem", ("l_orderkey", "l_linenumber")),
+        "turns": ("SELECT DISTINCT conv_id, turn FROM conversations", ("conv_id", "turn")),
+        "returns": ("SELECT l_linenumber AS place, l_orderkey AS bill, l_orderkey % 7 AS shelf FROM lines WHERE l_orderkey % 2 = 0", ("place", "bill", "shelf")),
+        "openings": ("SELECT turn AS step, conv_id AS talk FROM turns WHERE turn < 2", ("step", "talk")),
+    }
+    own = {n: columns for n, (_, columns) in made.items()}
+    own |= {t: tuple(c for c, kind in columns.items() if kind == "integer") for t, columns in KINDS.items()}
+    parts = []
+    for child, columns in own.items():
+        for a, b in permutations(columns, 2):
+            for parent, (k, m) in COMPOSITE_KEYS.items():
+                if child != parent:
+                    parts.append(
+                        f"SELECT '{child}' AS child_table, '{a},{b}' AS child_columns, '{parent}' AS parent_table, '{k},{m}' AS parent_columns,"
+                        f" round(count(DISTINCT ({a}, {b})) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) / (SELECT count(*) FROM {parent}), 6) AS coverage,"
+                        f" count(DISTINCT ({a}, {b})) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) = count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) AS one_to_one FROM {child}"
+                        f" HAVING count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) > 0 AND NOT EXISTS (SELECT 1 FROM {child} x WHERE x.{a} IS NOT NULL AND x.{b} IS NOT NULL"
+                        f" AND NOT EXISTS (SELECT 1 FROM {parent} y WHERE y.{k} = x.{a} AND y.{m} = x.{b}))"
+                    )
+    return "WITH " + ", ".join(f"{n} AS ({q})" for n, (q, _) in made.items()) + "\n" + "\nUNION ALL ".join(parts)
+
+
 def column_domains(spark: SparkSession, d: str) -> DataFrame:
-    """Value lists of the columns with at most 50 distinct values."""
-    lines = discovery.column_domains(table(spark, d, "lineitem"), "lineitem", ["l_returnflag", "l_linestatus", "l_linenumber", "l_partkey"], 50)
-    orders = discovery.column_domains(table(spark, d, "orders"), "orders", ["o_orderstatus", "o_orderpriority", "o_custkey"], 50)
-    return lines.unionByName(orders)
+    """Value lists of all columns with at most 50 distinct values, but times, in all provided tables."""
+    parts = []
+    for name, df in _tables(spark, d).items():
+        columns = [c for c, kind in KINDS[name].items() if kind != "time"]
+        parts.append(discovery.column_domains(df, name, columns, 50))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _domains_sql() -> str:
-    parts = []
-    for t, columns in (("lineitem", ("l_returnflag", "l_linestatus", "l_linenumber", "l_partkey")), ("orders", ("o_orderstatus", "o_orderpriority", "o_custkey"))):
-        for c in columns:
-            parts.append(
-                f"SELECT '{t}' AS table_name, '{c}' AS column_name, {c}::VARCHAR AS value, count(*) AS n FROM {t}"
-                f" WHERE (SELECT count(DISTINCT {c}) FROM {t}) <= 50 GROUP BY {c}"
-            )
-    return "\nUNION ALL ".join(parts)
+    return "\nUNION ALL ".join(
+        f"SELECT '{t}' AS table_name, '{c}' AS column_name, {c}::VARCHAR AS value, count(*) AS n FROM {t}"
+        f" WHERE {c} IS NOT NULL AND (SELECT count(DISTINCT {c}) FROM {t}) <= 50 GROUP BY {c}"
+        for t, columns in KINDS.items() for c, kind in columns.items() if kind != "time"
+    )
 
 
 def numeric_ranges(spark: SparkSession, d: str) -> DataFrame:
-    return discovery.numeric_ranges(table(spark, d, "lineitem"), "lineitem")
+    return reduce(DataFrame.unionByName, [discovery.numeric_ranges(df, name) for name, df in _tables(spark, d).items()])
 
 
 NUMERIC_RANGES = "\nUNION ALL ".join(
-    f"SELECT 'lineitem' AS table_name, '{c}' AS column_name, min({c})::DOUBLE AS min_value, max({c})::DOUBLE AS max_value FROM lineitem"
-    for c, kind in KINDS["lineitem"].items() if kind in ("integer", "double")
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, min({c})::DOUBLE AS min_value, max({c})::DOUBLE AS max_value FROM {t}"
+    for t, columns in KINDS.items() for c, kind in columns.items() if kind in ("integer", "double")
 )
 
 
 def describe_columns(spark: SparkSession, d: str) -> DataFrame:
-    """Columns put together: key columns are required, limits and value lists beside them."""
-    orders = table(spark, d, "orders")
-    return discovery.describe_columns(orders, "orders", max_values=10)
-
-
-DESCRIBE_COLUMNS = "\nUNION ALL ".join(
-    f"SELECT 'orders' AS table_name, '{c}' AS column_name, '{kind}' AS type_family, {str(c == 'o_orderkey').lower()} AS is_key,"
-    f" {'false' if c == 'o_orderkey' else f'count(*) > count({c})'} AS nullable, false AS is_uuid,"
-    f" {f'min({c})::DOUBLE' if kind in ('integer', 'double') else 'NULL::DOUBLE'} AS min_value,"
-    f" {f'max({c})::DOUBLE' if kind in ('integer', 'double') else 'NULL::DOUBLE'} AS max_value,"
-    f" CASE WHEN count(DISTINCT {c}) <= 10 THEN list_sort(list(DISTINCT {c}::VARCHAR)) END AS allowed FROM orders"
-    for c, kind in KINDS["orders"].items() if kind != "time"
-)
+    """Columns of all provided tables put together: keys are required, limits of numbers and times and value lists beside them."""
+    parts = [discovery.describe_columns(df, name, max_values=10) for name, df in _tables(spark, d).items()]
+    family = F.when(F.col("type_family").startswith("timestamp"), F.lit("time")).otherwise(F.col("type_family"))
+    return reduce(DataFrame.unionByName, parts).withColumn("type_family", family)
+
+
+def _describe_sql() -> str:
+    lines = []
+    for t, columns in KINDS.items():
+        for c, kind in columns.items():
+            key = f"(count(DISTINCT {c}) = count(*) AND {str(kind in ('integer', 'string')).lower()})"
+            number, moment = kind in ("integer", "double"), kind == "time"
+            lines.append(
+                f"SELECT '{t}' AS table_name, '{c}' AS column_name, '{kind}' AS type_family, {key} AS is_key,"
+                f" NOT {key} AND count(*) > count({c}) AS nullable, false AS is_uuid,"
+                f" {f'min({c})::DOUBLE' if number else 'NULL::DOUBLE'} AS min_value, {f'max({c})::DOUBLE' if number else 'NULL::DOUBLE'} AS max_value,"
+                + "".join(f" {f'strftime({f}({c}), $$%Y-%m-%d %H:%M:%S.%f$$)' if moment else 'NULL::VARCHAR'} AS {n}," for f, n in (("min", "first"), ("max", "last")))
+                + f" CASE WHEN count(DISTINCT {c}) BETWEEN 1 AND 10 THEN list_sort(list(DISTINCT {c}::VARCHAR) FILTER ({c} IS NOT NULL)) END AS allowed FROM {t}"
+            )
+    return "\nUNION ALL ".join(lines)
 
 
 def document_vocabulary(spark: SparkSession, d: str) -> DataFrame:
@@ -233,8 +304,10 @@ QUERIES = {
     "profile_columns": (profile_columns, _profile_sql()),
     "discover_keys": (discover_keys, _keys_sql()),
     "discover_references": (discover_references, _references_sql()),
+    "discover_wide_keys": (discover_wide_keys, _wide_keys_sql()),
+    "discover_composite_references": (discover_composite_references, _composite_sql()),
     "column_domains": (column_domains, _domains_sql()),
     "numeric_ranges": (numeric_ranges, NUMERIC_RANGES),
-    "describe_columns": (describe_columns, DESCRIBE_COLUMNS),
+    "describe_columns": (describe_columns, _describe_sql()),
     "vocabulary": (document_vocabulary, DOCUMENT_VOCABULARY),
 }
