@@ -234,6 +234,116 @@ def clauses(plain: str) -> list[list[list[str]] | None]:
     return frames[0][0] + (frames[0][1] or []) if len(frames) == 1 else []
 
 
+Part = dict[str, str]
+
+
+def product(a: list[Part], b: list[Part]) -> list[Part]:
+    """Alternatives that take one of either side; contradictions and repeats drop out."""
+    made: dict[tuple, Part] = {}
+    for x in a:
+        for y in b:
+            if all(x.get(c, v) == v for c, v in y.items()):
+                both = x | y
+                made.setdefault(tuple(sorted(both.items())), both)
+    return list(made.values())
+
+
+def factors(plain: str, tokens: list[str]) -> list[list[Part]]:
+    """A condition as factors that must all hold, each a list of alternatives {column: value}.
+
+    Parts joined by AND stay apart, to any depth of parentheses, as long as no OR stands above them and they
+    speak of different columns. Only factors that share a column are multiplied with each other, without the
+    contradictions. Alternatives with other tests than equality are left out, and factors without alternatives.
+    """
+    before = None
+    while before != plain:
+        before, plain = plain, _ALONE.sub(r"\1", plain)
+
+    def value(item: str) -> str:
+        if item.startswith("'"):
+            return tokens[int(item[1:-1])][1:-1].replace("''", "'")
+        return item.replace('"', "") if item.startswith('"') else item.replace(" ", "")
+
+    # Per open parenthesis: the alternatives before the last OR (None before the first one), and the factors since.
+    frames: list[list] = [[None, []]]
+
+    def closed(frame: list) -> list[list[Part]]:
+        done, since = frame
+        if done is None:
+            return since
+        one: list[Part] = [{}]
+        for factor in since:
+            one = product(one, factor)
+        return [done + (one if since else [])]
+
+    words, at, fresh = plain.split(" "), 0, True
+    while at < len(words):
+        word = words[at]
+        if word == "OR":
+            frames[-1] = [closed([frames[-1][0] or [], frames[-1][1]])[0], []]
+            fresh, at = True, at + 1
+        elif word == "AND":
+            fresh, at = True, at + 1
+        elif word == "(" and fresh:
+            frames.append([None, []])
+            at += 1
+        elif word == ")":
+            if len(frames) == 1:
+                return []
+            inner = closed(frames.pop())
+            frames[-1][1] += inner
+            fresh, at = False, at + 1
+        else:
+            start, depth = at, 0
+            while at < len(words) and (depth or words[at] not in ("OR", ")") and (words[at] != "AND" or "BETWEEN" in words[start:at] and "AND" not in words[start:at])):
+                depth += (words[at] == "(") - (words[at] == ")")
+                at += 1
+            match = _CONDITION.match(" ".join(words[start:at])) if fresh else None
+            frames[-1][1].append([{match[1].lower(): value(match[2])}] if match else [])
+            fresh = False
+    if len(frames) > 1:
+        return []
+    # Under an OR a part with another test has no alternatives, so it drops out of the product; at the top it says nothing.
+    return _apart([f for f in closed(frames[0]) if f])
+
+
+def _apart(found: list[list[Part]]) -> list[list[Part]]:
+    """Factors over different columns: those that share one are multiplied."""
+    apart: list[tuple[set[str], list[Part]]] = []
+    for factor in found:
+        columns = {c for part in factor for c in part}
+        near = [a for a in apart if a[0] & columns]
+        for group in near:
+            factor = product(group[1], factor)
+            columns |= group[0]
+        at = apart.index(near[0]) if near else len(apart)
+        apart = [a for a in apart if a not in near]
+        apart.insert(at, (columns, factor))
+    return [factor for _, factor in apart if factor]
+
+
+@F.pandas_udf(ArrayType(ArrayType(ArrayType(ArrayType(StringType())))))
+def _factors(plain: pd.Series, tokens: pd.Series) -> pd.Series:
+    return pd.Series([[[[list(pair) for pair in part.items()] for part in f] for f in factors(p, list(t))] for p, t in zip(plain, tokens, strict=True)])
+
+
+def value_factors(checks: DataFrame) -> DataFrame:
+    """Rules written with AND, OR and equalities as a product of factors, one row per factor, clause and column.
+
+    A row that takes one clause of each factor keeps the rule. The number of clauses is the sum, not the product,
+    of the ORs joined by AND.
+    """
+    spelled = plain_spelling(checks).where(F.col("plain").contains(" = ") & F.col("plain").rlike(r"\b(?:AND|OR)\b"))
+    ready = spelled.select("table_name", "expr", "tokens", F.regexp_replace("plain", "^CHECK ", "").alias("plain"))
+    each = ready.select("table_name", "expr", F.posexplode(_factors("plain", "tokens")).alias("factor", "clauses"))
+    single = each.select("table_name", "expr", "factor", F.posexplode("clauses").alias("clause", "parts"))
+    part = single.select("table_name", "expr", "factor", "clause", F.explode("parts").alias("part"))
+    return part.select(
+        "table_name", "expr", F.col("factor").cast("int").alias("factor"), F.col("clause").cast("int").alias("clause"),
+        F.get("part", F.lit(0)).alias("column_name"), F.get("part", F.lit(1)).alias("value"),
+    )
+
+
 @F.pandas_udf(ArrayType(ArrayType(ArrayType(StringType()))))
 def _clauses(plain: pd.Series) -> pd.Series:
     return plain.map(clauses)
@@ -242,7 +352,8 @@ def _clauses(plain: pd.Series) -> pd.Series:
 def value_combinations(checks: DataFrame) -> DataFrame:
     """Multi-column rules written as OR and AND of equalities, one row per clause and column.
 
-    ORs inside a clause make a clause each. A clause with anything but equalities is dropped.
+    ORs inside a clause make a clause each, so this is for rules written as ORs of ANDs; ``value_factors`` is the
+    way for ANDs of many ORs. A clause with anything but equalities is dropped.
     """
     spelled = plain_spelling(checks).where(F.col("plain").contains(" = ") & F.col("plain").rlike(r"\b(?:AND|OR)\b"))
     ready = spelled.select("table_name", "expr", "tokens", F.regexp_replace("plain", "^CHECK ", "").alias("plain"))
@@ -255,11 +366,11 @@ def value_combinations(checks: DataFrame) -> DataFrame:
 
 
 def _rules(spec: TableSpec, combinations: DataFrame) -> tuple[CombinationRule, ...]:
-    """The table's combination rules: clauses of one CHECK over the same two or more of its columns."""
-    texts: dict[str, dict[int, dict[str, str]]] = {}
-    for r in combinations.where(F.col("table_name") == spec.name).orderBy("expr", "clause").collect():
+    """The table's combination rules: the clauses of one factor of a CHECK over the same two or more of its columns."""
+    texts: dict[tuple[str, int], dict[int, dict[str, str]]] = {}
+    for r in combinations.where(F.col("table_name") == spec.name).orderBy("expr", "factor", "clause").collect():
         if spec.has_column(r["column_name"]):
-            texts.setdefault(r["expr"], {}).setdefault(r["clause"], {})[spec.column(r["column_name"]).name] = r["value"]
+            texts.setdefault((r["expr"], r["factor"]), {}).setdefault(r["clause"], {})[spec.column(r["column_name"]).name] = r["value"]
     found = []
     for by_clause in texts.values():
         names = sorted({c for clause in by_clause.values() for c in clause})
@@ -270,7 +381,7 @@ def _rules(spec: TableSpec, combinations: DataFrame) -> tuple[CombinationRule, .
 
 
 def constrain(spec: TableSpec, limits: DataFrame, allowed: DataFrame, combinations: DataFrame | None = None) -> TableSpec:
-    """Put extracted limits and combinations into a table's specification; the frames are one schema in size."""
+    """Put extracted limits and rules (of ``value_factors``) into a table's specification; the frames are one schema in size."""
     bounds = {r["column_name"].lower(): r for r in limits.where(F.col("table_name") == spec.name).collect()}
     values: dict[str, list[str]] = {}
     for r in allowed.where(F.col("table_name") == spec.name).orderBy("column_name", "value").collect():
@@ -279,6 +390,8 @@ def constrain(spec: TableSpec, limits: DataFrame, allowed: DataFrame, combinatio
     for c in spec.columns:
         r = bounds.get(c.name.lower())
         low, high, size = (r["min_value"], r["max_value"], r["max_length"]) if r else (None, None, None)
+        if low is not None and high is not None and low > high:
+            low = high = None  # equalities of different alternatives, which limit nothing together
         if r and c.type in ("tinyint", "smallint", "int", "bigint"):
             low = None if low is None else (int(low // 1) + 1 if r["min_open"] else int(-(-low // 1)))
             high = None if high is None else (int(-(-high // 1)) - 1 if r["max_open"] else int(high // 1))

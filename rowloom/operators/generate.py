@@ -23,8 +23,10 @@ from rowloom.functions.values import (
     units_between,
 )
 from rowloom.model import INTEGER_TYPES, ColumnSpec, RepetitionRule, TableSpec
+from rowloom.operators import combinations as combos_
 from rowloom.operators.combinations import choose_combination, typed
-from rowloom.operators.rules import constant_key, lay_out, pinned_columns
+from rowloom.operators.joins import lookup
+from rowloom.operators.rules import CONSTANT, PINS, constant_key, lay_out, pinned_columns, rule_rows, rule_table
 
 POSITION, RULE = "_idx", "_rule_id"
 # Computes a foreign-key column from the row position.
@@ -213,8 +215,13 @@ def _base36(n: int) -> str:
             return out
 
 
-def row_columns(spec: TableSpec, options: GenerateOptions, position: Column, rows: int, draws: Draws) -> tuple[dict[str, Column], Column]:
-    """Every column of the table as a function of the position, and the rule number."""
+def row_columns(
+    spec: TableSpec, options: GenerateOptions, position: Column, rows: int, draws: Draws, chosen: Mapping[int, Column] | None = None
+) -> tuple[dict[str, Column], Column]:
+    """Every column of the table as a function of the position, and the rule number.
+
+    ``chosen`` has the combinations, by number, of rules that are too long for the plan.
+    """
     settings, scale = options.values, options.values.numeric_scale
     blocks = lay_out(spec, list(options.rules))
     rule_id = F.col(RULE)
@@ -224,7 +231,11 @@ def row_columns(spec: TableSpec, options: GenerateOptions, position: Column, row
     for key in own_unique_keys(spec):
         unique |= key_values(spec, key, draws, position, rows, settings)
     combos: dict[str, Column] = {}
-    for rule in spec.combinations:
+    for number, rule in enumerate(spec.combinations):
+        if len(rule.combinations) > combos_.INLINE:
+            none = F.struct(*[F.lit(None).cast("string").alias(f"c{i}") for i in range(len(rule.columns))])
+            combos.update(typed(spec, rule, (chosen or {}).get(number, none), scale))
+            continue
         fixed = {c: (pinned[c].is_set, pinned[c].text) for c in rule.columns if c in pinned}
         combos.update(typed(spec, rule, choose_combination(rule, draws, position, fixed), scale))
     out: dict[str, Column] = {}
@@ -251,11 +262,11 @@ def row_columns(spec: TableSpec, options: GenerateOptions, position: Column, row
             value = cell_value(column, draws, key, settings, position)
         if column.name in pinned and column.name not in spec.fk_columns and column.name not in combos:
             pin = pinned[column.name]
-            if spec.primary_key == (column.name,) and is_countable(column):
+            if spec.primary_key == (column.name,) and is_countable(column) and not blocks.tabled:
                 value = _avoid(value, _pinned_keys(blocks, column), column, rows, draws)
             value = F.when(pin.is_set, pin.text.try_cast(kind)).otherwise(value)
         out[column.name] = value.cast(kind)
-    return out, blocks.rule_of(position)
+    return out, rule_id if blocks.tabled else blocks.rule_of(position)
 
 
 def _pinned_keys(blocks, column: ColumnSpec) -> list[int]:
@@ -272,18 +283,25 @@ def _avoid(value: Column, taken: list[int], column: ColumnSpec, rows: int, draws
     """Swap generated keys that a rule has pinned elsewhere for keys no position uses."""
     if not taken:
         return value
+    spare = _spare_keys(taken, column, rows, draws)
+    keys = F.array(*[F.lit(k).cast(column.data_type()) for k in taken])
+    found = F.array_position(keys, value).cast("int")
+    swapped = F.element_at(F.array(*[F.lit(k) for k in spare]), F.greatest(found, F.lit(1)))
+    return F.when(found > 0, swapped.cast(column.data_type())).otherwise(value)
+
+
+def _spare_keys(taken: list[int], column: ColumnSpec, rows: int, draws: Draws) -> list[int]:
+    """As many keys that no position below ``rows`` uses."""
     low, size = key_domain(column, rows)
+    known = set(taken)
     step, shift = step_for(size), draws.seed % size
     spare, position = [], rows
     while len(spare) < len(taken):
         key = low + (position * step + shift) % size if position < size else max(low + size, taken[-1] + 1) + position - size
-        if key not in taken:
+        if key not in known:
             spare.append(key)
         position += 1
-    keys = F.array(*[F.lit(k).cast(column.data_type()) for k in taken])
-    found = F.array_position(keys, value).cast("int")
-    swapped = F.element_at(F.array(*[F.lit(k) for k in spare]), F.greatest(found, F.lit(1)))
-    return F.when(found > 0, swapped.cast(column.data_type())).otherwise(value)
+    return spare
 
 
 def redrawn(rows: DataFrame, spec: TableSpec, total: int, options: GenerateOptions, names: Sequence[str], position: str = POSITION) -> DataFrame:
@@ -291,16 +309,24 @@ def redrawn(rows: DataFrame, spec: TableSpec, total: int, options: GenerateOptio
 
     What a repetition rule pins stays pinned, and its constant columns stay as they are in its rows.
     """
+    blocks = lay_out(spec, list(options.rules))
+    given = rows
+    if blocks.tabled:
+        known = rule_table(rows.sparkSession, blocks, options.seed).select(F.col("rule").alias(RULE), PINS, CONSTANT)
+        given = lookup(rows, known, [RULE], len(blocks.rules))
+    given, chosen = _with_long_combinations(given, spec, options, blocks, position)
     draws = SharedDraws(options.seed, spec.name, options.algorithm)
-    columns, _ = row_columns(spec, options, F.col(position), total, draws)
-    hashed = rows.select("*", *draws.digest_columns())
+    columns, _ = row_columns(spec, options, F.col(position), total, draws, chosen)
+    hashed = given.select("*", *draws.digest_columns())
     out = []
     for name in rows.columns:
         if name not in names:
             out.append(F.col(name))
             continue
-        value, constant = columns[name], [i for i, r in enumerate(options.rules) if name.lower() in map(str.lower, r.constant)]
-        if constant:
+        value = columns[name]
+        if blocks.tabled:
+            value = F.when(F.coalesce(F.array_contains(CONSTANT, F.lit(name.lower())), F.lit(False)), F.col(name)).otherwise(value)
+        elif constant := [i for i, r in enumerate(options.rules) if name.lower() in map(str.lower, r.constant)]:
             value = F.when(F.col(RULE).isin(constant), F.col(name)).otherwise(value)
         out.append(value.alias(name))
     return hashed.select(*out)
@@ -316,12 +342,65 @@ def planned_rows(spec: TableSpec, rows: int, options: GenerateOptions) -> int:
     return min(key_capacity(spec, wanted, k, scale) for k in [spec.primary_key, *binding])
 
 
-def generate_over(positions: DataFrame, spec: TableSpec, rows: int, options: GenerateOptions, position: str = POSITION) -> DataFrame:
+def _with_long_combinations(
+    rows: DataFrame, spec: TableSpec, options: GenerateOptions, blocks, position: str
+) -> tuple[DataFrame, dict[int, Column]]:
+    """Rows with the combinations of long rules beside them, as columns, and those as structs by rule number."""
+    long = [n for n, rule in enumerate(spec.combinations) if len(rule.combinations) > combos_.INLINE]
+    if not long:
+        return rows, {}
+    pinned, chosen = pinned_columns(blocks, F.col(RULE), options.seed, options.values.numeric_scale), {}
+    draws = Draws(options.seed, spec.name, options.algorithm)
+    for number in long:
+        rule, prefix = spec.combinations[number], f"_combo{number}_"
+        fixed = {c: (pinned[c].is_set, pinned[c].text) for c in rule.columns if c in pinned}
+        table = combos_.combination_rows(rows.sparkSession, rule)
+        rows = combos_.attach_combinations(rows, table, list(rule.columns), draws, F.col(position), fixed, prefix)
+        chosen[number] = F.struct(*[F.col(f"{prefix}{i}").alias(f"c{i}") for i in range(len(rule.columns))])
+    return rows, chosen
+
+
+def _with_rules(positions: DataFrame, blocks, options: GenerateOptions, position: str, all_of: int | None) -> DataFrame:
+    """Positions with the number of their rule, and what it sets where rules are a table.
+
+    With ``all_of`` the positions are 0 to below that number: those of rules are made from the rules' side and
+    the rest is added, without a join. Given positions are joined, one row of rules each.
+    """
+    if not blocks.tabled:
+        return positions.select("*", blocks.rule_of(F.col(position)).alias(RULE))
+    made = rule_rows(rule_table(positions.sparkSession, blocks, options.seed), position, RULE)
+    if all_of is None:
+        return lookup(positions, made, [position], blocks.total, even=True)
+    free = positions.where(F.col(position) >= blocks.total)
+    none = [F.lit(None).cast(kind).alias(name) for name, kind in made.dtypes if name != position]
+    return made.where(F.col(position) < all_of).unionByName(free.select(position, *none))
+
+
+def generate_over(
+    positions: DataFrame, spec: TableSpec, rows: int, options: GenerateOptions, position: str = POSITION, all_of: int | None = None
+) -> DataFrame:
     """Fill the table's columns next to existing row positions 0..rows-1."""
+    blocks = lay_out(spec, list(options.rules))
+    ruled = _with_rules(positions, blocks, options, position, all_of)
+    ruled, chosen = _with_long_combinations(ruled, spec, options, blocks, position)
     draws = SharedDraws(options.seed, spec.name, options.algorithm)
-    columns, rule = row_columns(spec, options, F.col(position), rows, draws)
-    hashed = positions.select("*", rule.alias(RULE)).select("*", *draws.digest_columns())
-    return hashed.select(F.col(position), F.col(RULE), *[c.alias(n) for n, c in columns.items()])
+    columns, _ = row_columns(spec, options, F.col(position), rows, draws, chosen)
+    hashed = ruled.select("*", *draws.digest_columns())
+    key = spec.primary_key[0] if len(spec.primary_key) == 1 else None
+    pins = pinned_columns(blocks, F.col(RULE), options.seed, options.values.numeric_scale) if blocks.tabled and key else {}
+    named = [c.alias(n) for n, c in columns.items()]
+    if key not in pins or key in spec.fk_columns or not is_countable(spec.column(key)):
+        return hashed.select(F.col(position), F.col(RULE), *named)
+    # Generated keys that a rule has pinned elsewhere are swapped for keys no position uses.
+    column = spec.column(key)
+    taken = _pinned_keys(blocks, column)
+    swaps = list(zip(taken, _spare_keys(taken, column, rows, draws), strict=True))
+    table = positions.sparkSession.createDataFrame(swaps, "_taken bigint, _spare bigint")
+    filled = hashed.select(F.col(position), F.col(RULE), pins[key].is_set.alias("_given"), *named).withColumn("_taken", F.col(key).cast("bigint"))
+    spared = lookup(filled, table, ["_taken"], len(swaps))
+    kind = column.data_type(options.values.numeric_scale)
+    own = F.when(F.col("_given"), F.col(key)).otherwise(F.coalesce(F.col("_spare").cast(kind), F.col(key))).alias(key)
+    return spared.select(F.col(position), F.col(RULE), *[own if c == key else F.col(c) for c in columns])
 
 
 def generate_table(spark: SparkSession, spec: TableSpec, rows: int, options: GenerateOptions | None = None) -> DataFrame:
@@ -329,4 +408,4 @@ def generate_table(spark: SparkSession, spec: TableSpec, rows: int, options: Gen
     options = options or GenerateOptions()
     total = planned_rows(spec, rows, options)
     positions = spark.range(total).withColumnRenamed("id", POSITION)
-    return generate_over(positions, spec, total, options)
+    return generate_over(positions, spec, total, options, all_of=total)

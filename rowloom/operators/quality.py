@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from rowloom.functions.keyed import Draws
 from rowloom.functions.values import numeric_value
 from rowloom.model import ColumnSpec, ForeignKey, TableSpec
-from rowloom.operators.combinations import matches_combination
+from rowloom.operators.combinations import INLINE, combination_rows, matches_combination, missing_combinations
 
 WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
@@ -135,7 +135,8 @@ def row_rules(df: DataFrame, spec: TableSpec, expected_rows: int | None = None)
             tests.append(("range", column.name, check(value, column.min_value, column.max_value)))
         if column.allowed and not column.uuid:
             tests.append(("allowed", column.name, value.isNotNull() & ~value.cast("string").isin(*column.allowed)))
-    for rule in spec.combinations:
+    long = [rule for rule in spec.combinations if len(rule.combinations) > INLINE]
+    for rule in [r for r in spec.combinations if r not in long]:
         held = matches_combination(rule, [F.col(c) for c in rule.columns])
         tests.append(("combination", ",".join(rule.columns), ~held))
     counts = [F.count("*").alias("n")] + [F.count_if(t).alias(f"t{i}") for i, (_, _, t) in enumerate(tests)]
@@ -150,9 +151,17 @@ def row_rules(df: DataFrame, spec: TableSpec, expected_rows: int | None = None)
         F.struct(F.lit("row_count").alias("kind"), F.lit("*").alias("constraint_name"), F.col("n").alias("checked"),
                  missing.alias("violations"))
     )
-    return totals.select(F.explode(F.array(*lines)).alias("r")).select(
+    found = totals.select(F.explode(F.array(*lines)).alias("r")).select(
         F.lit(spec.name).alias("table_name"), "r.kind", "r.constraint_name", "r.checked", "r.violations"
     )
+    for rule in long:  # a table of its own to be joined with
+        bad = missing_combinations(df, combination_rows(df.sparkSession, rule), list(rule.columns)).agg(F.count("*").alias("violations"))
+        seen = totals.select(F.col("n").alias("checked")).crossJoin(F.broadcast(bad))  # one row each
+        found = found.unionByName(seen.select(
+            F.lit(spec.name).alias("table_name"), F.lit("combination").alias("kind"), F.lit(",".join(rule.columns)).alias("constraint_name"),
+            "checked", "violations",
+        ))
+    return found
 
 
 def _kind(df: DataFrame, columns: Sequence[str]) -> tuple[str, ...]:

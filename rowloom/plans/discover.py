@@ -122,5 +122,5 @@ def _constrained(specs: list[TableSpec], checks: DataFrame) -> list[TableSpec]:
     named = [(s.name, c.name, c.length if c.is_text else 0) for s in specs for c in s.columns]
     columns = spark.createDataFrame(named, "table_name string, column_name string, length int")
     limits, allowed = texts.column_limits(checks, columns), texts.allowed_values(checks, columns)
-    rules = texts.value_combinations(checks)
+    rules = texts.value_factors(checks)
     return [texts.constrain(s, limits, allowed, rules) for s in specs]

@@ -14,6 +14,7 @@ from rowloom.model import ForeignKey, RepetitionRule, TableSpec
 from rowloom.operators import generate as g
 from rowloom.operators import graph, references
 from rowloom.operators.generate import POSITION, GenerateOptions
+from rowloom.operators.combinations import INLINE
 from rowloom.operators.indexing import dense_index
 from rowloom.operators.references import Deferred, MissingParents
 from rowloom.operators.uniqueness import make_all_unique
@@ -129,6 +130,8 @@ class SeedPlan:
         if self.options.rules.get(table) or table in self.renumbered:
             return True
         spec = self.specs[table]
+        if any(len(r.combinations) > INLINE and column in r.columns for r in spec.combinations):
+            return True  # chosen by a join
         contest = self.contest(table)
         if contest and column in contest.columns or any(column in fk.columns for group in self.sharing(spec) for fk in group):
             return True

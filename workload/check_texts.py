@@ -125,6 +125,29 @@ UNION ALL SELECT table_name, 1, 1, 'size', k::VARCHAR FROM f
 """
 
 
+def parse_factors(spark: SparkSession, d: str) -> DataFrame:
+    """A rule of forty ORs joined by AND for each supplier, and one whose factors share a column or contradict each other."""
+    suppliers = table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("table_name"), F.col("s_suppkey").alias("k"))
+    k, after = F.col("k").cast("string"), (F.col("k") + 1).cast("string")
+    parts = [F.concat(F.lit(f"((a{i} = "), k, F.lit(f" AND b{i} = 'x') OR (a{i} = "), after, F.lit(f" AND t.b{i} = 'it''s'))")) for i in range(40)]
+    ring = F.concat(F.lit("(p = "), k, F.lit(" OR q = 1) AND (p = "), after, F.lit(" OR q = 2) AND (r = 1 OR r = 2) AND r = 2"))
+    texts = suppliers.select("table_name", F.explode(F.array(F.concat_ws(" AND ", *parts), ring, F.lit("p = 1 AND p = 2"))).alias("expr"))
+    found = checks.value_factors(texts)
+    return found.select("table_name", F.when(F.col("expr").startswith("(("), 0).otherwise(1).alias("rule"), "factor", "clause", "column_name", "value")
+
+
+PARSE_FACTORS = """
+WITH s AS (SELECT 's' || s_suppkey AS table_name, s_suppkey AS k FROM supplier), f AS (SELECT *, unnest(range(40)) AS i FROM s)
+SELECT table_name, 0 AS rule, i::INTEGER AS factor, 0 AS clause, 'a' || i AS column_name, k::VARCHAR AS value FROM f
+UNION ALL SELECT table_name, 0, i::INTEGER, 0, 'b' || i, 'x' FROM f
+UNION ALL SELECT table_name, 0, i::INTEGER, 1, 'a' || i, (k + 1)::VARCHAR FROM f
+UNION ALL SELECT table_name, 0, i::INTEGER, 1, 'b' || i, 'it''s' FROM f
+UNION ALL SELECT table_name, 1, 0, 0, unnest(['p', 'q']), unnest([k::VARCHAR, '2']) FROM s
+UNION ALL SELECT table_name, 1, 0, 1, unnest(['p', 'q']), unnest([(k + 1)::VARCHAR, '1']) FROM s
+UNION ALL SELECT table_name, 1, 1, 0, 'r', '2' FROM s
+"""
+
+
 def parens_stripped(spark: SparkSession, d: str) -> DataFrame:
     """Parentheses in customer and part names, inside and outside quotes."""
     parts = table(spark, d, "part")
@@ -231,6 +254,7 @@ QUERIES = {
     "parse_limits": (parse_limits, PARSE_LIMITS),
     "parse_integer_bounds": (parse_integer_bounds, PARSE_INTEGER_BOUNDS),
     "parse_allowed": (parse_allowed, PARSE_ALLOWED),
+    "parse_factors": (parse_factors, PARSE_FACTORS),
     "parse_combinations": (parse_combinations, PARSE_COMBINATIONS),
     "parens_stripped": (parens_stripped, PARENS_STRIPPED),
     "check_text_catalog": (check_text_catalog, CHECK_TEXT_CATALOG),

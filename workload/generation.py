@@ -18,6 +18,7 @@ from rowloom.functions.values import (
     parse_column_list,
 )
 from rowloom.model import ColumnSpec, CombinationRule, ForeignKey, RepetitionRule, TableSpec
+from rowloom.operators.combinations import attach_combinations
 from rowloom.operators.enrichment import attach_phrases
 from rowloom.operators.generate import GenerateOptions, generate_over, generate_table
 from rowloom.operators.indexing import dense_index
@@ -232,19 +233,14 @@ FROM c
 """
 
 
-def _flag_rule(spark: SparkSession, d: str) -> CombinationRule:
-    """Allowed combinations taken from the data: a handful of flag pairs, checked."""
-    pairs = table(spark, d, "lineitem").select("l_returnflag", "l_linestatus").distinct().limit(1001).collect()
-    if len(pairs) > 1000:
-        raise ValueError("too many combinations for a CHECK rule")
-    return CombinationRule(("l_returnflag", "l_linestatus"), tuple(sorted((r[0], r[1]) for r in pairs)))
-
-
 def gen_multi_check(spark: SparkSession, d: str) -> DataFrame:
+    """Allowed combinations taken from the data, as a table of any length."""
     keys = table(spark, d, "orders").select(F.col("o_orderkey").alias("_idx"))
-    columns = (C("l_returnflag", "string"), C("l_linestatus", "string"), C("qty", "int", False))
-    spec = TableSpec("flags", columns, combinations=(_flag_rule(spark, d),))
-    return generate_over(keys, spec, 0, _options()).drop("_rule_id").withColumnRenamed("_idx", "o_orderkey")
+    pairs = table(spark, d, "lineitem").select("l_returnflag", "l_linestatus").distinct()
+    combos = dense_index(pairs, ["l_returnflag", "l_linestatus"], "at").df.toDF("c0", "c1", "at")
+    rows = generate_over(keys, TableSpec("flags", (C("qty", "int", False),)), 0, _options())
+    made = attach_combinations(rows, combos, ["l_returnflag", "l_linestatus"], Draws(SEED, "flags"), F.col("_idx"))
+    return made.select(F.col("_idx").alias("o_orderkey"), F.col("_combo0").alias("l_returnflag"), F.col("_combo1").alias("l_linestatus"), "qty")
 
 
 GEN_MULTI_CHECK = f"""
@@ -523,6 +519,49 @@ SEED_RULED_SHARED_KEY = "\nUNION ALL ".join(
                     ("users", "row_count", "*"), ("profile", "row_count", "*"), ("photo", "row_count", "*"))
 )
 
+def gen_many_combinations(spark: SparkSession, d: str) -> DataFrame:
+    """Each order takes one of all combinations of supplier, part and line in the data; the supplier of every third one is given."""
+    listed = table(spark, d, "lineitem").select("l_suppkey", "l_partkey", "l_linenumber").distinct()
+    combos = dense_index(listed, ["l_suppkey", "l_partkey", "l_linenumber"], "at").df
+    texts = combos.select("at", *[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(("l_suppkey", "l_partkey", "l_linenumber"))])
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    pinned = {"supp": (F.col("o_orderkey") % 3 == 0, (F.col("o_custkey") % 1500).cast("string"))}
+    made = attach_combinations(orders, texts, ["supp", "part", "line"], Draws(SEED, "stock"), F.col("o_orderkey"), pinned)
+    return made.select("o_orderkey", F.col("_combo0").alias("supp"), F.col("_combo1").alias("part"), F.col("_combo2").alias("line"))
+
+
+GEN_MANY_COMBINATIONS = f"""
+WITH t AS (SELECT *, row_number() OVER (ORDER BY l_suppkey, l_partkey, l_linenumber) - 1 AS pos, count(*) OVER () AS n,
+    row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey, l_linenumber) - 1 AS own, count(*) OVER (PARTITION BY l_suppkey) AS n_own
+  FROM (SELECT DISTINCT l_suppkey, l_partkey, l_linenumber FROM lineitem)),
+r AS (SELECT o_orderkey, {draw('stock', 'supp__part__line', 'o_orderkey', 'combo')} AS d, o_orderkey % 3 = 0 AS given, o_custkey % 1500 AS want FROM orders),
+p AS (SELECT o_orderkey, t.pos FROM r JOIN t ON NOT given AND t.pos = d % (SELECT count(*) FROM t)
+  UNION ALL SELECT o_orderkey, t.pos FROM r JOIN t ON given AND l_suppkey = want AND own = d % n_own
+  UNION ALL SELECT o_orderkey, 0 AS pos FROM r WHERE given AND want NOT IN (SELECT l_suppkey FROM t))
+SELECT o_orderkey, l_suppkey::VARCHAR AS supp, l_partkey::VARCHAR AS part, l_linenumber::VARCHAR AS line FROM p JOIN t USING (pos)
+"""
+
+
+def gen_many_rules(spark: SparkSession, d: str) -> DataFrame:
+    """As many repetition rules as there are customers, each for one to four rows, and rows without a rule behind them."""
+    n = table(spark, d, "customer").count()
+    rules = tuple(RepetitionRule(1 + i % 4, {"kind": f"c{i}"}, ("amount",) if i % 5 == 0 else ()) for i in range(n))
+    spec = TableSpec("many", (C("kind", "string", False), C("amount", "int", False), C("extra", "int", False)))
+    total = sum(r.count for r in rules) + n
+    made = generate_table(spark, spec, total, _options(rules=rules))
+    return made.select(F.col("_idx").alias("pos"), F.col("_rule_id").alias("rule_id"), F.when(F.col("_rule_id").isNotNull(), F.col("kind")).alias("kind"), "amount", "extra")
+
+
+GEN_MANY_RULES = f"""
+WITH i AS (SELECT unnest(range((SELECT count(*) FROM customer))) AS i), r AS (SELECT i, 1 + i % 4 AS n, (sum(1 + i % 4) OVER (ORDER BY i) - 1 - i % 4)::BIGINT AS first FROM i),
+p AS (SELECT unnest(range(first, first + n)) AS pos, i::INTEGER AS rule_id FROM r
+  UNION ALL SELECT unnest(range((SELECT sum(n)::BIGINT FROM r), (SELECT sum(n)::BIGINT + count(*) FROM r))), NULL)
+SELECT pos, rule_id, CASE WHEN rule_id IS NOT NULL THEN 'c' || rule_id END AS kind,
+  (1 + {draw('many', 'amount', "(CASE WHEN rule_id % 5 = 0 THEN 'r' || rule_id ELSE pos::VARCHAR END)")} % 10000)::INTEGER AS amount,
+  (1 + {draw('many', 'extra', 'pos')} % 10000)::INTEGER AS extra FROM p
+"""
+
+
 def unique_least_in_all(spark: SparkSession, d: str) -> DataFrame:
     """Order lines that are the first of their part and supplier, and of their supplier and day: two keys that share a column."""
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.to_date("l_shipdate").alias("day"))
@@ -594,6 +633,8 @@ SEED_SHARED_REFERENCES = "\nUNION ALL ".join(
 )
 
 QUERIES = {
+    "gen_many_combinations": (gen_many_combinations, GEN_MANY_COMBINATIONS),
+    "gen_many_rules": (gen_many_rules, GEN_MANY_RULES),
     "unique_least_in_all": (unique_least_in_all, UNIQUE_LEAST_IN_ALL),
     "seed_overlapping_keys": (seed_overlapping_keys, SEED_OVERLAPPING_KEYS),
     "seed_shared_references": (seed_shared_references, SEED_SHARED_REFERENCES),
