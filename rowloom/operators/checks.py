@@ -367,6 +367,8 @@ def value_combinations(checks: DataFrame) -> DataFrame:
 
 def _rules(spec: TableSpec, combinations: DataFrame) -> tuple[CombinationRule, ...]:
     """The table's combination rules: the clauses of one factor of a CHECK over the same two or more of its columns."""
+    if "factor" not in combinations.columns:
+        combinations = combinations.withColumn("factor", F.lit(0))  # multiplied out, as ``value_combinations`` gives them
     texts: dict[tuple[str, int], dict[int, dict[str, str]]] = {}
     for r in combinations.where(F.col("table_name") == spec.name).orderBy("expr", "factor", "clause").collect():
         if spec.has_column(r["column_name"]):

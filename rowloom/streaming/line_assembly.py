@@ -1,4 +1,8 @@
-"""Whole lines from a stream of token chunks, with the unfinished tail kept as state."""
+"""Whole lines from a stream of token chunks: a state machine per request, with timers.
+
+The state of a request is where it stands, the pieces of its unfinished line, and chunks that came before
+their turn.
+"""
 
 from __future__ import annotations
 
@@ -7,41 +11,137 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from rowloom.operators.enrichment import response_chunk
 
-STATE = "tail string, line_no long"
+# A request without news for so long in event time is flushed and forgotten.
+QUIET = "10 minutes"
+# Chunks may come so much later than the newest one of the stream.
+LATE = "10 minutes"
 
+PLACE = "next long, line_no long, last long, finished boolean, until long"
 
-def assemble_lines(chunks: DataFrame) -> DataFrame:
-    """(request, line_no, text) from streamed ``(request_id, seq, line, done)`` rows.
 
-    Lines are emitted when their line break arrives; the tail is flushed with the row marked
-    ``done``. State per request is one unfinished line and a number.
-    """
-    parsed = chunks.select(
-        F.col("request_id").alias("request"), "seq", F.coalesce(response_chunk(F.col("line")), F.lit("")).alias("chunk"),
-        F.coalesce("done", F.lit(False)).alias("done"),
-    )
+# The state store that keeps lists and maps.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class LineProcessor(StatefulProcessor):
+    """Takes a request's chunks in order of seq, whatever order they come in, and gives out whole lines."""
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tail, number = state.get if state.exists else ("", 0)
-        rows = pd.concat(list(frames)).sort_values("seq")
-        lines = (tail + "".join(rows["chunk"])).split("\n")
-        finished = bool(rows["done"].any())
-        whole, rest = (lines, "") if finished else (lines[:-1], lines[-1])
-        if finished and whole and whole[-1] == "":
-            whole = whole[:-1]
-        if finished:
-            state.remove()
+    def __init__(self, quiet_ms: int | None) -> None:
+        self.quiet_ms = quiet_ms  # none: without timers
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.place = handle.getValueState("place", PLACE)
+        self.tail = handle.getListState("tail", "piece string")
+        self.waiting = handle.getMapState("waiting", "seq long", "chunk string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        following, number, last, finished, until = self.place.get() or (0, 0, -1, False, 0)
+        pieces, lines, newest = [], [], 0
+        for frame in rows:
+            newest = max(newest, int(frame["at"].max()))
+            ends = frame.loc[frame["done"], "seq"]
+            last = max(last, int(ends.max())) if len(ends) else last
+            if finished:
+                continue  # repeats of what is done
+            for seq, chunk in frame.sort_values("seq")[["seq", "chunk"]].itertuples(index=False):
+                if seq < following:
+                    continue
+                if seq > following:
+                    self.waiting.updateValue((int(seq),), (chunk,))
+                    continue
+                while chunk is not None:
+                    pieces.append(chunk)
+                    following += 1
+                    chunk = self._taken(following)
+        text = "".join(pieces)
+        if "\n" in text:
+            lines = ("".join(p for (p,) in self.tail.get()) + text).split("\n") if self.tail.exists() else text.split("\n")
+            text = lines.pop()
+            self.tail.clear()
+        if not finished and 0 <= last < following:
+            finished = True
+            rest = "".join(p for (p,) in self.tail.get()) + text if self.tail.exists() else text
+            lines += [rest] if rest else []
+            self._forget_text()
+        elif text:
+            self.tail.appendValue((text,))
+        if self.quiet_ms is not None:
+            until = max(until, newest + self.quiet_ms)
+            self._wait_until(until)
+        if finished and self.quiet_ms is None:
+            self.place.clear()
         else:
-            state.update((rest, number + len(whole)))
-        yield pd.DataFrame(
-            {"request": [key[0]] * len(whole), "line_no": range(number, number + len(whole)), "text": whole}
-        )
+            self.place.update((following, number + len(lines), last, finished, until))
+        yield self._shown(key, number, lines)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        """What a request that never ended has left: its open line, then chunks behind a gap, in order."""
+        following, number, last, finished, until = self.place.get()
+        if expiredTimerInfo.getExpiryTimeInMs() < until:
+            return  # there was news since
+        lines: list[str] = []
+        if not finished:
+            late = [chunk for _, (chunk,) in sorted((k[0], v) for k, v in self.waiting.iterator())]
+            rest = "".join([p for (p,) in self.tail.get()] if self.tail.exists() else []) + "".join(late)
+            lines = rest.split("\n") if rest else []
+            lines = lines[:-1] if lines and lines[-1] == "" else lines
+        self._forget_text()
+        self.place.clear()
+        yield self._shown(key, number, lines)
+
+    def close(self) -> None:
+        pass
 
+    def _taken(self, seq: int) -> str | None:
+        """A chunk that waited for its turn."""
+        if not self.waiting.exists() or not self.waiting.containsKey((seq,)):
+            return None
+        chunk = self.waiting.getValue((seq,))[0]
+        self.waiting.removeKey((seq,))
+        return chunk
+
+    def _forget_text(self) -> None:
+        self.tail.clear()
+        self.waiting.clear()
+
+    def _wait_until(self, at: int) -> None:
+        for timer in list(self.handle.listTimers()):
+            if timer != at:
+                self.handle.deleteTimer(timer)
+        self.handle.registerTimer(at)
+
+    @staticmethod
+    def _shown(key, number: int, lines: list[str]) -> pd.DataFrame:
+        request, text = (pd.Series(v, dtype=object) for v in ([key[0]] * len(lines), lines))
+        return pd.DataFrame({"request": request, "line_no": pd.Series(range(number, number + len(lines)), dtype="int64"), "text": text})
+
+
+def assemble_lines(chunks: DataFrame, quiet: str = QUIET, late: str = LATE) -> DataFrame:
+    """(request, line_no, text) from streamed ``(request_id, seq, line, done, ts)`` rows; seq counts from 0.
+
+    Switches the session to the RocksDB state store.
+
+    Chunks are taken in order of seq; one that comes early waits in the state, a repeated one is dropped. Lines are
+    given out when their line break has come, the last one when the row marked ``done`` and all before it have.
+    A request without news for ``quiet`` is flushed as it is and its state freed; so is the mark of a finished one.
+    Malformed lines are empty chunks. The text held per request is one unfinished line and what waits. Rows without
+    ``ts`` are assembled without timers: what never ends then stays.
+    """
+    chunks.sparkSession.conf.set(*STORE)
+    timed = "ts" in chunks.columns
+    known = chunks.withWatermark("ts", late) if timed else chunks
+    parsed = known.select(
+        F.col("request_id").alias("request"), F.col("seq").cast("bigint").alias("seq"),
+        F.coalesce(response_chunk(F.col("line")), F.lit("")).alias("chunk"), F.coalesce("done", F.lit(False)).alias("done"),
+        *(["ts", F.unix_millis("ts").alias("at")] if timed else [F.lit(0).cast("bigint").alias("at")]),
+    )
+    quiet_ms = int(pd.Timedelta(quiet).total_seconds() * 1000) if timed else None
     kind = dict(parsed.dtypes)["request"]
-    return parsed.groupBy("request").applyInPandasWithState(
-        step, f"request {kind}, line_no long, text string", STATE, "append", GroupStateTimeout.NoTimeout
+    return parsed.groupBy("request").transformWithStateInPandas(
+        LineProcessor(quiet_ms), f"request {kind}, line_no long, text string", "Append", "EventTime" if timed else "None"
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,9 @@ from rowloom.functions.values import ValueSettings
 from rowloom.model import ColumnSpec, RepetitionRule, TableSpec
 from rowloom.operators.enrichment import enrich, enrichable_columns, first_occurrences, model_values, rebuild_lines
 from rowloom.operators.generate import GenerateOptions, generate_over, generate_table
+from rowloom.operators.indexing import dense_index
+from rowloom.session import shared_dir
+from rowloom.streaming.line_assembly import assemble_lines
 from workload.common import SEED, draw, table
 
 # Wrappings put around the provided texts, by document number: (before, after).
@@ -106,6 +111,43 @@ lines AS (SELECT request, i - 1 AS line_no, l[i::INTEGER] AS text FROM (SELECT r
 NDJSON_LINES = f"WITH {_ANSWERS} SELECT request, line_no::BIGINT AS line_no, text FROM lines"
 
 
+def ndjson_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same answers as a stream of files whose chunks come out of order, some twice; every seventh answer never ends.
+
+    A last chunk long after the others lets the unfinished ones be flushed.
+    """
+    folder = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    start = F.timestamp_seconds(F.lit(1_700_000_000))
+    turns = table(spark, d, "conversations").select("conv_id", "turn", F.concat("text", F.lit("\n")).alias("text"))
+    placed = dense_index(turns, ["conv_id", "turn", "text"], "pos").df
+    starts = placed.groupBy("conv_id").agg(F.min("pos").alias("start"), F.max("pos").alias("end"))
+    rows = placed.join(starts, "conv_id").select(
+        F.col("conv_id").alias("request_id"), (F.col("pos") - F.col("start")).alias("seq"),
+        F.to_json(F.struct(F.col("text").alias("response"))).alias("line"), ((F.col("pos") == F.col("end")) & (F.col("conv_id") % 7 > 0)).alias("done"),
+        (start + F.make_dt_interval(secs=F.col("conv_id") % 60)).alias("ts"),
+    )
+    part = F.pmod(F.xxhash64("request_id", "seq"), F.lit(3))
+    for number in range(3):  # three files of every request's chunks, the second with some of the first once more
+        own = rows.where(part.isin(number, number - 1) if number == 1 else part == number)
+        own.repartition(1 if number == 2 else 2).write.mode("append").parquet(f"{folder}/in")
+    flush = spark.createDataFrame([(-1, 0, None, True)], "request_id bigint, seq bigint, line string, done boolean").withColumn("ts", start + F.make_dt_interval(hours=F.lit(9)))
+    flush.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    query = (
+        assemble_lines(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+        .outputMode("append").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return spark.read.schema("request long, line_no long, text string").parquet(f"{folder}/out")
+
+
+# The line break behind the last turn ends a line and opens none.
+NDJSON_STREAM = f"""
+WITH {_ANSWERS}, n AS (SELECT request, max(line_no) AS last FROM lines GROUP BY request)
+SELECT request, line_no::BIGINT AS line_no, text FROM lines JOIN n USING (request) WHERE line_no < last
+"""
+
+
 def ndjson_values(spark: SparkSession, d: str) -> DataFrame:
     """Cleaned lines of every answer, each distinct value at its first line."""
     return model_values(rebuild_lines(_chunks(spark, d)), "et")
@@ -215,6 +257,7 @@ QUERIES = {
     "enrich_unique": (enrich_unique, ENRICH_UNIQUE),
     "clean_texts": (clean_texts, CLEAN_TEXTS),
     "ndjson_lines": (ndjson_lines, NDJSON_LINES),
+    "ndjson_stream": (ndjson_stream, NDJSON_STREAM),
     "ndjson_values": (ndjson_values, NDJSON_VALUES),
     "provided_values": (provided_values, PROVIDED_VALUES),
     "enrich_dedupe": (enrich_dedupe, ENRICH_DEDUPE),
