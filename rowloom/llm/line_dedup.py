@@ -15,7 +15,8 @@ from xxhash import xxh64_intdigest
 
 from rowloom.llm import similar_sets
 from rowloom.llm.texts import id_or_default, map_texts
-from rowloom.session import materialize
+from rowloom.operators.joins import lookup
+from rowloom.session import forget, materialize, materialize_counted
 
 # A block of common lines goes if it has so many words; shorter ones are everyday lines.
 MIN_WORDS = 10
@@ -257,10 +258,14 @@ def cut_copies(docs: DataFrame, base: DataFrame, links: DataFrame, gone: DataFra
     worded = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i) > 0)
     part = gone.join(lines, "who").where(F.size(F.array_except(worded, F.col("gone").cast("array<int>"))) > 0).select("who")
     pairs = materialize(links.join(part, "who").select(_code("first").alias("a"), _code("who").alias("b")).distinct())
-    ends = pairs.select(F.col("a").alias("code")).union(pairs.select("b")).distinct()
+    ends, n = materialize_counted(pairs.select(F.col("a").alias("code")).union(pairs.select("b")).distinct())
     texts = docs.select(_who().alias("who"), F.col("text").cast("binary").alias("bytes")).select(_code("who").alias("code"), "bytes")
-    known = materialize(texts.join(ends, "code").dropDuplicates(["code"]).mapInArrow(similar_sets.shingled, similar_sets.SHINGLED))
-    return similar_sets.near_pairs(pairs, known).select(F.col("b").alias("code")).distinct()
+    asked = lookup(texts, ends, ["code"], n, "inner", even=True).dropDuplicates(["code"])
+    known = materialize(asked.mapInArrow(similar_sets.shingled, similar_sets.SHINGLED))
+    copies = materialize(similar_sets.near_pairs(pairs, known).select(F.col("b").alias("code")).distinct())
+    for table in (pairs, ends, known):
+        forget(table)
+    return copies
 
 
 @F.pandas_udf(StringType())
