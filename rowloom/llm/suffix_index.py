@@ -10,6 +10,7 @@ levels of equal size are merged into one of twice the size.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -21,10 +22,13 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 
 from rowloom.llm.rolling import BYTES, Rolling
 from rowloom.llm.texts import map_texts
-from rowloom.session import materialize
+from rowloom.operators.joins import lookup
+from rowloom.session import forget, materialize, shared_dir
 
 LENGTH = 200
 ANCHOR = 32
+# Texts are filed in batches of about so many bytes, and in BATCHES at least.
+BATCH_BYTES = 32 << 30
 BATCHES = 3
 # Texts are read in pieces of so many window starts.
 PIECE = 1 << 20
@@ -92,29 +96,46 @@ class SuffixIndex:
         self.levels: dict[int, DataFrame] = {}
 
     def add(self, anchors: DataFrame) -> list[DataFrame]:
-        """File a batch (anchor). Returns the anchors it repeats: within itself, or in a level.
+        """File a batch (anchor, times; one row per anchor). Returns the anchors it repeats: within itself, or in a level.
 
         Each level is scanned along with the batch, both in order of anchors.
         """
-        batch = materialize(anchors.groupBy("anchor").agg(F.count("*").alias("times")).sortWithinPartitions("anchor"))
+        batch = materialize(anchors.select("anchor", "times").sortWithinPartitions("anchor"))
         repeats = [batch.where("times > 1").select("anchor")]
         repeats += [batch.select("anchor").join(level.select("anchor"), "anchor") for level in self.levels.values()]
         found, number = [materialize(r) for r in repeats], 0
         while number in self.levels:
-            both = batch.union(self.levels.pop(number)).groupBy("anchor").agg(F.sum("times").alias("times"))
+            smaller, level = batch, self.levels.pop(number)
+            both = smaller.union(level).groupBy("anchor").agg(F.sum("times").alias("times"))
             batch = materialize(both.sortWithinPartitions("anchor"))
+            for table in (smaller, level):
+                forget(table)
             number += 1
         self.levels[number] = batch
         return found
 
 
-def repeated_anchors(texts: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """The anchors at which more than one suffix starts, from batches filed one after the other."""
-    index, found = SuffixIndex(), []
+def repeated_anchors(texts: DataFrame, batches: int | None = None) -> DataFrame:
+    """The anchors at which more than one suffix starts, from batches filed one after the other.
+
+    The texts are read once: their anchors are counted and written batch by batch, and each batch then reads its
+    own files. A batch is bounded in bytes, so its level is too, however large the corpus.
+    """
+    if batches is None:
+        size = texts.agg(F.sum("size")).first()[0] or 0
+        batches = max(BATCHES, -(-size // BATCH_BYTES))
+    path = f"{shared_dir(texts.sparkSession).rstrip('/')}/anchors-{uuid.uuid4().hex}"
+    found = read_suffixes(texts).select(F.pmod("digest", F.lit(batches)).cast("int").alias("batch"), "anchor")
+    counted = found.groupBy("batch", "anchor").agg(F.count("*").alias("times"))
+    counted.write.partitionBy("batch").parquet(path)
+    filed = texts.sparkSession.read.schema("anchor bigint, times bigint, batch int").parquet(path)
+    index, repeats = SuffixIndex(), []
     for number in range(batches):
-        batch = texts.where(F.pmod("digest", F.lit(batches)) == number)
-        found += index.add(read_suffixes(batch).select("anchor"))
-    return reduce(DataFrame.union, found).distinct()
+        repeats += index.add(filed.where(F.col("batch") == number))
+    distinct = materialize(reduce(DataFrame.union, repeats).distinct())
+    for table in (*repeats, *index.levels.values()):
+        forget(table)
+    return distinct
 
 
 def _windows(rows: list[dict], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -246,10 +267,13 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     plain = docs.select("doc_id", F.xxhash64(text).alias("digest"), F.octet_length(text).alias("size"), text.alias("text"))
     texts = plain.select(*KEY, "text")
-    repeats = materialize(repeated_anchors(texts))
-    held = materialize(
-        read_suffixes(texts).join(repeats, "anchor").groupBy(*KEY, "anchor", "around", "first", "last").agg(F.count("*").alias("copies"))
-    )
+    repeats = repeated_anchors(texts)
+    # Copies of a text meet in one row by all of its fields, so neither a frequent anchor nor a large group of
+    # copies is gathered; the join itself stands alone in its stage, where Spark can split it.
+    same = [*KEY, "anchor", "around", "first", "last"]
+    kept = lookup(read_suffixes(texts), repeats, ["anchor"], repeats.count(), "inner", even=True).select(*same)
+    held = materialize(kept.repartition(*same).groupBy(*same).agg(F.count("*").alias("copies")))
+    forget(repeats)
     groups = materialize(
         held.groupBy("anchor", "around").agg(F.sum("copies").alias("times"), F.min(F.struct(*KEY, "first", "last")).alias("place"))
     )
