@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from itertools import repeat
+from functools import reduce
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from rowloom.llm.fm_index import FMIndex
-from rowloom.llm.texts import map_texts
+from rowloom.llm.texts import WHO, map_texts, who_columns
+from rowloom.session import materialize
 
 WINDOW = 13
 # A document is contaminated if a word of RATIO or more is hit.
@@ -155,39 +157,69 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
     """``row`` (all columns of docs) and ``found``: n_words, n_hit, items, and the word spans hit.
 
     Null and empty texts have no words and no hits. Items that share an id are one item; a null id is
-    the empty string; items without words are never found. One block of items is the rule; further ones
-    are searched in the same pass, and spans that touch become one. Rows that repeat are judged each.
+    the empty string; items without words are never found. Rows that repeat are judged each. A benchmark of
+    one block is searched in one pass over the documents. Of a larger one, one block at a time is on the driver
+    and the executors; its hits are written and the block is released before the next one is read.
     """
-    parts = list(blocks(benchmark, block_bytes))
-    if len(parts) == 1:
-        phrases = Phrases(parts[0], window)
+    stream = blocks(benchmark, block_bytes)
+    first, second = next(stream), next(stream, None)
+    if second is None:
+        phrases = Phrases(first, window)
         return map_texts(docs, lambda texts: _found(texts, phrases), FOUND)
-    sent = [docs.sparkSession.sparkContext.broadcast(p) for p in parts]
+    kind = docs.schema["doc_id"].dataType
+    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
+    plain = packed.select("row", *who_columns(F.col("_id"), F.col("_text"), kind), F.col("_text").alias("text"))
+    texts, parts = plain.select(*WHO, "text"), []
+    for block in chain((first, second), stream):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+        found = map_texts(texts, _searched(sent, window), FOUND).where("found.n_hit > 0")
+        parts.append(materialize(found.select(*[f"row.{w}" for w in WHO], "found.items", F.arrays_zip("found.starts", "found.stops").alias("spans"))))
+        sent.destroy()
+    each = reduce(DataFrame.unionByName, parts)
+    # Rows that repeat id and text bring the same spans.
+    whole = each.groupBy(*WHO).agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), _union(F.flatten(F.collect_list("spans"))).alias("u")
+    )
+    words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("bigint")
+    none = F.array().cast("array<int>")
+    struct = F.struct(
+        words.alias("n_words"), F.coalesce("u.n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        F.coalesce("u.starts", none).alias("starts"), F.coalesce("u.stops", none).alias("stops"),
+    )
+    return plain.join(whole, WHO, "left").select("row", struct.alias("found"))
+
+
+def _searched(sent, window: int):
+    """Searches texts for a block that was sent; its windows are numbered once a task."""
+    held: list[Phrases] = []
+
+    def work(texts: list[bytes | None]) -> list[pa.Array]:
+        if not held:
+            held.append(Phrases(sent.value, window))
+        return _found(texts, held[0])
+
+    return work
 
-    def each(texts):
-        return _merged([_found(texts, Phrases(b.value, window)) for b in sent])
 
-    return map_texts(docs, each, FOUND)
+UNION = StructType([StructField("n_hit", LongType()), StructField("starts", ArrayType(IntegerType())), StructField("stops", ArrayType(IntegerType()))])
 
 
-def _merged(parts: list[list[pa.Array]]) -> list[pa.Array]:
-    plain = [[a.to_pylist() for a in p] for p in parts]
-    n_hit, items, starts, stops = [], [], [], []
-    for doc in range(len(plain[0][0])):
-        items.append(sorted({i for p in plain for i in p[2][doc]}))
-        spans: list[list[int]] = []
-        for start, stop in sorted(s for p in plain for s in zip(p[3][doc], p[4][doc], strict=True)):
-            if spans and start <= spans[-1][1]:
-                spans[-1][1] = max(spans[-1][1], stop)
+@F.pandas_udf(UNION)
+def _union(spans):
+    """Spans of several blocks; those that touch become one."""
+    import pandas as pd
+
+    rows = []
+    for found in spans:
+        merged: list[list[int]] = []
+        for start, stop in sorted((int(s["starts"]), int(s["stops"])) for s in found):
+            if merged and start <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], stop)
             else:
-                spans.append([start, stop])
-        starts.append([s for s, _ in spans])
-        stops.append([s for _, s in spans])
-        n_hit.append(sum(b - a for a, b in spans))
-    return [
-        parts[0][0], pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())),
-        pa.array(starts, pa.list_(pa.int32())), pa.array(stops, pa.list_(pa.int32())),
-    ]
+                merged.append([start, stop])
+        rows.append((sum(b - a for a, b in merged), [a for a, _ in merged], [b for _, b in merged]))
+    return pd.DataFrame(rows, columns=UNION.names)
 
 
 def contaminated():

@@ -279,3 +279,18 @@ def test_empty_tables(spark, empty):
     assert line_dedup.dedup(empty).count() == 0 and paragraphs.deduped(empty).count() == 0
     assert mixing.mixed(empty).count() == 0 and mixing.mix(empty).count() == 0
     assert toxicity.clean(empty, labels).count() == 0
+
+
+def test_decontamination_block_by_block_equals_one_block(docs, spark):
+    rng = random.Random(31)
+    long = [_words(rng, 30) for _ in range(6)]
+    items = [(k, t) for k, t in enumerate(long)] + [(10, long[0]), (11, "two words"), (None, "one")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    mixed = [(200 + k, f"x1 {' '.join(long[k].split()[2:20])} x2 {long[(k + 1) % 6]} TWO words, " + " ".join(["é"] * 40), 0) for k in range(6)]
+    both = docs.unionByName(spark.createDataFrame(mixed, "doc_id long, text string, n_chars long"), allowMissingColumns=True)
+    one, many = (
+        sorted((repr(r.row.doc_id), r.found.n_words, r.found.n_hit, r.found["items"], r.found.starts, r.found.stops)
+               for r in decontamination.hits(both, benchmark, block_bytes=size).select("row", "found").collect())
+        for size in (1 << 20, 100)
+    )
+    assert one == many and sum(r[2] > 0 for r in one) >= 6
