@@ -26,8 +26,8 @@ def write_jdbc(
     tables: Mapping[str, DataFrame], order: Sequence[str], url: str, properties: Mapping[str, str] | None = None,
     batch_rows: int = 1000, connections: int = 8, mode: str = "append",
 ) -> None:
-    """Parents first, in the given order. ``connections`` bounds the parallel writers."""
+    """Parents first, in the given order. ``connections`` bounds the parallel writers, not the tasks that make the rows."""
     for name in order:
         df = visible(tables[name])
-        (df.coalesce(connections).write.format("jdbc").mode(mode)
+        (df.repartition(connections).write.format("jdbc").mode(mode)
          .options(url=url, dbtable=name, batchsize=batch_rows, **(properties or {})).save())

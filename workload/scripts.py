@@ -10,8 +10,9 @@ from pyspark.sql import types as T
 
 from rowloom.functions.literals import DIALECTS, literal
 from rowloom.operators.indexing import dense_index
-from rowloom.operators.references import assign_chain, defer
+from rowloom.operators.references import NULL_FK, assign_chain, defer
 from rowloom.sinks.script import TableUpdates, insert_statements, numbered, script, update_statements
+from rowloom.sinks.store import Pending, store, stored, update_table
 from rowloom.sinks.tables import write_files
 from rowloom.session import shared_dir
 from workload.common import table
@@ -141,6 +142,29 @@ def sink_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return back.intersect(spark.read.format("orc").load(f"{path}/orc/orders").select(*back.columns))
 
 
+def sink_updates(spark: SparkSession, d: str) -> DataFrame:
+    """Customers with pending references, stored with their updates: once, once more, and by an update of a catalog table."""
+    chained = assign_chain(table(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey", "next_custkey", 3, NULL_FK)
+    parts = defer(chained, ["c_custkey"], ["next_custkey"])
+    path, pending = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", Pending(parts.updates, ["c_custkey"])
+    load = {"customers": parts.inserts, "orders": table(spark, d, "orders").select("o_orderkey", "o_custkey")}
+    first = store(spark, load, path, {"customers": pending})
+    again = store(spark, {"customers": parts.inserts}, path, {"customers": pending})
+    name = f"customers_{uuid.uuid4().hex}"
+    parts.inserts.write.option("path", f"{path}/{name}").saveAsTable(name)
+    for _ in range(2):
+        update_table(name, pending)
+    made = spark.read.schema(parts.inserts.schema).parquet(f"{path}/{name}")
+    both = stored(spark, path, "customers").select(F.lit("store").alias("sink"), "*").unionByName(made.select(F.lit("catalog").alias("sink"), "*"))
+    return both.withColumn("commits", F.lit(again)).where(F.lit(first == 1))
+
+
+SINK_UPDATES = f"""
+WITH x AS ({_chain(3, 'NULL')}) SELECT unnest(['store', 'catalog']) AS sink, x.c_custkey, c_name, next_custkey, 1::BIGINT AS commits
+FROM x JOIN customer c ON c.c_custkey = x.c_custkey
+"""
+
+
 def sql_literal_extremes(spark: SparkSession, d: str) -> DataFrame:
     """Doubles of every magnitude, and bytes, as SQL text without loss."""
     lines = table(spark, d, "lineitem")
@@ -167,5 +191,6 @@ QUERIES = {
     "sql_insert_batches": (sql_insert_batches, SQL_INSERT_BATCHES),
     "sql_updates": (sql_updates, SQL_UPDATES),
     "sql_script": (sql_script, SQL_SCRIPT),
+    "sink_updates": (sink_updates, SINK_UPDATES),
     "sink_roundtrip": (sink_roundtrip, "SELECT * FROM orders"),
 }
