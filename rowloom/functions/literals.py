@@ -108,8 +108,17 @@ def _wrap(form: str, value: Column) -> Column:
 def _plain_double(value: Column) -> Column:
     """A double without exponent or trailing zeros, all printed digits kept; NaN and infinities have no literal.
 
-    The point is moved inside the printed digits, so nothing is computed and nothing is rounded.
+    Numbers printed without an exponent only lose their trailing zeros. For others the point is moved inside the
+    printed digits, so nothing is computed and nothing is rounded.
     """
+    shown = value.cast("string")
+    plain = F.rtrim(F.rtrim(shown, F.lit("0")), F.lit("."))
+    finite = ~(F.isnan(value) | value.isin(float("inf"), float("-inf")))
+    return F.when(value == 0, F.lit("0")).when(finite, F.when(shown.contains("E"), _moved_point(value)).otherwise(plain))
+
+
+def _moved_point(value: Column) -> Column:
+    """The digits of a double printed with an exponent, without it."""
     printed = F.lower(value.cast("string"))
     fraction = F.regexp_extract(printed, r"\.(\d*?)0*(?:e|$)", 1)
     digits = F.concat(F.regexp_extract(printed, r"^-?(\d+)", 1), fraction)
@@ -121,8 +130,7 @@ def _plain_double(value: Column) -> Column:
         .when(point >= size, F.concat(digits, F.repeat(F.lit("0"), point - size)))
         .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, size)))
     )
-    finite = ~(F.isnan(value) | value.isin(float("inf"), float("-inf")))
-    return F.when(finite, F.concat(F.when(value < 0, F.lit("-")).otherwise(F.lit("")), text))
+    return F.concat(F.when(value < 0, F.lit("-")).otherwise(F.lit("")), text)
 
 
 def timestamp_text(value: Column) -> Column:
@@ -142,7 +150,8 @@ def literal(value: Column, kind: T.DataType, dialect: Dialect, is_uuid: bool = F
     elif isinstance(kind, (T.StringType, T.CharType, T.VarcharType)):
         text = _wrap(dialect.uuid if is_uuid else "'{}'", value if is_uuid else escape_text(value, dialect))
     elif isinstance(kind, (T.DoubleType, T.FloatType)):
-        text = _plain_double(value.cast("string").cast("double"))
+        # A float's own digits, not those of the double it becomes.
+        text = _plain_double(value.cast("string").cast("double") if isinstance(kind, T.FloatType) else value)
     elif isinstance(kind, T.ArrayType):
         items = F.transform(value, lambda v: literal(v, kind.elementType, dialect))
         text = F.concat(F.lit("ARRAY["), F.array_join(items, ", "), F.lit("]"))
