@@ -13,7 +13,7 @@ from math import ceil, log2
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from rowloom.session import materialize, materialize_counted
+from rowloom.session import forget, materialize, materialize_counted
 
 
 def reference_edges(fks: DataFrame, tables: DataFrame) -> DataFrame:
@@ -239,43 +239,64 @@ def load_levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 def _longest_paths(edges: DataFrame, members: DataFrame) -> DataFrame | None:
     """(node, level) by removing sources round by round, or None when a cycle is left.
 
-    A round touches only nodes that are still waiting. Runs are contracted on the way, so
-    depth alone does not cost rounds.
+    Between compactions the edges and the waiting nodes stay as they are: a round writes only the nodes that became
+    sources and those that some of their predecessors have reached, with the number of those. Compactions, after
+    1, 2, 4, ... rounds, drop what is done, and contract runs, so depth alone does not cost rounds.
     """
-    left, size = edges, 1
-    # Best known level of the waiting nodes; it is final once a node has no predecessors left.
-    levels = materialize(members.select("node", F.lit(0).cast("bigint").alias("level")))
+    left = edges
+    waiting = materialize(members.select("node", F.lit(0).cast("bigint").alias("level")))
     final: list[DataFrame] = []
     expansions: list[DataFrame] = []
-    round_ = 0
-    while size:
-        round_ += 1
-        # Looking for runs costs joins, so it is tried in rounds 2, 4, 8, ...
-        parts = _runs(left, levels) if round_ > 1 and round_ & (round_ - 1) == 0 else None
+    rounds = 1
+    while True:
+        # Looking for runs costs joins, so it is tried at compactions only, and not at the start.
+        parts = _runs(left, waiting) if rounds > 1 else None
         if parts is not None:
             runs, rings = parts
-            left = materialize(_contract(left, runs))
+            old, left = left, materialize(_contract(left, runs))
+            forget(old)
             # Rings, and runs that return to their own head, are cycles.
             if not rings.isEmpty() or not left.where("src = dst").isEmpty():
                 return None
             expansions.append(runs.select("node", "head", "steps", "base"))
             raised = runs.groupBy(F.col("tail").alias("node")).agg(F.max(F.col("base") + F.col("rest")).alias("offer"))
-            levels = _raise(levels.join(runs.select("node"), "node", "left_anti"), raised)
-        sources, ready = materialize_counted(_degrees(left).where("ins = 0").select("node"))
-        if ready == 0:
+            waiting = _raise(waiting.join(runs.select("node"), "node", "left_anti"), raised)
+        needed = materialize(left.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("needed")))
+        sources = waiting.join(needed, "node", "left_anti").select("node", "level")
+        reached, done = None, []
+        for _ in range(rounds):
+            sources, ready = materialize_counted(sources)
+            if ready == 0:
+                break
+            done.append(sources)
+            sent = left.join(sources.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(
+                F.max(F.col("level") + F.col("w")).alias("offer"), F.count("*").alias("arrived")
+            )
+            both = sent if reached is None else sent.unionByName(reached).groupBy("node").agg(
+                F.max("offer").alias("offer"), F.sum("arrived").alias("arrived")
+            )
+            touched = materialize(both.join(needed, "node").join(waiting, "node").select(
+                "node", F.greatest("level", "offer").alias("offer"), "arrived", "needed"
+            ))
+            sources = touched.where("arrived = needed").select("node", F.col("offer").alias("level"))
+            reached = touched.where("arrived < needed").select("node", "offer", "arrived")
+        if not done:
             if left.isEmpty():
                 break
             return None
-        ended = levels.join(sources, "node", "left_semi")
-        final.append(ended)
-        sending = left.join(sources.withColumnRenamed("node", "src"), "src", "left_semi")
-        offers = (
-            sending.join(ended.withColumnRenamed("node", "src"), "src")
-            .groupBy(F.col("dst").alias("node")).agg(F.max(F.col("level") + F.col("w")).alias("offer"))
-        )
-        levels = _raise(levels.join(sources, "node", "left_anti"), offers)
-        left, size = materialize_counted(left.join(sources.withColumnRenamed("node", "src"), "src", "left_anti"))
-    known = materialize(reduce(DataFrame.unionByName, final, levels))
+        final += done
+        gone = reduce(DataFrame.unionByName, done).select("node")
+        known = sources.withColumnRenamed("level", "offer")
+        known = known if reached is None else known.unionByName(reached.select("node", "offer"))
+        old = (left, waiting, needed)
+        waiting = _raise(waiting.join(gone, "node", "left_anti"), known)
+        left = materialize(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti"))
+        for table in old:
+            forget(table)
+        if waiting.isEmpty():
+            break
+        rounds *= 2
+    known = materialize(reduce(DataFrame.unionByName, final, waiting.select("node", "level").where("false")))
     for runs in reversed(expansions):
         heads = known.select(F.col("node").alias("head"), "level")
         inner = runs.join(heads, "head").select("node", F.greatest(F.col("base"), F.col("level") + F.col("steps")).alias("level"))
