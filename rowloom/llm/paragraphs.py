@@ -29,6 +29,9 @@ RUN = 51
 # Runs are found by the least hash of the GRAM-word stretches in them.
 GRAM = 12
 
+# Minima are taken over the lines of about so many words at once.
+SLICE = 1 << 14
+
 _SEEDS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 _PLACES = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
 
@@ -42,46 +45,51 @@ ANCHORS = StructType(
 )
 
 
-def units(data: bytes) -> list[tuple[int, int, int, int, list[int] | None]]:
+def _words(data: bytes) -> tuple[Rolling, np.ndarray, np.ndarray]:
+    """Hashes of word stretches, and the starts and stops of the words."""
+    hashes, starts, stops = word_hashes(data.lower())
+    return Rolling(hashes), starts, stops
+
+
+def units(data: bytes, words: tuple[Rolling, np.ndarray, np.ndarray] | None = None) -> list[tuple[int, int, int, int, list[int] | None]]:
     """(start, stop, words, code, bands) of a document's paragraphs and passages, in bytes.
 
     A paragraph is a line of MIN_WORDS or more. A passage is a sentence of MIN_PASSAGE words or more, so
     text copied into the middle of another line is found by the sentences it brings along. Passages have
     no bands: they count as repeated when equal.
     """
-    hashes, starts, stops = word_hashes(data.lower())
-    n = len(hashes)
-    if not n:
+    rolling, starts, stops = words or _words(data)
+    if not len(starts):
         return []
     raw = np.frombuffer(data, np.uint8)
     line = np.searchsorted(np.flatnonzero(raw == 10), starts)
     ends_line = np.concatenate((line[1:] != line[:-1], [True]))
-    ends_passage = ends_line | np.isin(raw[stops - 1], (33, 46, 63))
-    rolling = Rolling(hashes)
+    ends_passage = ends_line | _ENDS[raw[stops - 1]]
     found, bounds = [], set()
     low, high = _stretches(ends_line, MIN_WORDS)
     if len(low):
         code = rolling.of(low, high).view(np.int64).tolist()
         bounds = set(zip(low.tolist(), high.tolist(), strict=True))
         keys = _bands(rolling, low, high)
-        found += [(int(starts[a]), int(stops[b - 1]), b - a, c, k) for a, b, c, k in zip(low.tolist(), high.tolist(), code, keys, strict=True)]
+        found += list(zip(starts[low].tolist(), stops[high - 1].tolist(), (high - low).tolist(), code, keys, strict=True))
     low, high = _stretches(ends_passage, MIN_PASSAGE)
     code = rolling.of(low, high).view(np.int64).tolist()
-    found += [
-        (int(starts[a]), int(stops[b - 1]), b - a, c, None)
-        for a, b, c in zip(low.tolist(), high.tolist(), code, strict=True)
-        if (a, b) not in bounds
-    ]
+    each = zip(low.tolist(), high.tolist(), starts[low].tolist(), stops[high - 1].tolist(), code, strict=True)
+    found += [(start, stop, b - a, c, None) for a, b, start, stop, c in each if (a, b) not in bounds]
     return found
 
 
-def anchors(data: bytes) -> list[np.ndarray]:
+# Bytes that end a sentence.
+_ENDS = np.zeros(256, bool)
+_ENDS[[33, 46, 63]] = True
+
+
+def anchors(data: bytes, words: tuple[Rolling, np.ndarray, np.ndarray] | None = None) -> list[np.ndarray]:
     """(anchor, around, first, last): neighbouring runs of RUN words with the same least stretch, a hash of
     all their words, and the first words of the first and the last run. Equal runs have equal anchors."""
-    hashes = word_hashes(data.lower())[0]
-    if len(hashes) < RUN:
+    rolling, starts, _ = words or _words(data)
+    if len(starts) < RUN:
         return [np.zeros(0, np.int64)] * 4
-    rolling = Rolling(hashes)
     grams = rolling.every(GRAM)
     low = np.uint64(32)  # bits for a position
     ranked = (grams >> low << low) | np.arange(len(grams), dtype=np.uint64)
@@ -101,23 +109,30 @@ def _stretches(ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
 def _bands(rolling: Rolling, low: np.ndarray, high: np.ndarray) -> list[list[int]]:
     """The band keys of word stretches: minima of the shingle hashes under BANDS * ROWS functions."""
     every = rolling.every(SHINGLE)
-    out = []
-    for a, b in zip(low.tolist(), high.tolist(), strict=True):
-        out.append((every[a : b - SHINGLE + 1, None] * _SEEDS ^ (every[a : b - SHINGLE + 1, None] >> np.uint64(31))).min(axis=0))
-    keys = mixed(np.array(out, np.uint64) ^ _PLACES).reshape(len(out), BANDS, ROWS).sum(axis=2, dtype=np.uint64)
+    least, start = [], 0
+    while start < len(low):  # some lines at once, so a long text needs no matrix of its own size
+        stop = max(start + 1, int(np.searchsorted(high, low[start] + SLICE)))
+        base, end = int(low[start]), int(high[stop - 1]) - SHINGLE + 1
+        part = every[base:end, None]
+        edges = np.column_stack((low[start:stop], high[start:stop] - SHINGLE + 1)).ravel() - base
+        # Every second stretch lies between two lines.
+        rows = np.minimum.reduceat(part * _SEEDS ^ (part >> np.uint64(31)), edges[: -1 if edges[-1] == end - base else None], axis=0)
+        least.append(rows[::2])
+        start = stop
+    keys = mixed(np.concatenate(least) ^ _PLACES).reshape(len(low), BANDS, ROWS).sum(axis=2, dtype=np.uint64)
     return keys.view(np.int64).tolist()
 
 
-def _listed(texts: list[bytes | None]) -> list[pa.Array]:
-    found = [units(t or b"") for t in texts]
-    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
-    return [pa.array([[u[k] for u in f] for f in found], pa.list_(kind)) for k, kind in enumerate(kinds)]
-
-
 def _marked(texts: list[bytes | None]) -> list[pa.Array]:
-    found = [anchors(t or b"") for t in texts]
+    listed, marks = [], []
+    for text in texts:
+        words = _words(text or b"")
+        listed.append(units(text or b"", words))
+        marks.append(anchors(text or b"", words))
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
+    made = [pa.array([[u[k] for u in f] for f in listed], pa.list_(kind)) for k, kind in enumerate(kinds)]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-    return _listed(texts) + [pa.array([f[k] for f in found], pa.list_(kind)) for k, kind in enumerate(kinds)]
+    return made + [pa.array([f[k] for f in marks], pa.list_(kind)) for k, kind in enumerate(kinds)]
 
 
 CODE = ["code", "words"]

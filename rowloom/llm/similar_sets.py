@@ -20,6 +20,8 @@ SIMILAR = 0.8
 CELL = 1 << 19
 # Members of a cell are compared with the whole cell so many at a time.
 ROWS_AT_ONCE = 256
+# Planes pay off from so many members on; in smaller cells the sets themselves are quicker.
+LANES = 48
 
 
 def shingles(data: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -79,6 +81,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             members.sort(key=lambda m: m["code"])
             sets = [set(m["shingles"]) for m in members]
             marked = [k for k, m in enumerate(members) if m["mark"] is not None]
+            marked = marked if len(marked) >= LANES else []
             places = {k: i for i, k in enumerate(marked)}
             fps = bit_planes.words([members[k]["mark"] for k in marked])
             rows, begin = np.zeros((0, len(marked)), bool), 0
