@@ -7,6 +7,7 @@ the place in the pattern names the draw, the row's key and the numbers of the re
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, SparkSession
@@ -137,7 +138,15 @@ def pattern_column(pattern: str, key: Column, max_length: int = 0, draws: Draws
     return F.aggregate(tries, nothing, lambda found, number: F.coalesce(found, fitting(number)))
 
 
-def text_from_pattern(pattern: str, key: str, max_length: int = 0) -> str | None:
-    """The text of one key, for a setting that needs it while the plan is built."""
+def texts_from_patterns(asked: Sequence[tuple[str, str, int]]) -> list[str | None]:
+    """The texts of (pattern, key, max_length), for settings that need them while the plan is built; one job for all."""
+    if not asked:
+        return []
     one = SparkSession.active().sql("SELECT 1 AS one")
-    return one.select(pattern_column(pattern, F.lit(key), max_length).alias("text")).first()["text"]
+    row = one.select(*[pattern_column(p, F.lit(key), length).alias(f"t{i}") for i, (p, key, length) in enumerate(asked)]).first()
+    return list(row)
+
+
+def text_from_pattern(pattern: str, key: str, max_length: int = 0) -> str | None:
+    """The text of one key."""
+    return texts_from_patterns([(pattern, key, max_length)])[0]

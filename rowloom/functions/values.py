@@ -195,6 +195,12 @@ def text_value(
     return fit_length(own, size, pad)
 
 
+def holds_words(column: ColumnSpec) -> bool:
+    """Whether ``text_value`` makes a phrase for the column, and no address or code."""
+    size = column.length if column.length > 0 else TEXT_LENGTH
+    return not any(part in column.name.lower() for part in PICTURE_NAMES) and size not in (2, 3, IBAN_LENGTH)
+
+
 def text_array(column: ColumnSpec, draws: Draws, row: Column, settings: ValueSettings) -> Column:
     """One to three texts."""
     size = column.length if column.length > 0 else ARRAY_ELEMENT_LENGTH

@@ -18,6 +18,7 @@ from rowloom.functions.values import (
     decimal_of_units,
     fallback_value,
     fit_length,
+    holds_words,
     numeric_limits,
     soft_delete_value,
     units_between,
@@ -26,6 +27,7 @@ from rowloom.model import INTEGER_TYPES, ColumnSpec, RepetitionRule, TableSpec
 from rowloom.operators import combinations as combos_
 from rowloom.operators.combinations import choose_combination, typed
 from rowloom.operators.joins import lookup
+from rowloom.operators.phrases import attach_phrases
 from rowloom.operators.rules import CONSTANT, PINS, constant_key, lay_out, pinned_columns, rule_rows, rule_table
 
 POSITION, RULE = "_idx", "_rule_id"
@@ -48,6 +50,8 @@ class GenerateOptions:
     soft_delete_value: str | None = None
     soft_delete_default: bool = False
     references: Mapping[str, Reference] = field(default_factory=dict)
+    # Words (column word) that free texts are made of, of any number: they are drawn by number and joined.
+    vocabulary: DataFrame | None = None
     # The number inside its domain of a primary key column that shares a code with foreign keys.
     key_places: Mapping[str, Reference] = field(default_factory=dict)
 
@@ -389,6 +393,9 @@ def generate_over(
     key = spec.primary_key[0] if len(spec.primary_key) == 1 else None
     pins = pinned_columns(blocks, F.col(RULE), options.seed, options.values.numeric_scale) if blocks.tabled and key else {}
     named = [c.alias(n) for n, c in columns.items()]
+    texts = phrase_columns(spec, options) if options.vocabulary is not None else []
+    if texts:
+        return _with_phrases(hashed, spec, options, blocks, position, columns, texts)
     if key not in pins or key in spec.fk_columns or not is_countable(spec.column(key)):
         return hashed.select(F.col(position), F.col(RULE), *named)
     # Generated keys that a rule has pinned elsewhere are swapped for keys no position uses.
@@ -403,6 +410,35 @@ def generate_over(
     return spared.select(F.col(position), F.col(RULE), *[own if c == key else F.col(c) for c in columns])
 
 
+def phrase_columns(spec: TableSpec, options: GenerateOptions) -> list[ColumnSpec]:
+    """Text columns that hold words and no key, list, code or address."""
+    keyed = {spec.column(c).name for key in (spec.primary_key, *spec.unique_keys) for c in key}
+    keyed |= {spec.column(c).name for rule in spec.combinations for c in rule.columns if spec.has_column(c)}
+    keyed |= {*spec.fk_columns, *options.excluded, *options.soft_delete}
+    return [c for c in spec.columns if c.is_text and not c.uuid and not c.allowed and c.name not in keyed and holds_words(c)]
+
+
+def _with_phrases(
+    hashed: DataFrame, spec: TableSpec, options: GenerateOptions, blocks, position: str, columns: Mapping[str, Column], texts: list[ColumnSpec]
+) -> DataFrame:
+    """Free texts from the vocabulary. Nulls stay null, and what a rule pins or holds constant stays as it is."""
+    pins = pinned_columns(blocks, F.col(RULE), options.seed, options.values.numeric_scale)
+    stay = []
+    for i, c in enumerate(texts):
+        held = F.lit(False)
+        if any(c.name.lower() in map(str.lower, r.constant) for r in blocks.rules):
+            held = F.col(RULE).isNotNull()
+        stay.append((held | (pins[c.name].is_set if c.name in pins else F.lit(False))).alias(f"_stay{i}"))
+    df = hashed.select(F.col(position), F.col(RULE), *[c.alias(n) for n, c in columns.items()], *stay)
+    draws = Draws(options.seed, spec.name, options.algorithm)
+    for i, c in enumerate(texts):
+        df = attach_phrases(df.withColumnRenamed(c.name, "_plain"), position, options.vocabulary, draws, c.name)
+        made = fit_length(F.col(c.name), c.length, c.type == "char")
+        keep = F.col(f"_stay{i}") | F.col("_plain").isNull()
+        df = df.withColumn(c.name, F.when(keep, F.col("_plain")).otherwise(made)).drop("_plain")
+    return df.select(position, RULE, *columns)
+
+
 def generate_table(spark: SparkSession, spec: TableSpec, rows: int, options: GenerateOptions | None = None) -> DataFrame:
     """N rows of one table, with ``_idx`` and ``_rule_id`` beside the columns."""
     options = options or GenerateOptions()

@@ -8,7 +8,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.functions.patterns import pattern_column, text_from_pattern
+from rowloom.functions.patterns import pattern_column, texts_from_patterns
 from rowloom.model import RepetitionRule, TableSpec
 from rowloom.operators.indexing import numbers_below
 
@@ -75,14 +75,14 @@ def pinned_columns(blocks: RuleBlocks, rule_id: Column, seed: int, numeric_scale
     if blocks.tabled:
         return _tabled_columns(blocks, numeric_scale)
     spec, per_column = blocks.spec, {}
+    asked = [
+        (number, name, pattern, spec.column(name)) for number, rule in enumerate(blocks.rules)
+        for name, pattern in rule.patterns.items() if spec.has_column(name) and spec.column(name).is_text
+    ]
+    made = texts_from_patterns([(pattern, f"{seed}|{spec.name}|{column.name}|{number}", column.length) for number, _, pattern, column in asked])
+    drawn = {(number, name): text for (number, name, _, _), text in zip(asked, made, strict=True) if text is not None}
     for number, rule in enumerate(blocks.rules):
-        settings: dict[str, str | None] = dict(rule.fixed)
-        for name, pattern in rule.patterns.items():
-            if spec.has_column(name) and spec.column(name).is_text:
-                column = spec.column(name)
-                made = text_from_pattern(pattern, f"{seed}|{spec.name}|{column.name}|{number}", column.length)
-                if made is not None:
-                    settings[name] = made
+        settings: dict[str, str | None] = dict(rule.fixed) | {name: text for (n, name), text in drawn.items() if n == number}
         for name, text in settings.items():
             if spec.has_column(name):
                 slot = per_column.setdefault(spec.column(name).name, [None] * len(blocks.rules))

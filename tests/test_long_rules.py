@@ -140,3 +140,21 @@ def test_twenty_thousand_rules_keep_the_plan_small(spark):
     assert many.count() == 100_000 and many.select("_rule_id").distinct().count() == 20_001
     assert many.select("id").distinct().count() == 100_000
     assert many.where("_rule_id % 3 <> 0 and kind <> concat('k', _rule_id)").isEmpty()
+
+
+def test_large_vocabularies_are_joined(spark):
+    words = spark.range(120_000).select(F.concat(F.lit("w"), F.col("id")).alias("word"))
+    columns = (C("id", "int"), C("name", "varchar", False, 40), C("note", "string"), C("code", "char", False, 2), C("title", "string", False, 60), C("kind", allowed=("a", "b")))
+    spec = TableSpec("t", columns, ("id",), unique_keys=(("title",),))
+    fixed = (RepetitionRule(5, {"name": "pinned"}, ("note",)),)
+    from rowloom.plans.seeding import SeedOptions, seed
+
+    made = seed(spark, (spec,), SeedOptions(rows=400, table=GenerateOptions(2, vocabulary=words), rules={"t": fixed}))
+    df = made.tables["t"]
+    assert df.columns == ["_idx", "_rule_id", *[c.name for c in columns]] and df.count() == 400
+    assert integrity_report(made.tables, (spec,)).where("violations > 0").isEmpty()
+    rest = df.where("_rule_id is null")
+    assert rest.where("name not rlike '^w[0-9]+( w[0-9]*)*$'").isEmpty() and rest.where("note is null").count() > 50
+    assert df.where("_rule_id = 0 and name <> 'pinned'").isEmpty() and df.where("_rule_id = 0").select("note").distinct().count() == 1
+    assert rest.select(F.explode(F.split("name", " ")).alias("w")).distinct().count() > 500
+    assert df.where("length(code) <> 2").isEmpty()
