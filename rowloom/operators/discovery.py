@@ -20,8 +20,6 @@ SKETCH_BITS, SKETCH_SHARE = 12, 0.8
 SKETCHES = 200
 # Families of exact numbers, which may refer to each other.
 NUMBERS = {"integer", "decimal"}
-# A child whose sketch says that less than this share of its tuples is in the parent is not tested exactly.
-CONTAINED = 0.9
 THETA_BITS = 12
 # Up to so many columns all tuples are looked at; wider ones only while a table has no primary key yet.
 NARROW = 2
@@ -359,7 +357,8 @@ def discover_composite_references(
 
     (child, columns, parent, key, coverage, one_to_one), tuples in the order of the key. The search goes up a
     level at a time: a tuple is only looked at if every column is included in its key column by itself, and a
-    longer one only if its first columns are included together, as far as theta sketches of both sides tell.
+    longer one only if its first columns are included together, as far as theta sketches of both sides tell: a tuple
+    that the parent's sketch would hold and does not is missing there for certain, whatever the sizes of the two.
     What the sketches leave is tested exactly, in one pass over digests.
     """
     spark = next(iter(tables.values())).sparkSession
@@ -424,7 +423,7 @@ def _tuple_digests(
 def _sketched_inclusions(
     tables: Mapping[str, DataFrame], keys: Mapping[str, tuple[str, ...]], candidates: Sequence[tuple[str, str, tuple[str, ...]]]
 ) -> list[tuple[str, str, tuple[str, ...]]]:
-    """The candidates that have tuples, nearly all of which the parent seems to have; one scan a table, sketches alone move."""
+    """The candidates that have tuples, none of which the parent is seen to lack; one scan a table, sketches alone move."""
     wanted: dict[str, list[Column]] = {}
     for i, (child, parent, columns) in enumerate(candidates):
         own, whole = _tuple_digests(tables, child, columns, parent, keys[parent][: len(columns)])
@@ -435,14 +434,14 @@ def _sketched_inclusions(
     for name, sketches in wanted.items():
         for start in range(0, len(sketches), SKETCHES):
             row = row.crossJoin(F.broadcast(tables[name].agg(*sketches[start : start + SKETCHES])))  # one row each
-    both = [
+    told = [
         F.struct(
-            F.theta_sketch_estimate(f"c{i}").alias("own"), F.theta_sketch_estimate(F.theta_intersection(f"c{i}", f"p{i}")).alias("both")
+            F.theta_sketch_estimate(f"c{i}").alias("own"), F.theta_sketch_estimate(F.theta_difference(f"c{i}", f"p{i}")).alias("lost")
         ).alias(f"r{i}")
         for i in range(len(candidates))
     ]
-    seen = row.select(*both).first() if candidates else {}
-    return [c for i, c in enumerate(candidates) if seen[f"r{i}"]["own"] and seen[f"r{i}"]["both"] >= CONTAINED * seen[f"r{i}"]["own"]]
+    seen = row.select(*told).first() if candidates else {}
+    return [c for i, c in enumerate(candidates) if seen[f"r{i}"]["own"] and not seen[f"r{i}"]["lost"]]
 
 
 def temporal_ranges(df: DataFrame, table: str) -> DataFrame:

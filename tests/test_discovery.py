@@ -73,3 +73,13 @@ def test_temporal_limits(spark):
     assert got["d"]["last"] == "2023-02-03 00:00:00.000000" and got["d"].nullable
     empty = describe_columns(spark.createDataFrame([], "t timestamp, n int"), "x").collect()
     assert {r.column_name: r["first"] for r in empty} == {"t": None, "n": None}
+
+
+def test_few_tuples_of_a_small_child_in_a_large_parent(spark):
+    # The sketch of the large side holds about one of a hundred tuples, so it holds none or few of the child's.
+    lines = spark.range(400_000).select((F.col("id") / 4).cast("int").alias("bill"), (F.col("id") % 4).cast("int").alias("line"))
+    few = lines.where("bill % 20000 = 8 and line < 3").select(F.col("line").alias("l"), F.col("bill").alias("b"))
+    wrong = few.select("b", (F.col("l") + 2).alias("l"))
+    tables = {"lines": lines, "few": few, "wrong": wrong}
+    got = discover_composite_references(tables, {"lines": ("bill", "line")}).collect()
+    assert [(r.child_table, r.child_columns, r.one_to_one) for r in got] == [("few", "b,l", True)]
