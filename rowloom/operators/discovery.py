@@ -21,6 +21,10 @@ SKETCHES = 200
 # Families of exact numbers, which may refer to each other.
 NUMBERS = {"integer", "decimal"}
 THETA_BITS = 12
+# About so many rows make up the first slice in which a tuple is looked at; later slices are this many times larger.
+SLICE_ROWS, SLICE_STEP = 1 << 14, 16
+# A scan carries up to so many tuples side by side.
+TUPLES = 40
 # Up to so many columns all tuples are looked at; wider ones only while a table has no primary key yet.
 NARROW = 2
 
@@ -146,21 +150,28 @@ def _digests(columns: Sequence[str | Column]) -> list[Column]:
     return [F.when(present, F.xxhash64(*[F.lit(salt), *values])) for salt in (1, 2)]
 
 
-def _without_duplicates(df: DataFrame, candidates: Sequence[tuple[str, ...]]) -> list[tuple[str, ...]]:
-    """The candidates whose values never repeat among rows without nulls; one job for all of them.
+def _without_duplicates(df: DataFrame, candidates: Sequence[tuple[str, ...]], slices: int = 1) -> list[tuple[str, ...]]:
+    """The candidates whose values never repeat among rows without nulls.
 
-    A tuple moves as a 128-bit digest, however long its values are, and is counted before it moves.
+    A tuple moves as a 128-bit digest, however long its values are, and is counted before it moves. With ``slices``,
+    a power of two, only tuples of one slice of the digests move. Equal tuples have equal digests, so what repeats
+    there is no key; what does not may still repeat elsewhere.
     """
-    if not candidates:
-        return []
-    lines = []
-    for i, columns in enumerate(candidates):
-        one, two = _digests(columns)
-        lines.append(F.struct(F.lit(i).alias("key"), one.alias("a"), two.alias("b")))
-    tuples = df.select(F.explode(F.array(*lines)).alias("r")).select("r.*").where("a is not null")
-    counted = tuples.groupBy("key", "a", "b").agg(F.count("*").alias("n"))
-    repeated = {r["key"] for r in counted.where("n > 1").select("key").distinct().collect()}
-    return [c for i, c in enumerate(candidates) if i not in repeated]
+    kept = []
+    for start in range(0, len(candidates), TUPLES):
+        part = candidates[start : start + TUPLES]
+        lines, inside = [], []
+        for i, columns in enumerate(part):
+            one, two = _digests(columns)
+            inside.append(F.coalesce(one.bitwiseAND(F.lit(slices - 1).cast("bigint")) == 0, F.lit(False)))
+            lines.append(F.when(inside[-1], F.struct(F.lit(i).alias("key"), one.alias("a"), two.alias("b"))))
+        # Most rows are in no tuple's slice and are dropped before anything is built.
+        met = df.where(reduce(lambda a, b: a | b, inside)) if slices > 1 else df
+        tuples = met.select(F.explode(F.array(*lines)).alias("r")).where("r is not null").select("r.*")
+        counted = tuples.groupBy("key", "a", "b").agg(F.count("*").alias("n"))
+        repeated = {r["key"] for r in counted.where("n > 1").select("key").distinct().collect()}
+        kept += [c for i, c in enumerate(part) if i not in repeated]
+    return kept
 
 
 @dataclass(frozen=True)
@@ -169,7 +180,7 @@ class Keys:
 
     primary: list[tuple[str, ...]]
     unique: list[tuple[str, ...]]
-    # How many tuples were counted exactly, and how many were only sketched.
+    # How many tuples were counted over all rows, and how many were looked at.
     counted: int = 0
     sketched: int = 0
 
@@ -177,21 +188,39 @@ class Keys:
 class _Lattice:
     """Tuples of a table that were looked at."""
 
-    def __init__(self, df: DataFrame) -> None:
-        self.df = df
+    def __init__(self, df: DataFrame, rows: int) -> None:
+        self.df, self.rows = df, rows
+        # A power of two.
+        self.slices = 1 << max(0, (rows - 1) // SLICE_ROWS).bit_length()
         self.sizes: dict[tuple[str, ...], int] = {}
         self.distinct: dict[tuple[str, ...], float] = {}
         self.counted = 0
 
     def keys_among(self, candidates: Sequence[tuple[str, ...]]) -> list[tuple[str, ...]]:
-        """Sketches first; exact counts of what they leave."""
-        fresh = [c for c in candidates if c not in self.sizes]
-        for c, (filled, estimate) in _sketched(self.df, fresh).items():
+        """Larger and larger slices sort out what repeats; all rows are counted for what they leave."""
+        left, slices = self.promising(candidates), self.slices
+        while left and slices > 1:
+            slices = max(1, slices // SLICE_STEP)
+            left = _without_duplicates(self.df, left, slices)
+            self.counted += len(left) if slices == 1 else 0
+        return left
+
+    def promising(self, candidates: Sequence[tuple[str, ...]]) -> list[tuple[str, ...]]:
+        """The candidates with values, none of which repeats in the first slice; that is all rows of a small table."""
+        self._measure([c for c in candidates if c not in self.sizes])
+        left = [c for c in candidates if self.sizes[c] and (c not in self.distinct or self.distinct[c] >= SKETCH_SHARE * self.sizes[c])]
+        left = _without_duplicates(self.df, left, self.slices)
+        self.counted += len(left) if self.slices == 1 else 0
+        return left
+
+    def _measure(self, fresh: list[tuple[str, ...]]) -> None:
+        """Rows without nulls; sketches of single columns. Tuples of full columns need no scan."""
+        for c, (filled, estimate) in _sketched(self.df, [c for c in fresh if len(c) == 1]).items():
             self.sizes[c] = filled
             self.distinct[c] = estimate
-        promising = [c for c in candidates if self.sizes[c] and self.distinct[c] >= SKETCH_SHARE * self.sizes[c]]
-        self.counted += len(promising)
-        return _without_duplicates(self.df, promising)
+        wide = [c for c in fresh if len(c) > 1]
+        gaps = [c for c in wide if any(self.sizes[x,] < self.rows for x in c)]
+        self.sizes |= {c: self.rows for c in wide} | _filled(self.df, gaps)
 
     def reaches(self, columns: tuple[str, ...], rows: int) -> bool:
         """Whether the columns have enough values between them to tell all rows apart."""
@@ -206,15 +235,15 @@ class _Lattice:
 def discover_keys(df: DataFrame, max_columns: int = NARROW) -> Keys:
     """Candidate keys of up to ``max_columns`` columns of any comparable type.
 
-    Single columns and pairs are all looked at: sketches, one scan a width, rule out what cannot be a key, and only
-    the rest is counted exactly. A tuple that holds a key is not tried, nor one whose columns have too few values
+    Single columns and pairs are all looked at: sketches rule out columns, and a slice of all tuples, about as many
+    rows in every table, rules out what repeats in it; only the rest is counted over all rows. A tuple that holds a key is not tried, nor one whose columns have too few values
     between them. Wider keys are looked for only while there is no primary key, from the top of the lattice: if all
     columns without nulls together are no key, no tuple is; a column without which the others are no key is part of
     every key. The search starts from those columns and adds others one width at a time, so a wide key is found
     without its many narrower tuples.
     """
-    names, lattice = _key_columns(df), _Lattice(df)
-    rows = df.count()
+    names, rows = _key_columns(df), df.count()
+    lattice = _Lattice(df, rows)
     unique = lattice.keys_among([(c,) for c in names])
     if max_columns > 1:
         # With nulls in a column, fewer values may do.
@@ -231,7 +260,7 @@ def _wide_keys(lattice: _Lattice, filled: list[str], known: list[tuple[str, ...]
     if any(lattice.sizes[k] == rows for k in known) or len(filled) <= NARROW or not lattice.keys_among([tuple(filled)]):
         return []
     without = [tuple(c for c in filled if c != left_out) for left_out in filled]
-    spare = {next(c for c in filled if c not in k) for k in lattice.keys_among(without)}
+    spare = {next(c for c in filled if c not in k) for k in lattice.promising(without)}
     needed = tuple(c for c in filled if c not in spare)
     rest = [c for c in filled if c in spare]
     for width in range(max(NARROW + 1, len(needed)), max_columns + 1):
@@ -261,12 +290,23 @@ def _sketched(df: DataFrame, candidates: Sequence[tuple[str, ...]]) -> dict[tupl
     return seen_all
 
 
-def _ranges(tables: Mapping[str, DataFrame]) -> dict[tuple[str, str], tuple]:
-    """(family, min, max) per key-like column; one job over all tables."""
+def _filled(df: DataFrame, candidates: Sequence[tuple[str, ...]]) -> dict[tuple[str, ...], int]:
+    """Rows without nulls per candidate."""
+    found = {}
+    for start in range(0, len(candidates), SKETCHES):
+        part = candidates[start : start + SKETCHES]
+        whole = [reduce(lambda a, b: a & b, [F.col(f"`{x}`").isNotNull() for x in c]) for c in part]
+        seen = df.agg(*[F.count_if(w).alias(f"c{i}") for i, w in enumerate(whole)]).first()
+        found |= {c: seen[f"c{i}"] for i, c in enumerate(part)}
+    return found
+
+
+def _ranges(tables: Mapping[str, DataFrame], wanted: Callable[[str, str], bool]) -> dict[tuple[str, str], tuple]:
+    """(family, min, max) per wanted key-like column; one job over all tables."""
     parts = []
     for name, df in tables.items():
         for kind, cast in (("integer", "bigint"), ("text", "string")):
-            cols = [c for c in _key_columns(df) if (_family(df.schema[c].dataType) == "integer") == (kind == "integer")]
+            cols = [c for c in _key_columns(df) if wanted(name, c) and (_family(df.schema[c].dataType) == "integer") == (kind == "integer")]
             if not cols:
                 continue
             lows = df.agg(*[a for i, c in enumerate(cols) for a in (F.min(c).cast(cast).alias(f"a{i}"), F.max(c).cast(cast).alias(f"b{i}"))])
@@ -276,7 +316,7 @@ def _ranges(tables: Mapping[str, DataFrame]) -> dict[tuple[str, str], tuple]:
             ]) for i, c in enumerate(cols)]
             parts.append(lows.select(F.explode(F.array(*number)).alias("r")).select(F.lit(name).alias("t"), "r.*"))
     found = {}
-    for r in reduce(DataFrame.unionByName, parts).collect():
+    for r in reduce(DataFrame.unionByName, parts).collect() if parts else []:
         family = _family(tables[r["t"]].schema[r["c"]].dataType)
         kind = "integer" if family == "integer" else "text"
         low, high = r[f"a_{kind}"], r[f"b_{kind}"]
@@ -299,7 +339,14 @@ def discover_references(
     is as short as the schema.
     """
     spark = next(iter(tables.values())).sparkSession
-    ranges = _ranges(tables)
+    ends = [(parent, key) for parent, parent_keys in keys.items() for key in parent_keys]
+
+    def related(child: str, column: str) -> bool:
+        family = _family(tables[child].schema[column].dataType)
+        others = [(p, k) for p, k in ends if (p, k) != (child, column) and tried(child, column, p, k)]
+        return any(f == family or {f, family} == NUMBERS for f in (_family(tables[p].schema[k].dataType) for p, k in others))
+
+    ranges = _ranges(tables, lambda name, column: (name, column) in ends or related(name, column))
     pairs: dict[str, list[tuple[tuple[str, str], tuple[str, str]]]] = {}
     for child, (family, low, high) in ranges.items():
         for parent, parent_keys in keys.items():

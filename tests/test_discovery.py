@@ -83,3 +83,14 @@ def test_few_tuples_of_a_small_child_in_a_large_parent(spark):
     tables = {"lines": lines, "few": few, "wrong": wrong}
     got = discover_composite_references(tables, {"lines": ("bill", "line")}).collect()
     assert [(r.child_table, r.child_columns, r.one_to_one) for r in got] == [("few", "b,l", True)]
+
+
+def test_what_repeats_in_no_slice_is_still_counted(spark):
+    # Two equal pairs among 200 000 rows, and few tuples counted in full.
+    rows = spark.range(200_000).select(
+        F.least("id", F.lit(199_998)).alias("id"), (F.col("id") / 500).cast("int").alias("a"), (F.col("id") % 500).cast("int").alias("b"),
+        (F.col("id") % 7).alias("c"), (F.col("id") % 1000).alias("d"),
+    )
+    found = discover_keys(rows.withColumn("b", F.when(F.col("id") == 150_000, 1).otherwise(F.col("b"))), 3)
+    assert ("a", "b") not in found.primary and ("id",) not in found.primary
+    assert discover_keys(rows.drop("id"), 3).primary == [("a", "b"), ("a", "d")] and found.counted < 8
