@@ -14,9 +14,10 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from rowloom.model import ColumnSpec, CombinationRule, TableSpec
+from rowloom.session import spread
 
 # Tokens, in the order they are tried.
 TEXT = r"'[^']*+(?:''[^']*+)*+'"
@@ -86,9 +87,15 @@ def _plain_token(token: Column, number: Column, following: Column) -> Column:
 
 
 def plain_spelling(checks: DataFrame) -> DataFrame:
-    """(table_name, expr, tokens, plain): blank and null expressions are left out."""
-    cut = checks.where(F.length(F.trim("expr")) > 0).select("table_name", "expr", F.regexp_extract_all("expr", F.lit(TOKEN), 0).alias("tokens"))
-    spelled = F.transform("tokens", lambda t, i: _plain_token(t, i, F.get(F.col("tokens"), i + 1)))
+    """(table_name, expr, tokens, plain): blank and null expressions are left out.
+
+    Texts take long for their size, so they are spread over all cores; few files or small partitions would make one task.
+    """
+    cut = spread(checks).where(F.length(F.trim("expr")) > 0).select("table_name", "expr", F.regexp_extract_all("expr", F.lit(TOKEN), 0).alias("tokens"))
+    # Neighbours come side by side: a filter on the result may be moved below, where the tokens are an expression, and a
+    # look at them from within would cut the text anew for every token.
+    numbered = F.transform("tokens", lambda t, i: F.struct(t.alias("t"), i.alias("i")))
+    spelled = F.zip_with(numbered, F.slice("tokens", F.lit(2), F.size("tokens")), lambda a, following: _plain_token(a["t"], a["i"], following))
     return cut.select("table_name", "expr", "tokens", F.array_join(F.filter(spelled, lambda t: t != ""), " ").alias("plain"))
 
 
@@ -234,6 +241,7 @@ def clauses(plain: str) -> list[list[list[str]] | None]:
     return frames[0][0] + (frames[0][1] or []) if len(frames) == 1 else []
 
 
+_JOINED = re.compile(r"\b(?:AND|OR)\b")
 Part = dict[str, str]
 
 
@@ -322,9 +330,25 @@ def _apart(found: list[list[Part]]) -> list[list[Part]]:
     return [factor for _, factor in apart if factor]
 
 
-@F.pandas_udf(ArrayType(ArrayType(ArrayType(ArrayType(StringType())))))
-def _factors(plain: pd.Series, tokens: pd.Series) -> pd.Series:
-    return pd.Series([[[[list(pair) for pair in part.items()] for part in f] for f in factors(p, list(t))] for p, t in zip(plain, tokens, strict=True)])
+def _joins(plain: str) -> bool:
+    """Whether equalities are joined; asked here, as a filter on the spelling would spell every text once more."""
+    return " = " in plain and _JOINED.search(plain) is not None
+
+
+_PART = StructType([
+    StructField("factor", IntegerType()), StructField("clause", IntegerType()), StructField("column_name", StringType()), StructField("value", StringType()),
+])
+
+
+@F.pandas_udf(ArrayType(_PART))
+def _factor_parts(plain: pd.Series, tokens: pd.Series) -> pd.Series:
+    return pd.Series([
+        [
+            {"factor": i, "clause": j, "column_name": c, "value": v}
+            for i, f in enumerate(factors(p, list(t)) if _joins(p) else []) for j, part in enumerate(f) for c, v in part.items()
+        ]
+        for p, t in zip(plain, tokens, strict=True)
+    ])
 
 
 def value_factors(checks: DataFrame) -> DataFrame:
@@ -333,20 +357,15 @@ def value_factors(checks: DataFrame) -> DataFrame:
     A row that takes one clause of each factor keeps the rule. The number of clauses is the sum, not the product,
     of the ORs joined by AND.
     """
-    spelled = plain_spelling(checks).where(F.col("plain").contains(" = ") & F.col("plain").rlike(r"\b(?:AND|OR)\b"))
-    ready = spelled.select("table_name", "expr", "tokens", F.regexp_replace("plain", "^CHECK ", "").alias("plain"))
-    each = ready.select("table_name", "expr", F.posexplode(_factors("plain", "tokens")).alias("factor", "clauses"))
-    single = each.select("table_name", "expr", "factor", F.posexplode("clauses").alias("clause", "parts"))
-    part = single.select("table_name", "expr", "factor", "clause", F.explode("parts").alias("part"))
-    return part.select(
-        "table_name", "expr", F.col("factor").cast("int").alias("factor"), F.col("clause").cast("int").alias("clause"),
-        F.get("part", F.lit(0)).alias("column_name"), F.get("part", F.lit(1)).alias("value"),
-    )
+    ready = plain_spelling(checks).select("table_name", "expr", "tokens", F.regexp_replace("plain", "^CHECK ", "").alias("plain"))
+    # One row of lists per text: the explosions then carry the text's name, not its tokens.
+    each = ready.select("table_name", "expr", F.explode(_factor_parts("plain", "tokens")).alias("part"))
+    return each.select("table_name", "expr", "part.factor", "part.clause", "part.column_name", "part.value")
 
 
 @F.pandas_udf(ArrayType(ArrayType(ArrayType(StringType()))))
 def _clauses(plain: pd.Series) -> pd.Series:
-    return plain.map(clauses)
+    return plain.map(lambda p: clauses(p) if _joins(p) else [])
 
 
 def value_combinations(checks: DataFrame) -> DataFrame:
@@ -355,8 +374,7 @@ def value_combinations(checks: DataFrame) -> DataFrame:
     ORs inside a clause make a clause each, so this is for rules written as ORs of ANDs; ``value_factors`` is the
     way for ANDs of many ORs. A clause with anything but equalities is dropped.
     """
-    spelled = plain_spelling(checks).where(F.col("plain").contains(" = ") & F.col("plain").rlike(r"\b(?:AND|OR)\b"))
-    ready = spelled.select("table_name", "expr", "tokens", F.regexp_replace("plain", "^CHECK ", "").alias("plain"))
+    ready = plain_spelling(checks).select("table_name", "expr", "tokens", F.regexp_replace("plain", "^CHECK ", "").alias("plain"))
     each = ready.select("table_name", "expr", "tokens", F.posexplode(_clauses("plain")).alias("clause", "parts"))
     single = each.select("table_name", "expr", "tokens", "clause", F.explode("parts").alias("part"))
     return single.select(

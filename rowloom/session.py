@@ -81,6 +81,15 @@ def forget(table: DataFrame) -> None:
         table.sparkSession.createDataFrame([], table.schema).coalesce(1).write.mode("overwrite").parquet(folder)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over as many partitions as there are cores, for rows that are small beside the work they make.
+
+    The number is given, so adaptive execution does not merge the partitions for their size.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """A reliable checkpoint, for when partitions must stay as they are on every reading."""
     shared_dir(df.sparkSession)
