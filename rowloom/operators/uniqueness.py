@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from math import prod
@@ -10,8 +10,8 @@ from math import prod
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.functions.keyed import base36
-from rowloom.operators.generate import POSITION, Domain
+from rowloom.functions.keyed import base36, step_for
+from rowloom.operators.generate import POSITION
 from rowloom.operators.indexing import dense_index, numbers_below
 from rowloom.operators.joins import lookup
 from rowloom.session import materialize, materialize_counted
@@ -118,11 +118,24 @@ def least_in_all(df: DataFrame, keys: Sequence[Sequence[str]], position: str = P
     return df.join(wins, position, "left").where(F.coalesce("_wins", F.lit(0)) == stands).drop("_wins")
 
 
+@dataclass(frozen=True)
+class Supply:
+    """Values that columns may take together, numbered from 0: one column's domain, or the parents of a foreign key."""
+
+    columns: tuple[str, ...]
+    size: int
+    values: Callable[[Column], Sequence[Column]]
+
+
+# So many rounds in a row that place none end a contest; each offers other free values.
+IDLE_ROUNDS = 8
+
+
 def make_all_unique(
     df: DataFrame,
     keys: Sequence[Sequence[str]],
     redraw: Callable[[DataFrame, int], DataFrame],
-    domains: Mapping[str, Domain] | None = None,
+    supplies: Sequence[Supply] = (),
     rounds: int = 6,
     position: str = POSITION,
 ) -> Distinct:
@@ -131,12 +144,12 @@ def make_all_unique(
     Key groups are the edges of a conflict hypergraph. A row is accepted if it is the least of every group it
     stands in; rows that only lost to rows which lost elsewhere compete again, until all others collide with an
     accepted row: rounds of a maximal independent set. Only those losers are redrawn. After ``rounds`` rounds,
-    or a round that places less than a quarter, they are given free values of ``domains`` key by key and
-    compete as before; rows are left out when two such rounds in a row place none.
+    or a round that places less than a quarter, they are given free values of ``supplies`` key by key, from
+    another start in every round, and compete as before; rows are left out when several such rounds in a row place none.
     """
     keys = [list(k) for k in keys]
     waiting, n_waiting = materialize_counted(df)
-    parts, taken, round_, idle = [], [], 0, 0
+    parts, taken, round_, idle, given = [], [], 0, 0, 0
     while n_waiting:
         contest, before = waiting, n_waiting
         while True:
@@ -157,49 +170,53 @@ def make_all_unique(
             break
         placed = before - n_waiting
         idle = idle + 1 if placed == 0 else 0
-        if idle >= 2 and (round_ > rounds or not domains):
+        if idle >= (IDLE_ROUNDS if supplies else 2) and (round_ > rounds or not supplies):
             break
         round_ += 1
         waiting = redraw(waiting, round_)
-        if domains and parts and (round_ >= rounds or idle or 4 * placed < before):
+        if supplies and parts and (round_ >= rounds or idle or 4 * placed < before):
             accepted = reduce(DataFrame.unionByName, parts)
-            waiting = give_free_values(materialize(waiting), accepted, keys, domains, position)
-            rounds = min(rounds, round_)
+            waiting = give_free_values(materialize(waiting), accepted, keys, supplies, position, given)
+            rounds, given = min(rounds, round_), given + 1
         waiting = materialize(waiting)
     rows = reduce(DataFrame.unionByName, parts) if parts else df.limit(0)
     return Distinct(rows, waiting)
 
 
 def give_free_values(
-    waiting: DataFrame, accepted: DataFrame, keys: Sequence[Sequence[str]], domains: Mapping[str, Domain], position: str = POSITION
+    waiting: DataFrame, accepted: DataFrame, keys: Sequence[Sequence[str]], supplies: Sequence[Supply], position: str = POSITION, turn: int = 0
 ) -> DataFrame:
     """Give waiting rows free values, one key after the other; what an earlier key settled stays.
 
-    For a key, rows stand in groups of its settled columns. Among the first w + t codes of a group, with w rows
-    waiting and t taken, at least w are free, so no more are made than there are rows. Free codes and waiting
-    rows are numbered within their group over the whole cluster and meet by number.
+    For a key, rows stand in groups of its settled columns. Among any w + t codes of a group that follow each other,
+    with w rows waiting and t taken, at least w are free, so no more are made than there are rows; ``turn`` moves
+    their start, so a row whose value broke a later key is offered another one. Free codes and waiting rows are
+    numbered within their group over the whole cluster and meet by number.
     """
     done: set[str] = set()
     for key in keys:
-        free = [c for c in key if c in domains and c not in done]
+        # Columns that are drawn together are given together, and only where the key holds them all.
+        used = [s for s in supplies if set(s.columns) <= set(key) - done]
+        free = [c for s in used for c in s.columns]
         done |= set(key)
         if not free:
             continue
         settled = [c for c in key if c not in free]
-        sizes = [domains[c].size for c in free]
+        span = min(prod(s.size for s in used), 1 << 62)
         ready = waiting.where(_complete(settled)) if settled else waiting
         taken = accepted.where(_complete(key))
         group = settled or ["_all"]
         counted = ready.withColumn("_all", F.lit(0)).groupBy(*group).agg(F.count("*").alias("_waiting"))
         held = taken.withColumn("_all", F.lit(0)).groupBy(*group).agg(F.count("*").alias("_taken"))
         room = counted.join(held, group, "left").withColumn(
-            "_codes", F.least(F.col("_waiting") + F.coalesce("_taken", F.lit(0)), F.lit(min(prod(sizes), 1 << 62)))
+            "_codes", F.least(F.col("_waiting") + F.coalesce("_taken", F.lit(0)), F.lit(span))
         )
         codes = numbers_below(room.select(*group, "_codes"), "_codes", "_code")
-        rest, made = F.col("_code"), {}
-        for name, size in zip(free, sizes, strict=True):
-            made[name] = domains[name].value(F.pmod(rest, F.lit(size)))
-            rest = F.call_function("div", rest, F.lit(size))
+        rest, made = F.pmod(F.col("_code") + F.lit(turn * step_for(span) % span), F.lit(span)), {}
+        for supply in used:
+            values = supply.values(F.pmod(rest, F.lit(supply.size)))
+            made |= dict(zip(supply.columns, values, strict=True))
+            rest = F.call_function("div", rest, F.lit(supply.size))
         candidates = codes.select("*", *[v.alias(c) for c, v in made.items()])
         open_ = candidates.join(taken.select(*key), key, "left_anti").select(*group, "_code", *free)
         offered = _numbered(open_, group, "_code").select(*group, "_number", *[F.col(c).alias(f"_free_{c}") for c in free])

@@ -17,7 +17,7 @@ from rowloom.operators.generate import POSITION, GenerateOptions
 from rowloom.operators.combinations import INLINE
 from rowloom.operators.indexing import dense_index
 from rowloom.operators.references import Deferred, MissingParents
-from rowloom.operators.uniqueness import make_all_unique
+from rowloom.operators.uniqueness import Supply, make_all_unique
 from rowloom.plans.contests import Contest, contest_of, narrowed
 from rowloom.session import materialize
 from rowloom.sinks.script import TableRows, TableUpdates, script
@@ -253,6 +253,11 @@ class SeedPlan:
         place = self.parent_position(spec, fk, position, salt)
         return references.generated_key(lambda p: self.key_at(fk.parent, parent_column, p), place).cast(kind)
 
+    def parent_key(self, spec: TableSpec, fk: ForeignKey, place: Column) -> list[Column]:
+        """The foreign-key columns that refer to the parent at a place."""
+        kinds = [spec.column(c).data_type(self.options.table.values.numeric_scale) for c in fk.columns]
+        return [self.key_at(fk.parent, p, place).cast(k) for p, k in zip(fk.parent_columns, kinds, strict=True)]
+
     def key_at(self, table: str, column: str, position: Column) -> Column:
         """The value a generated row has in a referenced column."""
         spec = self.specs[table]
@@ -372,7 +377,12 @@ def _with_unique_keys(plan: SeedPlan, spec: TableSpec, df: DataFrame) -> DataFra
     combined = {spec.column(c).name for rule in spec.combinations for c in rule.columns if spec.has_column(c)}
     scale = options.values.numeric_scale
     domains = {c: g.domain_of(spec.column(c), total, scale) for c in contest.own if c not in combined and c.lower() not in pinned}
-    done = make_all_unique(df, contest.keys, redraw, {c: d for c, d in domains.items() if d is not None})
+    supplies = [Supply((c,), d.size, lambda i, d=d: [d.value(i)]) for c, d in domains.items() if d is not None]
+    for fk in contest.references:
+        names = tuple(spec.column(c).name for c in fk.columns)
+        if plan.counts.get(fk.parent) and not {*names} & combined and not {c.lower() for c in names} & pinned:
+            supplies.append(Supply(names, plan.counts[fk.parent], lambda i, fk=fk: plan.parent_key(spec, fk, i)))
+    done = make_all_unique(df, contest.keys, redraw, supplies)
     lost = done.left_out.count()
     if lost == 0:
         return done.rows.select(*df.columns)

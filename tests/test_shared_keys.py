@@ -10,7 +10,7 @@ from rowloom.model import ColumnSpec as C
 from rowloom.model import CombinationRule, ForeignKey, RepetitionRule, TableSpec
 from rowloom.operators.quality import integrity_report
 from rowloom.operators.references import MissingParents, assign_combinations, assign_shared, parent_of
-from rowloom.operators.uniqueness import make_all_unique
+from rowloom.operators.uniqueness import Supply, make_all_unique
 from rowloom.plans.seeding import SeedOptions, seed
 
 P1 = TableSpec("p1", (C("a", "int"), C("b", "int")), ("a", "b"))
@@ -134,6 +134,23 @@ def test_keys_that_share_primary_and_foreign_columns(spark):
     assert made.tables["t"].count() + made.shortfall.get("t", 0) == 200 and made.tables["t"].count() > 190
 
 
+def test_the_last_free_parents_are_found(spark):
+    parent = TableSpec("p", (C("id", "int"),), ("id",))
+    number = lambda name: C(name, "int", False, min_value=1, max_value=12)
+    spec = TableSpec("t", (C("id", "int"), number("x"), number("y"), C("p_id", "int", False)), ("id",),
+                     (ForeignKey(("p_id",), "p", ("id",)),), (("x", "y"), ("p_id", "y")))
+    made = seed(spark, (parent, spec), SeedOptions(rows={"p": 12, "t": 144}))
+    assert broken(made.tables, (parent, spec)) == [] and made.shortfall == {} and made.tables["t"].count() == 144
+
+
+def test_a_row_is_offered_another_value_after_a_clash(spark):
+    # Row 3 clashes with row 0; the first places free in (x, y) have an x that its a already has.
+    rows = spark.createDataFrame([(0, 5, 0, 1), (1, 5, 1, 1), (2, 5, 2, 1), (3, 5, 0, 1)], "_idx long, a int, x int, y int")
+    supplies = [Supply(("x",), 40, lambda i: [i.cast("int")]), Supply(("y",), 2, lambda i: [i.cast("int")])]
+    done = make_all_unique(rows, [["x", "y"], ["a", "x"]], lambda df, n: df, supplies)
+    assert done.left_out.isEmpty() and repeated(done.rows, [("x", "y"), ("a", "x")]) == {("x", "y"): 0, ("a", "x"): 0}
+
+
 def test_left_out_rows_leave_no_orphans(spark):
     parent = TableSpec("p", (C("id", "int"), C("x", "int", False, min_value=1, max_value=6), C("y", "boolean", False), C("z", "boolean", False)),
                        ("id",), unique_keys=(("x", "y"), ("y", "z")))
