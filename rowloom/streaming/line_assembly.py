@@ -7,6 +7,7 @@ their turn.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,7 +21,10 @@ QUIET = "10 minutes"
 # Chunks may come so much later than the newest one of the stream.
 LATE = "10 minutes"
 
-PLACE = "next long, line_no long, last long, finished boolean, until long"
+# Every look into the state is a call to the JVM. So the place of a request also tells how many chunks wait at most,
+# whether a tail is kept, and when its timer rings (0: none is set): what is not there is not asked for.
+PLACE = "next long, line_no long, last long, finished boolean, until long, held long, kept boolean, alarm long"
+NEW = (0, 0, -1, False, 0, 0, False, 0)
 
 
 # The state store that keeps lists and maps.
@@ -40,80 +44,85 @@ class LineProcessor(StatefulProcessor):
         self.waiting = handle.getMapState("waiting", "seq long", "chunk string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        following, number, last, finished, until = self.place.get() or (0, 0, -1, False, 0)
-        pieces, lines, newest = [], [], 0
+        following, number, last, finished, until, held, kept, alarm = self.place.get() or NEW
+        pieces, taken, lines, newest = [], [], [], 0
         for frame in rows:
-            newest = max(newest, int(frame["at"].max()))
-            ends = frame.loc[frame["done"], "seq"]
-            last = max(last, int(ends.max())) if len(ends) else last
+            newest = max(newest, *frame["at"].tolist())
+            seqs = frame["seq"].tolist()
+            last = max(last, *compress(seqs, frame["done"].tolist()), -1)
             if finished:
                 continue  # repeats of what is done
-            for seq, chunk in frame.sort_values("seq")[["seq", "chunk"]].itertuples(index=False):
-                if seq < following:
-                    continue
+            early = {seq: chunk for seq, chunk in zip(seqs, frame["chunk"].tolist(), strict=True) if seq >= following}
+            while True:
+                known = self.waiting.getValue((following,)) if held else None
+                if known is not None:
+                    taken.append(following)
+                    held -= 1
+                elif following in early:
+                    known = (early[following],)
+                else:
+                    break
+                pieces.append(known[0])
+                following += 1
+            for seq, chunk in early.items():
                 if seq > following:
                     self.waiting.updateValue((int(seq),), (chunk,))
-                    continue
-                while chunk is not None:
-                    pieces.append(chunk)
-                    following += 1
-                    chunk = self._taken(following)
+                    held += 1
+        if taken and held:
+            for seq in taken:
+                self.waiting.removeKey((seq,))
+        elif taken:
+            self.waiting.clear()
         text = "".join(pieces)
-        if "\n" in text:
-            lines = ("".join(p for (p,) in self.tail.get()) + text).split("\n") if self.tail.exists() else text.split("\n")
+        ended = not finished and 0 <= last < following
+        if ended or "\n" in text:
+            whole = "".join(p for (p,) in self.tail.get()) + text if kept else text
+            lines = whole.split("\n")
             text = lines.pop()
-            self.tail.clear()
-        if not finished and 0 <= last < following:
-            finished = True
-            rest = "".join(p for (p,) in self.tail.get()) + text if self.tail.exists() else text
-            lines += [rest] if rest else []
-            self._forget_text()
-        elif text:
+            if ended and text:
+                lines.append(text)
+            self._forget(kept, held if ended else 0)
+            kept, held, finished = False, 0 if ended else held, finished or ended
+        if text and not finished:
             self.tail.appendValue((text,))
+            kept = True
         if self.quiet_ms is not None:
             until = max(until, newest + self.quiet_ms)
-            self._wait_until(until)
+            if not alarm:  # one that rings too early is set anew then
+                alarm = until
+                self.handle.registerTimer(alarm)
         if finished and self.quiet_ms is None:
             self.place.clear()
         else:
-            self.place.update((following, number + len(lines), last, finished, until))
-        yield self._shown(key, number, lines)
+            self.place.update((following, number + len(lines), last, finished, until, held, kept, alarm))
+        if lines:
+            yield self._shown(key, number, lines)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         """What a request that never ended has left: its open line, then chunks behind a gap, in order."""
-        following, number, last, finished, until = self.place.get()
-        if expiredTimerInfo.getExpiryTimeInMs() < until:
-            return  # there was news since
-        lines: list[str] = []
-        if not finished:
-            late = [chunk for _, (chunk,) in sorted((k[0], v) for k, v in self.waiting.iterator())]
-            rest = "".join([p for (p,) in self.tail.get()] if self.tail.exists() else []) + "".join(late)
-            lines = rest.split("\n") if rest else []
-            lines = lines[:-1] if lines and lines[-1] == "" else lines
-        self._forget_text()
+        *known, until, held, kept, _ = self.place.get()
+        if until > timerValues.getCurrentWatermarkInMs():  # there was news since
+            self.handle.registerTimer(until)
+            self.place.update((*known, until, held, kept, until))
+            return
+        late = sorted((k[0], v[0]) for k, v in self.waiting.iterator()) if held else []
+        rest = "".join(p for (p,) in self.tail.get()) if kept else ""
+        rest += "".join(chunk for _, chunk in late)
+        lines = rest.split("\n") if rest else []
+        lines = lines[:-1] if lines and lines[-1] == "" else lines
+        self._forget(kept, held)
         self.place.clear()
-        yield self._shown(key, number, lines)
+        if lines:
+            yield self._shown(key, known[1], lines)
 
     def close(self) -> None:
         pass
 
-    def _taken(self, seq: int) -> str | None:
-        """A chunk that waited for its turn."""
-        if not self.waiting.exists() or not self.waiting.containsKey((seq,)):
-            return None
-        chunk = self.waiting.getValue((seq,))[0]
-        self.waiting.removeKey((seq,))
-        return chunk
-
-    def _forget_text(self) -> None:
-        self.tail.clear()
-        self.waiting.clear()
-
-    def _wait_until(self, at: int) -> None:
-        for timer in list(self.handle.listTimers()):
-            if timer != at:
-                self.handle.deleteTimer(timer)
-        self.handle.registerTimer(at)
+    def _forget(self, kept: bool, held: int) -> None:
+        if kept:
+            self.tail.clear()
+        if held:
+            self.waiting.clear()
 
     @staticmethod
     def _shown(key, number: int, lines: list[str]) -> pd.DataFrame:

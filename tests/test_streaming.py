@@ -6,7 +6,9 @@ import datetime as dt
 import json
 import random
 
-from rowloom.streaming.line_assembly import assemble_lines
+import pandas as pd
+
+from rowloom.streaming.line_assembly import LineProcessor, assemble_lines
 
 SCHEMA = "request_id string, seq long, line string, done boolean, ts timestamp"
 START = dt.datetime(2024, 1, 1)
@@ -59,3 +61,27 @@ def test_random_orders_equal_the_whole_text(spark, tmp_path):
     rng.shuffle(rows)
     got, _ = _run(spark, tmp_path, [rows[i::3] + rows[i::7] for i in range(3)])
     assert got == sorted(want)
+
+
+class _Counted:
+    """A state that counts the calls to it."""
+
+    def __init__(self, calls, kept=None):
+        self.calls, self.kept = calls, kept
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls.append(name)
+            return self.kept if name == "get" else [] if name == "listTimers" else False if name in ("exists", "containsKey") else None
+
+        return call
+
+
+def test_state_is_asked_only_for_what_it_holds():
+    calls: list[str] = []
+    machine = LineProcessor(1000)
+    machine.handle = machine.tail = machine.waiting = machine.place = _Counted(calls)
+    frame = pd.DataFrame({"seq": range(50), "chunk": ["a\n"] * 50, "done": [False] * 49 + [True], "at": [5] * 50})
+    made = list(machine.handleInputRows(("r",), iter([frame]), None))
+    assert [x for m in made for x in m["text"]] == ["a"] * 50
+    assert sorted(calls) == ["get", "registerTimer", "update"]

@@ -13,7 +13,7 @@ from rowloom.model import ColumnSpec, RepetitionRule, TableSpec
 from rowloom.operators.enrichment import enrich, enrichable_columns, first_occurrences, model_values, rebuild_lines
 from rowloom.operators.generate import GenerateOptions, generate_over, generate_table
 from rowloom.operators.indexing import dense_index
-from rowloom.session import shared_dir
+from rowloom.session import materialize, shared_dir, spread
 from rowloom.streaming.line_assembly import assemble_lines
 from workload.common import SEED, draw, table
 
@@ -121,18 +121,20 @@ def ndjson_stream(spark: SparkSession, d: str) -> DataFrame:
     turns = table(spark, d, "conversations").select("conv_id", "turn", F.concat("text", F.lit("\n")).alias("text"))
     placed = dense_index(turns, ["conv_id", "turn", "text"], "pos").df
     starts = placed.groupBy("conv_id").agg(F.min("pos").alias("start"), F.max("pos").alias("end"))
-    rows = placed.join(starts, "conv_id").select(
+    rows = materialize(placed.join(starts, "conv_id").select(
         F.col("conv_id").alias("request_id"), (F.col("pos") - F.col("start")).alias("seq"),
         F.to_json(F.struct(F.col("text").alias("response"))).alias("line"), ((F.col("pos") == F.col("end")) & (F.col("conv_id") % 7 > 0)).alias("done"),
         (start + F.make_dt_interval(secs=F.col("conv_id") % 60)).alias("ts"),
-    )
+    ))
     part = F.pmod(F.xxhash64("request_id", "seq"), F.lit(3))
-    for number in range(3):  # three files of every request's chunks, the second with some of the first once more
+    for number in range(3):  # three loads of every request's chunks, the second with some of the first once more
         own = rows.where(part.isin(number, number - 1) if number == 1 else part == number)
-        own.repartition(1 if number == 2 else 2).write.mode("append").parquet(f"{folder}/in")
+        spread(own).write.mode("append").parquet(f"{folder}/in")
     flush = spark.createDataFrame([(-1, 0, None, True)], "request_id bigint, seq bigint, line string, done boolean").withColumn("ts", start + F.make_dt_interval(hours=F.lit(9)))
     flush.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    # A trigger takes about one load, whose files are as many as there are cores, so batches are not cut to a few tasks.
+    files = max(2, len(spark.read.parquet(f"{folder}/in").inputFiles()) // 3)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in")
     query = (
         assemble_lines(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
         .outputMode("append").trigger(availableNow=True).start()
