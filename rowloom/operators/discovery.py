@@ -119,10 +119,14 @@ def column_domains(df: DataFrame, table: str, columns: Sequence[str], max_values
     """
     # Sketches drop the columns that are far over the limit, so their values never move.
     seen = df.agg(*[_estimate(_hashed(c)).alias(f"d{i}") for i, c in enumerate(columns)]).first()
-    columns = [c for i, c in enumerate(columns) if (seen[f"d{i}"] or 0) * SKETCH_SHARE <= max_values]
+    return _few_values(df, table, [c for i, c in enumerate(columns) if (seen[f"d{i}"] or 0) * SKETCH_SHARE <= max_values], max_values)
+
+
+def _few_values(df: DataFrame, table: str, columns: Sequence[str], max_values: int) -> DataFrame:
+    """The values of the columns, all of which are counted, where they are no more than ``max_values``."""
     if not columns:
         return df.sparkSession.createDataFrame([], "table_name string, column_name string, value string, n bigint")
-    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns])
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])
     counted = df.select(F.explode(pairs).alias("p")).select("p.*").where("value is not null").groupBy("column_name", "value").agg(F.count("*").alias("n"))
     small = counted.groupBy("column_name").agg(F.count("*").alias("d")).where(F.col("d") <= max_values)
     return counted.join(F.broadcast(small.select("column_name")), "column_name", "left_semi").select(
@@ -491,16 +495,25 @@ def _sketched_inclusions(
     return [c for i, c in enumerate(candidates) if seen[f"r{i}"]["own"] and not seen[f"r{i}"]["lost"]]
 
 
-def temporal_ranges(df: DataFrame, table: str) -> DataFrame:
-    """(table, column, first, last) of the date and time columns as texts with microseconds, in one scan."""
-    moments = (T.DateType, T.TimestampType, T.TimestampNTZType)
-    names = [f.name for f in df.schema.fields if isinstance(f.dataType, moments)]
-    shown = "yyyy-MM-dd HH:mm:ss.SSSSSS"
-    totals = df.agg(F.count("*").alias("n"), *[F.date_format(g(f"`{c}`"), shown).alias(f"{k}{i}") for i, c in enumerate(names) for k, g in (("a", F.min), ("b", F.max))])
-    lines = [F.struct(F.lit(c).alias("column_name"), F.col(f"a{i}").alias("first"), F.col(f"b{i}").alias("last")) for i, c in enumerate(names)]
-    if not lines:
-        return df.sparkSession.createDataFrame([], "table_name string, column_name string, first string, last string")
-    return totals.select(F.explode(F.array(*lines)).alias("r")).select(F.lit(table).alias("table_name"), "r.*")
+DESCRIBED = (
+    "table_name string, column_name string, type_family string, is_key boolean, nullable boolean, is_uuid boolean, "
+    "min_value double, max_value double, first string, last string"
+)
+MOMENT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+
+
+def _described(number: int, field: T.StructField) -> list[Column]:
+    """What one scan tells of a column: filled rows, a sketch of its values, its limits, its UUIDs."""
+    value, kind = F.col(f"`{field.name}`"), field.dataType
+    out = [F.count(value).alias(f"c{number}"), _estimate(_hashed(field.name)).alias(f"d{number}")]
+    ends = (("a", F.min(value)), ("b", F.max(value)))
+    if isinstance(kind, T.NumericType):
+        out += [end.cast("double").alias(f"{k}{number}") for k, end in ends]
+    elif isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        out += [F.date_format(end, MOMENT).alias(f"{k}{number}") for k, end in ends]
+    elif isinstance(kind, T.StringType):
+        out.append(F.count_if(value.rlike(UUID_PATTERN)).alias(f"u{number}"))
+    return out
 
 
 def describe_columns(df: DataFrame, table: str, max_values: int = 20) -> DataFrame:
@@ -508,15 +521,29 @@ def describe_columns(df: DataFrame, table: str, max_values: int = 20) -> DataFra
 
     Columns without repeats and nulls are never nullable. Numbers have limits as numbers, dates and times as texts
     with microseconds. The value list is given when at most ``max_values`` values occur, so it is short by
-    definition.
+    definition. One scan tells all but keys and value lists; only columns that its sketches leave as possible keys
+    or lists are counted exactly.
     """
-    kept = df.select(*[f"`{f.name}`" for f in df.schema.fields if _comparable(f.dataType)])
-    facts = profile_columns(kept, table)
-    unique = (F.col("n_distinct") == F.col("n_rows")) & (F.col("n_nulls") == 0) & F.col("type_family").isin("integer", "string")
-    domains = column_domains(kept, table, kept.columns, max_values).groupBy("column_name").agg(F.sort_array(F.collect_list("value")).alias("allowed"))
-    limits, moments = numeric_ranges(kept, table).drop("table_name"), temporal_ranges(kept, table).drop("table_name")
-    return (
-        facts.join(limits, "column_name", "left").join(moments, "column_name", "left").join(domains, "column_name", "left")
-        .select("table_name", "column_name", "type_family", unique.alias("is_key"), (~unique & (F.col("n_nulls") > 0)).alias("nullable"),
-                "is_uuid", "min_value", "max_value", "first", "last", "allowed")
+    fields = [f for f in df.schema.fields if _comparable(f.dataType)]
+    if not fields:
+        return df.sparkSession.createDataFrame([], f"{DESCRIBED}, allowed array<string>")
+    kept = df.select(*[f"`{f.name}`" for f in fields])
+    seen = kept.agg(F.count("*").alias("n"), *[a for i, f in enumerate(fields) for a in _described(i, f)]).first().asDict()
+    rows, lattice = seen["n"], _Lattice(kept, seen["n"])
+    for i, f in enumerate(fields):
+        lattice.sizes[f.name,], lattice.distinct[f.name,] = seen[f"c{i}"], seen[f"d{i}"] or 0
+    able = [(f.name,) for f in fields if _family(f.dataType) in ("integer", "string") and lattice.sizes[f.name,] == rows]
+    keys = set(lattice.keys_among(able) if rows else able)
+    lines = []
+    for i, f in enumerate(fields):
+        moment, is_key = not isinstance(f.dataType, T.NumericType), (f.name,) in keys
+        ends = [seen.get(f"a{i}"), seen.get(f"b{i}")]
+        lines.append((
+            table, f.name, _family(f.dataType), is_key, not is_key and seen[f"c{i}"] < rows, 0 < seen[f"c{i}"] == seen.get(f"u{i}"),
+            *([None, None, *ends] if moment else [*ends, None, None]),
+        ))
+    few = [f.name for f in fields if lattice.distinct[f.name,] * SKETCH_SHARE <= max_values]
+    domains = _few_values(kept, table, few, max_values).groupBy("column_name").agg(F.sort_array(F.collect_list("value")).alias("allowed"))
+    return df.sparkSession.createDataFrame(lines, DESCRIBED).join(domains, "column_name", "left").select(
+        "table_name", "column_name", "type_family", "is_key", "nullable", "is_uuid", "min_value", "max_value", "first", "last", "allowed"
     )

@@ -75,6 +75,20 @@ def test_temporal_limits(spark):
     assert {r.column_name: r["first"] for r in empty} == {"t": None, "n": None}
 
 
+def test_a_described_table_is_scanned_once_beside_exact_counts(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        seen.add(1)
+        return x
+
+    rows = spark.range(1000).select(F.udf(counted, "long")("id").alias("id"), (F.col("id") % 3).alias("few"), (F.col("id") % 900).alias("many"))
+    got = {r.column_name: r for r in describe_columns(rows, "x", 3).collect()}
+    assert seen.value <= 2000
+    assert got["id"].is_key and not got["many"].is_key and got["few"].allowed == ["0", "1", "2"] and got["many"].allowed is None
+    assert (got["id"].min_value, got["id"].max_value, got["many"].max_value) == (0.0, 999.0, 899.0)
+
+
 def test_few_tuples_of_a_small_child_in_a_large_parent(spark):
     # The sketch of the large side holds about one of a hundred tuples, so it holds none or few of the child's.
     lines = spark.range(400_000).select((F.col("id") / 4).cast("int").alias("bill"), (F.col("id") % 4).cast("int").alias("line"))
