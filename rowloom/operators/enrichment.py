@@ -128,14 +128,13 @@ def rebuild_lines(chunks: DataFrame, request: str = "request_id", seq: str = "se
     # Range partitioning reads its input twice, so the parsed chunks are written once first.
     parsed = materialize(parsed.withColumn("breaks", breaks.cast("bigint")))
     ordered = checkpointed(parsed.repartitionByRange("request", "seq").sortWithinPartitions("request", "seq"))
-    numbered = materialize(_running_breaks(ordered))
-    starts = numbered.groupBy("request").agg(F.min("before").alias("start"))
-    pieces = lookup(numbered, starts, ["request"]).select(
-        "request", "seq", (F.col("before") - F.col("start")).alias("first_line"), F.posexplode(F.split("chunk", "\n", -1)).alias("i", "piece")
-    )
-    placed = pieces.select("request", (F.col("first_line") + F.col("i")).alias("line_no"), "seq", "piece")
-    whole = placed.groupBy("request", "line_no").agg(F.sort_array(F.collect_list(F.struct("seq", "piece"))).alias("parts"))
-    return whole.select("request", "line_no", F.array_join(F.col("parts.piece"), "").alias("text"))
+    pieces = _running_breaks(ordered).select("request", "seq", "before", F.posexplode(F.split("chunk", "\n", -1)).alias("i", "piece"))
+    # Lines are put together under their number over all requests, so only lines, not chunks, meet their request's first.
+    placed = pieces.select("request", (F.col("before") + F.col("i")).alias("line"), "seq", "piece")
+    parts = placed.groupBy("request", "line").agg(F.sort_array(F.collect_list(F.struct("seq", "piece"))).alias("parts"))
+    whole = materialize(parts.select("request", "line", F.array_join(F.col("parts.piece"), "").alias("text")))
+    starts = whole.groupBy("request").agg(F.min("line").alias("start"))
+    return lookup(whole, starts, ["request"]).select("request", (F.col("line") - F.col("start")).alias("line_no"), "text")
 
 
 def _running_breaks(ordered: DataFrame) -> DataFrame:

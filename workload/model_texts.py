@@ -87,7 +87,8 @@ SELECT doc_id, value FROM cleaned
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
     """Every conversation as one model answer, cut into word tokens as NDJSON; some lines malformed."""
-    turns = table(spark, d, "conversations")
+    # A small file of texts is one task; the chunks it makes are many.
+    turns = spread(table(spark, d, "conversations").select("conv_id", "turn", "text"))
     words = turns.select(
         F.col("conv_id").alias("request_id"), "turn", F.posexplode(F.split(F.concat("text", F.lit("\n")), "(?<= )", -1)).alias("w", "token")
     )
