@@ -106,15 +106,15 @@ def _wrap(form: str, value: Column) -> Column:
 
 
 def _plain_double(value: Column) -> Column:
-    """A double without exponent or trailing zeros, all printed digits kept; NaN and infinities have no literal.
+    """A double without exponent or trailing zeros, all printed digits and the sign kept, that of a negative zero too.
 
-    Numbers printed without an exponent only lose their trailing zeros. For others the point is moved inside the
-    printed digits, so nothing is computed and nothing is rounded.
+    NaN and infinities have no literal. Numbers printed without an exponent only lose their trailing zeros. For others
+    the point is moved inside the printed digits, so nothing is computed and nothing is rounded.
     """
     shown = value.cast("string")
     plain = F.rtrim(F.rtrim(shown, F.lit("0")), F.lit("."))
     finite = ~(F.isnan(value) | value.isin(float("inf"), float("-inf")))
-    return F.when(value == 0, F.lit("0")).when(finite, F.when(shown.contains("E"), _moved_point(value)).otherwise(plain))
+    return F.when(finite, F.when(shown.contains("E"), _moved_point(value)).otherwise(plain))
 
 
 def _moved_point(value: Column) -> Column:
