@@ -7,6 +7,7 @@ n; no transitive closure is built. State is checkpointed every round.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 from math import ceil, log2
 
@@ -37,77 +38,86 @@ def _degrees(edges: DataFrame) -> DataFrame:
     return out.unionByName(into).groupBy("node").agg(F.sum("o").alias("outs"), F.sum("i").alias("ins"))
 
 
-def _runs(edges: DataFrame, levels: DataFrame | None = None) -> tuple[DataFrame, DataFrame] | None:
-    """Nodes inside unbranched runs, and the nodes of rings that have no branch at all.
+@dataclass(frozen=True)
+class _Runs:
+    """Unbranched runs taken out of a graph.
 
-    Runs: (node, head, steps, base, tail, rest): the branching node before the run and the
-    distance from it, the level the run alone guarantees, and the branching node after the
-    run with the distance to it. Rings: (node, ring) with the smallest member.
+    ``nodes`` (node, head, steps, base, first): the branching node before the run and the distance from it, the level
+    the run alone guarantees, and the run's first node, which names it. ``ends`` (first, head, tail, w, offer): the
+    branching nodes around a run, their distance, and the level the run alone guarantees to the tail. ``rings``
+    (node, ring): rings that have no branch at all, with their smallest member. ``edges``: each run is one edge.
     """
-    linear, count = materialize_counted(_degrees(edges).where("ins = 1 and outs = 1").select("node"))
+
+    nodes: DataFrame
+    ends: DataFrame
+    rings: DataFrame
+    edges: DataFrame
+
+
+def _runs(edges: DataFrame, linear: DataFrame) -> _Runs | None:
+    """Contract the runs of the ``linear`` nodes (node, base), those with one edge in and one out.
+
+    Pointers are followed backwards only: the last node of a run then knows all that its tail needs.
+    """
+    linear, count = materialize_counted(linear)
     if count == 0:
         return None
-    zero = F.lit(0).cast("bigint")
-    before = edges.join(linear.withColumnRenamed("node", "dst"), "dst", "left_semi").select(
-        F.lit("up").alias("way"), F.col("dst").alias("node"), F.col("src").alias("at"), F.col("w").alias("steps")
-    )
-    after = edges.join(linear.withColumnRenamed("node", "src"), "src", "left_semi").select(
-        F.lit("down").alias("way"), F.col("src").alias("node"), F.col("dst").alias("at"), F.col("w").alias("steps")
-    )
-    hops = before.unionByName(after)
-    if levels is None:
-        hops = hops.withColumn("base", zero)
-    else:
-        hops = hops.join(levels.select("node", F.col("level").alias("base")), "node")
-    ends = _follow(hops, linear, count)
-    up, down = ends.where("way = 'up'"), ends.where("way = 'down'")
-    rings = up.where("inner").select("node", F.least("node", "low").alias("ring"))
-    runs = (
-        up.where("not inner").select("node", F.col("at").alias("head"), "steps", "base")
-        .join(down.where("not inner").select("node", F.col("at").alias("tail"), F.col("steps").alias("rest")), "node")
+    leaving = linear.select(F.col("node").alias("src"), F.lit(True).alias("leaves"))
+    entering = linear.select(F.col("node").alias("dst"), "base", F.lit(True).alias("enters"))
+    flagged = materialize(edges.join(leaving, "src", "left").join(entering, "dst", "left").select(
+        "src", "dst", "w", "base", F.coalesce("leaves", F.lit(False)).alias("leaves"), F.coalesce("enters", F.lit(False)).alias("enters")
+    ))
+    hops = flagged.where("enters").select(
+        F.col("dst").alias("node"), F.col("src").alias("at"), F.col("w").alias("steps"), "base", F.col("leaves").alias("inner"),
+        F.col("src").alias("low"), F.col("dst").alias("first"),
     )
-    return materialize(runs), materialize(rings)
+    done, circling = _follow(hops, count)
+    last = flagged.where("leaves and not enters").select(F.col("src").alias("node"), F.col("dst").alias("tail"), "w")
+    ends = materialize(last.join(done, "node").select(
+        "first", "head", "tail", (F.col("steps") + F.col("w")).alias("w"), (F.col("base") + F.col("w")).alias("offer")
+    ))
+    kept = flagged.where("not leaves and not enters").select("src", "dst", "w")
+    bridges = ends.select(F.col("head").alias("src"), F.col("tail").alias("dst"), "w")
+    contracted = materialize(_heaviest(kept.unionByName(bridges)))
+    for table in (linear, flagged):
+        forget(table)
+    return _Runs(done, ends, circling.select("node", F.least("node", "low").alias("ring")), contracted)
 
 
-def _follow(hops: DataFrame, linear: DataFrame, count: int) -> DataFrame:
-    """Follow pointers both ways, doubling the distance each round, until they leave the linear nodes."""
-    inside = linear.select(F.col("node").alias("at"), F.lit(True).alias("inner"))
-    now = materialize(hops.join(inside, "at", "left").select(
-        "way", "node", "at", "steps", "base", F.coalesce("inner", F.lit(False)).alias("inner"), F.col("at").alias("low")
-    ))
+def _follow(hops: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
+    """Follow pointers, doubling the distance each round, until they leave the linear nodes; those that never do.
+
+    A round writes only the pointers that were still inside.
+    """
+    now, going = _pointers(hops)
+    done = [now.where("not inner")]
     for _ in range(ceil(log2(count + 1)) + 1):
-        # A linear node has one neighbour either way, so targets are distinct per direction.
-        onward = now.select(
-            "way", F.col("node").alias("at"), F.col("at").alias("at2"), F.col("steps").alias("steps2"),
-            F.col("base").alias("base2"), F.col("inner").alias("inner2"), F.col("low").alias("low2"),
+        if going == 0:
+            break
+        # A linear node has one neighbour behind it, so targets are distinct.
+        onward = reduce(DataFrame.unionByName, done, now.where("inner")).select(
+            F.col("node").alias("at"), F.col("at").alias("at2"), F.col("steps").alias("steps2"), F.col("base").alias("base2"),
+            F.col("inner").alias("inner2"), F.col("low").alias("low2"), F.col("first").alias("first2"),
         )
-        moved = now.where("inner").join(onward, ["way", "at"]).select(
-            "way", "node", F.col("at2").alias("at"), (F.col("steps") + F.col("steps2")).alias("steps"),
+        now, going = _pointers(now.where("inner").join(onward, "at").select(
+            "node", F.col("at2").alias("at"), (F.col("steps") + F.col("steps2")).alias("steps"),
             F.greatest(F.col("base"), F.col("base2") + F.col("steps")).alias("base"),
-            F.col("inner2").alias("inner"), F.least("low", "low2").alias("low"),
-        )
-        seen = Observation()
-        both = now.where("not inner").unionByName(moved).observe(seen, F.count_if(F.col("inner")).alias("going"))
-        now = materialize(both)
-        if seen.get["going"] == 0:
-            break
-    return now
+            F.col("inner2").alias("inner"), F.least("low", "low2").alias("low"), F.col("first2").alias("first"),
+        ))
+        done.append(now.where("not inner"))
+    left = reduce(DataFrame.unionByName, done).select("node", F.col("at").alias("head"), "steps", "base", "first")
+    return left, now.where("inner")
 
 
-def _heaviest(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("src", "dst").agg(F.max("w").alias("w"))
+def _pointers(rows: DataFrame) -> tuple[DataFrame, int]:
+    """The pointers as a table, and how many are still inside."""
+    seen = Observation()
+    table = materialize(rows.observe(seen, F.count_if(F.col("inner")).alias("going")))
+    return table, seen.get["going"]
 
 
-def _contract(edges: DataFrame, runs: DataFrame) -> DataFrame:
-    """Replace each run by one edge with the run's total weight."""
-    gone = runs.select(F.col("node"))
-    kept = edges.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(
-        gone.withColumnRenamed("node", "dst"), "dst", "left_anti"
-    )
-    bridges = runs.groupBy("head", "tail", (F.col("steps") + F.col("rest")).alias("w")).agg(F.count("*")).select(
-        F.col("head").alias("src"), F.col("tail").alias("dst"), "w"
-    )
-    return _heaviest(kept.select("src", "dst", "w").unionByName(bridges))
+def _heaviest(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("src", "dst").agg(F.max("w").alias("w"))
 
 
 def component_ids(edges: DataFrame) -> DataFrame:
@@ -129,13 +139,12 @@ def component_ids(edges: DataFrame) -> DataFrame:
             )
         )
         shrunk, size = inner_size < size, inner_size
-        parts = _runs(left) if size else None
-        if parts is not None:
-            runs, rings = parts
-            found.append(rings.select("node", F.col("ring").alias("component")))
-            expansions.append(runs.select("node", "head", "tail"))
-            left = left.join(rings.select(F.col("node").alias("src")), "src", "left_anti")
-            left, size = materialize_counted(_contract(left, runs).where("src <> dst"))
+        linear = _degrees(left).where("ins = 1 and outs = 1").select("node", F.lit(0).cast("bigint").alias("base"))
+        runs = _runs(left, linear) if size else None
+        if runs is not None:
+            found.append(runs.rings.select("node", F.col("ring").alias("component")))
+            expansions.append(runs.nodes.select("node", "head", "first").join(runs.ends.select("first", "tail"), "first"))
+            left, size = materialize_counted(runs.edges.where("src <> dst"))
         elif size and not shrunk:
             members = _colour(left)
             found.append(members)
@@ -215,16 +224,15 @@ def load_levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     The level is the longest path over the condensed graph. A graph without cycles is its own
     condensation; components are looked for only when removing sources gets stuck.
     """
-    members = _ends(edges) if nodes is None else _ends(edges).unionByName(nodes.select("node"))
-    members = materialize(members.distinct())
     one = F.lit(1).cast("bigint").alias("w")
-    plain = materialize(edges.where("src <> dst").select("src", "dst", one).distinct())
-    levels = _longest_paths(plain, members)
+    pairs = materialize(edges.select("src", "dst", one).distinct())
+    alone = [] if nodes is None else [nodes.select("node")]
+    levels = _longest_paths(pairs, reduce(DataFrame.unionByName, alone, _ends(pairs.where("src = dst"))))
     if levels is not None:
         return levels.select("node", F.col("node").alias("component"), "level")
     ids = component_ids(edges)
     if nodes is not None:
-        alone = members.join(ids, "node", "left_anti")
+        alone = nodes.select("node").distinct().join(ids, "node", "left_anti")
         ids = ids.unionByName(alone.select("node", F.col("node").alias("component")))
     ids = materialize(ids)
     condensed = (
@@ -236,33 +244,54 @@ def load_levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return ids.join(levels.withColumnRenamed("node", "component"), "component").select("node", "component", "level")
 
 
-def _longest_paths(edges: DataFrame, members: DataFrame) -> DataFrame | None:
-    """(node, level) by removing sources round by round, or None when a cycle is left.
+def _state(parts: list[DataFrame], edges: DataFrame) -> tuple[DataFrame, int]:
+    """(node, level, outs, ins) of the nodes of ``parts`` (node, level, gone) and of the edges, without those that are
+    gone; the level is the highest one offered. Counted before the one shuffle, so hubs cost nothing extra."""
+    zero, none, no = F.lit(0).alias("o"), F.lit(0).alias("i"), F.lit(False).alias("gone")
+    ground = F.lit(0).cast("bigint").alias("level")
+    out = edges.select(F.col("src").alias("node"), ground, F.lit(1).alias("o"), none, no)
+    into = edges.select(F.col("dst").alias("node"), ground, zero, F.lit(1).alias("i"), no)
+    every = reduce(DataFrame.unionByName, [p.select("node", "level", zero, none, "gone") for p in parts], out.unionByName(into))
+    return materialize_counted(
+        every.groupBy("node").agg(F.max("level").alias("level"), F.sum("o").alias("outs"), F.sum("i").alias("ins"), F.max("gone").alias("gone"))
+        .where("not gone").drop("gone")
+    )
+
+
+def _part(rows: DataFrame, level: str = "level", gone: bool = False) -> DataFrame:
+    return rows.select("node", F.col(level).alias("level"), F.lit(gone).alias("gone"))
+
+
+def _longest_paths(edges: DataFrame, others: DataFrame) -> DataFrame | None:
+    """(node, level) of the nodes of ``edges`` and of ``others`` by removing sources round by round, or None when a cycle is
+    left. Edges from a node to itself are left out.
 
     Between compactions the edges and the waiting nodes stay as they are: a round writes only the nodes that became
     sources and those that some of their predecessors have reached, with the number of those. Compactions, after
     1, 2, 4, ... rounds, drop what is done, and contract runs, so depth alone does not cost rounds.
     """
-    left = edges
-    waiting = materialize(members.select("node", F.lit(0).cast("bigint").alias("level")))
+    stored, left = edges, edges.where("src <> dst")
+    zero = F.lit(0).cast("bigint")
+    state, waiting = _state([_part(others.select("node", zero.alias("level")))], left)
     final: list[DataFrame] = []
     expansions: list[DataFrame] = []
     rounds = 1
-    while True:
+    while waiting:
         # Looking for runs costs joins, so it is tried at compactions only, and not at the start.
-        parts = _runs(left, waiting) if rounds > 1 else None
-        if parts is not None:
-            runs, rings = parts
-            old, left = left, materialize(_contract(left, runs))
-            forget(old)
+        linear = state.where("ins = 1 and outs = 1").select("node", F.col("level").alias("base"))
+        runs = _runs(left, linear) if rounds > 1 else None
+        if runs is not None:
+            old = (stored, state)
+            stored = left = runs.edges
             # Rings, and runs that return to their own head, are cycles.
-            if not rings.isEmpty() or not left.where("src = dst").isEmpty():
+            if not runs.rings.isEmpty() or not left.where("src = dst").isEmpty():
                 return None
-            expansions.append(runs.select("node", "head", "steps", "base"))
-            raised = runs.groupBy(F.col("tail").alias("node")).agg(F.max(F.col("base") + F.col("rest")).alias("offer"))
-            waiting = _raise(waiting.join(runs.select("node"), "node", "left_anti"), raised)
-        needed = materialize(left.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("needed")))
-        sources = waiting.join(needed, "node", "left_anti").select("node", "level")
+            expansions.append(runs.nodes.select("node", "head", "steps", "base"))
+            state, _ = _state([_part(state.where("ins <> 1 or outs <> 1")), _part(runs.ends.withColumnRenamed("tail", "node"), "offer")], left)
+            for table in old:
+                forget(table)
+        needed = state.where("ins > 0").select("node", "level", F.col("ins").alias("needed"))
+        sources = state.where("ins = 0").select("node", "level")
         reached, done = None, []
         for _ in range(rounds):
             sources, ready = materialize_counted(sources)
@@ -275,37 +304,28 @@ def _longest_paths(edges: DataFrame, members: DataFrame) -> DataFrame | None:
             both = sent if reached is None else sent.unionByName(reached).groupBy("node").agg(
                 F.max("offer").alias("offer"), F.sum("arrived").alias("arrived")
             )
-            touched = materialize(both.join(needed, "node").join(waiting, "node").select(
-                "node", F.greatest("level", "offer").alias("offer"), "arrived", "needed"
-            ))
+            touched = materialize(both.join(needed, "node").select("node", F.greatest("level", "offer").alias("offer"), "arrived", "needed"))
             sources = touched.where("arrived = needed").select("node", F.col("offer").alias("level"))
             reached = touched.where("arrived < needed").select("node", "offer", "arrived")
         if not done:
-            if left.isEmpty():
-                break
             return None
         final += done
-        gone = reduce(DataFrame.unionByName, done).select("node")
-        known = sources.withColumnRenamed("level", "offer")
-        known = known if reached is None else known.unionByName(reached.select("node", "offer"))
-        old = (left, waiting, needed)
-        waiting = _raise(waiting.join(gone, "node", "left_anti"), known)
-        left = materialize(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti"))
+        gone = reduce(DataFrame.unionByName, done)
+        old = (stored, state)
+        stored = left = materialize(left.join(gone.select(F.col("node").alias("src")), "src", "left_anti"))
+        parts = [_part(state), _part(gone, gone=True), _part(sources)]
+        parts += [] if reached is None else [_part(reached, "offer")]
+        state, waiting = _state(parts, left)
         for table in old:
             forget(table)
-        if waiting.isEmpty():
-            break
         rounds *= 2
-    known = materialize(reduce(DataFrame.unionByName, final, waiting.select("node", "level").where("false")))
+    known = reduce(DataFrame.unionByName, final) if final else state.select("node", "level")
     for runs in reversed(expansions):
+        known = materialize(known)
         heads = known.select(F.col("node").alias("head"), "level")
         inner = runs.join(heads, "head").select("node", F.greatest(F.col("base"), F.col("level") + F.col("steps")).alias("level"))
-        known = materialize(known.unionByName(inner))
-    return known
-
-
-def _raise(levels: DataFrame, offers: DataFrame) -> DataFrame:
-    return materialize(levels.join(offers, "node", "left").select("node", F.greatest("level", "offer").alias("level")))
+        known = known.unionByName(inner)
+    return materialize(known)
 
 
 def load_order(levels: DataFrame) -> DataFrame:
