@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from rowloom.llm.rolling import Rolling, mixed, word_hashes
+from rowloom.llm.rolling import Rolling, mixed, word_bounds, word_hashes
 from rowloom.llm.similar_sets import CELL, SHINGLE, SHINGLED, shingled, similar_sets
 from rowloom.llm.suffix_index import _least, kept_bytes, merged_spans
 from rowloom.llm.texts import WHO, map_texts, who_columns
@@ -209,7 +209,9 @@ def repeated_runs(found: DataFrame, texts: DataFrame) -> DataFrame:
     wanted, n_wanted = materialize_counted(wanted)
     hashed = _only(texts, wanted, n_wanted).join(wanted, WHO).select("text", "spans").mapInArrow(_run_hashes, "anchor long, around long, off int, run long")
     own = F.struct(*[F.col(f"place.{w}").alias(w) for w in WHO], (F.col("place.at") + F.col("off")).alias("at"))
-    runs = materialize(hashed.distinct().join(mixed_, ["anchor", "around"]).select("anchor", "around", "off", "run", own.alias("place")))
+    # Rows of repeated documents go after the join, whose shuffle serves that too.
+    placed = hashed.join(mixed_, ["anchor", "around"]).dropDuplicates(["anchor", "around", "off"])
+    runs = materialize(placed.select("anchor", "around", "off", "run", own.alias("place")))
     firsts, n_runs = materialize_counted(runs.groupBy("run").agg(F.min("place").alias("keeper")))
     compared = lookup(runs.select("anchor", "around", "off", "run"), firsts, ["run"], n_runs, "inner")
     offs = F.sort_array(F.collect_list(F.struct("off", "keeper"))).alias("offs")
@@ -245,7 +247,7 @@ def _ranges(rows: DataFrame) -> DataFrame:
 
 def _run_spans(text: bytes, who: tuple, runs: list[dict]) -> list[tuple[int, int]]:
     """The bytes of ranges of runs. Runs that overlap the ones kept in the same text go from those ones' end."""
-    _, starts, stops = word_hashes(text)
+    starts, stops = word_bounds(text)
     out = []
     for r in runs:
         low, high, kept = r["at"], r["at"] + r["n"] - 1 + RUN, r["keeper"]
@@ -259,8 +261,9 @@ def _run_spans(text: bytes, who: tuple, runs: list[dict]) -> list[tuple[int, int
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept, removed, spans = [], [], []
-        columns = [batch.column(n).to_pylist() for n in ("text", "parts", "runs", *WHO)]
-        for text, parts, repeated, *who in zip(*columns, strict=True):
+        texts = batch.column("row").field("text").cast(pa.binary()).to_pylist()
+        columns = [batch.column(n).to_pylist() for n in ("parts", "runs", *WHO)]
+        for text, parts, repeated, *who in zip(texts, *columns, strict=True):
             cut = [(p["start"], p["stop"]) for p in parts or []]
             if repeated:
                 cut += _run_spans(text, tuple(who), repeated)
@@ -287,7 +290,7 @@ def deduped(docs: DataFrame) -> DataFrame:
         "row", *who_columns(F.col("_id"), F.col("text"), docs.schema["doc_id"].dataType), "text"
     )
     texts = plain.select(*WHO, "text")
-    found = materialize(map_texts(texts, _marked, StructType([*UNITS.fields, *ANCHORS.fields])).select(*[f"row.{w}" for w in WHO], "found.*"))
+    found = materialize(map_texts(texts, _marked, StructType([*UNITS.fields, *ANCHORS.fields]), keep=WHO).select(*[f"row.{w}" for w in WHO], "found.*"))
     each = found.select(*WHO, F.explode(F.arrays_zip("start", "stop", "words", "code")).alias("u")).select(*WHO, "u.*").withColumn(
         "place", F.struct(*WHO, "start", "stop")
     )
@@ -311,7 +314,8 @@ def deduped(docs: DataFrame) -> DataFrame:
     runs = repeated_runs(found, texts)
     forget(found)
     both = parts.join(runs, WHO, "full").select(*WHO, "parts", "runs", _keepers().alias("kept_in"))
-    joined = plain.join(both, WHO, "left").select("row", *WHO, "text", "parts", "runs", "kept_in")
+    # The text goes along once, inside its row.
+    joined = plain.drop("text").join(both, WHO, "left").select("row", *WHO, "parts", "runs", "kept_in")
     schema = StructType(
         [
             StructField("row", docs.schema), StructField("kept", StringType()), StructField("n_spans", LongType()),

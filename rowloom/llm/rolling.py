@@ -21,6 +21,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
 #: A random 64-bit value for each byte.
 BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
+_IN_WORDS = np.ones(256, bool)
+_IN_WORDS[[9, 10, 11, 12, 13, 32]] = False
+
 
 class _Powers:
     """Powers of the base and of its inverse, kept and grown as rows ask for them."""
@@ -54,11 +57,16 @@ class Rolling:
         return mixed((self.sums[size : size + n] - self.sums[:n]) * self.down[:n])
 
 
+def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Start and stop of each run of bytes other than ASCII white space, in order."""
+    inside = np.zeros(len(data) + 2, bool)
+    inside[1:-1] = _IN_WORDS[np.frombuffer(data, np.uint8)]
+    # Bounds take turns: a word starts, a word stops.
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return edges[::2], edges[1::2]
+
+
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and stop of each run of bytes other than ASCII white space, in order."""
-    raw = np.frombuffer(data, np.uint8)
-    inside = np.zeros(len(raw) + 2, np.int8)
-    inside[1:-1] = (raw != 32) & ((raw < 9) | (raw > 13))
-    edge = np.diff(inside)
-    starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    return Rolling(BYTES[raw]).of(starts, stops), starts, stops
+    """Hash, start and stop of each word, as ``word_bounds`` has them."""
+    starts, stops = word_bounds(data)
+    return Rolling(BYTES[np.frombuffer(data, np.uint8)]).of(starts, stops), starts, stops

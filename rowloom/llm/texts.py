@@ -16,17 +16,19 @@ BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def map_texts(
-    docs: DataFrame, work: Callable[..., list[pa.Array]], found: StructType, text: str = "text", beside: Column | None = None
+    docs: DataFrame, work: Callable[..., list[pa.Array]], found: StructType, text: str = "text", beside: Column | None = None,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: ``row`` holds all its columns, ``found`` what ``work`` made of the texts.
 
     ``work`` gets the UTF-8 bytes of some texts (None for null) and returns one array per field of
     ``found``; with ``beside``, it gets the values of that expression as a second list. Packing both
-    sides keeps extra columns of any name from clashing.
+    sides keeps extra columns of any name from clashing. With ``keep``, ``row`` holds only those columns.
     """
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    schema = StructType([StructField("row", docs.schema), StructField("found", found)])
+    kept = list(range(len(docs.columns))) if keep is None else [docs.columns.index(c) for c in keep]
+    schema = StructType([StructField("row", StructType([docs.schema[k] for k in kept])), StructField("found", found)])
     names = [f.name for f in found]
     at, width = docs.columns.index(text), len(docs.columns)
 
@@ -35,7 +37,7 @@ def map_texts(
             for part in slices(batch, at):
                 texts = part.column(at).cast(pa.binary()).to_pylist()
                 more = [c.to_pylist() for c in part.columns[width:]]
-                row = pa.StructArray.from_arrays(part.columns[:width], fields=list(part.schema)[:width])
+                row = pa.StructArray.from_arrays([part.columns[k] for k in kept], fields=[part.schema.field(k) for k in kept])
                 yield pa.RecordBatch.from_arrays([row, pa.StructArray.from_arrays(work(texts, *more), names)], ["row", "found"])
 
     given = docs if beside is None else docs.select("*", beside.alias("|".join(["beside", *docs.columns])))
