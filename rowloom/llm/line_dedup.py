@@ -6,7 +6,6 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -221,8 +220,9 @@ def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     Each run of evidence links all its holders with the earliest of them, one link a holder, so neither
     a frequent line nor a large group of copies makes all pairs.
     """
-    listed = map_texts(docs.select("doc_id", "text"), _lines, LINES)
-    base = materialize(listed.select(_who("row.").alias("who"), "found.*")).select("who", "hashes", "words", "runs")
+    # Texts go to Python only: what comes back stands beside the identity alone.
+    listed = map_texts(docs.select(_who().alias("who"), "text"), _lines, LINES, keep=["who"])
+    base = materialize(listed.select("row.who", "found.*"))
     held = base.select("who", F.explode("runs").alias("run")).distinct()
     first = held.groupBy("run").agg(F.min("who").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     return base, held.join(first, "run").where("who <> first").select("first", "who").distinct()
@@ -268,13 +268,16 @@ def cut_copies(docs: DataFrame, base: DataFrame, links: DataFrame, gone: DataFra
     return copies
 
 
-@F.pandas_udf(StringType())
-def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
-    def kept(t, lines):
-        dropped = set(lines.tolist())
+@F.arrow_udf(StringType())
+def _without(text: pa.Array, gone: pa.Array) -> pa.Array:
+    """The texts without the lines that go; null where none do."""
+
+    def kept(t: str, lines: list[int]) -> str:
+        dropped = set(lines)
         return "\n".join(x for k, x in enumerate(t.split("\n")) if k not in dropped)
 
-    return pd.Series([t if g is None else kept(t, g) for t, g in zip(text, gone, strict=True)], dtype=object)
+    pairs = zip(text, gone, strict=True)
+    return pa.array([kept(t.as_py(), g.as_py()) if g.is_valid else None for t, g in pairs], pa.string())
 
 
 def deduped(docs: DataFrame) -> DataFrame:
@@ -296,9 +299,11 @@ def _without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
     joined = keyed.join(gone, keyed["key"] == gone["key"], "left")
     text = F.col("row.text")
     lines = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
+    # Only texts that lose lines are sent to Python.
+    cut = _without(F.when(F.col("gone").isNotNull(), text), F.col("gone"))
     return joined.select(
         "row",
-        F.when(F.col("gone").isNull(), text).otherwise(_without(text, F.col("gone"))).alias("kept"),
+        F.coalesce(cut, text).alias("kept"),
         lines.cast("bigint").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"),
     )

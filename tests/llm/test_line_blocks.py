@@ -76,3 +76,17 @@ def test_near_copies_go_whole_and_ids_may_be_texts(spark):
     assert set(kept) == {"a", "c", None, "e"} and kept["a"].text == text(base)
     assert kept["c"].text == text(half[12:])
     assert {r.row.doc_id for r in line_dedup.deduped(docs).collect()} == {"a", "b", "c", "d", None, "e"}
+
+
+def test_only_texts_that_lose_lines_go_to_python(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    @F.arrow_udf("string")
+    def strict(text, gone):
+        assert text.is_valid().equals(gone.is_valid())
+        return text
+
+    monkeypatch.setattr(line_dedup, "_without", strict)
+    line = " ".join(f"word{k}" for k in range(12))
+    docs = spark.createDataFrame([(1, line), (2, f"{line}\nother"), (3, "other"), (4, None)], "doc_id long, text string")
+    assert {r.row.doc_id: r.n_removed for r in line_dedup.deduped(docs).collect()} == {1: 0, 2: 1, 3: 0, 4: 0}
