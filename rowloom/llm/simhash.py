@@ -209,7 +209,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are no near copy of an earlier one, by the general rule of near_copies.
 
     RADIUS and WORDS bind op6 only: at a Jaccard of 0.8 two fingerprints of 64 bits differ by about ten, and no
-    choice of blocks files so wide a radius. There, MinHash bands file the texts, and wider fingerprints are
+    choice of blocks files so wide a radius. There, wider SimHash fingerprints are filed by samples of their bits and
     compared in bit planes with carry-save counters as here.
     """
     return near_copies.keep_first(docs)

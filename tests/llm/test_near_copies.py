@@ -99,3 +99,34 @@ def test_ids_may_be_texts(spark):
     rows = [("x", near), ("m", " ".join(base)), (None, " ".join(base)), ("z", "something else entirely")]
     kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id string, text string"))
     assert {r.doc_id for r in kept.collect()} == {"m", "z"}
+
+
+@pytest.mark.parametrize("file", [40, 12])
+def test_files_of_simhash_bits_bring_up_every_near_copy(spark, monkeypatch, file):
+    monkeypatch.setattr(near_copies, "FILE", file)
+    rows = _rows()
+    places = near_copies.samples(len(rows))
+    assert len(places) > 1 and near_copies.missed(len(places[0]), len(places)) <= near_copies.MISS
+    docs = spark.createDataFrame([(d, t, "x") for d, t in rows], SCHEMA).repartition(3)
+    assert {r.doc_id for r in simhash.keep_first(docs).collect()} == _first(rows)
+
+
+def test_groups_within_a_file_equal_counted_bits():
+    import numpy as np
+
+    from rowloom.llm import bit_planes
+
+    rng = np.random.default_rng(2)
+    fps = rng.integers(0, 1 << 63, (700, bit_planes.PARTS)).astype(np.uint64)
+    for i, j in rng.integers(0, len(fps), (200, 2)):
+        fps[i] = fps[j]
+        for k in rng.integers(0, 256, rng.integers(0, 110)):
+            fps[i, k >> 6] ^= np.uint64(1) << np.uint64(k & 63)
+    near = np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2) <= bit_planes.RADIUS
+    want = np.arange(len(fps))
+    while True:
+        least = np.where(near, want[None, :], len(fps)).min(axis=1)
+        if (least == want).all():
+            break
+        want = least
+    assert (bit_planes.groups_within(fps) == want).all()
