@@ -153,9 +153,9 @@ def similar_paragraphs(found: DataFrame, codes: DataFrame, texts: DataFrame) ->
     are cut out of their first documents and compared as in ``similar_sets``.
     """
     keyed = _sizes(found)
-    shared = keyed.groupBy("key").agg(F.min("code").alias("least"), F.max("code").alias("most")).where("least < most").select("key", "least")
+    shared = keyed.groupBy("key").agg(F.min("code").alias("least"), F.max("code").alias("most"), F.count("*").alias("n")).where("least < most").select("key", "least", "n")
     buckets, n = materialize_counted(shared)
-    filed = materialize(lookup(keyed, buckets, ["key"], n, "inner").select("key", "code", "size", "least").distinct())
+    filed = materialize(lookup(keyed, buckets, ["key"], n, "inner", counted="n").select("key", "code", "size", "least").distinct())
     wanted = codes.join(filed.select("code").distinct(), "code").select("code", "place.*")
     listed, n_listed = materialize_counted(wanted.groupBy(*WHO).agg(F.collect_list(F.struct("code", "start", "stop")).alias("parts")))
     cut = _only(texts, listed, n_listed).join(listed, WHO).select("text", F.explode("parts").alias("p")).select(
@@ -198,8 +198,8 @@ def repeated_runs(found: DataFrame, texts: DataFrame) -> DataFrame:
     """
     names = ANCHORS.names
     spans = found.select(*WHO, F.explode(F.arrays_zip(*names)).alias("s")).select(*WHO, "s.*")
-    repeats, n = materialize_counted(spans.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
-    held = materialize(lookup(spans, repeats, ["anchor"], n, "inner").select(*WHO, *names))
+    repeats, n = materialize_counted(spans.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "n"))
+    held = materialize(lookup(spans, repeats, ["anchor"], n, "inner", counted="n").select(*WHO, *names))
     place = F.struct(*WHO, F.col("first").alias("at"))
     groups = materialize(held.groupBy("anchor", "around").agg(F.min(place).alias("place"), F.max(F.expr("last - first")).alias("reach")))
     several = groups.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
@@ -212,8 +212,8 @@ def repeated_runs(found: DataFrame, texts: DataFrame) -> DataFrame:
     # Rows of repeated documents go after the join, whose shuffle serves that too.
     placed = hashed.join(mixed_, ["anchor", "around"]).dropDuplicates(["anchor", "around", "off"])
     runs = materialize(placed.select("anchor", "around", "off", "run", own.alias("place")))
-    firsts, n_runs = materialize_counted(runs.groupBy("run").agg(F.min("place").alias("keeper")))
-    compared = lookup(runs.select("anchor", "around", "off", "run"), firsts, ["run"], n_runs, "inner")
+    firsts, n_runs = materialize_counted(runs.groupBy("run").agg(F.min("place").alias("keeper"), F.count("*").alias("n")))
+    compared = lookup(runs.select("anchor", "around", "off", "run"), firsts, ["run"], n_runs, "inner", counted="n")
     offs = F.sort_array(F.collect_list(F.struct("off", "keeper"))).alias("offs")
     some = _ranges(compared.groupBy("anchor", "around").agg(offs)).select("anchor", "around", "ranges")
     one = F.struct(F.lit(0).alias("off"), (F.col("reach") + 1).alias("n"), F.col("place").alias("keeper"))
@@ -299,11 +299,11 @@ def deduped(docs: DataFrame) -> DataFrame:
     named = codes.join(group, codes["code"] == group["node"], "left").select(*CODE, "place", "n", "component")
     firsts = named.where("component is not null").groupBy("component").agg(F.min("place").alias("first"))
     keepers, n_keepers = materialize_counted(
-        named.join(firsts, "component", "left").where("n > 1 or component is not null").select(*CODE, F.coalesce("first", "place").alias("keeper"))
+        named.join(firsts, "component", "left").where("n > 1 or component is not null").select(*CODE, "n", F.coalesce("first", "place").alias("keeper"))
     )
     forget(codes)
     forget(group)
-    gone = lookup(each, keepers, CODE, n_keepers, "inner").where("place <> keeper")
+    gone = lookup(each, keepers, CODE, n_keepers, "inner", counted="n").where("place <> keeper")
     parts = materialize(
         gone.groupBy(*WHO).agg(
             F.collect_set(F.struct("start", "stop")).alias("parts"),

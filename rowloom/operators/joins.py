@@ -33,7 +33,8 @@ def fits_broadcast(df: DataFrame, rows: int) -> bool:
 
 
 def lookup(
-    left: DataFrame, right: DataFrame, on: list[str], right_rows: int | None = None, how: str = "left", even: bool = False
+    left: DataFrame, right: DataFrame, on: list[str], right_rows: int | None = None, how: str = "left", even: bool = False,
+    counted: str | None = None,
 ) -> DataFrame:
     """Join ``right`` (one row per key) to ``left``, as a left or an inner join.
 
@@ -41,21 +42,27 @@ def lookup(
     shuffle, the few hot keys of ``left`` (keys with more than 1/1000 of its rows, so at most
     1000 of them) are looked up by broadcast of just those right rows, and the rest goes
     through an ordinary shuffle join. ``even`` says that keys are spread evenly, which saves
-    counting them.
+    counting them. In an inner join ``counted`` may name a column of ``right`` that tells how many rows of ``left`` have
+    the key, so they are not counted again; that column is left out of the result.
     """
+    counts = None
+    if counted is not None:
+        if how != "inner":
+            raise ValueError("counts of the right side's keys serve inner joins only")
+        counts, right = right.select(*on, F.col(counted).alias("_n")), right.drop(counted)
     if right_rows is not None and fits_broadcast(right, right_rows):
         return left.join(F.broadcast(right), on, how)
     present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
     keyed = left.where(present)
-    joined = _split_hot(keyed, right, on, how) if not even else keyed.join(right, on, how)
+    joined = _split_hot(keyed, right, on, how, counts) if not even else keyed.join(right, on, how)
     if how == "inner":
         return joined
     added = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields if f.name not in on]
     return joined.unionByName(left.where(~present).select("*", *added))
 
 
-def _split_hot(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
-    counts = left.groupBy(*on).agg(F.count("*").alias("_n"))
+def _split_hot(left: DataFrame, right: DataFrame, on: list[str], how: str, counts: DataFrame | None = None) -> DataFrame:
+    counts = left.groupBy(*on).agg(F.count("*").alias("_n")) if counts is None else counts
     total = counts.agg(F.sum("_n")).first()[0] or 0
     if total < SMALL_LEFT:
         return left.join(right, on, how)
