@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from decimal import Decimal
 from functools import reduce
 from itertools import combinations
+from math import inf, isqrt, sqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ THETA_BITS = 12
 SLICE_ROWS, SLICE_STEP = 1 << 14, 16
 # A scan carries up to so many tuples side by side.
 TUPLES = 40
+# So many keys share a word of bits.
+WORD = 62
 # Up to so many columns all tuples are looked at; wider ones only while a table has no primary key yet.
 NARROW = 2
 
@@ -154,28 +157,67 @@ def _digests(columns: Sequence[str | Column]) -> list[Column]:
     return [F.when(present, F.xxhash64(*[F.lit(salt), *values])) for salt in (1, 2)]
 
 
-def _without_duplicates(df: DataFrame, candidates: Sequence[tuple[str, ...]], slices: int = 1) -> list[tuple[str, ...]]:
-    """The candidates whose values never repeat among rows without nulls.
+def _in_slice(df: DataFrame, candidates: Sequence[tuple[str, ...]], chosen: Sequence[Column] | None = None) -> dict[tuple[str, ...], tuple[int, int]]:
+    """How many different tuples each candidate has among rows without nulls, and how often the most frequent one occurs.
 
-    A tuple moves as a 128-bit digest, however long its values are, and is counted before it moves. With ``slices``,
-    a power of two, only tuples of one slice of the digests move. Equal tuples have equal digests, so what repeats
-    there is no key; what does not may still repeat elsewhere.
+    A tuple moves as a 128-bit digest, however long its values are, and is counted before it moves. With ``chosen``,
+    a test for each candidate, only rows that pass it are looked at.
     """
-    kept = []
+    found = {}
     for start in range(0, len(candidates), TUPLES):
         part = candidates[start : start + TUPLES]
-        lines, inside = [], []
-        for i, columns in enumerate(part):
+        tests = chosen[start : start + TUPLES] if chosen is not None else [F.lit(True)] * len(part)
+        lines = []
+        for i, (columns, test) in enumerate(zip(part, tests, strict=True)):
             one, two = _digests(columns)
-            inside.append(F.coalesce(one.bitwiseAND(F.lit(slices - 1).cast("bigint")) == 0, F.lit(False)))
-            lines.append(F.when(inside[-1], F.struct(F.lit(i).alias("key"), one.alias("a"), two.alias("b"))))
-        # Most rows are in no tuple's slice and are dropped before anything is built.
-        met = df.where(reduce(lambda a, b: a | b, inside)) if slices > 1 else df
+            lines.append(F.when(test & one.isNotNull(), F.struct(F.lit(i).alias("key"), one.alias("a"), two.alias("b"))))
+        # Most rows have no tuple that is looked at and are dropped before anything is built.
+        met = df.where(reduce(lambda a, b: a | b, {id(t): t for t in tests}.values()))
         tuples = met.select(F.explode(F.array(*lines)).alias("r")).where("r is not null").select("r.*")
         counted = tuples.groupBy("key", "a", "b").agg(F.count("*").alias("n"))
-        repeated = {r["key"] for r in counted.where("n > 1").select("key").distinct().collect()}
-        kept += [c for i, c in enumerate(part) if i not in repeated]
-    return kept
+        seen = {r["key"]: (r["d"], r["most"]) for r in counted.groupBy("key").agg(F.count("*").alias("d"), F.max("n").alias("most")).collect()}
+        found |= {c: seen.get(i, (0, 0)) for i, c in enumerate(part)}
+    return found
+
+
+def _sliced(columns: Sequence[str], slices: int) -> list[Column] | None:
+    """A test for each column whether its value is in one slice of the hashes; ``slices`` is a power of two."""
+    tests = {c: F.coalesce(_digests([c])[0].bitwiseAND(F.lit(slices - 1).cast("bigint")) == 0, F.lit(False)) for c in columns}
+    return None if slices == 1 else [tests[c] for c in columns]
+
+
+def _without_duplicates(df: DataFrame, candidates: Sequence[tuple[str, ...]], slices: int = 1, anchors: Sequence[str] = ()) -> list[tuple[str, ...]]:
+    """The candidates whose values never repeat among rows without nulls.
+
+    With ``slices``, a power of two, only rows are looked at whose value in one column of the tuple, its anchor, falls
+    into one slice of the hashes. Equal tuples have equal anchors, so what repeats there is no key; what does not may
+    still repeat elsewhere.
+    """
+    seen = _in_slice(df, candidates, _sliced(anchors, slices) if slices > 1 else None)
+    return [c for c in candidates if seen[c][1] <= 1]
+
+
+def _without_any_duplicates(df: DataFrame, candidates: Sequence[tuple[str, ...]]) -> list[tuple[str, ...]]:
+    """As ``_without_duplicates`` over all rows, for candidates that repeat hardly or not at all.
+
+    A tuple moves as 64 bits. Where those repeat, which is seldom, the rows in question are counted by 128 bits.
+    """
+    suspect: dict[int, list[int]] = {}
+    for start in range(0, len(candidates), TUPLES):
+        part = candidates[start : start + TUPLES]
+        hashes = [_digests(columns)[0] for columns in part]
+        if len(part) == 1:
+            tuples = df.select(F.lit(0).alias("key"), hashes[0].alias("a"))
+        else:
+            lines = [F.struct(F.lit(i).alias("key"), one.alias("a")) for i, one in enumerate(hashes)]
+            tuples = df.select(F.explode(F.array(*lines)).alias("r")).select("r.*")
+        counted = tuples.where("a is not null").groupBy("key", "a").agg(F.count("*").alias("n"))
+        for r in counted.where("n > 1").groupBy("key").agg(F.collect_list("a").alias("a")).collect():
+            suspect[start + r["key"]] = r["a"]
+    doubted = [candidates[i] for i in suspect]
+    values = list(suspect.values())
+    seen = _in_slice(df, doubted, [F.coalesce(_digests(c)[0].isin(v), F.lit(False)) for c, v in zip(doubted, values, strict=True)])
+    return [c for c in candidates if c not in seen or seen[c][1] <= 1]
 
 
 @dataclass(frozen=True)
@@ -187,6 +229,8 @@ class Keys:
     # How many tuples were counted over all rows, and how many were looked at.
     counted: int = 0
     sketched: int = 0
+    # Every column has so many values at least.
+    least: Mapping[str, int] = field(default_factory=dict)
 
 
 class _Lattice:
@@ -194,34 +238,67 @@ class _Lattice:
 
     def __init__(self, df: DataFrame, rows: int) -> None:
         self.df, self.rows = df, rows
-        # A power of two.
+        # Powers of two. Single columns are measured in a larger slice, about 32 times the root of the rows.
         self.slices = 1 << max(0, (rows - 1) // SLICE_ROWS).bit_length()
+        self.broad = min(self.slices, 1 << max(0, (isqrt(rows) // 32).bit_length() - 1))
         self.sizes: dict[tuple[str, ...], int] = {}
-        self.distinct: dict[tuple[str, ...], float] = {}
+        # No single column has more values, or fewer; those measured, and of them those that repeat.
+        self.most: dict[tuple[str, ...], float] = {}
+        self.least: dict[tuple[str, ...], int] = {}
+        self.measured: set[tuple[str, ...]] = set()
+        self.repeated: set[tuple[str, ...]] = set()
         self.counted = 0
 
     def keys_among(self, candidates: Sequence[tuple[str, ...]]) -> list[tuple[str, ...]]:
         """Larger and larger slices sort out what repeats; all rows are counted for what they leave."""
-        left, slices = self.promising(candidates), self.slices
+        left = self._sifted(candidates)
+        return left if self.slices == 1 else self._in_all_rows(left)
+
+    def first_key(self, candidates: Sequence[tuple[str, ...]]) -> list[tuple[str, ...]]:
+        """The first of the candidates that is a key."""
+        for c in self._sifted(candidates):
+            if self.slices == 1 or self._in_all_rows([c]):
+                return [c]
+        return []
+
+    def _sifted(self, candidates: Sequence[tuple[str, ...]]) -> list[tuple[str, ...]]:
+        left = self.promising(candidates)
+        slices = (self.broad if self.measured.issuperset(left) else self.slices) // SLICE_STEP
         while left and slices > 1:
-            slices = max(1, slices // SLICE_STEP)
-            left = _without_duplicates(self.df, left, slices)
-            self.counted += len(left) if slices == 1 else 0
+            left = _without_duplicates(self.df, left, slices, self.anchors(left))
+            slices //= SLICE_STEP
         return left
 
+    def anchors(self, candidates: Sequence[tuple[str, ...]]) -> list[str]:
+        """The column of each tuple with the most values, as far as known."""
+        return [max(c, key=lambda name: self.least.get((name,), 0)) for c in candidates]
+
+    def _in_all_rows(self, left: list[tuple[str, ...]]) -> list[tuple[str, ...]]:
+        self.counted += len(left)
+        return _without_any_duplicates(self.df, left)
+
     def promising(self, candidates: Sequence[tuple[str, ...]]) -> list[tuple[str, ...]]:
         """The candidates with values, none of which repeats in the first slice; that is all rows of a small table."""
-        self._measure([c for c in candidates if c not in self.sizes])
-        left = [c for c in candidates if self.sizes[c] and (c not in self.distinct or self.distinct[c] >= SKETCH_SHARE * self.sizes[c])]
-        left = _without_duplicates(self.df, left, self.slices)
+        self._measure([c for c in candidates if c not in self.sizes or len(c) == 1 and c not in self.most])
+        left = [c for c in candidates if self.sizes[c] and self.most.get(c, inf) >= self.sizes[c] and c not in self.repeated]
+        fresh = [c for c in left if c not in self.measured]
+        kept = {*_without_duplicates(self.df, fresh, self.slices, self.anchors(fresh))} | self.measured
+        left = [c for c in left if c in kept]
         self.counted += len(left) if self.slices == 1 else 0
         return left
 
     def _measure(self, fresh: list[tuple[str, ...]]) -> None:
-        """Rows without nulls; sketches of single columns. Tuples of full columns need no scan."""
-        for c, (filled, estimate) in _sketched(self.df, [c for c in fresh if len(c) == 1]).items():
-            self.sizes[c] = filled
-            self.distinct[c] = estimate
+        """Rows without nulls; values of single columns in a slice. Tuples of full columns need no scan."""
+        self.sizes |= _filled(self.df, [c for c in fresh if len(c) == 1 and c not in self.sizes])
+        single = [c for c in fresh if len(c) == 1 and self.sizes[c]]
+        for c, (values, times) in _in_slice(self.df, single, _sliced([c for (c,) in single], self.broad)).items():
+            # So few in a slice that is 1 of ``broad`` have a chance below 1e-12 if there are more values than this.
+            self.most[c] = values if self.broad == 1 else self.broad * (values + 7 * sqrt(values) + 32)
+            self.least[c] = values
+            self.measured.add(c)
+            if times > 1:
+                self.repeated.add(c)
+        self.most |= {c: 0 for c in fresh if len(c) == 1 and c not in self.most}
         wide = [c for c in fresh if len(c) > 1]
         gaps = [c for c in wide if any(self.sizes[x,] < self.rows for x in c)]
         self.sizes |= {c: self.rows for c in wide} | _filled(self.df, gaps)
@@ -230,34 +307,40 @@ class _Lattice:
         """Whether the columns have enough values between them to tell all rows apart."""
         product = 1.0
         for c in columns:
-            product *= max(1.0, self.distinct[c,] / SKETCH_SHARE)
+            product *= max(1.0, self.most[c,])
             if product >= rows:
                 return True
         return False
 
 
-def discover_keys(df: DataFrame, max_columns: int = NARROW) -> Keys:
+def discover_keys(df: DataFrame, max_columns: int = NARROW, unique_columns: int | None = None) -> Keys:
     """Candidate keys of up to ``max_columns`` columns of any comparable type.
 
-    Single columns and pairs are all looked at: sketches rule out columns, and a slice of all tuples, about as many
-    rows in every table, rules out what repeats in it; only the rest is counted over all rows. A tuple that holds a key is not tried, nor one whose columns have too few values
+    Single columns and pairs are all looked at: a slice of all tuples rules out what repeats in it, and bounds how many
+    values a column has; only the rest is counted over all rows. A tuple that holds a key is not tried, nor one whose columns have too few values
     between them. Wider keys are looked for only while there is no primary key, from the top of the lattice: if all
     columns without nulls together are no key, no tuple is; a column without which the others are no key is part of
     every key. The search starts from those columns and adds others one width at a time, so a wide key is found
     without its many narrower tuples.
     """
-    names, rows = _key_columns(df), df.count()
+    names = _key_columns(df)
+    seen = df.agg(F.count("*").alias("n"), *[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(names)]).first()
+    rows = seen["n"]
     lattice = _Lattice(df, rows)
+    lattice.sizes |= {(c,): seen[f"c{i}"] for i, c in enumerate(names)}
     unique = lattice.keys_among([(c,) for c in names])
     if max_columns > 1:
         # With nulls in a column, fewer values may do.
         filled = {c for c in names if lattice.sizes[c,] == rows}
         pairs = [p for p in combinations(names, 2) if not _holds(p, unique) and (not set(p) <= filled or lattice.reaches(p, rows))]
-        unique += lattice.keys_among(pairs)
+        if unique_columns is None or unique_columns >= NARROW:
+            unique += lattice.keys_among(pairs)
+        elif not any(lattice.sizes[k] == rows for k in unique):
+            unique += lattice.first_key([p for p in pairs if set(p) <= filled])
     if max_columns > NARROW and rows:
         unique += _wide_keys(lattice, [c for c in names if lattice.sizes[c,] == rows], unique, rows, max_columns)
     full = [k for k in unique if lattice.sizes[k] == rows]
-    return Keys(full, unique, lattice.counted, len(lattice.sizes))
+    return Keys(full, unique, lattice.counted, len(lattice.sizes), {c: lattice.least.get((c,), 0) for c in names})
 
 
 def _wide_keys(lattice: _Lattice, filled: list[str], known: list[tuple[str, ...]], rows: int, max_columns: int) -> list[tuple[str, ...]]:
@@ -280,20 +363,6 @@ def _holds(columns: tuple[str, ...], keys: Sequence[tuple[str, ...]]) -> bool:
     return any(set(k) <= set(columns) for k in keys)
 
 
-def _sketched(df: DataFrame, candidates: Sequence[tuple[str, ...]]) -> dict[tuple[str, ...], tuple[int, float]]:
-    """Rows without nulls and the estimated number of different values, per candidate."""
-    seen_all = {}
-    # Each sketch is a buffer of its own, so a scan carries a bounded number of them.
-    for start in range(0, len(candidates), SKETCHES):
-        part = candidates[start:start + SKETCHES]
-        aggs = []
-        for i, c in enumerate(part):
-            aggs += [F.count(_hashed(*c)).alias(f"c{i}"), _estimate(_hashed(*c)).alias(f"d{i}")]
-        seen = df.agg(*aggs).first()
-        seen_all |= {c: (seen[f"c{i}"], seen[f"d{i}"] or 0) for i, c in enumerate(part)}
-    return seen_all
-
-
 def _filled(df: DataFrame, candidates: Sequence[tuple[str, ...]]) -> dict[tuple[str, ...], int]:
     """Rows without nulls per candidate."""
     found = {}
@@ -305,6 +374,11 @@ def _filled(df: DataFrame, candidates: Sequence[tuple[str, ...]]) -> dict[tuple[
     return found
 
 
+def _same_kind(child: DataFrame, column: str, parent: DataFrame, key: str) -> bool:
+    kinds = {_family(child.schema[column].dataType), _family(parent.schema[key].dataType)}
+    return len(kinds) == 1 or kinds == NUMBERS
+
+
 def _ranges(tables: Mapping[str, DataFrame], wanted: Callable[[str, str], bool]) -> dict[tuple[str, str], tuple]:
     """(family, min, max) per wanted key-like column; one job over all tables."""
     parts = []
@@ -370,27 +444,31 @@ def _included(tables: Mapping[str, DataFrame], pairs: list[tuple[tuple[str, str]
     cast = reduce(common_type, [tables[t].schema[c].dataType for t, c in dict.fromkeys([*children, *parents])])
     cast = T.LongType() if isinstance(cast, WHOLE) else cast
 
-    def stacked(columns: list[tuple[str, str]], tag: str) -> DataFrame:
-        """(tag, v): the columns below each other, read together per table."""
-        parts = []
-        for name in dict.fromkeys(t for t, _ in columns):
-            # Texts move as digests, however long they are.
-            value = lambda c: F.md5(F.col(c)) if isinstance(cast, T.StringType) else F.col(c).cast(cast)
-            own = [F.struct(F.lit(i).alias(tag), value(c).alias("v")) for i, (t, c) in enumerate(columns) if t == name]
-            parts.append(tables[name].select(F.explode(F.array(*own)).alias("r")).select("r.*"))
+    # Texts move as digests, however long they are. Every column is read by itself, as columnar files hold it.
+    value = lambda c: F.md5(F.col(c)) if isinstance(cast, T.StringType) else F.col(c).cast(cast)
+
+    def stacked(columns: list[tuple[str, str]], marks: Callable[[int], list[Column]]) -> DataFrame:
+        """Marks and value of the columns, below each other."""
+        parts = [tables[t].select(*marks(i), value(c).alias("v")) for i, (t, c) in enumerate(columns)]
         return reduce(DataFrame.unionByName, parts).where("v is not null")
 
-    used = stacked(children, "child").groupBy("child", "v").agg(F.count("*").alias("n"))
-    distinct_keys = stacked(parents, "parent").distinct()
-    holders = distinct_keys.groupBy("v").agg(F.collect_set("parent").alias("holders"))
-    totals = distinct_keys.groupBy("parent").agg(F.count("*").alias("total"))
+    used = stacked(children, lambda i: [F.lit(i).alias("child")]).groupBy("child", "v").agg(F.count("*").alias("n"))
+    # The keys that hold a value, as bits.
+    words = range(-(-len(parents) // WORD))
+    bit = lambda i: 1 << (i % WORD)
+    marked = stacked(parents, lambda i: [F.lit(bit(i) if i // WORD == k else 0).cast("bigint").alias(f"w{k}") for k in words])
+    holders = marked.groupBy("v").agg(*[F.bit_or(f"w{k}").alias(f"w{k}") for k in words])
+    held = [F.count_if(F.col(f"w{i // WORD}").bitwiseAND(F.lit(bit(i)).cast("bigint")) != 0).alias(f"p{i}") for i in range(len(parents))]
+    numbers = F.array(*[F.struct(F.lit(i).alias("parent"), F.col(f"p{i}").alias("total")) for i in range(len(parents))])
+    totals = holders.agg(*held).select(F.explode(numbers).alias("r")).select("r.*").where("total > 0")
     wanted = [[parents.index(p) for c, p in pairs if c == child] for child in children]
     tested = used.join(holders, "v", "left").select(
-        "child", "n", "holders", F.explode(F.element_at(F.lit(wanted), F.col("child") + 1)).alias("parent")
+        "child", "n", F.array(*[f"w{k}" for k in words]).alias("words"), F.explode(F.element_at(F.lit(wanted), F.col("child") + 1)).alias("parent")
     )
+    word = F.element_at("words", F.call_function("div", F.col("parent"), F.lit(WORD)).cast("int") + 1)
+    own = F.element_at(F.lit([bit(i) for i in range(len(parents))]).cast("array<bigint>"), F.col("parent") + 1)
     summed = tested.groupBy("child", "parent").agg(
-        F.count_if(~F.coalesce(F.array_contains("holders", F.col("parent")), F.lit(False))).alias("lost"),
-        F.count("*").alias("used"), F.max("n").alias("most"),
+        F.count_if(F.coalesce(word.bitwiseAND(own) == 0, F.lit(True))).alias("lost"), F.count("*").alias("used"), F.max("n").alias("most"),
     )
     named = [F.element_at(F.lit([c[k] for c in children]), F.col("child") + 1) for k in (0, 1)]
     keyed = [F.element_at(F.lit([p[k] for p in parents]), F.col("parent") + 1) for k in (0, 1)]
@@ -417,9 +495,20 @@ def discover_composite_references(
         [], "child_table string, child_columns string, parent_table string, parent_columns string, coverage double, one_to_one boolean"
     )
     keys = {p: tuple(k) for p, k in keys.items() if len(k) > 1}
+
+    def served(child: str, parent: str) -> bool:
+        """Whether every column of the key has a column of the child to be compared with; else no tuple can be held."""
+        return child != parent and all(
+            any(_same_kind(tables[child], c, tables[parent], k) and tried(child, c, parent, k) for c in _key_columns(tables[child])) for k in keys[parent]
+        )
+
+    pairs = {(child, parent) for child in tables for parent in keys if served(child, parent)}
+    keys = {p: k for p, k in keys.items() if p in {parent for _, parent in pairs}}
     if not keys:
         return empty
-    single = discover_references(tables, keys, tried).collect()
+    single = discover_references(
+        tables, keys, lambda child, column, parent, key: (child, parent) in pairs and tried(child, column, parent, key)
+    ).collect()
     fits: dict[tuple[str, str, str], list[str]] = {}
     for r in single:
         if r["child_table"] != r["parent_table"]:
@@ -439,16 +528,16 @@ def discover_composite_references(
         level = [c for c in held if len(c[2]) < len(keys[c[1]])]
     if not found:
         return empty
-    made, pairs, named = dict(tables), [], {}
+    made, exact, named = dict(tables), [], {}
     for i, (child, parent, columns) in enumerate(found):
         own, whole = _tuple_digests(tables, child, columns, parent, keys[parent])
         made[child] = made[child].withColumn(f"_child{i}", own)
         made[parent] = made[parent].withColumn(f"_parent{i}", whole)
-        pairs.append(((child, f"_child{i}"), (parent, f"_parent{i}")))
+        exact.append(((child, f"_child{i}"), (parent, f"_parent{i}")))
         named[f"_child{i}"] = (",".join(columns), ",".join(keys[parent]))
     name = F.create_map(*[F.lit(x) for c, (columns, _) in named.items() for x in (c, columns)])
     key_name = F.create_map(*[F.lit(x) for c, (_, key) in named.items() for x in (c, key)])
-    return _included(made, pairs).select(
+    return _included(made, exact).select(
         "child_table", F.element_at(name, F.col("child_column")).alias("child_columns"), "parent_table",
         F.element_at(key_name, F.col("child_column")).alias("parent_columns"), "coverage", "one_to_one",
     )
@@ -531,7 +620,7 @@ def describe_columns(df: DataFrame, table: str, max_values: int = 20) -> DataFra
     seen = kept.agg(F.count("*").alias("n"), *[a for i, f in enumerate(fields) for a in _described(i, f)]).first().asDict()
     rows, lattice = seen["n"], _Lattice(kept, seen["n"])
     for i, f in enumerate(fields):
-        lattice.sizes[f.name,], lattice.distinct[f.name,] = seen[f"c{i}"], seen[f"d{i}"] or 0
+        lattice.sizes[f.name,], lattice.most[f.name,] = seen[f"c{i}"], (seen[f"d{i}"] or 0) / SKETCH_SHARE
     able = [(f.name,) for f in fields if _family(f.dataType) in ("integer", "string") and lattice.sizes[f.name,] == rows]
     keys = set(lattice.keys_among(able) if rows else able)
     lines = []
@@ -542,7 +631,7 @@ def describe_columns(df: DataFrame, table: str, max_values: int = 20) -> DataFra
             table, f.name, _family(f.dataType), is_key, not is_key and seen[f"c{i}"] < rows, 0 < seen[f"c{i}"] == seen.get(f"u{i}"),
             *([None, None, *ends] if moment else [*ends, None, None]),
         ))
-    few = [f.name for f in fields if lattice.distinct[f.name,] * SKETCH_SHARE <= max_values]
+    few = [f.name for i, f in enumerate(fields) if (seen[f"d{i}"] or 0) * SKETCH_SHARE <= max_values]
     domains = _few_values(kept, table, few, max_values).groupBy("column_name").agg(F.sort_array(F.collect_list("value")).alias("allowed"))
     return df.sparkSession.createDataFrame(lines, DESCRIBED).join(domains, "column_name", "left").select(
         "table_name", "column_name", "type_family", "is_key", "nullable", "is_uuid", "min_value", "max_value", "first", "last", "allowed"

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from rowloom.model import ColumnSpec, ForeignKey, TableSpec
 from rowloom.operators import checks as texts
-from rowloom.operators.discovery import UUID_PATTERN, column_domains, discover_composite_references, discover_keys, discover_references
+from rowloom.operators.discovery import UUID_PATTERN, Keys, discover_composite_references, discover_keys, discover_references
+from rowloom.session import side_by_side
 
 
 def same_name(child: str, column: str, parent: str, key: str) -> bool:
@@ -41,21 +42,21 @@ def discover(
     the longest ones, and value lists those of text columns with at most ``max_values`` values. An empty table
     gives its columns alone. Only such facts reach the driver: their number follows the schema.
     """
-    found = {name: discover_keys(df, key_columns) for name, df in tables.items()}
+    spark = next(iter(tables.values())).sparkSession
+    found = dict(zip(tables, side_by_side(spark, lambda df: discover_keys(df, key_columns, unique_columns), tables.values()), strict=True))
     primary = {name: min(k.primary, key=len) if k.primary else () for name, k in found.items()}
     references = _references(tables, primary, tried)
-    specs = []
-    for name, df in tables.items():
-        key, own = primary[name], tuple(references[name])
-        unique = tuple(k for k in found[name].unique if len(k) <= unique_columns and k != key)
-        free = {c for fk in own for c in fk.columns} | {c for k in (key, *unique) for c in k}
-        columns = _columns(df, name, free, max_values)
-        specs.append(TableSpec(name, columns, key, own, unique))
+    unique = {name: tuple(k for k in keys.unique if len(k) <= unique_columns and k != primary[name]) for name, keys in found.items()}
+    free = {name: {c for fk in references[name] for c in fk.columns} | {c for k in (primary[name], *unique[name]) for c in k} for name in tables}
+    columns = side_by_side(spark, lambda name: _columns(tables[name], free[name], max_values, found[name]), tables)
+    specs = [
+        TableSpec(name, own, primary[name], tuple(references[name]), unique[name]) for name, own in zip(tables, columns, strict=True)
+    ]
     return specs if checks is None else _constrained(specs, checks)
 
 
-def _columns(df: DataFrame, name: str, keyed: set[str], max_values: int) -> tuple[ColumnSpec, ...]:
-    """Every column with the limits its values show; one scan, and one more for the value lists."""
+def _columns(df: DataFrame, keyed: set[str], max_values: int, keys: Keys) -> tuple[ColumnSpec, ...]:
+    """Every column with the limits its values show; one scan, and two more for the value lists."""
     plain = [ColumnSpec.of(f) for f in df.schema.fields]
     aggs = [F.count("*").alias("n")]
     for i, c in enumerate(plain):
@@ -66,13 +67,12 @@ def _columns(df: DataFrame, name: str, keyed: set[str], max_values: int) -> tupl
             number = F.when(~F.isnan(value), value) if c.type in ("double", "float") else value
             aggs += [F.min(number).alias(f"a{i}"), F.max(number).alias(f"b{i}")]
         if c.is_text:
-            aggs += [F.max(F.length(value)).alias(f"l{i}"), F.count_if(value.rlike(UUID_PATTERN)).alias(f"u{i}")]
+            # A line break may follow what the pattern matches.
+            uuid = F.length(value).between(36, 38) & value.rlike(UUID_PATTERN)
+            aggs += [F.max(F.length(value)).alias(f"l{i}"), F.count_if(uuid).alias(f"u{i}")]
     seen = df.agg(*aggs).first()
-    listed = [c.name for c in plain if c.is_text and c.name not in keyed]
-    allowed: dict[str, list[str]] = {}
-    if listed and seen["n"]:
-        for r in column_domains(df, name, listed, max_values).select("column_name", "value").collect():
-            allowed.setdefault(r["column_name"], []).append(r["value"])
+    listed = [c.name for c in plain if c.is_text and c.name not in keyed and keys.least.get(c.name, 0) <= max_values]
+    allowed = _value_lists(df, listed, max_values) if seen["n"] else {}
     columns = []
     for i, c in enumerate(plain):
         filled = seen[f"c{i}"]
@@ -86,6 +86,19 @@ def _columns(df: DataFrame, name: str, keyed: set[str], max_values: int) -> tupl
     return tuple(columns)
 
 
+def _value_lists(df: DataFrame, columns: list[str], max_values: int) -> dict[str, list[str]]:
+    """The values of the text columns that have no more than ``max_values``; few show so few in a slice and have more.
+
+    Hashes tell how many values a column has, so that no long text is gathered that is in no list.
+    """
+    named = lambda names, value: [value(F.col(f"`{c}`")).alias(f"v{i}") for i, c in enumerate(names)]
+    # The hash of null is no value.
+    hashed = df.agg(*named(columns, lambda c: F.size(F.collect_set(F.when(c.isNotNull(), F.xxhash64(c)))))).first() if columns else ()
+    few = [c for c, n in zip(columns, hashed, strict=True) if 0 < n <= max_values]
+    found = df.agg(*named(few, F.collect_set)).first() if few else ()
+    return dict(zip(few, found, strict=True))
+
+
 def _references(
     tables: Mapping[str, DataFrame], primary: Mapping[str, tuple[str, ...]], tried: Callable[[str, str, str, str], bool]
 ) -> dict[str, list[ForeignKey]]:

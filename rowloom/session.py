@@ -5,10 +5,16 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+# So many tables are worked on side by side: small jobs wait for the driver more than for the cores.
+TABLES_AT_ONCE = 8
+
 
 def local_session(cpus: int | str = "*", name: str = "rowloom") -> SparkSession:
     """A local session for tests and the bench; clusters bring their own."""
@@ -94,3 +100,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """A reliable checkpoint, for when partitions must stay as they are on every reading."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def side_by_side(spark: SparkSession, work: Callable, items: Iterable) -> list:
+    """``work`` on every item, the jobs of several items at a time; results in the order of the items."""
+    with ThreadPoolExecutor(TABLES_AT_ONCE) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(work), items))

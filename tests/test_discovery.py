@@ -108,3 +108,24 @@ def test_what_repeats_in_no_slice_is_still_counted(spark):
     found = discover_keys(rows.withColumn("b", F.when(F.col("id") == 150_000, 1).otherwise(F.col("b"))), 3)
     assert ("a", "b") not in found.primary and ("id",) not in found.primary
     assert discover_keys(rows.drop("id"), 3).primary == [("a", "b"), ("a", "d")] and found.counted < 8
+
+
+def test_a_specification_counts_wide_tuples_only_for_a_primary_key(spark):
+    # (a, b) and (a, c) are keys, of which the first is wanted; with a single key no pair is.
+    rows = spark.range(40_000).select(
+        (F.col("id") / 200).cast("int").alias("a"), (F.col("id") % 200).alias("b"), (F.col("id") * 7 % 200).alias("c"), (F.col("id") % 9).alias("d"),
+    )
+    assert [k for k in discover_keys(rows, 3).primary if len(k) == 2] == [("a", "b"), ("a", "c")]
+    found = discover_keys(rows, 3, 1)
+    assert found.primary == [("a", "b")] and found.counted == 1
+    single = discover_keys(rows.withColumn("id", F.col("a") * 200 + F.col("b")), 3, 1)
+    assert single.primary == [("id",)] and single.sketched == 5
+    (spec,) = discover({"rows": rows})
+    assert spec.primary_key == ("a", "b") and spec.unique_keys == ()
+
+
+def test_a_hot_value_among_unique_ones_is_no_key(spark):
+    rows = spark.range(300_000).select(F.when(F.col("id") % 5 == 0, -1).otherwise(F.col("id")).alias("id"), F.lit("x").alias("s"), (F.col("id") % 30).cast("string").alias("t"))
+    assert discover_keys(rows).primary == []
+    (spec,) = discover({"rows": rows})
+    assert spec.primary_key == () and spec.column("s").allowed == ("x",) and spec.column("t").allowed == ()
