@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from rowloom.operators.discovery import describe_columns, discover_composite_references, discover_keys, discover_references
 from rowloom.plans.discover import discover
+from workload import schema_discovery
+from workload.common import table
 
 
 def test_a_key_of_four_columns_is_found_with_few_counts(spark):
@@ -129,3 +131,12 @@ def test_a_hot_value_among_unique_ones_is_no_key(spark):
     assert discover_keys(rows).primary == []
     (spec,) = discover({"rows": rows})
     assert spec.primary_key == () and spec.column("s").allowed == ("x",) and spec.column("t").allowed == ()
+
+
+def test_seeded_tables_are_made_once_for_their_report(spark, sf_dir, monkeypatch):
+    few = lambda spark, d: {n: table(spark, d, n) for n in ("region", "nation")}
+    monkeypatch.setattr(schema_discovery, "star_tables", few)
+    report = schema_discovery.discover_and_seed(spark, sf_dir)
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5(" not in plan and "Range (" not in plan
+    assert {(r.table_name, r.n_rows, r.violations) for r in report.collect()} == {("region", 5, 0), ("nation", 25, 0)}
